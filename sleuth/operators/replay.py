@@ -46,5 +46,10 @@ def replay_schedule(
     out = out.withColumn(
         "replay_delay", F.round(F.when(F.col("_h1"), (F.col("epoch") - F.col("_p1")) / div).otherwise(F.lit(0.0)), 3)
     ).withColumn("replay_offset", F.round((F.col("epoch") - F.col("_first.e")) / div, 3))
+    # exact forms: whole microseconds between the events, divided by the speed
+    gap_us = F.round((F.col("epoch") - F.col("_p1")) * F.lit(1e6))
+    out = out.withColumn("replay_delay_us", F.when(F.col("_h1"), gap_us / div).otherwise(F.lit(0.0))).withColumn(
+        "replay_offset_us", F.round((F.col("epoch") - F.col("_first.e")) * F.lit(1e6)) / div
+    )
     out = drop_layout(out.drop("_p1", "_h1", "_first"))
     return on_batch(out) if on_batch else out

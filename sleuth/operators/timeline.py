@@ -120,10 +120,13 @@ def recent_events(df: DataFrame, n: int = RECENT) -> DataFrame:
 
 def timeline_view(df: DataFrame, limit: int | None = CLI_LIMIT, **filters) -> DataFrame:
     """Display rows of the timeline listing (row #, shortened texts, labels)."""
-    page = query_events(df, limit=limit, **filters)
-    from pyspark.sql import Window
+    if limit is None:  # whole timeline: number with the distributed sequence
+        numbered = build_timeline(filter_events(df, **filters)).withColumnRenamed(SEQ, "row_no")
+    else:  # a page of at most `limit` rows
+        from pyspark.sql import Window
 
-    numbered = page.withColumn("row_no", F.row_number().over(Window.orderBy(*TEXT_ORDER)))
+        page = query_events(df, limit=limit, **filters)
+        numbered = page.withColumn("row_no", F.row_number().over(Window.orderBy(*TEXT_ORDER)).cast("long"))
     return numbered.select(
         "row_no",
         "id",

@@ -188,3 +188,14 @@ def running_max(
     res = res.select("*", *[F.greatest(F.col(f"_in{i}"), F.col(f"_p{i}")).alias(n) for i, n in enumerate(names)])
     tmp = [f"_{p}{i}" for i in range(len(names)) for p in ("v", "in", "p")]
     return res.drop(*tmp, "_wb", "_halo")
+
+
+def with_position(
+    df: DataFrame, order: Sequence[Column | str], partition_by: Sequence[str] = (), out: str = "pos"
+) -> DataFrame:
+    """1-based position of each row inside its key (``partition_by``) in
+    ``order``; a hot key is split over many tasks like any other range."""
+    s = sequence(df, order, partition_by)
+    w = halo_window()
+    x = running_max(s, {"_start": F.when(~F.col("_h1"), F.col(SEQ))}, k=1, pre={"_h1": has_lag_in_key(1, w, partition_by)})
+    return drop_layout(x.withColumn(out, F.col(SEQ) - F.col("_start") + 1).drop("_start", "_h1"))
