@@ -54,6 +54,13 @@ SEVERITY_RANK = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 ZERO_HASH = "0" * 64
 # Line length cap of the line readers (characters).
 LINE_CAP = 10_485_760
+# White space removed by Python's str.strip() (the characters for which
+# str.isspace() is true).
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Only texts that start like an ISO date are parsed as time (Python's
 # fromisoformat rejects "12:30" and "2025", Spark's cast accepts them).
 ISO_PREFIX_RE = r"^\d{4}-\d{2}-\d{2}"
@@ -175,8 +182,8 @@ def icontains(haystack: Column | str, needle: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Python ``str.strip()``: drop leading and trailing white space."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: drop leading and trailing white space (no regex)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def cap_line(c: Column | str, n: int = LINE_CAP) -> Column:

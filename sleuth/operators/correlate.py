@@ -10,11 +10,11 @@ Plan:
 2. gap islands: a gap > W to the previous event always starts a new group,
    so the island id is the running max of "gap start" sequence numbers
    (halo window + per-bucket prefix, no single-task window);
-3. islands whose whole span is <= W are one group (pure aggregation);
-4. only the remaining islands are walked: ``groupBy(island).applyInPandas``
-   receives just (seq, epoch) and returns the anchor sequence numbers
-   (binary search from anchor to anchor, one step per group);
-5. each event's group = running max of anchor sequence numbers.
+4. rows are hash-partitioned by island and sorted by (island, seq); one
+   ``mapInPandas`` pass streams them and labels every row with its anchor
+   (binary search from anchor to anchor: one Python step per group, numpy
+   for the rows, anchor carried across Arrow batches, so memory is bounded
+   whatever the island size); only the columns the caller needs are carried.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sleuth.operators.timeline import EPOCH_ORDER
 from sleuth.plans.ordering import halo_window, SEQ, drop_layout, has_lag_in_key, lag_in_key, running_max, sequence
@@ -32,33 +33,61 @@ from sleuth.plans.ordering import halo_window, SEQ, drop_layout, has_lag_in_key,
 DEFAULT_WINDOW = 60  # seconds; fixed value of the studied tool
 
 
-def _anchor_walk(window_seconds: float):
+def _label_walk(window_seconds: float, out_schema: T.StructType):
+    """Streaming walk over rows sorted by (island, seq): labels every row with
+    its anchor. The anchor (epoch, seq, id) is carried across Arrow batches,
+    so an island of any size is processed with bounded memory; the Python
+    loop runs once per group or island, rows are handled with numpy. Built
+    here so it is shipped by value to the workers."""
     w = float(window_seconds)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(SEQ, kind="stable")
-        e = pdf["epoch"].to_numpy(dtype="float64")
-        s = pdf[SEQ].to_numpy()
-        n = len(e)
-        out = []
-        i = 0
-        while i < n:
-            out.append(s[i])
-            j = int(np.searchsorted(e, e[i] + w, side="right"))
-            # exact test is (e[j] - e[i] > w); fix float edge cases around the cut
-            while j < n and e[j] - e[i] <= w:
-                j += 1
-            while j - 1 > i and e[j - 1] - e[i] > w:
-                j -= 1
-            i = max(j, i + 1)
-        return pd.DataFrame({SEQ: np.asarray(out, dtype="int64")})
+    names = [f.name for f in out_schema.fields]
+
+    def walk(batches):
+        cur, a_e, a_s, a_id = None, 0.0, 0, None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            isl = pdf["island"].to_numpy()
+            e = pdf["epoch"].to_numpy(dtype="float64")
+            sq = pdf[SEQ].to_numpy()
+            ids = pdf["id"].to_numpy()
+            g_s = np.empty(n, dtype="int64")
+            g_id = np.empty(n, dtype="int64")
+            i = 0
+            while i < n:
+                if isl[i] != cur:  # a new island: its first row is an anchor
+                    cur, a_e, a_s, a_id = isl[i], e[i], sq[i], ids[i]
+                end = int(np.searchsorted(isl, isl[i], side="right"))
+                j = i + int(np.searchsorted(e[i:end], a_e + w, side="right"))
+                # the exact test is (e[j] - anchor > w): fix float edge cases at the cut
+                while j < end and e[j] - a_e <= w:
+                    j += 1
+                while j > i and e[j - 1] - a_e > w:
+                    j -= 1
+                g_s[i:j] = a_s
+                g_id[i:j] = a_id
+                if j < end:  # row j is the first one too far: it anchors the next group
+                    a_e, a_s, a_id = e[j], sq[j], ids[j]
+                    i = j
+                else:  # the island (or this batch) ends inside the group
+                    i = end
+            yield pdf.assign(group_seq=g_s, group_id=g_id)[names]
 
     return walk
 
 
-def assign_groups(df: DataFrame, window_seconds: float = DEFAULT_WINDOW, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Every event with ``group_seq`` (sequence number of its anchor),
-    ``group_id`` (id of the anchor event) and ``island``."""
+def assign_groups(
+    df: DataFrame,
+    window_seconds: float = DEFAULT_WINDOW,
+    partition_by: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Events with ``group_seq`` (sequence number of the anchor), ``group_id``
+    (id of the anchor event) and ``island``.
+
+    ``columns`` limits the event columns carried through the grouped step
+    (default: all)."""
     w = float(window_seconds)
     s = sequence(df, EPOCH_ORDER, partition_by)
     pre = {
@@ -66,25 +95,14 @@ def assign_groups(df: DataFrame, window_seconds: float = DEFAULT_WINDOW, partiti
         "_h1": has_lag_in_key(1, halo_window(), partition_by),
     }
     gap_start = ~F.col("_h1") | ((F.col("epoch") - F.col("_p1")) > F.lit(w))
-    isl = running_max(s, {"island": F.when(gap_start, F.col(SEQ))}, k=1, pre=pre).drop("_p1", "_h1")
-
-    spans = isl.groupBy("island").agg((F.max("epoch") - F.min("epoch")).alias("_span"))
-    wide = spans.where(F.col("_span") > F.lit(w)).select("island")
-    # islands whose span exceeds W are walked; only (island, seq, epoch) go to Python
-    walked = (
-        isl.join(wide, "island", "left_semi")
-        .select("island", SEQ, "epoch")
-        .groupBy("island")
-        .applyInPandas(_anchor_walk(w), schema=f"{SEQ} long")
-    )
-    anchors = walked.unionByName(isl.select(F.col("island").alias(SEQ)).distinct()).distinct().withColumn("_anchor", F.lit(True))
-    flagged = isl.join(anchors, SEQ, "left")
-    with_anchor_id = running_max(
-        flagged,
-        {"_g": F.when(F.col("_anchor").isNotNull(), F.struct(F.col(SEQ), F.col("id").alias("gid")))},
-    )
-    out = with_anchor_id.select("*", F.col("_g")[SEQ].alias("group_seq"), F.col("_g.gid").alias("group_id")).drop("_g", "_anchor")
-    return drop_layout(out)
+    isl = drop_layout(running_max(s, {"island": F.when(gap_start, F.col(SEQ))}, k=1, pre=pre).drop("_p1", "_h1"))
+    keep = list(dict.fromkeys([*(columns or df.columns), *partition_by, "id", "epoch", SEQ, "island"]))
+    isl = isl.select(*keep)
+    out_schema = T.StructType([*isl.schema.fields, T.StructField("group_seq", T.LongType()), T.StructField("group_id", T.LongType())])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # whole islands per task, in order; the walk streams them batch by batch
+    ordered = isl.repartition(n, "island").sortWithinPartitions("island", SEQ)
+    return ordered.mapInPandas(_label_walk(w, out_schema), schema=out_schema)
 
 
 def correlate(
@@ -97,7 +115,7 @@ def correlate(
     text time), event_count, sorted distinct sources and types ('?' for
     missing), max_risk; ``with_events=True`` adds the member events (only for
     bounded groups: it collects each group into one row)."""
-    g = assign_groups(df, window_seconds, partition_by)
+    g = assign_groups(df, window_seconds, partition_by, columns=["timestamp", "source", "event_type", "risk_score"])
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     aggs = [
         F.min(ts).alias("window_start"),

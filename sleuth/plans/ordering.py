@@ -180,6 +180,9 @@ def running_max(
     x = x.select("*", *[F.when(~F.col("_halo"), v).alias(f"_v{i}") for i, v in enumerate(values.values())])
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", *[F.max(f"_v{i}").over(upto).alias(f"_in{i}") for i in range(len(names))]).where(~F.col("_halo"))
+    # the window output feeds both the bucket summary and the result: keep it
+    # so the halo shuffle runs once (recomputation after a loss is deterministic)
+    x = x.persist(StorageLevel.MEMORY_AND_DISK)
     summary = x.groupBy("_wb").agg(*[F.max(f"_v{i}").alias(f"_b{i}") for i in range(len(names))])
     earlier = Window.orderBy("_wb").rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary.select("_wb", *[F.max(f"_b{i}").over(earlier).alias(f"_p{i}") for i in range(len(names))])

@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SLEUTH_DRIVER_MEMORY", "16g"))
     )
+    log_dir = os.environ.get("SLEUTH_EVENT_LOG_DIR")
+    if log_dir:  # stage timings for profiling, written to a scratch folder
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir).config("spark.eventLog.compress", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

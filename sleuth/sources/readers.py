@@ -67,8 +67,8 @@ def _clean(lines: DataFrame, line_cap: int) -> DataFrame:
 def _json_split(lines: DataFrame, line_cap: int) -> tuple[DataFrame, DataFrame]:
     """Non-blank lines -> good (JSON objects, column ``_v`` VARIANT) and rejected."""
     x = _clean(lines, line_cap).where(F.length("_line") > 0).withColumn("_v", F.try_parse_json(F.col("_line")))
-    kind = F.schema_of_variant(F.col("_v"))
-    is_obj = F.col("_v").isNotNull() & kind.startswith("OBJECT")
+    is_obj = F.col("_v").isNotNull() & F.startswith(F.col("_line"), F.lit("{"))  # valid JSON starting with '{'
+
     reason = F.when(F.col("_v").isNull(), F.lit("malformed_json")).otherwise(F.lit("not_an_object"))
     rejected = x.where(~is_obj).select("file", "lineno", "value", reason.alias("reason"))
     return x.where(is_obj), rejected
@@ -142,7 +142,7 @@ def parse_guard_lines(
         F.coalesce(F.nullif(F.coalesce(_tax(x, "base_risk").cast("double"), _vd("$.risk_score")), F.lit(0.0)), F.lit(0.0)).alias("risk_score"),
         F.coalesce(_vs("$.agent_id"), F.lit(None).cast("string")).alias("agent_id"),
         F.coalesce(_vs("$.incident_id"), F.lit(None).cast("string")).alias("incident_id"),
-        F.to_json(F.col("_v")).alias("raw_json"),
+        F.col("_line").alias("raw_json"),
     )
     return _finish(x, as_of), rejected
 
@@ -178,7 +178,7 @@ def parse_gate_lines(
         safe_int(F.col("_v"), "$.score").alias("score"),
         F.coalesce(_vs("$.action"), F.lit("")).alias("action"),
         F.coalesce(_vs("$.user_agent"), F.lit("")).alias("user_agent"),
-        F.to_json(F.col("_v")).alias("raw_json"),
+        F.col("_line").alias("raw_json"),
     )
     ev = _finish(x, as_of)
     return ev, rejected
@@ -222,7 +222,7 @@ def parse_jsonl(lines: DataFrame, as_of: str | None = None, line_cap: int = LINE
     """timestamp = timestamp -> time -> @timestamp -> as_of; raw = the object."""
     good, rejected = _json_split(lines, line_cap)
     ts = F.coalesce(_vs("$.timestamp"), _vs("$.time"), _vs("$['@timestamp']"))
-    return _generic(good, "jsonl", ts, F.to_json(F.col("_v")), as_of), rejected
+    return _generic(good, "jsonl", ts, F.col("_line"), as_of), rejected
 
 
 def parse_syslog(lines: DataFrame, as_of: str | None = None, year: int | None = None, line_cap: int = LINE_CAP) -> DataFrame:
