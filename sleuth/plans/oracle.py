@@ -352,6 +352,10 @@ SELECT agent_id, failed, {rate} AS rate_limit, true AS anomalous FROM s"""
     q["gate_signals"] = W + """SELECT id, 'agentgate' AS source, 'policy_violation' AS event_type, true AS blocked, target, timestamp
         FROM ae WHERE source = 'agentgate'"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
+    # streaming (same answers as the batch rules when events arrive in order)
+    q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"
+    q["stream_bursts_by_agent"] = "SELECT id, type, score, agent_id FROM (" + _burst(0.001, True) + ")"
+    q["stream_chains_by_agent"] = W + "," + _chains_body(True) + "\nSELECT id, score, run_length, agent_id FROM chains WHERE NOT at_end"
     # reports
     q["report_timeline"] = W + """SELECT CAST(row_number() OVER (ORDER BY timestamp, id) AS BIGINT) AS row_no, source, severity,
         left(coalesce(nullif(title, ''), nullif(event_type, ''), '?'), 60) AS event, left(timestamp, 19) AS time,

@@ -25,7 +25,7 @@ from sleuth.operators import timeline as TL
 from sleuth.plans.ordering import with_position
 from sleuth.sources import readers as RD
 from sleuth.sources import sinks as SK
-from sleuth.sources.tables import AGENT_EVENTS_SQL, AS_OF, agent_events, read_table
+from sleuth.sources.tables import AGENT_EVENTS_SQL, AS_OF, agent_events, read_table, stream_agent_events
 
 Q = Callable[[SparkSession, str], DataFrame]
 AGENT = ["agent_id"]
@@ -463,4 +463,33 @@ def q_report_json(s, d):
     return P.report_json(ev.select(*TL_COLS), G.correlate(ev, 60), A.detect_anomalies(ev), D.diff_behavior(ev, None, None))
 
 
+# --------------------------------------------------------------------------- streaming
+def _streamed(s, stream: DataFrame) -> DataFrame:
+    from sleuth.streaming.alerts import run_to_table, stream_output_dir
+
+    out = stream_output_dir(s)
+    run_to_table(stream, f"{out}/data", f"{out}/checkpoint")
+    return s.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+def q_stream_high_risk(s, d):
+    from sleuth.streaming.alerts import stateless_alerts
+
+    return _streamed(s, stateless_alerts(stream_agent_events(s, d))).select("id", "type", "score")
+
+
+def q_stream_bursts_by_agent(s, d):
+    from sleuth.streaming.alerts import sequence_alerts
+
+    out = _streamed(s, sequence_alerts(stream_agent_events(s, d), 0.001))
+    return out.where(F.col("type") == "high_frequency").select("id", "type", "score", "agent_id")
+
+
+def q_stream_chains_by_agent(s, d):
+    from sleuth.streaming.alerts import sequence_alerts
+
+    out = _streamed(s, sequence_alerts(stream_agent_events(s, d), 0.001))
+    return out.where(F.col("type") == "blocked_chain").select("id", "score", "run_length", "agent_id")
+
+
 QUERIES: dict[str, Q] = {k[2:]: v for k, v in sorted(globals().items()) if k.startswith("q_") and callable(v)}

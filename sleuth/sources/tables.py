@@ -31,7 +31,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised event table built from the driver's ``events`` table."""
-    ev = read_table(spark, sf_dir, "events")
+    return normalise_events(read_table(spark, sf_dir, "events"))
+
+
+def stream_agent_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """The same view as a stream over the ``events`` table's files."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # a glob matching exactly the table's file(s): the file source then treats
+    # the folder as the base instead of requiring the path to be a folder
+    pattern = f"{sf_dir.rstrip('/')}/[e]vents.parquet"
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(pattern)
+    return normalise_events(src)
+
+
+def normalise_events(ev: DataFrame) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     value = F.col("value")
     uid = F.col("user_id").cast("string")
