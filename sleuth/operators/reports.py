@@ -237,3 +237,43 @@ def incident_summary(events: DataFrame, anomalies: DataFrame, deviations: DataFr
         F.col("deviations_count").cast("long").alias("deviations_count"),
         recs.alias("recommendations"),
     )
+
+
+def analysis_view(findings: DataFrame, text_len: int = 60) -> DataFrame:
+    """Listing rows of anomalies or deviations: type, severity, score, and the
+    description cut to ``text_len`` characters (60 for anomalies, 80 for
+    deviations in the studied CLI)."""
+    cols = findings.columns
+    sev = F.col("anomaly_severity") if "anomaly_severity" in cols else F.lit(None).cast("string")
+    score = F.col("score") if "score" in cols else F.lit(None).cast("double")
+    return findings.select(
+        "type",
+        sev.alias("severity"),
+        score.alias("score"),
+        prefix(F.coalesce("description", F.lit("")), text_len).alias("text"),
+        *[c for c in ("id", "agent_id", "phase", "sub") if c in cols],
+    )
+
+
+def analysis_bundle(
+    events: DataFrame,
+    high_frequency_threshold: float = 0.5,
+    rare_event_types: Sequence[str] = (),
+    policy=None,
+    partition_by: Sequence[str] = (),
+) -> dict[str, DataFrame]:
+    """What the analyze command reports: event count, anomalies, deviations and
+    the compliance summary, all derived from one persisted event frame."""
+    from pyspark import StorageLevel
+
+    from sleuth.operators import anomalies as A
+    from sleuth.operators import compliance as C
+    from sleuth.operators import deviations as D
+
+    ev = events.persist(StorageLevel.MEMORY_AND_DISK)
+    return {
+        "event_count": ev.agg(F.count(F.lit(1)).alias("event_count")),
+        "anomalies": A.detect_anomalies(ev, high_frequency_threshold, rare_event_types, partition_by),
+        "deviations": D.diff_behavior(ev, None, policy, partition_by),
+        "compliance": C.compliance_summary(ev, partition_by),
+    }

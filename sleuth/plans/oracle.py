@@ -351,6 +351,25 @@ SELECT agent_id, failed, {rate} AS rate_limit, true AS anomalous FROM s"""
     q["guard_log_roundtrip"] = W + "SELECT id, 'mcpguard' AS source, event_type, severity, blocked, risk_score, timestamp, epoch, agent_id FROM ae"
     q["gate_signals"] = W + """SELECT id, 'agentgate' AS source, 'policy_violation' AS event_type, true AS blocked, target, timestamp
         FROM ae WHERE source = 'agentgate'"""
+    q["union_sources"] = W + """SELECT source, count(*) AS events,
+        count(*) FILTER (WHERE CASE WHEN source = 'agentgate' THEN true ELSE blocked END) AS blocked FROM ae GROUP BY source"""
+    q["guard_log_taxonomy"] = W + """SELECT id,
+        CASE event_type WHEN 'error' THEN 'tool_failure' WHEN 'click' THEN 'ui_action' WHEN 'view' THEN 'data_access' ELSE event_type END AS event_type,
+        CASE event_type WHEN 'error' THEN 'high' WHEN 'click' THEN 'low' WHEN 'view' THEN 'info' ELSE severity END AS severity,
+        CASE event_type WHEN 'error' THEN 'medium' ELSE 'low' END AS confidence,
+        CASE event_type WHEN 'error' THEN 'Tool failure' WHEN 'click' THEN 'UI action' WHEN 'view' THEN 'Data access' ELSE title END AS title,
+        CASE event_type WHEN 'error' THEN 7.0 WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.5 ELSE risk_score END AS risk_score
+        FROM ae WHERE source = 'mcpguard'"""
+    rep_first = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY rn) AS kk FROM {_rep_hits(True)}) WHERE kk = 1)"
+    q["analysis_view"] = W + "," + _chains_body(True) + f"""
+SELECT 'rare_event_type' AS type, 'high' AS severity, CAST(8.0 AS DOUBLE) AS score,
+       left('Rare event type ' || chr(39) || event_type || chr(39) || ' observed', 60) AS text, id, agent_id
+FROM ae WHERE event_type = 'signup'
+UNION ALL SELECT 'repetition', 'medium', CAST(7.0 AS DOUBLE),
+       left('Same event repeated 5 times: ' || chr(39) || event_type || chr(39), 60), id, agent_id FROM {rep_first}
+UNION ALL SELECT 'blocked_chain', 'high', score,
+       left('Agent had ' || CAST(run_length AS VARCHAR) || ' consecutive blocked actions' || CASE WHEN at_end THEN ' at end' ELSE '' END, 60),
+       id, agent_id FROM chains"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"

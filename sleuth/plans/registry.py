@@ -410,7 +410,11 @@ def q_parse_csv(s, d):
 
 
 def _guard_lines(s, d) -> DataFrame:
-    ev = _ae(s, d)
+    return _lines_for(_ae(s, d))
+
+
+def _lines_for(ev: DataFrame) -> DataFrame:
+    """Guard audit-log lines (one JSON object per event), one file per agent."""
     raw = F.to_json(F.struct("event_type", "severity", "title", "description", "target", "blocked", "timestamp", "risk_score", "agent_id", "incident_id"))
     return ev.select(F.concat(F.lit("guard/"), F.col("agent_id")).alias("file"), F.col("id").alias("lineno"), raw.alias("value"))
 
@@ -420,12 +424,15 @@ def q_guard_log_roundtrip(s, d):
     return ev.select(F.col("_lineno").alias("id"), "source", "event_type", "severity", "blocked", "risk_score", "timestamp", "epoch", "agent_id")
 
 
-def q_gate_signals(s, d):
-    ev = _ae(s, d).where(F.col("source") == "agentgate")
+def _gate_lines(ev: DataFrame) -> DataFrame:
     raw = F.to_json(F.struct(F.col("event_type").alias("signal_type"), F.round(F.col("risk_score") * 10).cast("int").alias("weight"),
                              F.lit("deny").alias("action"), F.col("target").alias("path"), F.col("timestamp"),
                              F.format_string("%.1f", F.col("risk_score")).alias("score")))
-    lines = ev.select(F.lit("gate").alias("file"), F.col("id").alias("lineno"), raw.alias("value"))
+    return ev.select(F.lit("gate").alias("file"), F.col("id").alias("lineno"), raw.alias("value"))
+
+
+def q_gate_signals(s, d):
+    lines = _gate_lines(_ae(s, d).where(F.col("source") == "agentgate"))
     out, _ = RD.parse_gate_lines(lines, as_of=AS_OF)
     return out.select(F.col("_lineno").alias("id"), "source", "event_type", "blocked", "target", "timestamp")
 
@@ -463,6 +470,38 @@ def q_report_json(s, d):
     return P.report_json(ev.select(*TL_COLS), G.correlate(ev, 60), A.detect_anomalies(ev), D.diff_behavior(ev, None, None))
 
 
+def q_union_sources(s, d):
+    ev = _ae(s, d)
+    guard, _ = RD.parse_guard_lines(_lines_for(ev.where(F.col("source") == "mcpguard")), as_of=AS_OF)
+    gate, _ = RD.parse_gate_lines(_gate_lines(ev.where(F.col("source") == "agentgate")), as_of=AS_OF)
+    both = RD.union_sources(guard, gate)
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.count_if("blocked").alias("blocked"))
+
+
+def _taxonomy(s):
+    # a user-supplied mapping (source, key) -> category, severity, base risk
+    rows = [
+        ("mcpguard", "error", "tool_failure", "high", "medium", 7.0, "Tool failure"),
+        ("mcpguard", "click", "ui_action", "low", "low", 1.0, "UI action"),
+        ("mcpguard", "view", "data_access", "info", "low", 0.5, "Data access"),
+    ]
+    return s.createDataFrame(rows, "source string, key string, category string, severity string, confidence string, base_risk double, title string")
+
+
+def q_guard_log_taxonomy(s, d):
+    ev = _ae(s, d).where(F.col("source") == "mcpguard")
+    out, _ = RD.parse_guard_lines(_lines_for(ev), taxonomy=_taxonomy(s), as_of=AS_OF)
+    return out.select(F.col("_lineno").alias("id"), "event_type", "severity", "confidence", "title", "risk_score")
+
+
+def q_analysis_view(s, d):
+    ev = _ae(s, d)
+    anoms = A.detect_anomalies(ev, rare_event_types=["signup"], partition_by=AGENT).where(
+        F.col("type").isin("rare_event_type", "repetition", "blocked_chain")
+    )
+    return P.analysis_view(anoms, 60).select("type", "severity", "score", "text", "id", "agent_id")
+
+
 # --------------------------------------------------------------------------- streaming
 def _streamed(s, stream: DataFrame) -> DataFrame:
     from sleuth.streaming.alerts import run_to_table, stream_output_dir

@@ -296,3 +296,11 @@ def read_generic_log(spark: SparkSession, paths, fmt: str = "auto", max_line_len
 def ingest_counts(events: DataFrame) -> DataFrame:
     """Number of events per source (what each ingest call reports)."""
     return events.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+
+
+def union_sources(*frames: DataFrame) -> DataFrame:
+    """Bag union of reader outputs into one event frame (missing columns NULL)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
