@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sleuth.operators.timeline import EPOCH_ORDER
-from sleuth.plans.ordering import halo_window, SEQ, drop_layout, has_lag_in_key, lag_in_key, running_max, sequence
+from sleuth.plans.ordering import halo_window, SEQ, drop_layout, num_partitions, has_lag_in_key, lag_in_key, running_max, sequence
 
 DEFAULT_WINDOW = 60  # seconds; fixed value of the studied tool
 
@@ -99,7 +99,7 @@ def assign_groups(
     keep = list(dict.fromkeys([*(columns or df.columns), *partition_by, "id", "epoch", SEQ, "island"]))
     isl = isl.select(*keep)
     out_schema = T.StructType([*isl.schema.fields, T.StructField("group_seq", T.LongType()), T.StructField("group_id", T.LongType())])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = num_partitions(isl)
     # whole islands per task, in order; the walk streams them batch by batch
     ordered = isl.repartition(n, "island").sortWithinPartitions("island", SEQ)
     return ordered.mapInPandas(_label_walk(w, out_schema), schema=out_schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sleuth.functions.columns import ZERO_HASH, json_quote, sha256_hex
-from sleuth.plans.ordering import SEQ, drop_layout, halo_window, has_lag_in_key, lag_in_key, running_max, sequence
+from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, halo_window, has_lag_in_key, lag_in_key, running_max, sequence
 
 ACTION = "collected"  # fixed value: the only custody action
 
@@ -129,7 +129,7 @@ def build_chain(
         pre.alias("_pre"),
         suf.alias("_suf"),
     )
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = partitions or num_partitions(rows)
     ordered = rows.repartition(n, "chain_id").sortWithinPartitions("chain_id", SEQ)
     return ordered.mapInPandas(_chain_fold(), CHAIN_SCHEMA)
 

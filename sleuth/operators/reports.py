@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty, fmt1, prefix, severity_rank
 from sleuth.operators.timeline import TEXT_ORDER
-from sleuth.plans.ordering import SEQ, drop_layout, sequence
+from sleuth.plans.ordering import SEQ, _keep, drop_layout, sequence
 
 # Report caps and empty-section sentences.
 TIMELINE_TOP = 50
@@ -264,13 +264,11 @@ def analysis_bundle(
 ) -> dict[str, DataFrame]:
     """What the analyze command reports: event count, anomalies, deviations and
     the compliance summary, all derived from one persisted event frame."""
-    from pyspark import StorageLevel
-
     from sleuth.operators import anomalies as A
     from sleuth.operators import compliance as C
     from sleuth.operators import deviations as D
 
-    ev = events.persist(StorageLevel.MEMORY_AND_DISK)
+    ev = _keep(events)
     return {
         "event_count": ev.agg(F.count(F.lit(1)).alias("event_count")),
         "anomalies": A.detect_anomalies(ev, high_frequency_threshold, rare_event_types, partition_by),

@@ -50,12 +50,58 @@ def halo_window() -> Window:
 LAYOUT_COLS = ["_pid", "_loc", "_off", "_total", "_B", "_bkt", "_bpos"]
 
 
+_PERSISTED: list[DataFrame] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """Persist a frame that feeds two branches (spill to disk when needed)."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
+def release_cache() -> int:
+    """Unpersist every frame the operators persisted; returns how many."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+UNKNOWN_SIZE = 1 << 62  # bounds the broadcast offset and prefix frames (a few MB)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the plan's inputs (sum over its leaf relations). Estimates of
+    joins or generators can be far off, the leaves are the real volume."""
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()  # no extra optimisation
+        total = 0
+        for i in range(leaves.size()):
+            size = leaves.apply(i).stats().sizeInBytes()
+            size = int(size if isinstance(size, int) else size.toString())
+            if size < UNKNOWN_SIZE:  # Long.MaxValue-like sizes mean "unknown"
+                total += size
+        return total
+    except Exception:  # noqa: BLE001 - no estimate available (e.g. streaming)
+        return 0
+
+
+def num_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for the range shuffle: the session's shuffle partitions,
+    raised so that a partition holds about ``target_bytes`` by the optimizer's
+    size estimate (so the plan scales with the input), capped so that the
+    per-partition frames stay small enough to broadcast."""
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    est = input_bytes(df)
+    by_size = -(-est // target_bytes) if est > 0 else 0
+    return max(1, min(MAX_PARTITIONS, max(conf, by_size)))
 
 
 def sequence(
@@ -84,7 +130,7 @@ def sequence(
     if checkpoint:
         tagged = tagged.checkpoint(eager=True)
     else:
-        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        tagged = _keep(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -182,7 +228,7 @@ def running_max(
     x = x.select("*", *[F.max(f"_v{i}").over(upto).alias(f"_in{i}") for i in range(len(names))]).where(~F.col("_halo"))
     # the window output feeds both the bucket summary and the result: keep it
     # so the halo shuffle runs once (recomputation after a loss is deterministic)
-    x = x.persist(StorageLevel.MEMORY_AND_DISK)
+    x = _keep(x)
     summary = x.groupBy("_wb").agg(*[F.max(f"_v{i}").alias(f"_b{i}") for i in range(len(names))])
     earlier = Window.orderBy("_wb").rowsBetween(Window.unboundedPreceding, -1)
     prefix = summary.select("_wb", *[F.max(f"_b{i}").over(earlier).alias(f"_p{i}") for i in range(len(names))])
