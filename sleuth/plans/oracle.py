@@ -370,6 +370,14 @@ UNION ALL SELECT 'repetition', 'medium', CAST(7.0 AS DOUBLE),
 UNION ALL SELECT 'blocked_chain', 'high', score,
        left('Agent had ' || CAST(run_length AS VARCHAR) || ' consecutive blocked actions' || CASE WHEN at_end THEN ' at end' ELSE '' END, 60),
        id, agent_id FROM chains"""
+    q["quarantine"] = r"""SELECT doc_id, lineno, reason FROM (
+  SELECT doc_id, lineno, line,
+         CASE WHEN json_valid(line) AND starts_with(line, '{') THEN NULL
+              WHEN json_valid(line) THEN 'not_an_object' ELSE 'malformed_json' END AS reason
+  FROM (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, lineno FROM (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS lineno FROM documents)))
+WHERE length(line) > 0 AND reason IS NOT NULL"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"
