@@ -42,3 +42,20 @@ def test_position_within_key(spark):
     p = with_position(df, ["t", "id"], ["k"])
     g = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).alias("g"))
     assert p.join(g, "id").where(F.col("pos") != F.col("g")).count() == 0
+
+
+def test_hot_key_is_split_over_partitions(spark):
+    # every row belongs to one agent: the per-key sequence still spreads it
+    df = spark.range(5000).select(F.col("id"), F.lit("hot").alias("agent"), (F.col("id") * 7 % 1000).alias("t"))
+    s = sequence(df, ["t", "id"], ["agent"], partitions=8)
+    sizes = [r[1] for r in s.groupBy("_pid").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 5000 / 2
+    lagged = with_lags(s, {"p": ("t", 1)}, ["agent"])
+    assert lagged.where(F.col("p").isNull()).count() == 1  # only the very first row has no predecessor
+
+
+def test_partition_count_grows_with_input(spark):
+    from sleuth.plans.ordering import num_partitions
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert num_partitions(df, target_bytes=1 << 16) > num_partitions(df, target_bytes=1 << 30) == 8
