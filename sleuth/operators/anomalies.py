@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sleuth.functions.columns import clamp10, fmt1
 from sleuth.operators.timeline import TEXT_ORDER
-from sleuth.plans.ordering import halo_window, SEQ, drop_layout, has_lag_in_key, key_struct, lag_in_key, running_max, sequence
+from sleuth.plans.ordering import halo_window, SEQ, drop_layout, has_lag_in_key, key_struct, lag_in_key, running_max, sequence, with_lags
 
 # Thresholds and scores of the studied detectors.
 HIGH_RISK = 8.0
@@ -73,9 +73,10 @@ def rare_event_type(df: DataFrame, rare_types: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def sequence_features(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-    """One halo pass: look-backs for bursts and repetitions, plus the running
-    maxima that delimit blocked runs (segment start, last non-blocked row)."""
+def sequence_features(df: DataFrame, partition_by: Sequence[str] = (), with_runs: bool = True) -> DataFrame:
+    """One halo pass: look-backs for bursts and repetitions, plus (``with_runs``)
+    the running maxima that delimit blocked runs (segment start, last
+    non-blocked row)."""
     s = _with_seq(df, partition_by)
     w = halo_window()
     pre = {
@@ -85,6 +86,9 @@ def sequence_features(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFr
     }
     for j in range(1, REPEAT_RUN):
         pre[f"_t{j}"] = lag_in_key("event_type", j, w, partition_by)
+    if not with_runs:
+        lags = {"_e2": ("epoch", 2), **{f"_t{j}": ("event_type", j) for j in range(1, REPEAT_RUN)}}
+        return with_lags(s, lags, partition_by, flags={"_h1": 1, "_h4": REPEAT_RUN - 1})
     values = {
         "_seg": F.when(~F.col("_h1"), F.col(SEQ)),
         "_lastnb": F.when(~F.coalesce(F.col("blocked"), F.lit(False)), F.col(SEQ)),
@@ -170,12 +174,12 @@ def _chains(feat: DataFrame, partition_by: Sequence[str]) -> DataFrame:
 
 def high_frequency(df: DataFrame, threshold: float = DEFAULT_BURST_RATE, partition_by: Sequence[str] = ()) -> DataFrame:
     """3 consecutive events faster than ``threshold``/s (both ends with a real time)."""
-    return _bursts(sequence_features(df, partition_by), threshold)
+    return _bursts(sequence_features(df, partition_by, with_runs=False), threshold)
 
 
 def repetition(df: DataFrame, partition_by: Sequence[str] = (), first_only: bool = True) -> DataFrame:
     """5 consecutive events of one type; only the first hit unless ``first_only=False``."""
-    return _repetitions(sequence_features(df, partition_by), partition_by, first_only)
+    return _repetitions(sequence_features(df, partition_by, with_runs=False), partition_by, first_only)
 
 
 def blocked_chain(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
