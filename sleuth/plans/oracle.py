@@ -6,7 +6,7 @@ CTEs for the sequential definitions (anchored groups, hash chains).
 
 from __future__ import annotations
 
-from sleuth.operators.compliance import ALWAYS_PASS, CHECKS, DANGEROUS_TOOLS, SAFE_TOOLS
+from sleuth.operators.compliance import ALWAYS_PASS, CHECKS, DANGEROUS_TOOLS, KNOWN_TOOLS, SAFE_TOOLS
 from sleuth.sources.tables import AGENT_EVENTS_SQL, AS_OF
 
 W = f"WITH ae AS ({AGENT_EVENTS_SQL})\n"
@@ -378,6 +378,24 @@ UNION ALL SELECT 'blocked_chain', 'high', score,
           SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                  generate_subscripts(string_split(text, chr(10)), 1) AS lineno FROM documents)))
 WHERE length(line) > 0 AND reason IS NOT NULL"""
+    known = ", ".join(f"'{t}'" for t in KNOWN_TOOLS)
+    danger = ", ".join(f"'{t}'" for t in DANGEROUS_TOOLS)
+    safe = ", ".join(f"'{t}'" for t in SAFE_TOOLS)
+    q["policy_text"] = _checks_sql(False) + f""",
+agg AS (SELECT count(*) FILTER (WHERE status = 'fail') AS failed,
+               bool_or(contains(lower(coalesce(details, '')), 'anomal')) AS anom_detail,
+               list(lower(coalesce(details, ''))) AS dets FROM checks),
+lists AS (SELECT failed, CASE WHEN failed >= 5 THEN 20 WHEN failed >= 3 THEN 33 ELSE 100 END AS rate,
+          list_sort(list_distinct(list_concat(
+            list_filter([{known}], lambda t: len(list_filter(dets, lambda d: contains(d, t))) > 0),
+            CASE WHEN anom_detail OR failed > 3 THEN [{danger}] ELSE []::VARCHAR[] END))) AS deny FROM agg),
+l2 AS (SELECT *, list_sort(list_filter([{safe}], lambda t: NOT list_contains(deny, t))) AS allow FROM lists),
+lines AS (SELECT list_concat(list_concat(list_concat(
+            ['# Framework: nist_ai_rmf', 'rate_limit: ' || CAST(rate AS VARCHAR), 'allow:'],
+            CASE WHEN len(allow) > 0 THEN list_transform(allow, lambda t: '  - ' || t) ELSE ['  # No safe tools identified'] END),
+            ['deny:']),
+            CASE WHEN len(deny) > 0 THEN list_transform(deny, lambda t: '  - ' || t) ELSE ['  # No tools denied'] END) AS ls FROM l2)
+SELECT CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS text FROM lines"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"
