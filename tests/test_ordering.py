@@ -59,3 +59,11 @@ def test_partition_count_grows_with_input(spark):
 
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert num_partitions(df, target_bytes=1 << 16) > num_partitions(df, target_bytes=1 << 30) == 8
+
+
+def test_sequence_with_reliable_checkpoint(spark):
+    df = _frame(spark, 400, 3)
+    s = sequence(df, ["t", "id"], checkpoint=True, partitions=4)
+    g = df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("g"))
+    assert s.join(g, "id").where(F.col("seq") != F.col("g")).count() == 0
+    assert spark.sparkContext.getCheckpointDir()  # written to the shared checkpoint folder
