@@ -116,6 +116,11 @@ def correlate(
     missing), max_risk; ``with_events=True`` adds the member events (only for
     bounded groups: it collects each group into one row)."""
     g = assign_groups(df, window_seconds, partition_by, columns=["timestamp", "source", "event_type", "risk_score"])
+    return summarize_groups(g, partition_by, with_events)
+
+
+def summarize_groups(g: DataFrame, partition_by: Sequence[str] = (), with_events: bool = False) -> DataFrame:
+    """Group rows (see ``correlate``) from events labelled by ``assign_groups``."""
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     aggs = [
         F.min(ts).alias("window_start"),
