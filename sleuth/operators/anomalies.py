@@ -152,7 +152,11 @@ def _chains(feat: DataFrame, partition_by: Sequence[str]) -> DataFrame:
         F.struct(*[F.col(c) for c in ref]).alias("_nextev"),
         key_struct(partition_by).alias("_nkey"),
     )
-    joined = runs.join(nxt, runs["_last"] + 1 == nxt["_nseq"], "left")
+    # inner join first (AQE can broadcast the small run frame), then a left
+    # join between two small frames: the event frame is never the streamed
+    # side of an outer join
+    hits = nxt.join(runs.select("_run", (F.col("_last") + 1).alias("_nseq")), "_nseq", "inner")
+    joined = runs.join(hits, "_run", "left")
     at_end = F.col("_nseq").isNull() | ~F.col("_nkey").eqNullSafe(F.col("_key"))
     carrier = F.when(at_end, F.col("_lastev")).otherwise(F.col("_nextev"))
     n = F.col("_n")
