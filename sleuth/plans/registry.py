@@ -360,7 +360,7 @@ def _format_lines(s, d) -> DataFrame:
     uid = F.col("agent_id")
     json_line = F.to_json(F.struct("timestamp", "event_type", F.col("risk_score").alias("risk"), "id"))
     csv_line = F.concat_ws(",", "timestamp", "event_type", F.col("id").cast("string"))
-    sys_line = F.format_string("%s host-%s app[%d]: %s at %s", F.date_format("event_ts", "MMM d HH:mm:ss"), uid, F.col("id"), F.col("event_type"), F.col("timestamp"))
+    sys_line = F.format_string("%s host-%s app[%d]: %s at %s", F.date_format(F.to_timestamp_ntz("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), "MMM d HH:mm:ss"), uid, F.col("id"), F.col("event_type"), F.col("timestamp"))
     plain_line = F.format_string("%s event %d for user %s", F.col("event_type"), F.col("id"), uid)
     rendered = pos.select(
         uid,

@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuth.functions.schema import iso_text
+from pyspark.sql import types as T
+
+from sleuth.functions.schema import ISO_FORMAT, iso_text
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -46,7 +48,15 @@ def stream_agent_events(spark: SparkSession, sf_dir: str, max_files_per_trigger:
 
 
 def normalise_events(ev: DataFrame) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
+    ts_type = ev.schema["ts"].dataType
+    if isinstance(ts_type, T.TimestampNTZType):
+        # wall-clock UTC values: microseconds and text do not depend on the
+        # session time zone
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+        text = F.date_format(F.col("ts"), ISO_FORMAT)
+    else:
+        micros = F.unix_micros(F.col("ts"))
+        text = iso_text(F.col("ts"))
     value = F.col("value")
     uid = F.col("user_id").cast("string")
     return ev.select(
@@ -60,9 +70,9 @@ def normalise_events(ev: DataFrame) -> DataFrame:
         F.concat(F.lit("user "), uid).alias("description"),
         F.concat(F.lit("user/"), uid).alias("target"),
         (F.col("event_type") == "error").alias("blocked"),
-        iso_text(ts).alias("timestamp"),
-        ts.alias("event_ts"),
-        (F.unix_micros(ts) / F.lit(1_000_000.0)).alias("epoch"),
+        text.alias("timestamp"),
+        F.timestamp_micros(micros).alias("event_ts"),
+        (micros / F.lit(1_000_000.0)).alias("epoch"),
         F.least(F.lit(10.0), value / 20.0).alias("risk_score"),
         F.col("props").alias("raw_json"),
         F.to_timestamp(F.lit(AS_OF)).alias("ingested_at"),
