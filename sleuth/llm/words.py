@@ -40,6 +40,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: Weights of a shingle's words: unrelated odd numbers, as those in a row
+#: (c, 3c, 5c, ...) let words change places.
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 class Batch(NamedTuple):
     """Words of consecutive documents; ``first[d]:first[d + 1]`` are those of d."""
 
@@ -108,8 +113,7 @@ def shingles_of(batch: Batch, width: int = SHINGLE, whole: bool = True) -> tuple
     w = batch.hash
     total = np.zeros(len(w), np.uint64)
     for j in range(width):
-        c = np.uint64((0xD6E8FEB86659FD93 * (2 * j + 1)) & (2**64 - 1))
-        total[: len(w) - j] += w[j:] * c
+        total[: max(len(w) - j, 0)] += w[j:] * _PLACES[j]
     counts = np.where(n >= width, n - width + 1, 0)
     short = (n > 0) & (n < width) & whole
     # positions of windows: all word positions but the last width - 1 of each document
@@ -119,7 +123,7 @@ def shingles_of(batch: Batch, width: int = SHINGLE, whole: bool = True) -> tuple
         keep[at[at >= batch.first[:-1]]] = False
     for d in np.flatnonzero(short):  # a few words at most
         a, b = int(batch.first[d]), int(batch.first[d + 1])
-        value = sum(int(x) * (0xD6E8FEB86659FD93 * (2 * j + 1)) for j, x in enumerate(w[a:b]))
+        value = sum(int(x) * int(_PLACES[j]) for j, x in enumerate(w[a:b]))
         total[a] = np.uint64((value + (b - a) * 0xA0761D6478BD642F) & (2**64 - 1))
         keep[a] = True
         counts[d] = 1
