@@ -32,6 +32,49 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
+class _Irregular(Exception):
+    """White space meets white space: the text must be encoded in one go."""
+
+
+class _Lines(dict):
+    """Ids of pieces at the start of a line."""
+
+    def __init__(self, ids):
+        self.ids = ids
+
+    def __missing__(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[-1].isspace():
+            raise _Irregular
+        if len(self) >= MEMO // 4:
+            self.clear()
+        ids = self[part] = self.ids(part)
+        return ids
+
+
+class _Pieces(dict):
+    """Ids of pieces that follow a space, with those of an older generation."""
+
+    def __init__(self, ids, pretoken, marks: dict[str, bytes]):
+        self.ids, self.pretoken, self.marks, self.older = ids, pretoken, marks, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            if part.isalpha():  # one pre-token
+                ids = self.pretoken(" " + part)
+            elif part[-1:] in self.marks and part[:-1].isalpha():
+                ids = self[part[:-1]] + self.marks[part[-1]]
+            elif not part or part[0].isspace() or part[-1].isspace():
+                raise _Irregular
+            else:
+                ids = self.ids(" " + part)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
@@ -40,63 +83,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model = tokenizer.model
-        self.model._resize_cache(0)  # the memo below takes its place
+        tokenizer.model._resize_cache(0)  # the memos take its place
+        self.tokenize = tokenizer.model.tokenize
         self.packed = [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.inner: dict[str, bytes] = {}  # pieces that follow a space
-        self.older: dict[str, bytes] = {}  # what ``inner`` held before it was full
-        self.outer: dict[str, bytes] = {}  # pieces at the start of a line
-        self.marks = {c: self._ids(c) for c in ".,"}
+        self.pieces = _Pieces(self._ids, self._pretoken, {c: self._ids(c) for c in ".,"})
+        self.starts = _Lines(self._ids)
         self.line_break = self._ids("\n")
 
     def _pretoken(self, part: str) -> bytes:
         mapped = part.encode().decode("latin-1").translate(self.letters)
+        found = self.tokenize(mapped)
         packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+        return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
 
     def _ids(self, text: str) -> bytes:
         return b"".join(map(self._pretoken, self.pretokens(text)))
 
-    def _inner(self, part: str) -> bytes | None:
-        """Ids of a space and a piece; None if white space meets white space."""
-        ids = self.older.get(part)
-        if ids is None:
-            if part.isalpha():  # one pre-token
-                ids = self._pretoken(f" {part}")
-            elif part[:-1].isalpha() and part[-1] in self.marks:
-                ids = (self.inner.get(part[:-1]) or self._inner(part[:-1])) + self.marks[part[-1]]
-            elif not part or part[0].isspace() or part[-1].isspace():
-                return None
-            else:
-                ids = self._ids(f" {part}")
-        if len(self.inner) >= MEMO:
-            self.older, self.inner = self.inner, {}
-        self.inner[part] = ids
-        return ids
-
-    def _outer(self, part: str) -> bytes | None:
-        if not part or part[0].isspace() or part[-1].isspace():
-            return None
-        if len(self.outer) >= MEMO // 4:
-            self.outer.clear()
-        self.outer[part] = ids = self._ids(part)
-        return ids
-
     def encode(self, text: str) -> bytes:
-        lines, out = text.split("\n"), []
-        for k, line in enumerate(lines):
-            parts = line.split(" ")
-            found = [self.outer.get(parts[0]) or self._outer(parts[0])]
-            found += map(self.inner.get, parts[1:])
-            if None in found:
-                found = [x or self._inner(part) if i else x for i, (x, part) in enumerate(zip(found, parts, strict=True))]
-                if None in found:
-                    return self._ids(text)
-            if k:
+        out: list[bytes] = []
+        piece, start = self.pieces.__getitem__, self.starts.__getitem__
+        try:
+            for line in text.split("\n"):
+                parts = iter(line.split(" "))
+                out.append(start(next(parts)))
+                out += map(piece, parts)
                 out.append(self.line_break)
-            out += found
+        except _Irregular:
+            return self._ids(text)
+        out.pop()
         return b"".join(out)
 
 
