@@ -7,11 +7,11 @@ likely reading under a character trigram model of the corpus, where each kind
 of change costs. The model counts the letters of all texts; a reading replaces
 the token, and the token stays beside it, so nothing is lost by a wrong reading.
 
-Score: hashed words and letter 4- and 5-grams of words (with word bounds) are
-set features of the restored text. Those that mark toxic rows beyond chance, in a
+Score: hashed words, their beginnings and letter 4- and 5-grams (with word
+bounds) are set features of the restored text. Those that mark toxic rows beyond chance, in a
 bounded sample of the labelled rows that are not held out, get log-odds
-weights; a logistic curve, fitted on the same rows, turns the sum of a text's
-weights into the score.
+weights; a logistic curve, fitted on the same rows, turns the largest of a text's
+weights and their sum into the score.
 
 Defined results: null or empty text has no features and gets the score of a text
 without any; the same holds for all texts if there are no labels to learn from;
@@ -38,6 +38,7 @@ from .common import Scratch, documents, held_out, table
 THRESHOLD = 0.7
 PER_CLASS = (4000, 8000)  # toxic and other rows to learn from, about
 BUCKETS = 1 << 22  # of feature hashes
+PREFIXES = (6, 7)  # bytes of the beginnings of words that are features
 MIN_ROWS = 4  # toxic sample rows that must have a feature
 MIN_GAIN = 12.0  # log-likelihood ratio beyond which a feature counts
 MAX_FEATURES = 20_000  # best features kept in the model
@@ -215,6 +216,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         term = np.where(is_letter, mix(low + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)), np.uint64(0))
         found.append(mix(np.add.reduceat(term, start)))
         rows.append(row[start])
+        head = np.zeros(len(start), np.uint64)  # beginnings of words
+        own = np.ones(len(start), bool)
+        for k in range(max(PREFIXES)):
+            byte = low[np.minimum(start + k, len(low) - 1)]
+            own &= byte != 0
+            head = (head << np.uint64(8)) | byte
+            if k + 1 in PREFIXES:
+                found.append(mix(head[own] * np.uint64(8) + np.uint64(k + 1)))
+                rows.append(row[start][own])
     found, rows = np.concatenate(found), np.concatenate(rows)
     return (found & np.uint64(BUCKETS - 1)).astype(np.int64), rows
 
@@ -223,16 +233,19 @@ class Model(NamedTuple):
     letters: np.ndarray
     buckets: np.ndarray  # sorted
     weights: np.ndarray
-    slope: float
-    bias: float
+    curve: tuple[float, float, float]  # of the largest weight, of the weights' sum, constant
 
 
-def sums(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each restored text's distinct features."""
+def totals(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest weight among each restored text's features, and the logarithm of
+    1 + the sum over its distinct ones."""
     bucket, row = features(texts)
     hit = np.flatnonzero(weights[bucket])
     pair = np.unique(row[hit] * BUCKETS + bucket[hit])
-    return np.bincount(pair // BUCKETS, weights=weights[pair % BUCKETS], minlength=len(texts))
+    row, found = pair // BUCKETS, weights[pair % BUCKETS]
+    most = np.zeros(len(texts))
+    np.maximum.at(most, row, found)
+    return most, np.log1p(np.bincount(row, weights=found, minlength=len(texts)))
 
 
 def _restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
@@ -274,22 +287,33 @@ def _sums(model: Model):
         for batch in batches:
             texts = as_strings(batch.column(0))
             for i, j in text_chunks(texts, 1 << 20):
-                total = sums(_restored(texts.slice(i, j - i), restorer), weights)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(total, pa.float64())], batch.schema.names[1:] + ["total"])
+                most, total = totals(_restored(texts.slice(i, j - i), restorer), weights)
+                columns = [batch.column(1).slice(i, j - i), pa.array(most, pa.float64()), pa.array(total, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names[1:] + ["most", "total"])
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and bias by Newton steps, lightly regularised."""
-    a, b = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients (the constant last) by Newton steps, lightly regularised."""
+    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    a = np.concatenate([(x - middle) / spread, np.ones((len(x), 1))], axis=1)
+    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
+
+    def loss(b: np.ndarray) -> float:
+        z = a @ b
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * b @ ridge @ b)
+
+    b = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + 1e-3 * b
-        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        b = b - np.clip(step, -2, 2)
-    return float(b[0]), float(b[1])
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (weight * (p - y)) + ridge @ b)
+        size = 1.0
+        while size > 1e-4 and loss(b - size * step) > loss(b):
+            size /= 2
+        b = b - size * step
+    slopes = b[:-1] / spread
+    return np.append(slopes, b[-1] - slopes @ middle)
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id", learnable: Column | None = None) -> Model:
@@ -303,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
     part = {t: min(1.0, PER_CLASS[0 if t else 1] / n) for t, n in counts.items()}
     if not counts.get(1) or not counts.get(0):
         base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-        return Model(letters, np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, math.log(base / (1 - base)))
+        return Model(letters, np.zeros(0, np.int64), np.zeros(0, np.float32), (0.0, 0.0, math.log(base / (1 - base))))
     chosen = usable.where(((F.col("toxic") == 1) & (F.col("h") < int(part[1] * (1 << 30)))) | ((F.col("toxic") == 0) & (F.col("h") < int(part[0] * (1 << 30)))))
     sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
     sample = scratch.write(sample.where("text is not null").withColumn("toxic", F.col("toxic").cast("long")), "sample")
@@ -311,25 +335,25 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
     n1, n0 = float(n.get(1, 0)) or 0.5, float(n.get(0, 0)) or 0.5
     seen = sample.mapInArrow(_train(letters), "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     t, c = F.col("t").cast("double"), F.col("c").cast("double")
-    odds = F.log((t + 0.1) / (n1 + 0.2)) - F.log((c + 0.1) / (n0 + 0.2))
+    odds = F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
     both = (t + c) / (n1 + n0)
     gain = 2 * (t * F.log(t / (n1 * both)) + F.when(c > 0, c * F.log(c / (n0 * both))).otherwise(0.0))
     best = seen.where((F.col("t") >= MIN_ROWS) & (odds > 1.5) & (gain > MIN_GAIN)).select("bucket", odds.alias("w"), gain.alias("g"))
     rows = sorted((r["bucket"], r["w"]) for r in best.orderBy(F.desc("g"), "bucket").limit(MAX_FEATURES).collect())
-    model = Model(letters, np.array([b for b, _ in rows], np.int64), np.array([w for _, w in rows], np.float32), 1.0, 0.0)
-    totals = sample.mapInArrow(_sums(model), "toxic long, total double").collect()
-    x, y = np.array([r["total"] for r in totals]), np.array([r["toxic"] for r in totals], np.float64)
+    model = Model(letters, np.array([b for b, _ in rows], np.int64), np.array([w for _, w in rows], np.float32), (0.0, 0.0, 0.0))
+    found = sample.mapInArrow(_sums(model), "toxic long, most double, total double").collect()  # three numbers a sample row
+    x, y = np.array([(r["most"], r["total"]) for r in found]), np.array([r["toxic"] for r in found], np.float64)
     # the sample's rows stand for all labelled rows of their class
-    weight = np.where(y == 1, 1 / part[1], 1 / part[0])
-    slope, bias = _logistic(np.log1p(np.maximum(x, 0)), y, weight)
-    return model._replace(slope=slope, bias=bias)
+    curve = _logistic(x, y, np.where(y == 1, 1 / part[1], 1 / part[0]))
+    return model._replace(curve=tuple(map(float, curve)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, score`` of every row."""
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    total = rows.mapInArrow(_sums(model), "doc_id long, total double")
-    z = F.lit(model.slope) * F.log1p(F.greatest(F.col("total"), F.lit(0.0))) + F.lit(model.bias)
+    total = rows.mapInArrow(_sums(model), "doc_id long, most double, total double")
+    a, b, c = (F.lit(v) for v in model.curve)
+    z = a * F.col("most") + b * F.col("total") + c
     return total.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
