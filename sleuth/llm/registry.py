@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import host_rules, huffman, mixing, near_dup, packing
+from . import host_rules, huffman, language, mixing, near_dup, neighbours, packing, toxicity
 
-MODULES = (packing, huffman, near_dup, mixing, host_rules)
+MODULES = (packing, huffman, toxicity, language, near_dup, mixing, host_rules, neighbours)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
