@@ -7,10 +7,13 @@ permutations give all coordinates. Bands of coordinates are bucket keys.
 
 Candidates: documents with equal shingle sets are one node first (copies need
 no pairs). In a bucket of up to ``SMALL`` nodes all pairs are candidates; in a
-larger one, each node is compared with one hub. Nodes of a large bucket that
-are still not connected to its hub meet again in buckets of two common bands,
-and then of three and more, with other hubs, until none are left over (families that
-share much boilerplate, but less than the threshold, are told apart there).
+larger one, each node is compared with one hub, the node whose buckets hold most
+nodes (an original has more in common with its near copies than they have with
+each other). Nodes of a large bucket that are still not connected to its hub are
+then held against the bucket's other members, block by block, where pairs of
+different components with ``AGREE`` equal coordinates or more are compared on
+their sets (32-bit hashes); only links that join two components leave the task.
+(A bucket beyond ``HUGE`` nodes is cut by one more band for that.)
 
 Links: candidates are confirmed on whole shingle sets of 64-bit hashes.
 Components are found by label propagation in tables.
@@ -37,10 +40,12 @@ PERCENT = 85
 CIRCLE = 1 << 20
 ROWS, BANDS = 4, 16  # a pair at 0.85 shares a band but for a chance of 7e-6
 SMALL = 16
-LEVELS = 6
+AGREE = 43  # of 64 coordinates; a pair at 0.85 has fewer with a chance of 1e-4
+BLOCK = 1024
+HUGE = 16 * BLOCK
 SEED = 20240601
 
-_SIGNATURE = "doc_id long, n_shingles long, fp binary, bands array<bigint>"
+_SIGNATURE = "doc_id long, n_shingles long, fp binary, bands array<bigint>, sig binary"
 
 
 @lru_cache(maxsize=1)
@@ -99,6 +104,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(offsets)
             some = np.flatnonzero(n)
             bands: list = [None] * (j - i)
+            short: list = [None] * (j - i)
             if len(some):
                 starts = np.append(offsets[:-1][some], offsets[-1])
                 sig = circulant((hashes % np.uint64(CIRCLE)).astype(np.int64), starts).astype(np.uint64)
@@ -108,11 +114,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k in range(b * ROWS, (b + 1) * ROWS):
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k])
                     keys[:, b] = key
-                for r, own in zip(some, keys.view(np.int64).tolist(), strict=True):
-                    bands[r] = own
+                low = (sig & np.uint64(255)).astype(np.uint8)  # 8 bits tell coordinates apart but for 1 in 256
+                for k, (r, own) in enumerate(zip(some, keys.view(np.int64).tolist(), strict=True)):
+                    bands[r], short[r] = own, low[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(fingerprints(hashes, offsets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "fp", "bands"],
+                [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(fingerprints(hashes, offsets), pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                ["doc_id", "n_shingles", "fp", "bands", "sig"],
             )
 
 
@@ -120,8 +127,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, hashes, offsets in shingle_sets(batch.column(0)):
             fps = fingerprints(hashes, offsets)
-            packed = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(packed, pa.binary())], ["fp", "set"])
+            own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            short = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in own]
+            columns = [pa.array(fps, pa.binary()), pa.array([h.tobytes() for h in own], pa.binary()), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "set", "short"])
 
 
 def _confirm(percent: int):
@@ -130,19 +139,57 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+                both = _common(s, t)
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return confirm
 
 
-def _bucket_pairs(members: DataFrame, percent: int, salt: int) -> tuple[DataFrame, DataFrame]:
+def _hold_against(percent: int):
+    """Links of one bucket's block of nodes left over (``x``) to a block of members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x = t["x"].to_numpy(zero_copy_only=False).astype(bool)
+        n, fp, label = t["n"].to_numpy(), t["fp"].to_pylist(), t["label"].to_pylist()
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(fp), ROWS * BANDS)
+        sets = [np.frombuffer(v.as_buffer(), "<u4") for v in t["short"].combine_chunks()]
+        above: dict = {}
+
+        def top(c: bytes) -> bytes:
+            while c in above:
+                c = above[c]
+            return c
+
+        y = np.flatnonzero(~x)
+        links = []
+        for i in np.flatnonzero(x):
+            agree = (sig[y] == sig[i]).sum(axis=1)
+            close = 100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i])
+            at = np.flatnonzero((agree >= AGREE) & close)
+            for k in y[at[np.argsort(-agree[at], kind="stable")]].tolist():
+                own, other = top(label[i]), top(label[k])
+                if own != other and 100 * (both := _common(sets[i], sets[k])) >= percent * (int(n[i]) + int(n[k]) - both):
+                    links.append((min(fp[i], fp[k]), max(fp[i], fp[k])))
+                    above[max(own, other)] = min(own, other)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return run
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Values that two sorted arrays without repeats have in common."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    return int((t[at] == s).sum())
+
+
+def _bucket_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``a < b`` of buckets, and members of large ones with their hub."""
-    hub = F.min(F.struct(F.xxhash64("fp", F.lit(salt)).alias("h"), F.col("fp").alias("fp"), F.col("n").alias("n")))
+    hub = F.max(F.struct("weight", "fp", "n"))
     stats = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), hub.alias("hub")).where("c > 1")
     tagged = members.join(stats, "key")
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else their ratio is too small
@@ -155,7 +202,7 @@ def _bucket_pairs(members: DataFrame, percent: int, salt: int) -> tuple[DataFram
     large = tagged.where(F.col("c") > SMALL)
     star = large.where((F.col("fp") != F.col("hub.fp")) & close(F.col("n"), F.col("hub.n")))
     star = star.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
-    return small.unionByName(star).distinct(), large.select("key", "fp", "n", F.col("hub.fp").alias("hub"), *[c for c in members.columns if c not in ("key", "fp", "n")])
+    return small.unionByName(star).distinct(), large.select("key", "band", "c", "fp", "n", F.col("hub.fp").alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -164,14 +211,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = scratch.write(columns.mapInArrow(_signatures, _SIGNATURE), "signatures")
     some = signed.where("fp is not null")
-    nodes = scratch.write(some.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "nodes")
+    nodes = scratch.write(some.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "nodes")
     exploded = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = scratch.write(exploded.join(several, "key"), "members")
+    several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sized = scratch.write(exploded.join(several, "key"), "sized")
+    weights = sized.groupBy("fp").agg(F.sum("c").alias("weight"))
+    members = scratch.write(sized.drop("c").join(weights, "fp"), "members")
 
     ids = members.select("fp").distinct().join(nodes.select("fp", "first_id"), "fp")
     wanted = columns.join(ids.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = wanted.select("text").mapInArrow(_sets, "fp binary, set binary")
+    found = wanted.select("text").mapInArrow(_sets, "fp binary, set binary, short binary")
     sets = scratch.write(found.dropDuplicates(["fp"]), "sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
@@ -179,32 +228,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
         x = x.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t")
         return scratch.write(x.mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), name)
 
-    pairs, large = _bucket_pairs(members, percent, 0)
+    pairs, large = _bucket_pairs(members, percent)
     tested = confirmed(pairs, "tested-0")
-    large = scratch.write(large, "large-0")
+    following = F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))
+    large = large.join(nodes.select("fp", "bands"), "fp").withColumn("key", F.when(F.col("c") > HUGE, F.xxhash64("key", following)).otherwise(F.col("key")))
+    large = scratch.write(large.select("key", "fp", "n", "hub"), "large")
     labels = components(tested.where("linked"), scratch, "labels-0")
-    for level in range(1, LEVELS + 1):
-        # nodes of large buckets that are not connected to their bucket's hub meet again by one more band
-        named = large.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("_hub"))
-        left = named.join(hubs, "hub", "left").where(F.col("label") != F.coalesce("_hub", "hub")).select("key", "fp", "n", "band")
-        left = scratch.write(left, f"left-{level}")
-        if not left.limit(1).count():
-            break
-        others = nodes.select("fp", F.posexplode("bands").alias("_band", "_key"))
-        finer = left.join(others, "fp").where(F.col("_band") > F.col("band"))
-        finer = finer.select(F.xxhash64("key", "_key").alias("key"), "fp", "n", F.col("_band").alias("band"))
-        pairs, large = _bucket_pairs(finer, percent, level)
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested = tested.unionByName(confirmed(pairs, f"tested-{level}"))
-        large = scratch.write(large, f"large-{level}")
-        labels = components(tested.where("linked"), scratch, f"labels-{level}")
+
+    # nodes of large buckets that are not connected to their bucket's hub (x), against the bucket's members
+    named = large.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("_hub"))
+    named = named.join(hubs, "hub", "left").withColumn("x", F.col("label") != F.coalesce("_hub", "hub")).select("key", "fp", "n", "label", "x")
+    named = scratch.write(named, "named")
+    sizes = named.groupBy("key").agg(F.ceil(F.count_if("x") / BLOCK).cast("int").alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys")).where("xs > 0")
+    left = named.join(sizes, "key").join(nodes.select("fp", "sig"), "fp").join(sets.select("fp", "short"), "fp")
+    place = F.xxhash64("fp")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    mine = lambda c: F.array(F.pmod(place, F.col(c)).cast("int"))
+    # a node left over is in one block of those, against all of members; every node is a member
+    roles = F.array(F.struct(F.lit(False).alias("x"), each("xs").alias("i"), mine("ys").alias("j")), F.when(F.col("x"), F.struct(F.lit(True).alias("x"), mine("xs").alias("i"), each("ys").alias("j"))))
+    dealt = left.select("key", "fp", "n", "label", "sig", "short", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
+    dealt = dealt.select("key", "fp", "n", "label", "sig", "short", "r.x", F.explode("r.i").alias("i"), "r.j")
+    dealt = dealt.select("key", "fp", "n", "label", "sig", "short", "x", "i", F.explode("j").alias("j"))
+    more = dealt.groupBy("key", "i", "j").applyInArrow(_hold_against(percent), "a binary, b binary").distinct()
+    more = confirmed(more.join(tested, ["a", "b"], "left_anti"), "tested-1")
+    labels = components(tested.where("linked").unionByName(more.where("linked")), scratch, "labels-1")
 
     named = nodes.select("fp", "first_id").join(labels, nodes["fp"] == labels["node"], "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = scratch.write(named.join(least, "label").select(F.col("fp").alias("_fp"), "component_id"), "classes")
     out = signed.join(classes, signed["fp"] == classes["_fp"], "left")
-    scratch.drop("sets", "members")
+    scratch.drop("sets", "sized", "members")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 
 
