@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import host_rules, huffman, language, mixing, near_dup, neighbours, packing, passages, toxicity
+from . import host_rules, huffman, language, licences, mixing, near_dup, neighbours, packing, passages, toxicity
 
-MODULES = (packing, huffman, toxicity, language, passages, near_dup, mixing, host_rules, neighbours)
+MODULES = (packing, huffman, toxicity, language, passages, near_dup, mixing, host_rules, licences, neighbours)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
