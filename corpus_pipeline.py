@@ -1,3 +1,78 @@
-STAGES = []
-QUERIES = {}
-ORACLES = {}
+"""From raw documents to packed token windows, in five stages.
+
+1. language: documents whose language cannot be told are rejected (no letters, or
+   a score below ``MIN_SCORE``);
+2. near_dup: one document of each component of near duplicates stays;
+3. passages: passages that repeat an earlier document's are cut out;
+4. mixing: sources are mixed to their target weights; a document appears once for
+   each reading, cut to the words that the reading takes;
+5. packing: what is left is packed into windows of token ids.
+
+Each stage reads what the one before it wrote. All but the last return the columns
+of ``documents`` (``n_chars`` is that of the new text).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sleuth.llm import language, mixing, near_dup, packing, passages
+from sleuth.llm.common import Scratch, documents
+
+MIN_SCORE = 0.2  # of a language; texts in a language that was learned have 0.38 or more
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.train(docs)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    good = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
+    return language.identify(rows, model).where(good).select("row.*")
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.without_near_duplicates(docs, Scratch(spark))
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes, _ = passages.repeats(docs, Scratch(spark))
+    return _sized(passages.without_repeats(docs, classes))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _sized(mixing.mixed_texts(docs, Scratch(spark)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = packing.packed(docs)
+    return out.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_dup", near_dup_stage),
+    ("passages", passages_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each is written to the shared folder and read again by the next."""
+    scratch, docs = Scratch(spark), documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Models and tokenizers are beyond SQL; tests hold the stages against plain Python.
+ORACLE_SQL = None
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

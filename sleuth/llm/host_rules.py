@@ -90,7 +90,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     between hosts (moments, weighted by documents, less the binomial part); hosts
     that differ no more than by chance all shrink to the common rate.
     """
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(
+    hosts = measured.groupBy(F.col(host).alias("_host")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed")
     )
     totals = hosts.agg(
@@ -108,7 +108,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     strength = F.when(variance > 0, F.greatest(F.lit(1.0), F.least(p * (1 - p) / variance - 1, F.lit(1e6)))).otherwise(F.lit(1e6))
     prior = totals.select(p.alias("p"), strength.alias("s")).first()  # two numbers
     rate = (F.col("host_failed") + F.lit(prior["p"]) * F.lit(prior["s"])) / (F.col("host_docs") + F.lit(prior["s"]))
-    return hosts.select("host", "host_docs", "host_failed", F.round(rate, 9).alias("host_rate"))
+    return hosts.select("_host", "host_docs", "host_failed", F.round(rate, 9).alias("host_rate"))
 
 
 def judge(docs: DataFrame, scratch: Scratch, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -116,7 +116,7 @@ def judge(docs: DataFrame, scratch: Scratch, host: str = "source", text: str = "
     added = ("host_docs", "host_failed", "host_rate", "kept")
     measured = scratch.write(measures(docs, text).drop(*added), "measures")  # read twice; without texts
     hosts = host_rates(measured, host)
-    out = measured.join(hosts, measured[host].eqNullSafe(hosts["host"]), "left").drop("host")
+    out = measured.join(hosts, measured[host].eqNullSafe(hosts["_host"]), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
 
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import documents, held_out
 
@@ -232,8 +233,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` (without its text) with ``lang_pred`` and ``score``."""
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select(text, *rest).mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    schema = StructType([docs.schema[c] for c in rest]).add("lang_pred", "string").add("score", "double")
+    return docs.select(text, *rest).mapInArrow(_predict(model), schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import SPACE, Scratch, documents
 
@@ -132,15 +133,14 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
 
     documents: one row per input row with ``size, source_size, target, taken``.
     pieces: the mix, one row per document part of a slot: ``slot, source, rank,
-    doc_id, _key, begin, words`` (words ``begin..begin + words - 1`` of the text).
+    doc_id, _key, turn, begin, words`` (words ``begin..begin + words - 1`` of the
+    text, on reading ``turn`` of its source).
     """
     spark = docs.sparkSession
     sized = scratch.write(
         docs.select(F.col(doc_id).alias("doc_id"), "source", n_words(F.col(text)).alias("size"), _order(docs, text, doc_id).alias("_key")), "sizes"
     )
-    # rows alike in id, source and text: numbered, so that each keeps its own place
-    sized = sized.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "source").orderBy("size")))
-    sized = sized.withColumn("_key", F.concat("_key", F.format_string("-%09d", "_copy"))).drop("_copy")
+    sized = _numbered(sized, "size")  # rows alike in id, source and text: each keeps its own place
     sources = scratch.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_passes=max_passes).coalesce(1), "sources")
     digits = max(BUCKET_DIGITS, math.ceil(math.log(max(sized.count(), 1) / BUCKET_ROWS, 16)))
     placed = scratch.write(stream(sized, digits), "placed")
@@ -149,14 +149,14 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
     full = placed.join(per_source, placed["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     # places of a document in the stream of passes, then the blocks that each place touches
     passes = F.transform(F.sequence(F.lit(0), F.lit(max_passes - 1)), lambda p: F.col("_at") + p * F.col("source_size"))
-    spread = full.where("size > 0").select("doc_id", "source", "_key", "size", F.explode(passes).alias("_from"))
+    spread = full.where("size > 0").select("doc_id", "source", "_key", "size", F.posexplode(passes).alias("turn", "_from"))
     first, last = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)
     parts = spread.select("*", F.explode(F.sequence(first, last)).alias("_block"))
     s = slots.select(F.col("source").alias("_s"), "rank", "slot", "_words")
     hits = parts.join(s, parts["source"].eqNullSafe(s["_s"]) & (parts["_block"] == s["rank"]))
     lo = F.greatest(F.col("_from"), F.col("_block") * block)
     hi = F.least(F.col("_from") + F.col("size"), (F.col("_block") + 1) * block, F.col("_words"))
-    pieces = hits.select("slot", "source", "rank", "doc_id", "_key", (lo - F.col("_from")).alias("begin"), (hi - lo).alias("words")).where("words > 0")
+    pieces = hits.select("slot", "source", "rank", "doc_id", "_key", "turn", (lo - F.col("_from")).alias("begin"), (hi - lo).alias("words")).where("words > 0")
     taken = pieces.groupBy("source", "_key").agg(F.sum("words").alias("_taken"))
     t = taken.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_taken")
     out = full.join(t, full["source"].eqNullSafe(t["_s"]) & (full["_key"] == t["_k"]), "left")
@@ -164,6 +164,50 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
     return out, pieces
 
 
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Rows alike in ``_key`` and source get a number, so that each has its own key."""
+    x = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_key", "source").orderBy(order)))
+    return x.withColumn("_key", F.concat("_key", F.format_string("-%09d", "_copy"))).drop("_copy")
+
+
+def _head(batches):
+    """Texts (first column) up to the end of their first ``words`` words (second)."""
+    import pyarrow as pa
+
+    from .words import as_strings, text_chunks, words_of
+
+    for batch in batches:
+        texts, wanted, out = as_strings(batch.column(0)), batch.column(1).to_numpy(), []
+        for i, j in text_chunks(texts):
+            chunk = texts.slice(i, j - i)
+            w, base = words_of(chunk), 0
+            for d, t in enumerate(chunk.to_pylist()):
+                raw = t.encode("utf-8", "surrogatepass")
+                n = int(min(wanted[i + d], w.first[d + 1] - w.first[d]))
+                end = int(w.end[w.first[d] + n - 1]) - base if n else 0
+                out.append(raw[:end].decode("utf-8", "surrogatepass"))
+                base += len(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
+
+
+def mixed_texts(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The mix as documents: a row for each reading of a document, with as many of
+    its first words as that reading takes; documents of which none is taken go."""
+    _, pieces = mix_documents(docs, scratch, text=text, doc_id=doc_id)
+    turns = pieces.groupBy("source", "_key", "turn").agg(F.sum("words").alias("_words"))
+    turns = turns.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_words")
+    # the blocks that a source takes are the first of its stream, so a reading takes the first words of a text
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "source", _order(docs, text, doc_id).alias("_key"), F.col(text).alias("text"), n_words(F.col(text)).alias("_size")
+    )
+    rows = _numbered(rows, "_size")
+    x = rows.join(turns, rows["source"].eqNullSafe(turns["_s"]) & (rows["_key"] == turns["_k"]))
+    schema = StructType([StructField("text", StringType()), StructField("row", docs.schema)])
+    whole = x.where(F.col("_words") >= F.col("_size")).select("text", "row")
+    cut = x.where(F.col("_words") < F.col("_size")).select("text", "_words", "row").mapInArrow(_head, schema)
+    return whole.unionByName(cut).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mix_documents(documents(spark, sf_dir), Scratch(spark))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")

@@ -262,6 +262,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 
 
+def without_near_duplicates(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of one document of each component, its smallest doc_id. Rows that
+    are alike in id and text count as one."""
+    found = near_duplicates(docs, scratch, text=text, doc_id=doc_id)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    x = rows.join(keep, rows["_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    return x.dropDuplicates(["_id", "_text"]).select("_row.*")
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir), Scratch(spark))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import Scratch, documents
 
@@ -257,15 +258,16 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
 
 
 def marked(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with ``n_words, spans, from_id``: a copy of an earlier document is
-    a repeat as a whole if it has ``MIN_WORDS`` words."""
-    key = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    x = key.join(classes.drop("uid").withColumnRenamed("md5", "_c"), F.col("_md5") == F.col("_c"))
-    copy = ~F.col(doc_id).eqNullSafe(F.col("first_id")) & (F.col("n_words") >= MIN_WORDS)
+    """One row per document: ``doc_id, n_words, spans, from_id`` and the document's
+    columns as ``row``. A copy of an earlier document is a repeat as a whole if it
+    has ``MIN_WORDS`` words."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_md5"))
+    x = rows.join(classes.drop("uid"), rows["_md5"] == classes["md5"])
+    copy = ~F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("n_words") >= MIN_WORDS)
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").cast("int").alias("end")))
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    x = x.withColumn("spans", F.when(copy, whole).otherwise(F.coalesce("spans", none))).withColumn("from_id", F.when(copy, F.col("first_id")).otherwise(F.col("from_id")))
-    return x.drop("_md5", "_c", "first_id")
+    spans = F.when(copy, whole).otherwise(F.coalesce("spans", none))
+    return x.select("doc_id", "n_words", spans.alias("spans"), F.when(copy, F.col("first_id")).otherwise(F.col("from_id")).alias("from_id"), "row")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +299,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the words of repeated passages cut from their texts; a text of
     which no word is left goes."""
-    rest = [c for c in docs.columns if c != text]
-    x = marked(docs, classes, text, doc_id).select(F.col(text).alias("text"), "spans", *rest)
-    schema = ", ".join(["text string", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]])
-    whole = x.where(F.size("spans") == 0).select("text", *rest)
+    x = marked(docs, classes, text, doc_id).select(F.col(f"row.{text}").alias("text"), "spans", "row")
+    schema = StructType([StructField("text", StringType()), StructField("row", docs.schema)])
+    whole = x.where(F.size("spans") == 0).select("text", "row")
     cut = x.where(F.size("spans") > 0).mapInArrow(_cut, schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return whole.unionByName(cut).withColumnRenamed("text", text).select(*docs.columns)
+    return whole.unionByName(cut).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
