@@ -83,7 +83,7 @@ def count_letters(texts: list[str]) -> np.ndarray:
     bound = c == 0
     # single bounds are doubled, longer runs of them cut to two
     reps = np.ones(len(c), np.int64)
-    before = np.concatenate([[True], bound[:-1]])
+    before = np.concatenate([[False], bound[:-1]])
     reps[bound & before] = 0
     reps[bound & ~before] = 2
     c = np.repeat(c, reps)
@@ -195,9 +195,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     # letters are a-z and bytes of other scripts; all else counts as a word bound
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
     low = np.where(letter, raw, 0).astype(np.uint64)
-    low = np.insert(low, bounds[:-1], 0)  # a bound before each text
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds) + 1)
-    low, row = np.append(low, [0, 0, 0, 0, 0]).astype(np.uint64), np.append(row, [row[-1] if len(row) else 0] * 5)
+    low = np.insert(low, np.stack([bounds[:-1], bounds[1:]], axis=1).reshape(-1), 0)  # a bound before and after each text
+    row = np.repeat(np.arange(len(texts)), np.diff(bounds) + 2)
+    low, row = np.append(low, [0] * 5).astype(np.uint64), np.append(row, [-1] * 5)
     found, rows = [], []
     four = (low[:-3] << np.uint64(24)) | (low[1:-2] << np.uint64(16)) | (low[2:-1] << np.uint64(8)) | low[3:]
     for n, value in ((4, four), (5, (four[:-1] << np.uint64(8)) | low[4:])):
