@@ -5,20 +5,25 @@ event (stable epoch order) that is at most ``window_seconds`` after the
 anchor; the first later event starts the next group. This is *not* a
 gap-based session window.
 
-Plan:
-1. distributed sequence in epoch order (per key when ``partition_by``);
-2. gap islands: a gap > W to the previous event always starts a new group,
-   so the island id is the running max of "gap start" sequence numbers
-   (halo window + per-bucket prefix, no single-task window);
-4. rows are hash-partitioned by island and sorted by (island, seq); one
-   ``mapInPandas`` pass streams them and labels every row with its anchor
-   (binary search from anchor to anchor: one Python step per group, numpy
-   for the rows, anchor carried across Arrow batches, so memory is bounded
-   whatever the island size); only the columns the caller needs are carried.
+Plan: the log is range-partitioned in epoch order (per key when
+``partition_by``); each range partition is a *piece*, and no step puts more than
+a piece into a task, whatever the gaps or the window.
+
+1. Within a piece, the row that follows a row as anchor is the first one of the
+   same key that is too far from it, or the first row of the next key. So the
+   piece maps the anchor that comes in to the one that goes out: the first of its
+   rows that is too far from the incoming anchor starts a chain, and the chain's
+   last row goes out (the incoming one, if no row is too far). The map is a step
+   function of the incoming time; rows with the same end are one step.
+2. The maps of about sqrt(pieces) consecutive pieces are composed to one, these
+   are applied in order, and then, within each block, the pieces' own maps. That
+   gives every piece its incoming anchor.
+3. Every piece labels its rows, streaming, from that anchor on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,50 +33,166 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sleuth.operators.timeline import EPOCH_ORDER
-from sleuth.plans.ordering import halo_window, SEQ, drop_layout, num_partitions, has_lag_in_key, lag_in_key, running_max, sequence
+from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, sequence
 
 DEFAULT_WINDOW = 60  # seconds; fixed value of the studied tool
 
 
+_STEPS = "piece long, step long, key string, upto double, out_key string, out_epoch double, out_seq long, out_id long"
+_ANCHOR = ["out_key", "out_epoch", "out_seq", "out_id"]
+_INCOMING = "piece long, in_key string, in_epoch double, in_seq long, in_id long"
+
+
+def _first_beyond(times: np.ndarray, anchor: float, w: float) -> int:
+    """First place in ascending ``times`` with ``time - anchor > w`` (exact test)."""
+    i = int(np.searchsorted(times, anchor + w, side="right"))
+    while i < len(times) and not times[i] - anchor > w:
+        i += 1
+    while i > 0 and times[i - 1] - anchor > w:
+        i -= 1
+    return i
+
+
+def _piece_steps(w: float):
+    """Steps of each piece's map (rows of a piece come in order)."""
+
+    def chain_ends(key: np.ndarray, e: np.ndarray) -> np.ndarray:
+        n = len(e)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(starts[1:], n)
+        follow = np.empty(n, np.int64)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            own = e[a:b]
+            at = np.searchsorted(own, own + w, side="right")
+            # own + w may be rounded: move to the exact cut
+            while (move := (at < b - a) & ~(own[np.minimum(at, b - a - 1)] - own > w)).any():
+                at[move] += 1
+            while (move := (at > 0) & (own[at - 1] - own > w)).any():
+                at[move] -= 1
+            follow[a:b] = a + at
+        end = np.where(follow < n, follow, np.arange(n))  # a chain ends at the last row that stays in the piece
+        while True:
+            after = end[end]
+            if (after == end).all():
+                return end
+            end = after
+
+    def steps(batches):
+        parts = [pdf for pdf in batches if len(pdf)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        key, e = pdf["_key"].to_numpy(), pdf["epoch"].to_numpy(dtype="float64")
+        end = chain_ends(key, e)
+        head = len(key) if (key == key[0]).all() else int(np.argmax(key != key[0]))
+        last = np.flatnonzero(np.append(end[1:head] != end[: head - 1], True))  # last row of each step
+        rows, upto = end[last], e[last].copy()
+        if head < len(key):  # an anchor that covers the first key's rows: the next key starts anew
+            rows, upto = np.append(rows, end[head]), np.append(upto, np.inf)
+        yield pd.DataFrame(
+            {
+                "piece": np.full(len(rows), pdf["_pid"].iloc[0], dtype="int64"),
+                "step": np.arange(len(rows), dtype="int64"),
+                "key": key[0],
+                "upto": upto,
+                "out_key": key[rows],
+                "out_epoch": e[rows],
+                "out_seq": pdf[SEQ].to_numpy()[rows],
+                "out_id": pdf["id"].to_numpy()[rows],
+            }
+        )
+
+    return steps
+
+
+def _maps(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+    pdf = pdf.sort_values(["piece", "step"], kind="stable")
+    return [own.reset_index(drop=True) for _, own in pdf.groupby("piece", sort=True)]
+
+
+def _apply(own: pd.DataFrame, anchor: tuple | None, w: float) -> tuple:
+    """The anchor that goes out of a piece or block."""
+    if anchor is None or anchor[0] != own["key"].iat[0]:
+        i = 0  # the first row starts anew
+    else:
+        i = _first_beyond(own["upto"].to_numpy(), anchor[1], w)
+        if i == len(own):
+            return anchor
+    return tuple(own.iloc[i][_ANCHOR])
+
+
+def _composed(w: float):
+    """One map for the consecutive pieces of a block."""
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for own in _maps(pdf):
+            if total is None:
+                total = own
+                continue
+            out = [_apply(own, tuple(r), w) for r in total[_ANCHOR].itertuples(index=False)]
+            after = total.assign(**{c: [o[k] for o in out] for k, c in enumerate(_ANCHOR)})
+            if not np.isinf(total["upto"].iat[-1]):  # an anchor that covers all pieces so far meets this one
+                if own["key"].iat[0] == total["key"].iat[0]:
+                    after = pd.concat([after, own], ignore_index=True)
+                else:
+                    after = pd.concat([after, own.iloc[:1].assign(upto=np.inf)], ignore_index=True)
+            same = (after[_ANCHOR] == after[_ANCHOR].shift(-1)).all(axis=1)
+            total = after[~same].reset_index(drop=True)
+        return total.assign(piece=pdf["block"].iat[0], step=np.arange(len(total)), key=total["key"].iat[0])[[*_STEP_NAMES]]
+
+    return compose
+
+
+def _walked(w: float, start: bool):
+    """The incoming anchor of each map, in order."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        anchor, rows = None, []
+        if start and pd.notna(pdf["in_key"].iat[0]):
+            anchor = tuple(pdf[["in_key", "in_epoch", "in_seq", "in_id"]].iloc[0])
+        for own in _maps(pdf):
+            rows.append((int(own["piece"].iat[0]), *(anchor or (None, None, None, None))))
+            anchor = _apply(own, anchor, w)
+        out = pd.DataFrame(rows, columns=["piece", "in_key", "in_epoch", "in_seq", "in_id"])
+        return out.astype({"in_seq": "Int64", "in_id": "Int64", "in_epoch": "float64"})
+
+    return walk
+
+
+_STEP_NAMES = ("piece", "step", "key", "upto", *_ANCHOR)
+
+
 def _label_walk(window_seconds: float, out_schema: T.StructType):
-    """Streaming walk over rows sorted by (island, seq): labels every row with
-    its anchor. The anchor (epoch, seq, id) is carried across Arrow batches,
-    so an island of any size is processed with bounded memory; the Python
-    loop runs once per group or island, rows are handled with numpy. Built
-    here so it is shipped by value to the workers."""
+    """Streaming walk over a piece in order: labels every row with its anchor. The
+    anchor (key, epoch, seq, id) is carried across Arrow batches; the Python loop
+    runs once per group or key, rows are handled with numpy."""
     w = float(window_seconds)
     names = [f.name for f in out_schema.fields]
 
     def walk(batches):
-        cur, a_e, a_s, a_id = None, 0.0, 0, None
+        begun, cur, a_e, a_s, a_id = False, None, 0.0, 0, 0
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
-            isl = pdf["island"].to_numpy()
-            e = pdf["epoch"].to_numpy(dtype="float64")
-            sq = pdf[SEQ].to_numpy()
-            ids = pdf["id"].to_numpy()
-            g_s = np.empty(n, dtype="int64")
-            g_id = np.empty(n, dtype="int64")
-            i = 0
-            while i < n:
-                if isl[i] != cur:  # a new island: its first row is an anchor
-                    cur, a_e, a_s, a_id = isl[i], e[i], sq[i], ids[i]
-                end = int(np.searchsorted(isl, isl[i], side="right"))
-                j = i + int(np.searchsorted(e[i:end], a_e + w, side="right"))
-                # the exact test is (e[j] - anchor > w): fix float edge cases at the cut
-                while j < end and e[j] - a_e <= w:
-                    j += 1
-                while j > i and e[j - 1] - a_e > w:
-                    j -= 1
-                g_s[i:j] = a_s
-                g_id[i:j] = a_id
-                if j < end:  # row j is the first one too far: it anchors the next group
-                    a_e, a_s, a_id = e[j], sq[j], ids[j]
+            key, e = pdf["_key"].to_numpy(), pdf["epoch"].to_numpy(dtype="float64")
+            sq, ids = pdf[SEQ].to_numpy(), pdf["id"].to_numpy()
+            if not begun:
+                begun = True
+                if pd.notna(pdf["in_key"].iat[0]):
+                    cur, a_e, a_s, a_id = (pdf[c].iat[0] for c in ("in_key", "in_epoch", "in_seq", "in_id"))
+            g_s, g_id = np.empty(n, dtype="int64"), np.empty(n, dtype="int64")
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for i, end in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+                if key[i] != cur:
+                    cur, a_e, a_s, a_id = key[i], e[i], sq[i], ids[i]
+                while i < end:
+                    j = i + _first_beyond(e[i:end], a_e, w)
+                    g_s[i:j], g_id[i:j] = a_s, a_id
+                    if j < end:  # row j is the first one too far: it anchors the next group
+                        a_e, a_s, a_id = e[j], sq[j], ids[j]
                     i = j
-                else:  # the island (or this batch) ends inside the group
-                    i = end
             yield pdf.assign(group_seq=g_s, group_id=g_id)[names]
 
     return walk
@@ -83,26 +204,31 @@ def assign_groups(
     partition_by: Sequence[str] = (),
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Events with ``group_seq`` (sequence number of the anchor), ``group_id``
-    (id of the anchor event) and ``island``.
+    """Events with ``group_seq`` (sequence number of the anchor) and ``group_id``
+    (id of the anchor event).
 
-    ``columns`` limits the event columns carried through the grouped step
-    (default: all)."""
+    ``columns`` limits the event columns carried (default: all)."""
     w = float(window_seconds)
-    s = sequence(df, EPOCH_ORDER, partition_by)
-    pre = {
-        "_p1": lag_in_key("epoch", 1, halo_window(), partition_by),
-        "_h1": has_lag_in_key(1, halo_window(), partition_by),
-    }
-    gap_start = ~F.col("_h1") | ((F.col("epoch") - F.col("_p1")) > F.lit(w))
-    isl = drop_layout(running_max(s, {"island": F.when(gap_start, F.col(SEQ))}, k=1, pre=pre).drop("_p1", "_h1"))
-    keep = list(dict.fromkeys([*(columns or df.columns), *partition_by, "id", "epoch", SEQ, "island"]))
-    isl = isl.select(*keep)
-    out_schema = T.StructType([*isl.schema.fields, T.StructField("group_seq", T.LongType()), T.StructField("group_id", T.LongType())])
-    n = num_partitions(isl)
-    # whole islands per task, in order; the walk streams them batch by batch
-    ordered = isl.repartition(n, "island").sortWithinPartitions("island", SEQ)
-    return ordered.mapInPandas(_label_walk(w, out_schema), schema=out_schema)
+    keep = list(dict.fromkeys([*(columns or df.columns), *partition_by, *EPOCH_ORDER]))
+    s = sequence(df.select(*keep), EPOCH_ORDER, partition_by)
+    key = F.to_json(F.struct(*partition_by), {"ignoreNullFields": "false"}) if partition_by else F.lit("")
+    s = s.withColumn("_key", key)
+
+    steps = s.select("_pid", "_key", "epoch", SEQ, "id").mapInPandas(_piece_steps(w), _STEPS).persist()
+    size = max(1, math.isqrt(num_partitions(df)))
+    blocks = steps.withColumn("block", F.floor(F.col("piece") / size).cast("long"))
+    composed = blocks.groupBy("block").applyInPandas(_composed(w), _STEPS)
+    # one composed map per block of pieces: about sqrt(pieces) of them
+    before = composed.groupBy(F.lit(0).alias("_all")).applyInPandas(_walked(w, False), _INCOMING)
+    entered = blocks.join(before.withColumnRenamed("piece", "block"), "block")
+    incoming = entered.groupBy("block").applyInPandas(_walked(w, True), _INCOMING)
+
+    # one row per piece: bounded by the partition count
+    placed = s.join(F.broadcast(incoming.withColumnRenamed("piece", "_piece")), F.col("_pid") == F.col("_piece"), "left")
+    fields = [f for f in drop_layout(s).drop("_key").schema.fields]
+    out_schema = T.StructType([*fields, T.StructField("group_seq", T.LongType()), T.StructField("group_id", T.LongType())])
+    walked = placed.select(*[f.name for f in fields], "_key", "in_key", "in_epoch", "in_seq", "in_id")
+    return walked.mapInPandas(_label_walk(w, out_schema), schema=out_schema)
 
 
 def correlate(
