@@ -133,46 +133,50 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def common_spans(first: np.ndarray, later: np.ndarray) -> list[tuple[int, int]]:
-    """Spans (shingle positions, ends included) of ``later`` that repeat ``first``."""
+    """Spans (shingle positions, ends included) of ``later`` that repeat ``first``.
+
+    Runs of common shingles with small gaps are tried as one span, which is cut at
+    its widest gap until its parts are alike enough or too short."""
     order = np.argsort(first, kind="stable")
-    at = np.searchsorted(first[order], later)
-    at = np.minimum(at, len(first) - 1)
+    at = np.minimum(np.searchsorted(first, later, sorter=order), len(first) - 1)
     where = order[at]
     hit = first[where] == later
     if hit.sum() < SPAN * SIMILARITY * 0.5:
         return []
+    hits = np.concatenate([[0], np.cumsum(hit)])
+    plain = len(np.unique(later)) == len(later)  # no shingle twice: hits are distinct
     pos = np.flatnonzero(hit)
-    cuts = np.flatnonzero(np.diff(pos) > 1)
-    runs = list(zip(pos[np.append(0, cuts + 1)].tolist(), pos[np.append(cuts, len(pos) - 1)].tolist(), strict=True))
-    joined: list[list[tuple[int, int]]] = []
-    for run in runs:
-        if joined and run[0] - joined[-1][-1][1] <= GAP + 1:
-            joined[-1].append(run)
-        else:
-            joined.append([run])
+    gaps = np.diff(pos)
 
     def alike(a: int, b: int) -> bool:
-        if b - a + 1 < SPAN:
+        if plain and hits[b + 1] - hits[a] < SIMILARITY * (b + 1 - a):
             return False
+        t = np.unique(later[a : b + 1])
         on = np.arange(a, b + 1)[hit[a : b + 1]]
         lean = int(np.median(where[on] - on))
         x, y = max(a + lean - GAP, 0), min(b + lean + GAP, len(first) - 1)
-        there = np.flatnonzero(np.isin(first[x : y + 1], later[a : b + 1]))
+        there = np.flatnonzero(np.isin(first[x : y + 1], t))
         if not len(there):
             return False
-        s, t = set(first[x + there[0] : x + there[-1] + 1].tolist()), set(later[a : b + 1].tolist())
-        both = len(s & t)
+        s = np.unique(first[x + there[0] : x + there[-1] + 1])
+        both = len(np.intersect1d(s, t, assume_unique=True))
         return both >= SIMILARITY * (len(s) + len(t) - both)
 
+    cuts = np.flatnonzero(gaps > GAP + 1)
+    todo = list(zip([0, *(cuts + 1)], [*cuts, len(pos) - 1], strict=True))  # ranges of hits
     out = []
-    for group in joined:
-        while group:
-            # the longest stretch of runs from the first on that is alike; else go on with the next run
-            n = next((k for k in range(len(group), 0, -1) if alike(group[0][0], group[k - 1][1])), 0)
-            if n:
-                out.append((group[0][0], group[n - 1][1]))
-            group = group[max(n, 1) :]
-    return out
+    while todo:
+        i, j = todo.pop()
+        a, b = int(pos[i]), int(pos[j])
+        if b - a + 1 < SPAN:
+            continue
+        if alike(a, b):
+            out.append((a, b))
+        elif (inner := gaps[i:j]).max() > 1:
+            widest = np.flatnonzero(inner == inner.max())
+            k = i + int(widest[len(widest) // 2])  # the middle one of the widest
+            todo += [(i, k), (k + 1, j)]
+    return sorted(out)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
