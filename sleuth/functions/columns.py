@@ -16,7 +16,6 @@ __all__ = [
     "SEVERITY_COLOR",
     "SEVERITY_RANK",
     "ZERO_HASH",
-    "LINE_CAP",
     "to_epoch",
     "to_event_ts",
     "normalize_timestamp",
@@ -34,7 +33,6 @@ __all__ = [
     "prefix",
     "icontains",
     "strip_ws",
-    "cap_line",
     "json_quote",
 ]
 
@@ -52,8 +50,6 @@ SEVERITY_COLOR = {"critical": "red", "high": "orange", "medium": "gold", "low":
 SEVERITY_RANK = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
 # First parent hash of a custody chain: 64 zeros.
 ZERO_HASH = "0" * 64
-# Line length cap of the line readers (characters).
-LINE_CAP = 10_485_760
 # White space removed by Python's str.strip() (the characters for which
 # str.isspace() is true).
 PY_WHITESPACE = (
@@ -88,9 +84,10 @@ def normalize_timestamp(ts: Column | str, as_of: Column) -> Column:
     Numbers are epoch seconds; unparsable or NULL input yields ``as_of``.
     """
     t = _c(ts)
+    number = F.when(F.typeof(t).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$"), t.cast("string").try_cast("double"))
     stripped = F.regexp_replace(t.cast("string"), r"(Z|[+-]\d{2}:?\d{2})$", "")
     as_text = F.when(stripped.rlike(ISO_PREFIX_RE), F.try_to_timestamp(stripped))
-    return F.coalesce(as_text, as_of)
+    return F.coalesce(F.timestamp_seconds(number), as_text, as_of)
 
 
 def safe_json(v: Column | str) -> Column:
@@ -186,10 +183,22 @@ def strip_ws(c: Column | str) -> Column:
     return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
-def cap_line(c: Column | str, n: int = LINE_CAP) -> Column:
-    return F.substring(_c(c), 1, n)
+# Short escapes of JSON texts.
+JSON_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
 def json_quote(c: Column | str) -> Column:
-    """JSON string literal of a text column (quotes and escapes)."""
-    return F.regexp_extract(F.to_json(F.struct(_c(c).alias("v"))), r'^\{"v":(.*)\}$', 1)
+    """JSON string literal of a text column, in ASCII: other characters and control
+    characters are ``\\uXXXX`` (pairs above U+FFFF); NULL is ``null``."""
+    v = _c(c)
+
+    def escaped(ch: Column) -> Column:
+        out = F.when(ch == "", ch)
+        for raw, short in JSON_ESCAPES.items():
+            out = out.when(ch == F.lit(raw), F.lit(short))
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        return out.when(ch.rlike(r"\A[ -~]\z"), ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    plain = v.rlike(r'\A[ !#-\[\]-~]*\z')
+    inner = F.when(plain, v).otherwise(F.array_join(F.transform(F.split(v, ""), escaped), ""))
+    return F.when(v.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))

@@ -17,11 +17,7 @@ from sleuth.plans.ordering import SEQ, drop_layout, sequence
 TEXT_ORDER = ["timestamp", "id"]
 EPOCH_ORDER = ["epoch", "timestamp", "id"]
 
-# Listing defaults of the studied tool.
-QUERY_LIMIT = 1000
-TIMELINE_CAP = 5000  # parity cap of every analysis (ours: no cap unless asked)
-RECENT = 20
-CLI_LIMIT = 50
+RECENT = 20  # fixed value: rows of the recent-events panel
 
 
 def filter_events(
@@ -49,10 +45,10 @@ def query_events(
     event_type: str | None = None,
     severity: str | None = None,
     min_risk: float | None = None,
-    limit: int | None = QUERY_LIMIT,
+    limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
-    """Filtered events in text order, one page (``limit``/``offset``).
+    """Filtered events in text order: all of them, or one page (``limit``/``offset``).
 
     Pages are a top-k (``TakeOrderedAndProject``), so no full sort happens.
     """
@@ -67,14 +63,14 @@ def query_events(
 def build_timeline(df: DataFrame, limit: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """All events with their 1-based position ``seq`` in text order.
 
-    ``limit=5000`` reproduces the studied tool's cap; the default keeps every
-    row. The position comes from the distributed sequence, so no task holds
-    the whole log.
+    The position comes from the distributed sequence, so no task holds the whole
+    log. ``limit`` keeps the first rows only; without keys that is a top-k, and
+    just its rows are numbered.
     """
+    if limit is not None and not partition_by:
+        df = df.orderBy(*TEXT_ORDER).limit(limit)
     out = drop_layout(sequence(df, TEXT_ORDER, partition_by))
-    if limit is not None:
-        out = out.where(F.col(SEQ) <= limit)
-    return out
+    return out if limit is None else out.where(F.col(SEQ) <= limit)
 
 
 def event_count(df: DataFrame) -> DataFrame:
@@ -118,8 +114,9 @@ def recent_events(df: DataFrame, n: int = RECENT) -> DataFrame:
     return last.orderBy(*TEXT_ORDER)
 
 
-def timeline_view(df: DataFrame, limit: int | None = CLI_LIMIT, **filters) -> DataFrame:
-    """Display rows of the timeline listing (row #, shortened texts, labels)."""
+def timeline_view(df: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """Display rows of the timeline listing (row #, shortened texts, labels); all
+    rows, or the first ``limit``."""
     if limit is None:  # whole timeline: number with the distributed sequence
         numbered = build_timeline(filter_events(df, **filters)).withColumnRenamed(SEQ, "row_no")
     else:  # a page of at most `limit` rows

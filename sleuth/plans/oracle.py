@@ -14,10 +14,11 @@ WR = f"WITH RECURSIVE ae AS ({AGENT_EVENTS_SQL})\n"
 TL = "id, timestamp, source, event_type, severity, risk_score, blocked"
 
 
-def _page(where: str = "", limit: int = 1000, offset: int = 0) -> str:
+def _page(where: str = "", limit: int | None = None, offset: int = 0) -> str:
     w = f"WHERE {where}" if where else ""
     off = f" OFFSET {offset}" if offset else ""
-    return W + f"SELECT {TL} FROM ae {w} ORDER BY timestamp, id LIMIT {limit}{off}"
+    page = f" LIMIT {limit}" if limit is not None else ""
+    return W + f"SELECT {TL} FROM ae {w} ORDER BY timestamp, id{page}{off}"
 
 
 def _burst(threshold: float, by_agent: bool) -> str:
@@ -247,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
         left(coalesce(nullif(title, ''), nullif(event_type, ''), '?'), 30) AS event,
         left(coalesce(nullif(target, ''), '—'), 25) AS target,
         CASE WHEN blocked THEN 'BLOCKED' ELSE 'OK' END AS status, left(timestamp, 19) AS time
-        FROM (SELECT * FROM ae ORDER BY timestamp, id LIMIT 50)"""
+        FROM ae"""
     q["timeline_points"] = W + """SELECT id, timestamp AS ts, title AS event, source, severity, event_type AS type,
         CASE severity WHEN 'critical' THEN 'red' WHEN 'high' THEN 'orange' WHEN 'medium' THEN 'gold' WHEN 'low' THEN 'green'
                       WHEN 'info' THEN 'blue' ELSE 'gray' END AS color FROM ae"""
@@ -347,12 +348,23 @@ SELECT agent_id, failed, {rate} AS rate_limit, true AS anomalous FROM s"""
         strftime(epoch_us_to_ts, '%b %-d %H:%M:%S') AS timestamp, 'host-' || agent_id AS hostname, 'app' AS application,
         event_type || ' at ' || timestamp AS message
         FROM (SELECT *, make_timestamp(CAST(round(epoch * 1e6) AS BIGINT)) AS epoch_us_to_ts FROM ae)"""
-    q["parse_generic_auto"] = W + f"SELECT f AS format, count(*) AS events, count(DISTINCT agent_id) AS files FROM ae, {fmts} GROUP BY f"
+    # a generic line becomes an event with the table's defaults; syslog times have no year and no epoch
+    sys_time = "strftime(make_timestamp(CAST(round(epoch * 1e6) AS BIGINT)), '%b %-d %H:%M:%S')"
+    defaults = """'generic' AS source, 'unknown' AS event_type, 'info' AS severity, 'low' AS confidence, false AS blocked,
+        CAST(0 AS DOUBLE) AS risk_score"""
+    generic = f"""SELECT f || '/' || agent_id AS file, {POS} + CASE f WHEN 'csv' THEN 1 ELSE 0 END AS lineno, f AS format, {defaults},
+        CASE f WHEN 'syslog' THEN {sys_time} WHEN 'plain' THEN '{AS_OF}' ELSE timestamp END AS timestamp,
+        CASE f WHEN 'syslog' THEN 0.0 WHEN 'plain' THEN CAST(epoch_us(TIMESTAMP '{AS_OF[:19]}') AS DOUBLE) / 1e6 ELSE round(epoch, 6) END::DOUBLE AS epoch,
+        '' AS title, '' AS target FROM (SELECT * FROM ae, {fmts})"""
+    q["parse_generic_auto"] = W + generic.replace(POS, POS.replace("PARTITION BY agent_id", "PARTITION BY f, agent_id"))
     q["guard_log_roundtrip"] = W + "SELECT id, 'mcpguard' AS source, event_type, severity, blocked, risk_score, timestamp, epoch, agent_id FROM ae"
-    q["gate_signals"] = W + """SELECT id, 'agentgate' AS source, 'policy_violation' AS event_type, true AS blocked, target, timestamp
-        FROM ae WHERE source = 'agentgate'"""
-    q["union_sources"] = W + """SELECT source, count(*) AS events,
-        count(*) FILTER (WHERE CASE WHEN source = 'agentgate' THEN true ELSE blocked END) AS blocked FROM ae GROUP BY source"""
+    q["gate_signals"] = W + """SELECT id, 'agentgate' AS source, 'policy_violation' AS event_type, true AS blocked, target, timestamp, event_type AS signal_type,
+        CAST(round(risk_score * 10) AS BIGINT) AS weight, CAST(0 AS BIGINT) AS score, 'deny' AS action, '' AS user_agent FROM ae WHERE source = 'agentgate'"""
+    cols = "lineno, source, event_type, severity, confidence, blocked, risk_score, timestamp, epoch"
+    q["union_sources"] = W + f"""SELECT id AS lineno, source, event_type, severity, 'low' AS confidence, blocked, risk_score, timestamp, round(epoch, 6) AS epoch
+        FROM ae WHERE source = 'mcpguard'
+        UNION ALL SELECT id, source, 'policy_violation', 'info', 'low', true, CAST(0 AS DOUBLE), timestamp, round(epoch, 6) FROM ae WHERE source = 'agentgate'
+        UNION ALL SELECT {cols} FROM ({q["parse_generic_auto"][len(W):]}) WHERE format <> 'plain'"""
     q["guard_log_taxonomy"] = W + """SELECT id,
         CASE event_type WHEN 'error' THEN 'tool_failure' WHEN 'click' THEN 'ui_action' WHEN 'view' THEN 'data_access' ELSE event_type END AS event_type,
         CASE event_type WHEN 'error' THEN 'high' WHEN 'click' THEN 'low' WHEN 'view' THEN 'info' ELSE severity END AS severity,

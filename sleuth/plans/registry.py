@@ -349,7 +349,7 @@ def q_evidence_tampered_verify(s, d):
 def q_generic_plain_lines(s, d):
     lines = RD.lines_from_text(read_table(s, d, "documents"), "doc_id", "text")
     plain = RD.parse_plain(lines, as_of=AS_OF)
-    return plain.select(F.col("file").cast("long").alias("doc_id"), "lineno",
+    return plain.select(F.col("_file").cast("long").alias("doc_id"), F.col("_lineno").alias("lineno"),
                         F.get_json_object("raw_json", "$.line").alias("line"))
 
 
@@ -385,27 +385,30 @@ def q_detect_format(s, d):
 def q_parse_jsonl(s, d):
     lines = _format_lines(s, d).where(F.col("file").startswith("jsonl/"))
     ev, _ = RD.parse_jsonl(lines, as_of=AS_OF)
-    return ev.select("file", "lineno", "timestamp", F.get_json_object("raw_json", "$.event_type").alias("event_type"),
+    return ev.select(F.col("_file").alias("file"), F.col("_lineno").alias("lineno"), "timestamp",
+                     F.get_json_object("raw_json", "$.event_type").alias("event_type"),
                      F.get_json_object("raw_json", "$.id").cast("long").alias("id"))
 
 
 def q_parse_syslog(s, d):
     lines = _format_lines(s, d).where(F.col("file").startswith("syslog/"))
     ev = RD.parse_syslog(lines, as_of=AS_OF)
-    return ev.select("file", "lineno", "timestamp", "hostname",
+    return ev.select(F.col("_file").alias("file"), F.col("_lineno").alias("lineno"), "timestamp", F.col("_hostname").alias("hostname"),
                      F.get_json_object("raw_json", "$.application").alias("application"),
                      F.get_json_object("raw_json", "$.message").alias("message"))
 
 
 def q_parse_generic_auto(s, d):
     ev, _ = RD.parse_generic_lines(_format_lines(s, d), as_of=AS_OF)
-    return ev.groupBy("format").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("file").alias("files"))
+    return ev.select(F.col("_file").alias("file"), F.col("_lineno").alias("lineno"), F.col("_format").alias("format"), "source", "event_type",
+                     "severity", "confidence", "blocked", "risk_score", "timestamp", F.round("epoch", 6).alias("epoch"), "title", "target")
 
 
 def q_parse_csv(s, d):
     lines = _format_lines(s, d).where(F.col("file").startswith("csv/"))
     ev = RD.parse_csv(lines, as_of=AS_OF)
-    return ev.select("file", "lineno", "timestamp", F.get_json_object("raw_json", "$.event_type").alias("event_type"),
+    return ev.select(F.col("_file").alias("file"), F.col("_lineno").alias("lineno"), "timestamp",
+                     F.get_json_object("raw_json", "$.event_type").alias("event_type"),
                      F.get_json_object("raw_json", "$.id").cast("long").alias("id"))
 
 
@@ -434,7 +437,8 @@ def _gate_lines(ev: DataFrame) -> DataFrame:
 def q_gate_signals(s, d):
     lines = _gate_lines(_ae(s, d).where(F.col("source") == "agentgate"))
     out, _ = RD.parse_gate_lines(lines, as_of=AS_OF)
-    return out.select(F.col("_lineno").alias("id"), "source", "event_type", "blocked", "target", "timestamp")
+    return out.select(F.col("_lineno").alias("id"), "source", "event_type", "blocked", "target", "timestamp", F.col("_signal_type").alias("signal_type"),
+                      F.col("_weight").alias("weight"), F.col("_score").alias("score"), F.col("_action").alias("action"), F.col("_user_agent").alias("user_agent"))
 
 
 def q_quarantine(s, d):
@@ -474,8 +478,10 @@ def q_union_sources(s, d):
     ev = _ae(s, d)
     guard, _ = RD.parse_guard_lines(_lines_for(ev.where(F.col("source") == "mcpguard")), as_of=AS_OF)
     gate, _ = RD.parse_gate_lines(_gate_lines(ev.where(F.col("source") == "agentgate")), as_of=AS_OF)
-    both = RD.union_sources(guard, gate)
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("events"), F.count_if("blocked").alias("blocked"))
+    lines = _format_lines(s, d)
+    generic, _ = RD.parse_generic_lines(lines.where(~F.col("file").startswith("plain/")), as_of=AS_OF)
+    return RD.union_sources(guard, gate, generic).select(
+        F.col("_lineno").alias("lineno"), "source", "event_type", "severity", "confidence", "blocked", "risk_score", "timestamp", F.round("epoch", 6).alias("epoch"))
 
 
 def _taxonomy(s):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -16,8 +17,7 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -28,6 +28,8 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SLEUTH_DRIVER_MEMORY", "16g"))
     )
+    if master or SparkSession.getActiveSession() is None and "spark.master" not in dict(SparkConf().getAll()):
+        builder = builder.master(master or f"local[{cpus}]")  # spark-submit's master stays
     log_dir = os.environ.get("SLEUTH_EVENT_LOG_DIR")
     if log_dir:  # stage timings for profiling, written to a scratch folder
         builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir).config("spark.eventLog.compress", "false")
@@ -40,8 +42,9 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 
-    Uses the directory the cluster names in ``spark.checkpoint.dir``; only when
-    nothing is configured (local tests) a fresh folder under /tmp is created.
+    Uses the directory the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without that setting gets a fresh folder under /tmp; elsewhere each
+    executor would write to its own disk, so a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="sleuth-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

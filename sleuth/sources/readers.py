@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuth.functions.columns import LINE_CAP, cap_line, looks_like_syslog, safe_int, strip_ws, syslog_fields
-from sleuth.functions.schema import as_of_text, with_event_defaults
+from sleuth.functions.columns import looks_like_syslog, json_quote, safe_int, strip_ws, syslog_fields
+from sleuth.functions.schema import EVENT_COLUMNS, as_of_text, with_event_defaults
 
 # Source labels of the normalised events (same labels as the fixture view).
 GUARD_SOURCE = "mcpguard"
@@ -25,7 +25,6 @@ GENERIC_SOURCE = "generic"
 # Header words that make a comma line a CSV header.
 CSV_HEADER_WORDS = ["timestamp", "time", "date", "event", "level"]
 FORMATS = ["jsonl", "csv", "syslog", "plain"]
-TAXONOMY_BROADCAST_ROWS = 100_000
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -60,18 +59,27 @@ def lines_from_text(df: DataFrame, file_col: str, text_col: str) -> DataFrame:
     ).select("file", (F.col("_pos") + 1).cast("long").alias("lineno"), "value")
 
 
-def _clean(lines: DataFrame, line_cap: int) -> DataFrame:
-    return lines.withColumn("_line", strip_ws(cap_line(F.col("value"), line_cap)))
+def _clean(lines: DataFrame, line_cap: int | None) -> DataFrame:
+    """Lines without surrounding white space; blank ones and, with a cap, longer
+    ones are left out (``_too_long`` has the latter)."""
+    x = lines.withColumn("_line", strip_ws(F.col("value"))).where(F.length("_line") > 0)
+    return x if line_cap is None else x.where(F.length("_line") <= line_cap)
 
 
-def _json_split(lines: DataFrame, line_cap: int) -> tuple[DataFrame, DataFrame]:
+def _too_long(lines: DataFrame, line_cap: int | None) -> DataFrame:
+    """Lines beyond the cap, whole, for the quarantine (no cap: none)."""
+    over = F.lit(False) if line_cap is None else F.length(strip_ws(F.col("value"))) > line_cap
+    return lines.where(over).select("file", "lineno", "value", F.lit("too_long").alias("reason"))
+
+
+def _json_split(lines: DataFrame, line_cap: int | None) -> tuple[DataFrame, DataFrame]:
     """Non-blank lines -> good (JSON objects, column ``_v`` VARIANT) and rejected."""
-    x = _clean(lines, line_cap).where(F.length("_line") > 0).withColumn("_v", F.try_parse_json(F.col("_line")))
+    x = _clean(lines, line_cap).withColumn("_v", F.try_parse_json(F.col("_line")))
     is_obj = F.col("_v").isNotNull() & F.startswith(F.col("_line"), F.lit("{"))  # valid JSON starting with '{'
 
     reason = F.when(F.col("_v").isNull(), F.lit("malformed_json")).otherwise(F.lit("not_an_object"))
     rejected = x.where(~is_obj).select("file", "lineno", "value", reason.alias("reason"))
-    return x.where(is_obj), rejected
+    return x.where(is_obj), rejected.unionByName(_too_long(lines, line_cap))
 
 
 def _vs(path: str) -> Column:
@@ -97,18 +105,14 @@ def _vtruthy(path: str) -> Column:
 
 def _with_taxonomy(x: DataFrame, key: Column, source: str, taxonomy: DataFrame | None) -> DataFrame:
     """Left join on a user-supplied mapping (source, key) -> category, severity,
-    confidence, base_risk, title, description. Broadcast only when its row
-    count is checked to be small."""
+    confidence, base_risk, title, description. Of several rows of a key the least
+    counts, so events never multiply; the join strategy is Spark's choice."""
     x = x.withColumn("_key", key)
     if taxonomy is None:
         return x
-    tax = taxonomy.where(F.col("source") == F.lit(source)).select(
-        F.col("key").alias("_key"),
-        *[F.col(c).alias(f"_tax_{c}") for c in ("category", "severity", "confidence", "base_risk", "title", "description")
-          if c in taxonomy.columns],
-    )
-    small = tax.limit(TAXONOMY_BROADCAST_ROWS + 1).count() <= TAXONOMY_BROADCAST_ROWS
-    return x.join(F.broadcast(tax) if small else tax, "_key", "left")
+    names = [c for c in ("category", "severity", "confidence", "base_risk", "title", "description") if c in taxonomy.columns]
+    one = taxonomy.where(F.col("source") == F.lit(source)).groupBy(F.col("key").alias("_key")).agg(F.min(F.struct(*names)).alias("_t"))
+    return x.join(one.select("_key", *[F.col(f"_t.{c}").alias(f"_tax_{c}") for c in names]), "_key", "left")
 
 
 def _tax(x: DataFrame, name: str) -> Column:
@@ -122,7 +126,7 @@ def _finish(x: DataFrame, as_of: str | None, extra: Sequence[str] = ()) -> DataF
 
 
 def parse_guard_lines(
-    lines: DataFrame, taxonomy: DataFrame | None = None, as_of: str | None = None, line_cap: int = LINE_CAP
+    lines: DataFrame, taxonomy: DataFrame | None = None, as_of: str | None = None, line_cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Guard audit log lines (JSON objects) -> normalised events."""
     good, rejected = _json_split(lines, line_cap)
@@ -152,7 +156,7 @@ def parse_gate_lines(
     taxonomy: DataFrame | None = None,
     as_of: str | None = None,
     parity: bool = False,
-    line_cap: int = LINE_CAP,
+    line_cap: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Firewall signal lines -> events; always blocked. ``parity=True`` drops
     the signal's own timestamp like the studied tool (time = as_of)."""
@@ -173,11 +177,11 @@ def parse_gate_lines(
         F.lit(True).alias("blocked"),
         ts.alias("timestamp"),
         F.coalesce(F.nullif(_tax(x, "base_risk").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("risk_score"),
-        signal.alias("signal_type"),
-        safe_int(F.col("_v"), "$.weight").alias("weight"),
-        safe_int(F.col("_v"), "$.score").alias("score"),
-        F.coalesce(_vs("$.action"), F.lit("")).alias("action"),
-        F.coalesce(_vs("$.user_agent"), F.lit("")).alias("user_agent"),
+        signal.alias("_signal_type"),
+        safe_int(F.col("_v"), "$.weight").alias("_weight"),
+        safe_int(F.col("_v"), "$.score").alias("_score"),
+        F.coalesce(_vs("$.action"), F.lit("")).alias("_action"),
+        F.coalesce(_vs("$.user_agent"), F.lit("")).alias("_user_agent"),
         F.col("_line").alias("raw_json"),
     )
     ev = _finish(x, as_of)
@@ -206,65 +210,84 @@ def detect_format(lines: DataFrame) -> DataFrame:
     return head.select("file", fmt.alias("format"))
 
 
-def _generic(x: DataFrame, fmt: str, ts: Column, raw: Column, as_of: str | None, extra: Sequence[str] = ()) -> DataFrame:
-    return x.select(
-        "file",
-        "lineno",
+def _generic(x: DataFrame, fmt: str, ts: Column, raw: Column, as_of: str | None, hostname: Column | None = None) -> DataFrame:
+    """Whole event rows with the table's defaults, as for the other sources;
+    ``_file``, ``_lineno``, ``_format`` and ``_hostname`` say where they come from."""
+    rows = x.select(
+        F.col("file").alias("_file"),
+        F.col("lineno").alias("_lineno"),
+        F.lit(fmt).alias("_format"),
+        (F.lit(None).cast("string") if hostname is None else hostname).alias("_hostname"),
         F.lit(GENERIC_SOURCE).alias("source"),
-        F.lit(fmt).alias("format"),
         F.coalesce(ts, as_of_text(as_of)).alias("timestamp"),
         raw.alias("raw_json"),
-        *extra,
     )
+    return with_event_defaults(rows, as_of)
 
 
-def parse_jsonl(lines: DataFrame, as_of: str | None = None, line_cap: int = LINE_CAP) -> tuple[DataFrame, DataFrame]:
+def parse_jsonl(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """timestamp = timestamp -> time -> @timestamp -> as_of; raw = the object."""
     good, rejected = _json_split(lines, line_cap)
     ts = F.coalesce(_vs("$.timestamp"), _vs("$.time"), _vs("$['@timestamp']"))
     return _generic(good, "jsonl", ts, F.col("_line"), as_of), rejected
 
 
-def parse_syslog(lines: DataFrame, as_of: str | None = None, year: int | None = None, line_cap: int = LINE_CAP) -> DataFrame:
+def parse_syslog(lines: DataFrame, as_of: str | None = None, year: int | None = None, line_cap: int | None = None) -> DataFrame:
     """RFC-3164-like lines -> events; without ``year`` the time stays text
     (it has no year); with ``year`` it is parsed to a real time."""
-    x = _clean(lines, line_cap).where(F.length("_line") > 0).withColumn("_s", syslog_fields(F.col("_line")))
+    x = _clean(lines, line_cap).withColumn("_s", syslog_fields(F.col("_line")))
     ts = F.nullif(F.col("_s.timestamp"), F.lit(""))
     if year is not None:
         norm = F.regexp_replace(ts, r"\s+", " ")
         parsed = F.try_to_timestamp(F.concat(F.lit(f"{year} "), norm), F.lit("yyyy MMM d HH:mm:ss"))
         ts = F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ts)
-    raw = F.to_json(F.col("_s"))
-    return _generic(x.withColumn("hostname", F.col("_s.hostname")), "syslog", ts, raw, as_of, ["hostname"])
+    return _generic(x, "syslog", ts, F.to_json(F.col("_s")), as_of, F.col("_s.hostname"))
 
 
-def parse_plain(lines: DataFrame, as_of: str | None = None, line_cap: int = LINE_CAP) -> DataFrame:
+def parse_plain(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> DataFrame:
     """Each non-blank line -> {line, lineno}; time = as_of."""
-    x = _clean(lines, line_cap).where(F.length("_line") > 0)
+    x = _clean(lines, line_cap)
     raw = F.to_json(F.struct(F.col("_line").alias("line"), F.col("lineno")))
     return _generic(x, "plain", F.lit(None).cast("string"), raw, as_of)
 
 
-def parse_csv(lines: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Header line + records per file; raw = all columns as a JSON object,
-    timestamp = timestamp -> time -> as_of. Blank lines are skipped; quoted
-    fields with commas are handled, quoted line breaks are not."""
-    header = lines.where(F.col("lineno") == 1).select(
-        "file", F.transform(F.split(strip_ws(F.col("value")), ","), lambda h: F.trim(h)).alias("_hdr")
-    )
-    body = lines.where((F.col("lineno") > 1) & (F.length(strip_ws(F.col("value"))) > 0))
-    width = 64
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rec = body.join(header, "file").withColumn("_rec", F.from_csv(F.col("value"), schema))
-    vals = F.array(*[F.col(f"_rec.c{i}") for i in range(width)])
-    fields = F.map_from_arrays(F.col("_hdr"), F.slice(vals, 1, F.size(F.col("_hdr"))))
-    x = rec.withColumn("_m", fields)
-    ts = F.coalesce(F.try_element_at(F.col("_m"), F.lit("timestamp")), F.try_element_at(F.col("_m"), F.lit("time")))
-    return _generic(x, "csv", ts, F.to_json(F.col("_m")), as_of)
+# A field of a comma-separated line: quoted (a doubled quote stands for one) or bare.
+_CSV_FIELD = r'("(?:[^"]|"")*"[^,]*|[^,]*),'
+
+
+def csv_fields(line: Column) -> Column:
+    """Fields of a comma-separated line, of any number."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CSV_FIELD), 1)
+    return F.transform(found, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(F.regexp_replace(f, r'\A"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def parse_csv(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> DataFrame:
+    """Records under each file's header, its first line that is not blank.
+
+    raw = all columns as a JSON object (of columns with one name the last counts;
+    fields beyond the header are kept as a list under "null"; missing ones are
+    null), timestamp = timestamp -> time -> as_of. Blank lines are skipped, header
+    names may be quoted, and lines have any number of fields. A quoted line break
+    is not taken for part of a field: lines come one by one."""
+    some = _clean(lines, line_cap)
+    first = some.groupBy("file").agg(F.min(F.struct("lineno", "value")).alias("_h"))
+    header = first.select("file", F.col("_h.lineno").alias("_first"), F.transform(csv_fields(F.col("_h.value")), strip_ws).alias("_hdr"))
+    x = some.join(header, "file").where(F.col("lineno") > F.col("_first")).withColumn("_fields", csv_fields(F.col("value")))
+    width = F.size("_hdr")
+    # the last column of each name, in order of the names' last places
+    named = F.transform("_hdr", lambda h, i: F.struct(h.alias("name"), F.get("_fields", i).alias("value"), i.alias("i")))
+    last = F.filter(named, lambda e: ~F.exists(F.slice("_hdr", e["i"] + 2, width), lambda h: h == e["name"]))
+    x = x.withColumn("_last", last)
+    pairs = F.transform("_last", lambda e: F.concat(json_quote(e["name"]), F.lit(": "), json_quote(e["value"])))
+    rest = F.transform(F.slice("_fields", width + 1, F.greatest(F.size("_fields") - width, F.lit(0))), json_quote)
+    more = F.when(F.size("_fields") > width, F.array(F.concat(F.lit('"null": ['), F.array_join(rest, ", "), F.lit("]")))).otherwise(F.array().cast("array<string>"))
+    raw = F.concat(F.lit("{"), F.array_join(F.concat(pairs, more), ", "), F.lit("}"))
+    value = lambda name: F.get(F.filter("_last", lambda e: e["name"] == name), F.lit(0))["value"]
+    return _generic(x, "csv", F.coalesce(value("timestamp"), value("time")), raw, as_of)
 
 
 def parse_generic_lines(
-    lines: DataFrame, fmt: str = "auto", as_of: str | None = None, year: int | None = None, line_cap: int = LINE_CAP
+    lines: DataFrame, fmt: str = "auto", as_of: str | None = None, year: int | None = None, line_cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Dispatch per file on the detected (or given) format and union the branches."""
     if fmt == "auto":
@@ -274,10 +297,11 @@ def parse_generic_lines(
         tagged = lines.withColumn("format", F.lit(fmt))
     pick = lambda f: tagged.where(F.col("format") == f).drop("format")
     jl, rejected = parse_jsonl(pick("jsonl"), as_of, line_cap)
-    parts = [jl, parse_csv(pick("csv"), as_of), parse_syslog(pick("syslog"), as_of, year, line_cap), parse_plain(pick("plain"), as_of, line_cap)]
+    rejected = rejected.unionByName(_too_long(tagged.where(F.col("format") != "jsonl").drop("format"), line_cap))
+    parts = [jl, parse_csv(pick("csv"), as_of, line_cap), parse_syslog(pick("syslog"), as_of, year, line_cap), parse_plain(pick("plain"), as_of, line_cap)]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        out = out.unionByName(p)
     return out, rejected
 
 
@@ -289,7 +313,7 @@ def read_gate_signals(spark: SparkSession, paths, taxonomy: DataFrame | None = N
     return parse_gate_lines(read_lines(spark, paths), taxonomy, as_of, parity)
 
 
-def read_generic_log(spark: SparkSession, paths, fmt: str = "auto", max_line_length: int = LINE_CAP, as_of: str | None = None, year: int | None = None):
+def read_generic_log(spark: SparkSession, paths, fmt: str = "auto", max_line_length: int | None = None, as_of: str | None = None, year: int | None = None):
     return parse_generic_lines(read_lines(spark, paths), fmt, as_of, year, max_line_length)
 
 
@@ -298,9 +322,11 @@ def ingest_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
 
 
-def union_sources(*frames: DataFrame) -> DataFrame:
-    """Bag union of reader outputs into one event frame (missing columns NULL)."""
-    out = frames[0]
-    for f in frames[1:]:
+def union_sources(*frames: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Bag union of reader outputs into one event frame; columns that a reader does
+    not have get the event table's defaults (provenance columns are NULL)."""
+    whole = [f if set(EVENT_COLUMNS) <= set(f.columns) else with_event_defaults(f, as_of) for f in frames]
+    out = whole[0]
+    for f in whole[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out

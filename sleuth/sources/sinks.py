@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty
 from sleuth.functions.schema import EVENT_COLUMNS, with_event_defaults
-from sleuth.plans.ordering import SEQ, drop_layout, sequence
+from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, sequence
 
 EXPORT_SOURCE = "forensics"  # the "source" tag of exported payloads
 
@@ -28,24 +28,26 @@ def append_events(df: DataFrame, path: str, as_of: str | None = None, order: Seq
     """Append events with defaults to the Parquet event table at ``path``.
 
     Ids continue after the table's largest id, in ``order`` (file, line by
-    default). The write is one job: either all rows land or none (the
-    committer renames only on success). Layout: partitioned by event date and
-    source, sorted by (epoch, id) inside files so time-range filters prune
-    row groups.
+    default), which must tell rows apart. The write is one job: either all rows
+    land or none (the committer renames only on success). One writer at a time.
+    Layout: partitioned by event date and source; rows are range-partitioned by
+    date, source, epoch and id, so that a busy day and source spreads over tasks
+    and time-range filters prune files and row groups.
     """
     spark = df.sparkSession
     ev = with_event_defaults(df, as_of)
-    try:
-        base = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - no table yet
-        base = 0
-    order = [c for c in order if c in ev.columns] or ["timestamp"]
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    base = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) if exists else 0
+    missing = [c for c in order if c not in ev.columns]
+    if missing:
+        raise ValueError(f"columns that order the rows are missing: {missing}")
     ev = ev.drop("id")
     ev = assign_ids(ev, order, base)
     out = ev.select(*EVENT_COLUMNS).withColumn("event_date", F.coalesce(F.to_date("event_ts"), F.lit("1970-01-01").cast("date")))
     (
-        out.repartition("event_date", "source")
-        .sortWithinPartitions("epoch", "id")
+        out.repartitionByRange(num_partitions(df), "event_date", "source", "epoch", "id")
+        .sortWithinPartitions("event_date", "source", "epoch", "id")
         .write.mode("append")
         .partitionBy("event_date", "source")
         .parquet(path)

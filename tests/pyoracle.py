@@ -1,16 +1,15 @@
-"""Plain-Python statements of the analysis semantics, used as test oracles
-for random event lists (sequential loops, no Spark)."""
+"""The analyses stated on sorted lists (no Spark), as test oracles for random events."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from datetime import datetime
+from itertools import accumulate, groupby
 
 
 def to_epoch(text):
     try:
-        if text is None or len(text) < 10 or not (text[:4].isdigit() and text[4] == "-"):
-            return 0.0
-        return datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp()
+        return datetime.fromisoformat(text.replace("Z", "+00:00")).timestamp() if text and text[:4].isdigit() and text[4:5] == "-" else 0.0
     except ValueError:
         return 0.0
 
@@ -20,65 +19,42 @@ def text_sorted(events):
 
 
 def epoch_sorted(events):
-    return sorted(text_sorted(events), key=lambda e: to_epoch(e["timestamp"]))
+    return sorted(events, key=lambda e: (to_epoch(e["timestamp"]), e["timestamp"], e["id"]))
+
+
+def windows(items, n):
+    return zip(*(items[k:] for k in range(n)), strict=False)
 
 
 def bursts(events, threshold=0.5):
-    ev = text_sorted(events)
-    out = []
-    for i in range(2, len(ev)):
-        a, b = to_epoch(ev[i - 2]["timestamp"]), to_epoch(ev[i]["timestamp"])
-        if a and b:
-            el = b - a
-            if el > 0 and 3.0 / el > threshold:
-                out.append((ev[i]["id"], min(10.0, 3.0 / el * 2)))
-    return out
+    rates = ((c["id"], to_epoch(a["timestamp"]), to_epoch(c["timestamp"])) for a, _, c in windows(text_sorted(events), 3))
+    return [(i, min(10.0, 3.0 / (t1 - t0) * 2)) for i, t0, t1 in rates if t0 and t1 and t1 > t0 and 3.0 / (t1 - t0) > threshold]
 
 
 def repetitions(events, first_only=False):
-    ev = text_sorted(events)
-    out = []
-    for i in range(4, len(ev)):
-        if len({e["event_type"] for e in ev[i - 4 : i + 1]}) == 1:
-            out.append(ev[i]["id"])
-            if first_only:
-                break
-    return out
+    hits = [five[-1]["id"] for five in windows(text_sorted(events), 5) if all(e["event_type"] == five[0]["event_type"] for e in five)]
+    return hits[:1] if first_only else hits
 
 
 def chains(events):
+    """Runs of blocked events of length three or more, reported at the event that
+    follows (or at the last one, at the end)."""
     ev = text_sorted(events)
-    out, streak = [], 0
-    for e in ev:
-        if e.get("blocked"):
-            streak += 1
-        else:
-            if streak >= 3:
-                out.append((e["id"], streak, False))
-            streak = 0
-    if streak >= 3:
-        out.append((ev[-1]["id"], streak, True))
-    return out
+    runs = [(bool(k), len(list(g))) for k, g in groupby(ev, key=lambda e: bool(e.get("blocked")))]
+    stops = accumulate(n for _, n in runs)
+    return [(ev[min(stop, len(ev) - 1)]["id"], n, stop == len(ev)) for (blocked, n), stop in zip(runs, stops, strict=True) if blocked and n >= 3]
 
 
 def groups(events, window):
+    """(first event, size) of the groups, jumping from anchor to anchor."""
     ev = epoch_sorted(events)
-    if not ev:
-        return []
-    res, cur = [], [ev[0]]
-    for e in ev[1:]:
-        if to_epoch(e["timestamp"]) - to_epoch(cur[0]["timestamp"]) <= window:
-            cur.append(e)
-        else:
-            res.append(cur)
-            cur = [e]
-    res.append(cur)
-    return [(g[0]["id"], len(g)) for g in res]
+    times, out, at = [to_epoch(e["timestamp"]) for e in ev], [], 0
+    while at < len(ev):
+        beyond = bisect_right(times, window, lo=at, key=lambda t, t0=times[at]: t - t0)
+        out.append((ev[at]["id"], beyond - at))
+        at = beyond
+    return out
 
 
 def per_key(fn, events, key="agent_id", **kw):
-    keys = sorted({e[key] for e in events})
-    out = []
-    for k in keys:
-        out.extend(fn([e for e in events if e[key] == k], **kw))
-    return out
+    return [x for k in sorted({e[key] for e in events}) for x in fn([e for e in events if e[key] == k], **kw)]

@@ -6,14 +6,15 @@ from sleuth.operators import anomalies as A
 from tests.conftest import make_events, ts
 from tests import pyoracle as O
 
-SAMPLE = [  # seven sample events, inserted out of time order
-    dict(source="mcpguard", event_type="tool_call", severity="low", target="/etc/passwd", blocked=False, timestamp="2025-01-15T10:00:00Z", risk_score=2.0),
-    dict(source="mcpguard", event_type="tool_call", severity="high", target="cat /etc/shadow", blocked=True, timestamp="2025-01-15T10:00:05Z", risk_score=7.5),
-    dict(source="agentgate", event_type="policy_violation", severity="high", target="no_sensitive_file_access", blocked=True, timestamp="2025-01-15T10:00:06Z", risk_score=8.5),
-    dict(source="mcpguard", event_type="tool_call", severity="critical", target="https://external.example.com/exfil", blocked=True, timestamp="2025-01-15T10:00:10Z", risk_score=9.8),
-    dict(source="mcpguard", event_type="tool_call", severity="low", target="/var/log/app.log", blocked=False, timestamp="2025-01-15T10:00:03Z", risk_score=1.0),
-    dict(source="mcpguard", event_type="tool_call", severity="high", target="/tmp/exploit.sh", blocked=True, timestamp="2025-01-15T10:00:08Z", risk_score=8.0),
-    dict(source="agentgate", event_type="policy_violation", severity="medium", target="rate_limit", blocked=True, timestamp="2025-01-15T10:00:12Z", risk_score=6.0),
+# Own events, inserted out of time order: risks around 8 and 9, three in a row within
+# two seconds, and a run of blocked events that is still open at the end.
+MIXED = [
+    dict(source="proxy", event_type="query", blocked=False, timestamp=ts(40), risk_score=8.999),
+    dict(source="proxy", event_type="query", blocked=True, timestamp=ts(42), risk_score=1.0),
+    dict(source="guard", event_type="login", blocked=False, timestamp=ts(0), risk_score=7.999),
+    dict(source="guard", event_type="login", blocked=False, timestamp=ts(20), risk_score=8.0),
+    dict(source="guard", event_type="upload", blocked=True, timestamp=ts(41), risk_score=9.0),
+    dict(source="proxy", event_type="upload", blocked=True, timestamp=ts(90), risk_score=None),
 ]
 
 
@@ -21,14 +22,13 @@ def _rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_sample_events(spark):
-    ev = make_events(spark, SAMPLE)
-    hr = _rows(A.high_risk(ev), "id", "anomaly_severity", "score")
-    assert hr == [(3, "high", 8.5), (4, "critical", 9.8), (6, "high", 8.0)]
-    bursts = _rows(A.high_frequency(ev), "id", "score")
-    assert [b[0] for b in bursts] == [2, 3, 4, 6, 7] and len(bursts) == 5
+def test_mixed_events(spark):
+    ev = make_events(spark, MIXED)
+    assert _rows(A.high_risk(ev), "id", "anomaly_severity", "score") == [(1, "high", 8.999), (4, "high", 8.0), (5, "critical", 9.0)]
+    # by time: 3, 4, 1, 5, 2, 6; only 1, 5, 2 lie within two seconds
+    assert _rows(A.high_frequency(ev), "id", "score") == [(2, 3.0)]
     ch = A.blocked_chain(ev).collect()
-    assert len(ch) == 1 and ch[0]["id"] == 7 and ch[0]["score"] == 10.0 and ch[0]["description"].endswith(" at end")
+    assert [(c["id"], c["run_length"], c["score"], c["at_end"]) for c in ch] == [(6, 3, 6.0, True)] and ch[0]["description"].endswith(" at end")
     assert A.repetition(ev).count() == 0
 
 

@@ -48,3 +48,33 @@ def test_random_against_python_oracle(spark):
         assert got == sorted(O.groups(evs, w))
         got_k = sorted((r["group_id"], r["event_count"]) for r in correlate(df, w, ["agent_id"]).collect())
         assert got_k == sorted(O.per_key(O.groups, evs, window=w))
+
+
+def test_one_island_is_split_over_many_tasks(spark):
+    """All events lie within the window of their neighbours (one island); pieces of
+    the order are labelled apart, and no task has twice the average rows."""
+    rnd = random.Random(3)
+    evs = [dict(id=i + 1, timestamp=ts(round(rnd.uniform(0, 4000), 3)), agent_id="hot" if rnd.random() < 0.8 else "cold") for i in range(4000)]
+    df = make_events(spark, [{k: v for k, v in e.items() if k != "id"} for e in evs])
+    for w, keys in ((37.5, []), (600, []), (50, ["agent_id"])):
+        g = assign_groups(df, w, keys)
+        per_task = [n for n in g.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(per_task) >= 6 and max(per_task) < 2 * sum(per_task) / len(per_task)
+        got = sorted((r["group_id"], r["event_count"]) for r in correlate(df, w, keys).collect())
+        assert got == sorted(O.per_key(O.groups, evs, window=w) if keys else O.groups(evs, w))
+
+
+def test_pieces_of_every_kind(spark, monkeypatch):
+    """Regular times (chains that never meet), empty stretches, many small keys."""
+    monkeypatch.setattr("sleuth.operators.correlate.num_partitions", lambda df: 9)
+    cases = [
+        [(t, "a") for t in range(0, 600)],
+        [(t, "a") for t in (*range(0, 50), *range(5000, 5050, 5), 9000)],
+        [(t % 40, str(t // 12)) for t in range(300)],
+    ]
+    for rows in cases:
+        evs = [dict(id=i + 1, timestamp=ts(t), agent_id=k) for i, (t, k) in enumerate(rows)]
+        df = make_events(spark, [{k: v for k, v in e.items() if k != "id"} for e in evs])
+        for w in (0, 7, 60):
+            got = sorted((r["group_id"], r["event_count"]) for r in correlate(df, w, ["agent_id"]).collect())
+            assert got == sorted(O.per_key(O.groups, evs, window=w))
