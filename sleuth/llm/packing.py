@@ -28,6 +28,7 @@ from .tokens import default_tokenizer, encode_texts
 WINDOW = 1024
 SHARD_BYTES = 24 << 20  # of text in a shard, about
 TERMS = 12  # most telling terms of a seed that are looked up
+NEAREST = 64  # neighbours that are sorted at first
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -54,23 +55,23 @@ class Index:
         self.doc, self.post = doc[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a telling term, best first (ties: by place)."""
+    def neighbours(self, seed: int, used: np.ndarray, top: int | None = None) -> np.ndarray:
+        """Unused documents that share a telling term, best first (ties: by place);
+        all of them, or the ``top`` best."""
         terms = self.terms[self.first[seed] : self.first[seed + 1]]
         weight = np.where(self.df[terms] > 1, self.weight[self.first[seed] : self.first[seed + 1]], 0)
         if len(terms) > TERMS:
-            top = np.argpartition(-weight, TERMS)[:TERMS]
-            terms, weight = terms[top], weight[top]
+            best = np.argpartition(-weight, TERMS)[:TERMS]
+            terms, weight = terms[best], weight[best]
         spans = [(self.at[t], self.at[t + 1]) for t, w in zip(terms.tolist(), weight.tolist(), strict=True) if w > 0]
         if not spans:
             return np.zeros(0, np.int64)
-        docs = np.concatenate([self.doc[a:b] for a, b in spans])
-        post = np.concatenate([self.post[a:b] for a, b in spans])
-        free = ~used[docs]
-        docs, post = docs[free], post[free]
-        ids, where = np.unique(docs, return_inverse=True)
-        score = np.bincount(where, weights=post, minlength=len(ids))
-        return ids[np.argsort(-score, kind="stable")]
+        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.post[a:b] for a, b in spans]), minlength=self.n)
+        score[used] = 0
+        ids = np.flatnonzero(score)
+        if top is not None and len(ids) > top:
+            ids = np.sort(ids[np.argpartition(-score[ids], top)[:top]])
+        return ids[np.argsort(-score[ids], kind="stable")]
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -99,14 +100,18 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 
             offset += put(seed, window)
             long = None
-            near = index.neighbours(seed, used) if offset < window else []
-            for k in near:
-                if offset == window:
+            for top in (NEAREST, None):  # the best few fill most windows
+                near = index.neighbours(seed, used, top) if offset < window else []
+                while offset < window and len(near):
+                    fits = left[near] <= window - offset
+                    k = int(fits.argmax()) if fits.any() else len(near)
+                    if k and long is None:
+                        long = near[0]  # the best of those that are too long
+                    if k < len(near):
+                        offset += put(near[k], window - offset)
+                    near = near[k + 1 :]
+                if long is not None:
                     break
-                if left[k] <= window - offset:
-                    offset += put(k, window - offset)
-                elif long is None:
-                    long = k
             k = seed
             while offset < window:
                 if long is None:  # no neighbour is left: the next unused documents
