@@ -4,8 +4,8 @@ Noisy channel: a writer may replace letters by look-alikes, set letters apart,
 or repeat them. Every token in which that may have happened becomes a lattice of
 the letters each character may stand for, and Viterbi decoding finds its most
 likely reading under a character trigram model of the corpus, where each kind
-of change costs. The model counts the letters of all texts; a reading replaces
-the token, and the token stays beside it, so nothing is lost by a wrong reading.
+of change costs. The model counts the letters of all texts; a text is scored with
+the readings beside it, so nothing is lost by a wrong one.
 
 Score: hashed words, their beginnings and letter 4- and 5-grams (with word
 bounds) are set features of the restored text. Those that mark toxic rows beyond chance, in a
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -123,10 +122,11 @@ def smoothed(total: np.ndarray) -> np.ndarray:
 
 
 # ---- decoding ----
-_SPACED = r"(?<![^\W\d_])[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_](?![^\W\d_])){2,}"
-_MIXED = r"\S*(?:[^\W\d_][0-9@$!|+*#€(<%^~_.'\-]+[^\W\d_]|(?<!\S)[0-9@$!|+€(][0-9@$!|+*#€(]*[^\W\d_]|[^\W\d_][0-9@$!|+€](?!\S))\S*"
-_REPEATED = r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-SUSPECT = re.compile(f"{_SPACED}|{_MIXED}|{_REPEATED}")
+_WITHIN = b"0123456789@$!|+*#(<%^~_.'-"  # between letters
+_OUTER = b"0123456789@$!|+("  # at either end of a token
+_SYMBOL, _END_SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
+_SYMBOL[list(_WITHIN)] = _END_SYMBOL[list(_OUTER)] = True
+_EDGE = "\"`,;:?)]}>([{<"  # marks around a token that are no part of it
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -173,60 +173,120 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.read = functools.lru_cache(maxsize=100_000)(lambda token: decode(token, model))
 
-    def restore(self, text: str) -> str:
-        """The lower-cased text with the reading of each suspect token after it."""
+    def readings(self, text: str) -> str:
+        """Readings of one text's suspect tokens, joined with spaces."""
+        return self.of_chunk(pa.array([text], pa.large_string()))[0]
+
+    def of_chunk(self, texts: pa.Array) -> list[str]:
+        """The same for every text of a chunk: suspects are found on its bytes."""
+        from .words import _offsets, words_of
+
+        out: list[list[str]] = [[] for _ in range(len(texts))]
+        w = words_of(texts)
+        if not len(w.start):
+            return [""] * len(texts)
+        offsets = _offsets(texts)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        low = lowered(raw)
+        letter = is_letter(low)
+        symbol = _SYMBOL[raw]
+        n = len(raw)
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        first[w.start], last[w.end - 1] = True, True
+        mark = np.zeros(n, bool)
+        mark[1:-1] = symbol[1:-1] & (letter[:-2] | symbol[:-2]) & (letter[2:] | symbol[2:]) & ~first[1:-1] & ~last[1:-1]
+        outer = _END_SYMBOL[raw]
+        mark[:-1] |= outer[:-1] & first[:-1] & letter[1:]
+        mark[1:] |= outer[1:] & last[1:] & letter[:-1] & (raw[1:] != ord("!"))
+        mark[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (raw[2:] < 128)
+        tokens = np.unique(np.searchsorted(w.start, np.flatnonzero(mark), side="right") - 1)
+        letters = np.concatenate([[0], np.cumsum(letter)])
+        has = letters[w.end[tokens]] - letters[w.start[tokens]]
+        row = np.searchsorted(w.first, tokens, side="right") - 1
+        for t, r, some in zip(tokens.tolist(), row.tolist(), has.tolist(), strict=True):
+            if some:
+                token = raw[w.start[t] : w.end[t]].tobytes().decode("utf-8", "surrogatepass").lower().strip(_EDGE).rstrip(".!")
+                self._add(out[r], token)
+        # letters set apart: three or more tokens of one letter (and marks) in a row
+        single = (w.end - w.start == 1) & letter[w.start]
+        runs = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
+        for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
+            if b - a >= 3:
+                for r in range(int(np.searchsorted(w.first, a, side="right")) - 1, int(np.searchsorted(w.first, b - 1, side="right"))):
+                    x, y = max(a, int(w.first[r])), min(b, int(w.first[r + 1]))
+                    if y - x >= 3:
+                        out[r].append(self.read(" ".join(raw[w.start[t] : w.end[t]].tobytes().decode().lower() for t in range(x, y))))
+        return [" ".join(x) for x in out]
+
+    def _add(self, out: list[str], token: str) -> None:
+        reading = self.read(token) if token else ""
+        if reading and reading != token:
+            out.append(reading)
 
-        def both(m: re.Match) -> str:
-            reading = self.read(m[0])
-            return f"{m[0]} {reading} " if reading and reading != m[0] else m[0]
 
-        return SUSPECT.sub(both, text.lower())
+# ---- features ----
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 text with A-Z and the capitals of Latin-1 in lower case."""
+    from .words import _LOWER
 
+    low = _LOWER[raw]
+    after = np.flatnonzero(raw[:-1] == 0xC3) + 1 if len(raw) else np.zeros(0, np.int64)
+    after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E) & (raw[after] != 0x97)]
+    low[after] += 0x20
+    return low
+
+
+def is_letter(low: np.ndarray) -> np.ndarray:
+    """Letters are a-z and all bytes beyond ASCII; the rest counts as a word bound."""
+    return ((low >= 97) & (low <= 122)) | (low >= 128)
+
+
+def _hashed(value: np.ndarray, salt: int) -> np.ndarray:
+    value = (value ^ np.uint32(salt * 0x632BE5AB & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+    return ((value ^ (value >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
-# ---- features ----
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(bucket, row)`` of every feature of restored texts, with repeats."""
-    from .words import _offsets, mix
+
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(buckets, rows)`` of the features of texts, kind by kind, with repeats."""
+    from .words import _offsets
 
     offsets = _offsets(texts)
     data = texts.buffers()[2] if len(texts) else None
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
-    # letters are a-z and bytes of other scripts; all else counts as a word bound
-    letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
-    low = np.where(letter, raw, 0).astype(np.uint64)
+    low = lowered(raw)
+    low = np.where(is_letter(low), low, 0).astype(np.uint8)
     low = np.insert(low, np.stack([bounds[:-1], bounds[1:]], axis=1).reshape(-1), 0)  # a bound before and after each text
-    row = np.repeat(np.arange(len(texts)), np.diff(bounds) + 2)
-    low, row = np.append(low, [0] * 5).astype(np.uint64), np.append(row, [-1] * 5)
-    found, rows = [], []
-    four = (low[:-3] << np.uint64(24)) | (low[1:-2] << np.uint64(16)) | (low[2:-1] << np.uint64(8)) | low[3:]
-    for n, value in ((4, four), (5, (four[:-1] << np.uint64(8)) | low[4:])):
-        # bounds may stand first or last, but not inside
-        inner = np.ones(len(value), bool)
-        for k in range(1, n - 1):
-            inner &= low[k : k + len(value)] != 0
-        keep = np.flatnonzero(inner & (row[: len(value)] == row[n - 1 : n - 1 + len(value)]))
-        found.append(mix(value[keep] * np.uint64(8) + np.uint64(n)))
-        rows.append(row[keep])
-    # whole words: the sum of mixed (letter, place) pairs between bounds
-    is_letter = low != 0
-    start = np.flatnonzero(is_letter[1:] & ~is_letter[:-1]) + 1
-    if len(start):
-        place = np.arange(len(low)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(low)]])))
-        term = np.where(is_letter, mix(low + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)), np.uint64(0))
-        found.append(mix(np.add.reduceat(term, start)))
-        rows.append(row[start])
-        head = np.zeros(len(start), np.uint64)  # beginnings of words
-        own = np.ones(len(start), bool)
-        for k in range(max(PREFIXES)):
-            byte = low[np.minimum(start + k, len(low) - 1)]
-            own &= byte != 0
-            head = (head << np.uint64(8)) | byte
-            if k + 1 in PREFIXES:
-                found.append(mix(head[own] * np.uint64(8) + np.uint64(k + 1)))
-                rows.append(row[start][own])
-    found, rows = np.concatenate(found), np.concatenate(rows)
-    return (found & np.uint64(BUCKETS - 1)).astype(np.int64), rows
+    low = np.append(low, np.zeros(max(8, max(PREFIXES)), np.uint8))
+    ends = bounds[1:] + 2 * np.arange(1, len(texts) + 1)  # of texts with their bounds
+
+    def row(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(ends, at, side="right")
+
+    wide = low.astype(np.uint32)
+    solid = low != 0
+    inner = solid[1:-2] & solid[2:-1]
+    four = (wide[:-3] << np.uint32(24)) | (wide[1:-2] << np.uint32(16)) | (wide[2:-1] << np.uint32(8)) | wide[3:]
+    at = np.flatnonzero(inner)  # bounds may stand first or last in an n-gram, but not inside
+    yield _hashed(four[at], 4), row(at)
+    at = np.flatnonzero(inner[:-1] & solid[3:-1])
+    yield _hashed(four[at] * np.uint32(0x01000193) + wide[at + 4], 5), row(at)
+    start = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    if not len(start):
+        return
+    # whole words: sums of hashed (letter, place) pairs from one bound to the next
+    place = (np.arange(len(low)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(low)]])))).astype(np.uint32)
+    term = (wide + (place << np.uint32(8))) * np.uint32(0xC2B2AE3D)
+    term = np.where(solid, (term ^ (term >> np.uint32(13))) * np.uint32(0x27D4EB2F), np.uint32(0))
+    rows = row(start)
+    yield _hashed(np.add.reduceat(term, start, dtype=np.uint32), 1), rows
+    head, own = np.zeros(len(start), np.uint32), np.ones(len(start), bool)  # beginnings of words
+    for k in range(max(PREFIXES)):
+        byte = wide[start + k]
+        own &= byte != 0
+        head = head * np.uint32(0x01000193) + byte
+        if k + 1 in PREFIXES:
+            yield _hashed(head[own], 10 + k), rows[own]
 
 
 class Model(NamedTuple):
@@ -236,22 +296,30 @@ class Model(NamedTuple):
     curve: tuple[float, float, float]  # of the largest weight, of the weights' sum, constant
 
 
-def totals(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_of(texts: pa.Array, restorer: Restorer, weights: np.ndarray | None = None) -> np.ndarray:
+    """Distinct ``row * BUCKETS + bucket`` of the texts and of their suspects'
+    readings; with weights, of weighted features only."""
+    found = []
+    for part in (texts, pa.array(restorer.of_chunk(texts), pa.large_string())):
+        for bucket, row in features(part):
+            bucket = bucket.astype(np.int64)
+            if weights is not None:
+                hit = np.flatnonzero(weights[bucket])
+                bucket, row = bucket[hit], row[hit]
+            found.append(row * BUCKETS + bucket)
+    return np.unique(np.concatenate(found))
+
+
+def totals(texts: pa.Array, restorer: Restorer, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Largest weight among each restored text's features, and the logarithm of
     1 + the sum over its distinct ones."""
-    bucket, row = features(texts)
-    hit = np.flatnonzero(weights[bucket])
-    pair = np.unique(row[hit] * BUCKETS + bucket[hit])
+    pair = pairs_of(texts, restorer, weights)
     row, found = pair // BUCKETS, weights[pair % BUCKETS]
     most = np.zeros(len(texts))
     np.maximum.at(most, row, found)
     return most, np.log1p(np.bincount(row, weights=found, minlength=len(texts)))
 
 
-def _restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
-    return pa.array([restorer.restore(t) for t in texts.to_pylist()], pa.large_string())
-
-
 def _train(letters: np.ndarray):
     """Rows of the sample that have each feature, by label."""
 
@@ -262,8 +330,7 @@ def _train(letters: np.ndarray):
         for batch in batches:
             texts, toxic = as_strings(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
             for i, j in text_chunks(texts, 4 << 20):
-                bucket, row = features(_restored(texts.slice(i, j - i), restorer))
-                pair = np.unique(row * BUCKETS + bucket)
+                pair = pairs_of(texts.slice(i, j - i), restorer)
                 bucket, label = pair % BUCKETS, toxic[i:j][pair // BUCKETS]
                 found, at = np.unique(bucket, return_inverse=True)
                 yes = np.bincount(at, weights=label, minlength=len(found)).astype(np.int64)
@@ -287,7 +354,7 @@ def _sums(model: Model):
         for batch in batches:
             texts = as_strings(batch.column(0))
             for i, j in text_chunks(texts, 1 << 20):
-                most, total = totals(_restored(texts.slice(i, j - i), restorer), weights)
+                most, total = totals(texts.slice(i, j - i), restorer, weights)
                 columns = [batch.column(1).slice(i, j - i), pa.array(most, pa.float64()), pa.array(total, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names[1:] + ["most", "total"])
 
@@ -329,7 +396,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
         base = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return Model(letters, np.zeros(0, np.int64), np.zeros(0, np.float32), (0.0, 0.0, math.log(base / (1 - base))))
     chosen = usable.where(((F.col("toxic") == 1) & (F.col("h") < int(part[1] * (1 << 30)))) | ((F.col("toxic") == 0) & (F.col("h") < int(part[0] * (1 << 30)))))
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(chosen.select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("text", "toxic")  # PER_CLASS rows, about
     sample = scratch.write(sample.where("text is not null").withColumn("toxic", F.col("toxic").cast("long")), "sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = float(n.get(1, 0)) or 0.5, float(n.get(0, 0)) or 0.5

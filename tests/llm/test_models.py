@@ -98,12 +98,18 @@ def english():
     [("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("stuuuupid", "stupid"), ("p4th3t1c", "pathetic"), ("st*pid", "stupid"), ("tr@sh", "trash"), ("1d10t", "idiot")],
 )
 def test_obfuscations_are_undone(english, written, meant):
-    assert meant in toxicity.Restorer(english).restore(f"you are {written} you").split()
+    assert meant in toxicity.Restorer(english).readings(f"you are {written} you.").split()
 
 
 def test_clean_words_stay(english):
-    text = "the thing you are reading is all well, too good to be 42"
-    assert toxicity.Restorer(english).restore(text) == text
+    text = "the thing you are reading is all well, too good to be 42. I am a B (see: this)!\nNext\u00a0line, Été"
+    assert toxicity.Restorer(english).readings(text) == ""
+
+
+def test_suspects_do_not_cross_texts(english):
+    restorer = toxicity.Restorer(english)
+    texts = ["a b", "c d i", "d i o t and m0r0n", "", "m0r0n"]
+    assert restorer.of_chunk(pa.array(texts, pa.large_string())) == [restorer.readings(t) for t in texts]
 
 
 def test_viterbi_equals_all_readings(english):
@@ -129,10 +135,16 @@ def test_letter_counts():
 
 
 def test_features_do_not_cross_texts():
-    both, rows = toxicity.features(pa.array(["idiot here", "", "moron"], pa.large_string()))
-    for k, t in enumerate(["idiot here", "", "moron"]):
-        alone, _ = toxicity.features(pa.array([t], pa.large_string()))
-        assert sorted(both[rows == k].tolist()) == sorted(alone.tolist())
+    texts = ["idiot here", "", "moron", "É ètre", "x"]
+    kinds = [list(toxicity.features(pa.array([t], pa.large_string()))) for t in texts]
+    for n, (bucket, row) in enumerate(toxicity.features(pa.array(texts, pa.large_string()))):
+        for k in range(len(texts)):
+            assert bucket[row == k].tolist() == (kinds[k][n][0].tolist() if n < len(kinds[k]) else [])
+
+
+def test_capitals_count_as_small_letters():
+    kinds = [[b.tolist() for b, _ in toxicity.features(pa.array([t], pa.large_string()))] for t in ("ÉTRE Moron", "étre moron")]
+    assert kinds[0] == kinds[1]
 
 
 def test_toxicity_on_the_held_out_fold(spark, tmp_path):
