@@ -41,7 +41,12 @@ def _event_ref(df: DataFrame) -> list[Column]:
 
 
 def _with_seq(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    return df if SEQ in df.columns else sequence(df, TEXT_ORDER, partition_by)
+    """Numbered events with the columns that detectors read or report, no others:
+    whole rows would be shuffled and cached."""
+    if SEQ in df.columns:
+        return df
+    needed = dict.fromkeys([*_ref(df), *TEXT_ORDER, *partition_by, "epoch", "event_type", "blocked", "risk_score"])
+    return sequence(df.select(*needed), TEXT_ORDER, partition_by)
 
 
 def high_risk(df: DataFrame) -> DataFrame:

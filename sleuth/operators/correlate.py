@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sleuth.operators.timeline import EPOCH_ORDER
-from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, sequence
+from sleuth.plans.ordering import SEQ, _keep, drop_layout, num_partitions, sequence
 
 DEFAULT_WINDOW = 60  # seconds; fixed value of the studied tool
 
@@ -214,7 +214,8 @@ def assign_groups(
     key = F.to_json(F.struct(*partition_by), {"ignoreNullFields": "false"}) if partition_by else F.lit("")
     s = s.withColumn("_key", key)
 
-    steps = s.select("_pid", "_key", "epoch", SEQ, "id").mapInPandas(_piece_steps(w), _STEPS).persist()
+    steps = s.select("_pid", "_key", "epoch", SEQ, "id").mapInPandas(_piece_steps(w), _STEPS)
+    steps = _keep(steps)  # read twice; a few rows per piece
     size = max(1, math.isqrt(num_partitions(df)))
     blocks = steps.withColumn("block", F.floor(F.col("piece") / size).cast("long"))
     composed = blocks.groupBy("block").applyInPandas(_composed(w), _STEPS)
