@@ -41,7 +41,7 @@ from .common import Scratch, documents
 from .tokens import default_tokenizer, encode_texts
 
 MAX_BITS = 18
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 64
 PART_BYTES = 32 << 20  # of text in a part, about
 MAGIC = b"HTK1"
@@ -90,14 +90,13 @@ def canonical(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, lengths
 
 
-def decode_table(ids: np.ndarray, bits: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Id and length for every ``max_bits``-bit look-ahead."""
-    symbol, length = np.zeros(1 << max_bits, np.uint32), np.ones(1 << max_bits, np.uint8)
+def decode_table(ids: np.ndarray, bits: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
+    """For every ``max_bits``-bit look-ahead, the id (upper bits) and length (lower 5)."""
+    table = np.ones(1 << max_bits, np.uint32)
     order = np.lexsort((ids, bits))
     spans = np.left_shift(1, max_bits - bits[order])
-    used = int(spans.sum())
-    symbol[:used], length[:used] = np.repeat(ids[order], spans), np.repeat(bits[order], spans)
-    return symbol, length
+    table[: int(spans.sum())] = np.repeat((ids[order] << 5 | bits[order]).astype(np.uint32), spans)
+    return table
 
 
 # ---- blocks ----
@@ -109,11 +108,13 @@ def encode_block(ids: np.ndarray, doc_tokens: np.ndarray, codes: np.ndarray, len
     words = np.zeros(total // 64 + 2, np.uint64)
     if total:
         code, word, room = codes[ids], begin >> 6, 64 - (begin & 63) - n  # room: bits left in the word, negative if it runs over
-        over = room < 0
-        high = np.where(over, code >> np.maximum(-room, 0).astype(np.uint64), code << np.maximum(room, 0).astype(np.uint64))
+        high = code << np.maximum(room, 0).astype(np.uint64)
+        over = np.flatnonzero(room < 0)  # one code a word at most
+        spill = -room[over]
+        high[over] = code[over] >> spill.astype(np.uint64)
         first = np.flatnonzero(np.diff(word, prepend=-1))
         words[word[first]] = np.bitwise_or.reduceat(high, first)
-        words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
+        words[word[over] + 1] |= code[over] << (64 - spill).astype(np.uint64)
     payload = words.astype(">u8").tobytes()[: (total + 7) // 8]
     body = b"".join(
         (
@@ -127,7 +128,7 @@ def encode_block(ids: np.ndarray, doc_tokens: np.ndarray, codes: np.ndarray, len
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def decode_block(block: bytes, symbol: np.ndarray, length: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def decode_block(block: bytes, table: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """``(ids, tokens of each document)``."""
     if block[:4] != MAGIC or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("damaged block")
@@ -139,19 +140,23 @@ def decode_block(block: bytes, symbol: np.ndarray, length: np.ndarray, max_bits:
     raw[:size] = np.frombuffer(block, np.uint8, size, 16 + 4 * docs + 8 * lanes)
     ahead = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     out = np.empty((CHECKPOINT, lanes), np.uint32)
-    mask, base = (1 << max_bits) - 1, 32 - max_bits
+    base = np.int64(32 - max_bits)
+    mask = np.uint32((1 << max_bits) - 1)
     for k in range(CHECKPOINT):
-        seen = (ahead[at >> 3] >> (base - (at & 7)).astype(np.uint32)) & mask
-        out[k] = symbol[seen]
-        at += length[seen]
+        seen = ahead[at >> 3] >> (base - (at & 7)).astype(np.uint32)
+        seen &= mask
+        found = table[seen]
+        out[k] = found
+        at += found & np.uint32(31)
+    out >>= np.uint32(5)
     return out.T.reshape(-1)[:n], doc_tokens
 
 
-def _narrow(path: str):
+def _narrow(path: str) -> np.dtype:
     """The integer type in which ids are kept between jobs."""
     from .tokens import encoder
 
-    return np.dtype("<u2") if len(encoder(path).packed) <= 1 << 16 else np.dtype("<u4")
+    return encoder(path, True).kind
 
 
 def _tokenize(path: str):
@@ -164,7 +169,7 @@ def _tokenize(path: str):
         for batch in batches:
             texts = as_strings(batch.column(1))
             for i, j in text_chunks(texts):
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in encode_texts(texts.slice(i, j - i), path)]
+                ids = encode_texts(texts.slice(i, j - i), path, narrow=True)
                 n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
                 ends = at + np.cumsum(n)
                 part = batch.column(2).slice(i, j - i)
@@ -176,16 +181,22 @@ def _tokenize(path: str):
     return tokenize
 
 
+def _values(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All bytes of a binary column without nulls, as numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def _count(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _narrow(path)
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                ids = np.frombuffer(value.as_buffer(), kind)
-                if int(ids.max()) >= len(total):
-                    total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
-                total += np.bincount(ids, minlength=len(total))
+            if not len(batch):
+                continue
+            found = np.bincount(_values(batch.column(0), kind), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
 
@@ -226,10 +237,10 @@ def _pack(path: str, ids: np.ndarray, bits: np.ndarray):
 
 def _unpack(ids: np.ndarray, bits: np.ndarray):
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, length = decode_table(ids, bits)
+        table = decode_table(ids, bits)
         for batch in batches:
             for start, names, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found, tokens = decode_block(data.as_py(), symbol, length)
+                found, tokens = decode_block(data.as_py(), table)
                 cuts = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
                 found = found.astype("<u4")
                 own = [found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

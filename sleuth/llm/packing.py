@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .tokens import default_tokenizer, encode_texts
+from .tokens import default_tokenizer, encode_texts, encoder
 
 WINDOW = 1024
 SHARD_BYTES = 24 << 20  # of text in a shard, about
@@ -128,12 +128,13 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 
 def _shard(path: str, window: int):
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(path, True).kind
         names: list = []
         docs: list[np.ndarray] = []
         place = 0
         for batch in batches:
             names += batch.column(0).to_pylist()
-            docs += [np.frombuffer(x, "<u4") for x in encode_texts(batch.column(1), path)]
+            docs += [np.frombuffer(x, kind) for x in encode_texts(batch.column(1), path, narrow=True)]
             place = batch.column(2)[0].as_py() if len(batch) else place
         if not docs:
             return
@@ -141,7 +142,7 @@ def _shard(path: str, window: int):
         for i in range(0, len(pieces), 2000):
             part = pieces[i : i + 2000]
             k, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*part, strict=True))
-            ids = [docs[a][b : b + n].tobytes() for a, b, n, _, _ in part]
+            ids = [docs[a][b : b + n].astype("<u4").tobytes() for a, b, n, _, _ in part]
             columns = [
                 pa.array([names[a] for a in k], pa.int64()),
                 pa.array(start),

@@ -16,6 +16,7 @@ import pyarrow as pa
 import regex
 
 END_ID = 0
+SPACE_LETTER = "\u0120"  # how byte-level vocabularies show a space
 MEMO = 400_000  # pieces in a generation of a worker's memo, some 80 MB
 
 
@@ -76,16 +77,20 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers."""
+    """``encode(text)`` gives the ids as little-endian unsigned integers: of 16 bits
+    if the vocabulary allows and ``narrow`` is set, else of 32."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, narrow: bool = False):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.model._resize_cache(0)  # the memos take its place
         self.tokenize = tokenizer.model.tokenize
-        self.packed = [int(i).to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        size = tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if narrow and size <= 1 << 16 else "<u4")
+        self.packed = [int(i).to_bytes(self.kind.itemsize, "little") for i in range(size)]
+        self.end = END_ID.to_bytes(self.kind.itemsize, "little")
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.pieces = _Pieces(self._ids, self._pretoken, {c: self._ids(c) for c in ".,"})
@@ -93,7 +98,10 @@ class Encoder:
         self.line_break = self._ids("\n")
 
     def _pretoken(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            mapped = SPACE_LETTER + part[1:]
+        else:
+            mapped = part.encode().decode("latin-1").translate(self.letters)
         found = self.tokenize(mapped)
         packed = self.packed
         return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
@@ -117,12 +125,11 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, narrow: bool = False) -> Encoder:
+    return Encoder(path, narrow)
 
 
-def encode_texts(texts: pa.Array, path: str) -> list[bytes]:
+def encode_texts(texts: pa.Array, path: str, narrow: bool = False) -> list[bytes]:
     """Ids of each text with the end id last (null: the end id alone)."""
-    encode = encoder(path).encode
-    end = np.array([END_ID], "<u4").tobytes()
-    return [(encode(x) if x else b"") + end for x in texts.to_pylist()]
+    own = encoder(path, narrow)
+    return [own.encode(x) + own.end if x else own.end for x in texts.to_pylist()]

@@ -73,10 +73,10 @@ def test_block_round_trip(docs):
     ids, counts = np.unique(every, return_counts=True)
     bits = huffman.code_lengths(counts)
     block = huffman.encode_block(every, np.array([len(d) for d in docs]), *huffman.canonical(ids, bits))
-    got, sizes = huffman.decode_block(block, *huffman.decode_table(ids, bits))
+    got, sizes = huffman.decode_block(block, huffman.decode_table(ids, bits))
     assert np.array_equal(got, every) and sizes.tolist() == [len(d) for d in docs]
     with pytest.raises(ValueError):
-        huffman.decode_block(block[:20] + bytes([block[20] ^ 1]) + block[21:], *huffman.decode_table(ids, bits))
+        huffman.decode_block(block[:20] + bytes([block[20] ^ 1]) + block[21:], huffman.decode_table(ids, bits))
 
 
 def expected(rows, plain):
