@@ -46,9 +46,11 @@ def metadata_json(m: Column | None) -> Column:
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
-def _parts(evidence_id: Column, data_hash: Column, collector: Column, ts: Column, meta: Column) -> tuple[Column, Column]:
+def _parts(evidence_id: Column, data_hash: Column, collector: Column, ts: Column, meta: Column, action: Column) -> tuple[Column, Column]:
     pre = F.concat(
-        F.lit(f'{{"action": "{ACTION}", "collector": '),
+        F.lit('{"action": '),
+        json_quote(action),
+        F.lit(', "collector": '),
         json_quote(collector),
         F.lit(', "evidence_id": '),
         json_quote(evidence_id),
@@ -64,7 +66,7 @@ def _parts(evidence_id: Column, data_hash: Column, collector: Column, ts: Column
 
 def canonical_entry(parent_hash: Column) -> Column:
     """Canonical text of a chain frame row (columns of ``build_chain``)."""
-    pre, suf = _parts(F.col("evidence_id"), F.col("hash"), F.col("collector"), F.col("timestamp"), F.col("metadata_json"))
+    pre, suf = _parts(F.col("evidence_id"), F.col("hash"), F.col("collector"), F.col("timestamp"), F.col("metadata_json"), F.col("action"))
     return F.concat(pre, parent_hash, suf)
 
 
@@ -116,7 +118,7 @@ def build_chain(
 ) -> DataFrame:
     """One custody entry per row, linked inside each chain in ``seq_col`` order."""
     meta = metadata_json(metadata)
-    pre, suf = _parts(evidence_id, data_hash, collector, collected_at, meta)
+    pre, suf = _parts(evidence_id, data_hash, collector, collected_at, meta, F.lit(ACTION))
     rows = df.select(
         F.col(chain_col).cast("string").alias("chain_id"),
         F.col(seq_col).cast("long").alias(SEQ),

@@ -27,6 +27,16 @@ EMPTY = {
     "anomalies": "No anomalies detected.",
     "evidence": "No evidence collected.",
 }
+# Headings of the sections after the report's own header.
+HEADINGS = {
+    1: "Timeline Summary",
+    2: "Correlated Event Groups",
+    3: "Policy Deviations",
+    4: "Anomalies Detected",
+    5: "Evidence Chain of Custody",
+    6: "Raw Evidence",
+}
+RAW_EVIDENCE = "> Full evidence chain available in the database."
 RECOMMENDATIONS = [
     ("anomalies", "Review the detected anomalies and their triggering events"),
     ("deviations", "Tighten the agent policy for the observed deviations"),
@@ -100,19 +110,25 @@ def _numbered(df: DataFrame, order: Sequence[Column | str], text: Column, sectio
     return s.select(F.lit(section).alias("section_no"), F.col(SEQ).alias("line_no"), F.col("_text").alias("text"))
 
 
-def _with_header(body: DataFrame, count: DataFrame, section: int, header: Column, empty: str) -> DataFrame:
-    head = count.select(
-        F.lit(section).alias("section_no"),
-        F.lit(0).cast("long").alias("line_no"),
-        F.when(F.col("n") > 0, header).otherwise(F.lit(empty)).alias("text"),
-    )
-    return head.unionByName(body)
+def _lines(head: DataFrame, section: int, first: int, lines: Column) -> DataFrame:
+    """An array of lines of a one-row frame as rows, numbered from ``first`` on."""
+    out = head.select(F.posexplode(lines).alias("_i", "text"))
+    return out.select(F.lit(section).alias("section_no"), (F.col("_i") + first).cast("long").alias("line_no"), "text")
+
+
+def _with_header(body: DataFrame, count: DataFrame, section: int, header: Sequence[Column], empty: str) -> DataFrame:
+    """Heading, the lines above the body (or the sentence of an empty section), body.
+    Lines before the body have numbers up to 0."""
+    blank = F.lit("")
+    above = F.when(F.col("n") > 0, F.array(*header)).otherwise(F.array(F.lit(empty), blank))
+    lines = F.concat(F.array(blank, F.lit(f"## {HEADINGS[section]}"), blank), above)
+    return _lines(count, section, -9, lines).unionByName(body)
 
 
 def report_lines_deviations(devs: DataFrame, section: int = 3) -> DataFrame:
     body = _numbered(devs, ["phase", "timestamp", "id", "sub"], F.format_string("- **[%s]** %s", "type", "description"), section)
     cnt = devs.agg(F.count(F.lit(1)).alias("n"))
-    return _with_header(body, cnt, section, F.format_string("**%d deviation(s) found**", F.col("n")), EMPTY["deviations"])
+    return _with_header(body, cnt, section, [F.format_string("**%d deviation(s) found**", F.col("n")), F.lit("")], EMPTY["deviations"])
 
 
 def report_lines_anomalies(anoms: DataFrame, section: int = 4) -> DataFrame:
@@ -121,7 +137,7 @@ def report_lines_anomalies(anoms: DataFrame, section: int = 4) -> DataFrame:
     )
     body = _numbered(anoms, ["phase", SEQ, "sub"], text, section)
     cnt = anoms.agg(F.count(F.lit(1)).alias("n"))
-    return _with_header(body, cnt, section, F.format_string("**%d anomaly(ies) found**", F.col("n")), EMPTY["anomalies"])
+    return _with_header(body, cnt, section, [F.format_string("**%d anomaly(ies) found**", F.col("n")), F.lit("")], EMPTY["anomalies"])
 
 
 def report_lines_evidence(chain: DataFrame, section: int = 5) -> DataFrame:
@@ -134,7 +150,8 @@ def report_lines_evidence(chain: DataFrame, section: int = 5) -> DataFrame:
     )
     body = _numbered(chain.withColumnRenamed(SEQ, "entry_seq"), ["chain_id", "entry_seq"], text, section)
     cnt = chain.agg(F.count(F.lit(1)).alias("n"))
-    return _with_header(body, cnt, section, F.format_string("**%d evidence entries**", F.col("n")), EMPTY["evidence"])
+    header = [F.format_string("**%d evidence entries**", F.col("n")), F.lit(""), F.lit("| ID | Hash | Collector | Timestamp |"), F.lit("|---|---|---|---|")]
+    return _with_header(body, cnt, section, header, EMPTY["evidence"])
 
 
 def report_lines_timeline(df: DataFrame, section: int = 1) -> DataFrame:
@@ -144,7 +161,7 @@ def report_lines_timeline(df: DataFrame, section: int = 1) -> DataFrame:
     ).otherwise(F.format_string("| %d | %s | %s | %s | %s | %s |", "row_no", "source", "severity", "event", "time", fmt1("risk")))
     body = t.select(F.lit(section).alias("section_no"), F.col("row_no").cast("long").alias("line_no"), text.alias("text"))
     cnt = df.agg(F.count(F.lit(1)).alias("n"))
-    return _with_header(body, cnt, section, F.lit("| # | Source | Severity | Event | Timestamp | Risk |"), EMPTY["timeline"])
+    return _with_header(body, cnt, section, [F.lit("| # | Source | Severity | Event | Timestamp | Risk |"), F.lit("|---|---|---|---|---|---|")], EMPTY["timeline"])
 
 
 def report_lines_groups(groups: DataFrame, section: int = 2) -> DataFrame:
@@ -154,7 +171,7 @@ def report_lines_groups(groups: DataFrame, section: int = 2) -> DataFrame:
     )
     body = g.select(F.lit(section).alias("section_no"), F.col("row_no").cast("long").alias("line_no"), text.alias("text"))
     cnt = groups.agg(F.count(F.lit(1)).alias("n"))
-    return _with_header(body, cnt, section, F.format_string("**%d correlated group(s) found**", F.col("n")), EMPTY["groups"])
+    return _with_header(body, cnt, section, [F.format_string("**%d correlated group(s) found**", F.col("n")), F.lit("")], EMPTY["groups"])
 
 
 def report_markdown(
@@ -166,25 +183,35 @@ def report_markdown(
     incident_id: str = "INC-UNKNOWN",
     generated_at: str | None = None,
 ) -> DataFrame:
-    """All sections as (section_no, line_no, text); order by the first two."""
-    hdr = report_header(timeline, incident_id, generated_at)
-    head = hdr.select(
-        F.lit(0).alias("section_no"),
-        F.posexplode(
-            F.array(
-                F.lit("# Agent Forensics Report"),
-                F.concat(F.lit("**Report generated**: "), "generated_at"),
-                F.concat(F.lit("**Incident ID**: "), "incident_id"),
-                F.concat(F.lit("**Total events**: "), F.col("event_count").cast("string")),
-                F.concat(F.lit("**Sources**: "), "sources"),
-            )
-        ).alias("line_no", "text"),
-    ).select("section_no", F.col("line_no").cast("long").alias("line_no"), "text")
-    parts = [head, report_lines_timeline(timeline), report_lines_groups(groups), report_lines_deviations(deviations), report_lines_anomalies(anomalies)]
-    if chain is not None:
-        parts.append(report_lines_evidence(chain))
+    """The whole document as (section_no, line_no, text); order by the first two."""
+    header = F.array(
+        F.lit("# Agent Forensics Report"),
+        F.lit(""),
+        F.concat(F.lit("**Report generated**: "), "generated_at"),
+        F.concat(F.lit("**Incident ID**: "), "incident_id"),
+        F.concat(F.lit("**Total events**: "), F.col("event_count").cast("string")),
+        F.concat(F.lit("**Sources**: "), "sources"),
+        F.lit(""),
+        F.lit("---"),
+    )
+    # every section counts its findings and lists them: each frame is computed once
+    groups, anomalies, deviations = _keep(groups), _keep(anomalies), _keep(deviations)
+    chain = None if chain is None else _keep(chain)
+    one = timeline.sparkSession.range(1)
+    if chain is None:
+        no_rows = one.where("false").select(F.lit(5).alias("section_no"), F.col("id").alias("line_no"), F.lit("").alias("text"))
+        evidence = _with_header(no_rows, one.select(F.lit(0).alias("n")), 5, [F.lit("")], EMPTY["evidence"])
     else:
-        parts.append(timeline.sparkSession.createDataFrame([(5, 0, EMPTY["evidence"])], "section_no int, line_no long, text string"))
+        evidence = report_lines_evidence(chain)
+    parts = [
+        _lines(report_header(timeline, incident_id, generated_at), 0, 0, header),
+        report_lines_timeline(timeline),
+        report_lines_groups(groups),
+        report_lines_deviations(deviations),
+        report_lines_anomalies(anomalies),
+        evidence,
+        _lines(one, 6, -9, F.array(F.lit(""), F.lit(f"## {HEADINGS[6]}"), F.lit(""), F.lit(RAW_EVIDENCE))),
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -192,13 +219,27 @@ def report_markdown(
 
 
 def report_json(
-    timeline: DataFrame, groups: DataFrame, anomalies: DataFrame, deviations: DataFrame, chain: DataFrame | None = None
+    timeline: DataFrame,
+    groups: DataFrame,
+    anomalies: DataFrame,
+    deviations: DataFrame,
+    chain: DataFrame | None = None,
+    members: DataFrame | None = None,
+    incident_id: str = "INC-UNKNOWN",
+    generated_at: str | None = None,
 ) -> DataFrame:
-    """One JSON document per item, tagged with its section (JSON lines)."""
+    """One JSON document per item, tagged with its section (JSON lines): the header,
+    then the items of each section. ``members`` (labelled events of
+    ``assign_groups``) gives the groups' events, one row each, under ``group_events``."""
+
     def tag(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("json"))
 
-    parts = [tag(timeline, "timeline"), tag(groups, "groups"), tag(anomalies, "anomalies"), tag(deviations, "deviations")]
+    header = report_header(timeline, incident_id, generated_at)
+    header = header.withColumn("sources", F.when(F.col("sources") == "", F.array().cast("array<string>")).otherwise(F.split("sources", ", ")))
+    parts = [tag(header, "header"), tag(timeline, "timeline"), tag(groups, "groups"), tag(anomalies, "anomalies"), tag(deviations, "deviations")]
+    if members is not None:
+        parts.append(tag(members, "group_events"))
     if chain is not None:
         parts.append(tag(chain, "evidence_chain"))
     out = parts[0]

@@ -331,6 +331,18 @@ SELECT agent_id, failed, {rate} AS rate_limit, true AS anomalous FROM s"""
         coalesce(source, 'unknown') AS origin FROM ae"""
     # evidence
     q["evidence_hashes"] = "SELECT doc_id, sha256(text) AS hash FROM documents"
+    quoted = r"""'"' || array_to_string(list_transform(string_split(text, ''), lambda c: CASE
+            WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
+            WHEN c = '' THEN '' WHEN unicode(c) BETWEEN 32 AND 126 THEN c ELSE printf('\u%04x', unicode(c)) END), '') || '"'"""
+    q["evidence_chain_texts"] = r"""WITH RECURSIVE parts AS (
+  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         '{"action": "collected", "collector": ' || CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE '"\"\u00e9\u2028\\' || lang || '"' END
+         || ', "evidence_id": ' || """ + quoted + r""" || ', "hash": "' || sha256(text) || '", "metadata": {"lang": "' || lang
+         || '", "\u00f1": null}, "parent_hash": "' AS pre, '", "timestamp": "2024-01-01T00:00:00+00:00"}' AS suf FROM documents),
+ch AS (SELECT source, doc_id, pos, repeat('0', 64) AS parent_hash, sha256(pre || repeat('0', 64) || suf) AS entry_hash FROM parts WHERE pos = 0
+       UNION ALL SELECT p.source, p.doc_id, p.pos, c.entry_hash, sha256(p.pre || c.entry_hash || p.suf)
+       FROM ch c JOIN parts p ON p.source = c.source AND p.pos = c.pos + 1)
+SELECT source AS chain_id, doc_id AS seq, parent_hash, entry_hash FROM ch"""
     q["evidence_chain"] = "WITH RECURSIVE dummy AS (SELECT 1)" + CHAIN + "\nSELECT chain_id, turn AS seq, evidence_id, hash, parent_hash, entry_hash FROM ch"
     q["evidence_verify"] = _verify(False)
     q["evidence_tampered_verify"] = _verify(True)

@@ -320,6 +320,16 @@ def _conversation_chain(s, d):
     )
 
 
+def q_evidence_chain_texts(s, d):
+    """Chains by source whose ids are whole texts (quotes, line breaks, letters
+    beyond ASCII), with a NULL and an odd collector and metadata."""
+    docs = read_table(s, d, "documents")
+    who = F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit('"é\u2028\\'), F.col("lang")))
+    chain = E.build_chain(docs, "source", "doc_id", F.col("text"), sha256_hex("text"), who, F.lit(CHAIN_TIME),
+                          F.create_map(F.lit("lang"), F.col("lang"), F.lit("ñ"), F.lit(None).cast("string")))
+    return chain.select("chain_id", "seq", "parent_hash", "entry_hash")
+
+
 def q_evidence_hashes(s, d):
     return E.hash_evidence(read_table(s, d, "documents"), "text").select("doc_id", "hash")
 
@@ -461,17 +471,22 @@ def q_report_groups(s, d):
     return P.report_groups(G.correlate(_ae(s, d), 60))
 
 
-def q_report_markdown(s, d):
+def _findings(s, d):
+    """Events, groups' events, anomalies, deviations (with expected events and a
+    policy) and the custody chain, as the report takes them."""
     ev = _ae(s, d)
-    groups = G.correlate(ev, 60)
-    anoms = A.detect_anomalies(ev)
-    devs = D.diff_behavior(ev, None, None)
-    return P.report_markdown(ev, groups, anoms, devs, None, incident_id="INC-ALL", generated_at=AS_OF)
+    actual, expected = _split(s, d)
+    return ev, G.assign_groups(ev, 60), A.detect_anomalies(ev), D.diff_behavior(actual, expected, EVENT_POLICY, AGENT), _conversation_chain(s, d)
+
+
+def q_report_markdown(s, d):
+    ev, labelled, anoms, devs, chain = _findings(s, d)
+    return P.report_markdown(ev, G.summarize_groups(labelled), anoms, devs, chain, incident_id="INC-ALL", generated_at=AS_OF)
 
 
 def q_report_json(s, d):
-    ev = _ae(s, d)
-    return P.report_json(ev.select(*TL_COLS), G.correlate(ev, 60), A.detect_anomalies(ev), D.diff_behavior(ev, None, None))
+    ev, labelled, anoms, devs, chain = _findings(s, d)
+    return P.report_json(ev, G.summarize_groups(labelled), anoms, devs, chain, labelled, incident_id="INC-ALL", generated_at=AS_OF)
 
 
 def q_union_sources(s, d):

@@ -47,3 +47,31 @@ def test_verify_valid_and_tampered(spark):
 def test_hash_evidence_non_ascii(spark):
     df = spark.createDataFrame([("héllo wörld",)], "t string")
     assert E.hash_evidence(df, "t").collect()[0]["hash"] == hashlib.sha256("héllo wörld".encode()).hexdigest()
+
+
+ODD = ['quo"te', "back\\slash", "line\nbreak\ttab", "sep\u2028\u2029\u0085", "é ñ 漢 😀", "\x00\x1f\x7f", "", None, "{}", "$1 \\u0041"]
+
+
+def test_odd_texts_match_python_digests(spark):
+    items = [("c", i, x, f"d{i}", ODD[-1 - i]) for i, x in enumerate(ODD)]
+    got = _chain(spark, items).orderBy("seq").collect()
+    parent = ZERO_HASH
+    for (_, _, eid, data, who), r in zip(items, got, strict=True):
+        parent = _python_entry(eid, hashlib.sha256(data.encode()).hexdigest(), parent, who)
+        assert r["entry_hash"] == parent
+
+
+def test_every_altered_field_is_reported(spark):
+    items = [("c", i, x, f"d{i}", x) for i, x in enumerate(ODD)]
+    ch = _chain(spark, items)
+    assert E.verify_chain(ch).collect()[0]["valid"]
+    for field in ("evidence_id", "hash", "collector", "timestamp", "action", "metadata_json", "parent_hash"):
+        for seq in (3, 7):  # a line separator, a NULL
+            value = F.when(F.col("seq") == seq, F.concat(F.lit("\u2028x"), F.coalesce(field, F.lit("")))).otherwise(F.col(field))
+            errors = E.chain_errors(ch.withColumn(field, value)).collect()
+            assert (seq, 0) in {(r["pos"], r["kind"]) for r in errors}, (field, seq)
+
+
+def test_metadata_with_nulls_and_odd_texts(spark):
+    df = spark.createDataFrame([({"b": 'x"\u2028', "a": None, "é": "1"},)], "m map<string,string>")
+    assert df.select(E.metadata_json(F.col("m")).alias("j")).first()["j"] == json.dumps({"a": None, "b": 'x"\u2028', "é": "1"})

@@ -1,3 +1,4 @@
+import json
 import os
 import tempfile
 
@@ -50,6 +51,16 @@ def test_report_sections(spark):
     assert lines[0] == "# Agent Forensics Report" and "**Incident ID**: INC-1" in lines
     assert "| ... | *10 more events* | | | | |" in lines
     assert "No policy deviations detected." in lines and "No evidence collected." in lines
+    heads = [x for x in lines if x.startswith("## ")]
+    assert heads == ["## Timeline Summary", "## Correlated Event Groups", "## Policy Deviations", "## Anomalies Detected", "## Evidence Chain of Custody", "## Raw Evidence"]
+    assert lines[lines.index("## Timeline Summary") - 1 :][:6] == ["", "## Timeline Summary", "", "| # | Source | Severity | Event | Timestamp | Risk |", "|---|---|---|---|---|---|", lines[lines.index("## Timeline Summary") + 4]]
+    assert lines[lines.index("No evidence collected.") + 1] == "" and lines[-1].startswith("> Full evidence chain")
+    rows = P.report_json(ev, G.correlate(ev, 60), A.detect_anomalies(ev), D.diff_behavior(ev, None, None), None, G.assign_groups(ev, 60), "INC-1", "2030-01-01T00:00:00Z").collect()
+    header = [json.loads(r["json"]) for r in rows if r["section"] == "header"]
+    assert header == [{"incident_id": "INC-1", "generated_at": "2030-01-01T00:00:00Z", "event_count": 60, "sources": ["s0", "s1"]}]
+    members = [json.loads(r["json"]) for r in rows if r["section"] == "group_events"]
+    groups = [json.loads(r["json"]) for r in rows if r["section"] == "groups"]
+    assert len(members) == 60 and {g["group_id"] for g in groups} == {m["group_id"] for m in members}
     tl = P.report_timeline(ev).collect()
     assert len(tl) == 51 and max(r["more"] for r in tl) == 10
 
