@@ -55,14 +55,19 @@ class _Lines(dict):
 class _Pieces(dict):
     """Ids of pieces that follow a space, with those of an older generation."""
 
-    def __init__(self, ids, pretoken, marks: dict[str, bytes]):
+    def __init__(self, ids, pretoken, marks: dict[str, bytes], tokenize, packed: list[bytes]):
         self.ids, self.pretoken, self.marks, self.older = ids, pretoken, marks, {}
+        self.tokenize, self.packed = tokenize, packed
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             if part.isalpha():  # one pre-token
-                ids = self.pretoken(" " + part)
+                if part.isascii():
+                    found = self.tokenize(SPACE_LETTER + part)
+                    ids = self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
+                else:
+                    ids = self.pretoken(" " + part)
             elif part[-1:] in self.marks and part[:-1].isalpha():
                 ids = self[part[:-1]] + self.marks[part[-1]]
             elif not part or part[0].isspace() or part[-1].isspace():
@@ -93,15 +98,12 @@ class Encoder:
         self.end = END_ID.to_bytes(self.kind.itemsize, "little")
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.pieces = _Pieces(self._ids, self._pretoken, {c: self._ids(c) for c in ".,"})
+        self.pieces = _Pieces(self._ids, self._pretoken, {c: self._ids(c) for c in ".,"}, self.tokenize, self.packed)
         self.starts = _Lines(self._ids)
         self.line_break = self._ids("\n")
 
     def _pretoken(self, part: str) -> bytes:
-        if part.isascii() and part[1:].isalpha() and part[0] == " ":
-            mapped = SPACE_LETTER + part[1:]
-        else:
-            mapped = part.encode().decode("latin-1").translate(self.letters)
+        mapped = part.encode().decode("latin-1").translate(self.letters)
         found = self.tokenize(mapped)
         packed = self.packed
         return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
