@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,37 +57,47 @@ def stateless_alerts(events: DataFrame, rare_event_types: Sequence[str] = (), po
     return out
 
 
+def _findings(pdf: pd.DataFrame, state: tuple, threshold: float) -> tuple[list[tuple], tuple]:
+    """Alerts of one agent's new rows (in order) after the tail in ``state``, and
+    the next tail. All rows at once: look-backs are shifted arrays."""
+    e1, e2, n, _, _, streak = state
+    epoch, ids = pdf["epoch"].to_numpy("float64"), pdf["id"].to_numpy("int64")
+    tail = [e1, e2][2 - n :] if n else []
+    times = np.concatenate([tail, epoch])
+    out: list[tuple] = []
+    if len(times) > 2:
+        start, end = times[:-2], times[2:]
+        elapsed = end - start
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rate = 3.0 / elapsed
+        hits = np.flatnonzero((start != 0) & (end != 0) & (elapsed > 0) & (rate > threshold))
+        at = hits + 2 - len(tail)  # rows of this batch; the tail's own triples are done
+        out += [("high_frequency", int(ids[k]), min(10.0, float(r) * 2), None) for k, r in zip(at, rate[hits]) if k >= 0]
+    free = np.flatnonzero(~pdf["blocked"].fillna(False).to_numpy(bool))
+    runs = np.diff(np.concatenate([[-1 - streak], free])) - 1  # blocked rows right before each free row
+    out += [("blocked_chain", int(ids[k]), min(10.0, float(2 * r)), int(r)) for k, r in zip(free, runs) if r >= 3]
+    open_run = len(epoch) - 1 - int(free[-1]) if len(free) else streak + len(epoch)
+    last = ([0.0, 0.0] + times.tolist())[-2:]
+    return out, (float(last[0]), float(last[1]), min(len(times), 2), str(pdf["timestamp"].iloc[-1]), int(ids[-1]), open_run)
+
+
 def _sequence_rules(threshold: float):
     thr = float(threshold)
 
     def step(key, batches, state):
-        if state.exists:
-            e1, e2, n, last_ts, last_id, streak = state.get
-        else:
-            e1, e2, n, last_ts, last_id, streak = 0.0, 0.0, 0, None, None, 0
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["timestamp", "id"], kind="stable")
-        out = []
-        agent = key[0]
-        for ts_, id_, ep, blocked in zip(pdf["timestamp"], pdf["id"], pdf["epoch"], pdf["blocked"]):
-            if last_ts is not None and (ts_, id_) <= (last_ts, last_id):
-                out.append((agent, "late", int(id_), None, None))
-                continue
-            if n >= 2 and e1 and ep:
-                el = ep - e1
-                if el > 0 and 3.0 / el > thr:
-                    out.append((agent, "high_frequency", int(id_), min(10.0, 3.0 / el * 2), None))
-            if bool(blocked):
-                streak += 1
-            else:
-                if streak >= 3:
-                    out.append((agent, "blocked_chain", int(id_), min(10.0, float(streak * 2)), int(streak)))
-                streak = 0
-            e1, e2, n = e2, float(ep), min(n + 1, 2)
-            last_ts, last_id = ts_, int(id_)
-        state.update((e1, e2, n, last_ts, last_id, streak))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
+        tail = state.get if state.exists else (0.0, 0.0, 0, None, None, 0)
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["timestamp", "id"], kind="stable", ignore_index=True)
+        late = pd.Series(False, index=pdf.index)
+        if tail[3] is not None:
+            late = (pdf["timestamp"] < tail[3]) | ((pdf["timestamp"] == tail[3]) & (pdf["id"] <= tail[4]))
+        found = [("late", int(i), None, None) for i in pdf.loc[late, "id"]]
+        fresh = pdf[~late]
+        if len(fresh):
+            more, tail = _findings(fresh, tail, thr)
+            found += more
+        state.update(tail)
+        if found:
+            yield pd.DataFrame([(key[0], *f) for f in found], columns=[f.name for f in ALERT_SCHEMA.fields])
 
     return step
 

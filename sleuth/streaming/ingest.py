@@ -16,9 +16,21 @@ from sleuth.functions.schema import EVENT_COLUMNS
 from sleuth.plans.ordering import SEQ, drop_layout, sequence
 from sleuth.sources import readers as R
 
+
+
+def _all_accepted(parse):
+    """A reader that rejects nothing, in the form of the others."""
+    return lambda lines, as_of: (parse(lines, as_of=as_of), lines.where(F.lit(False)).withColumn("reason", F.lit("")))
+
+
 PARSERS = {
     "guard": lambda lines, as_of: R.parse_guard_lines(lines, as_of=as_of),
     "gate": lambda lines, as_of: R.parse_gate_lines(lines, as_of=as_of),
+    "generic": lambda lines, as_of: R.parse_generic_lines(lines, as_of=as_of),  # format found per file
+    "jsonl": lambda lines, as_of: R.parse_jsonl(lines, as_of=as_of),
+    "csv": _all_accepted(R.parse_csv),
+    "syslog": _all_accepted(R.parse_syslog),
+    "plain": _all_accepted(R.parse_plain),
 }
 
 

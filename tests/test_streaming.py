@@ -46,3 +46,41 @@ def test_stream_alerts_across_batches(spark):
     assert ("blocked_chain", 4) in got and ("late", 0) in got
     assert sorted(i for t, i in got if t == "high_frequency") == [3, 4]
     assert len(STATE_SCHEMA.fields) == 6
+
+
+def test_stream_ingest_of_generic_files(spark):
+    inp, out, ck, rej = _dir(), _dir() + "/events", _dir() + "/ck", _dir() + "/rej"
+    _jsonl(inp, "a.jsonl", [{"time": ts(1)}, "broken"])
+    _jsonl(inp, "b.csv", ["time,level", f"{ts(2)},low", f"{ts(3)},high"])
+    _jsonl(inp, "c.log", ["Feb  9 08:07:06 box tool[1]: on"])
+    stream_ingest(spark, inp, out, ck, kind="generic", as_of="2030-01-01T00:00:00Z", rejected_path=rej).awaitTermination()
+    _jsonl(inp, "d.txt", ["just text"])
+    stream_ingest(spark, inp, out, ck, kind="generic", as_of="2030-01-01T00:00:00Z", rejected_path=rej).awaitTermination()
+    ev = spark.read.parquet(out).collect()
+    assert {r["source"] for r in ev} == {"generic"} and len({r["id"] for r in ev}) == len(ev) == 5
+    assert sorted(r["timestamp"] for r in ev)[:3] == [ts(1), ts(2), ts(3)] and all(r["epoch"] is not None for r in ev)
+    assert spark.read.parquet(rej).count() == 1
+
+
+def test_alerts_do_not_depend_on_batch_bounds():
+    import random
+
+    import pandas as pd
+
+    from sleuth.streaming.alerts import _findings
+    from tests import pyoracle as O
+
+    rnd = random.Random(4)
+    for _ in range(30):
+        rows = [dict(id=i, agent_id="a", timestamp=ts(round(rnd.uniform(0, 200), 3)), blocked=rnd.random() < 0.7) for i in range(60)]
+        rows = O.text_sorted(rows)
+        for r in rows:
+            r["epoch"] = O.to_epoch(r["timestamp"])
+        tail, found, at = (0.0, 0.0, 0, None, None, 0), [], 0
+        while at < len(rows):
+            n = rnd.randint(1, 9)
+            more, tail = _findings(pd.DataFrame(rows[at : at + n]), tail, 0.5)
+            found += more
+            at += n
+        assert sorted((i, round(s, 6)) for t, i, s, _ in found if t == "high_frequency") == sorted((i, round(s, 6)) for i, s in O.bursts(rows))
+        assert sorted((i, n) for t, i, _, n in found if t == "blocked_chain") == sorted((i, n) for i, n, end in O.chains(rows) if not end)
