@@ -331,6 +331,14 @@ SELECT agent_id, failed, {rate} AS rate_limit, true AS anomalous FROM s"""
         coalesce(source, 'unknown') AS origin FROM ae"""
     # evidence
     q["evidence_hashes"] = "SELECT doc_id, sha256(text) AS hash FROM documents"
+    q["evidence_get_chain"] = "WITH RECURSIVE dummy AS (SELECT 1)" + CHAIN + """
+SELECT chain_id, turn AS seq, evidence_id, parent_hash, entry_hash FROM ch WHERE chain_id = '1'"""
+    q["normalize_times"] = W + f"""SELECT id, CAST(round(epoch * 1e6) AS BIGINT) AS from_number, id * 1000000 AS from_int,
+        CAST(round(epoch * 1e6) AS BIGINT) AS from_offset, epoch_us(TIMESTAMP '{AS_OF[:19]}') AS from_word FROM ae"""
+    q["safe_json"] = W + """SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE 2 END::INT AS n_keys, CASE WHEN id % 3 = 0 THEN NULL ELSE event_type END AS event_type,
+        CASE WHEN id % 3 = 0 THEN NULL ELSE id::VARCHAR END AS n FROM ae"""
+    q["replay_on_batch"] = W + """SELECT id, us / 2 AS replay_delay_us FROM (
+        SELECT id, round((epoch - lag(epoch) OVER (ORDER BY epoch, timestamp, id)) * 1e6) AS us FROM ae) WHERE us / 2 > 5e8"""
     quoted = r"""'"' || array_to_string(list_transform(string_split(text, ''), lambda c: CASE
             WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
             WHEN c = '' THEN '' WHEN unicode(c) BETWEEN 32 AND 126 THEN c ELSE printf('\u%04x', unicode(c)) END), '') || '"'"""

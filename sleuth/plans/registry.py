@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuth.functions.columns import sha256_hex, strip_ws
+from sleuth.functions.columns import sha256_hex, strip_ws, normalize_timestamp, safe_json
 from sleuth.operators import anomalies as A
 from sleuth.operators import compliance as C
 from sleuth.operators import correlate as G
@@ -330,6 +330,32 @@ def q_evidence_chain_texts(s, d):
     return chain.select("chain_id", "seq", "parent_hash", "entry_hash")
 
 
+def q_evidence_get_chain(s, d):
+    return E.get_chain(_conversation_chain(s, d), "1").select("chain_id", "seq", "evidence_id", "parent_hash", "entry_hash")
+
+
+def q_normalize_times(s, d):
+    """Epoch seconds, texts with an offset (replaced by UTC), and texts that are no time."""
+    ev = _ae(s, d)
+    as_of = F.to_timestamp(F.lit(AS_OF))
+    micros = lambda c: F.unix_micros(normalize_timestamp(c, as_of))
+    offset = F.concat(F.expr("rtrim('Z', timestamp)"), F.lit("+02:00"))
+    return ev.select("id", micros(F.col("epoch")).alias("from_number"), micros(F.col("id")).alias("from_int"),
+                     micros(offset).alias("from_offset"), micros(F.col("event_type")).alias("from_word"))
+
+
+def q_safe_json(s, d):
+    """Objects as maps; texts that are no object give an empty map."""
+    ev = _ae(s, d).select("id", F.when(F.col("id") % 3 == 0, F.col("title")).otherwise(F.to_json(F.struct("event_type", F.col("id").alias("n")))).alias("t"))
+    m = safe_json("t")
+    return ev.select("id", F.size(m).alias("n_keys"), F.try_element_at(m, F.lit("event_type")).alias("event_type"), F.try_element_at(m, F.lit("n")).alias("n"))
+
+
+def q_replay_on_batch(s, d):
+    slow = lambda df: df.where(F.col("replay_delay_us") > 5e8)
+    return R.replay_schedule(_ae(s, d), speed=2.0, on_batch=slow).select("id", "replay_delay_us")
+
+
 def q_evidence_hashes(s, d):
     return E.hash_evidence(read_table(s, d, "documents"), "text").select("doc_id", "hash")
 
