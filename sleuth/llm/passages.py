@@ -195,9 +195,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(classes, spans)``.
 
-    classes: ``md5, first_id, uid, n_words, spans, from_id``: one row per distinct
-    text; ``spans`` are its repeated words (``begin`` to ``end`` - 1), merged and
-    in order, ``from_id`` the least first_id among the texts it repeats.
+    classes: ``md5, first_id, uid, n_words, spans, from_id, repeated_by``: one row
+    per distinct text; ``spans`` are its repeated words (``begin`` to ``end`` - 1),
+    merged and in order, ``from_id`` the least first_id among the texts it repeats,
+    ``repeated_by`` the number of later texts that repeat words of its own.
     spans: ``a, b, begin, end``: the words of class b that repeat class a.
     """
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -255,15 +256,17 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     )
     found = lists.select(F.col("b").alias("uid"), merged.alias("spans"), "a")
     found = found.join(classes.select(F.col("uid").alias("a"), F.col("first_id").alias("from_id")), "a").drop("a")
-    out = classes.join(words, "uid", "left").join(found, "uid", "left")
-    out = scratch.write(out.select("md5", "first_id", "uid", F.coalesce("n_words", F.lit(0)).alias("n_words"), "spans", "from_id"), "repeats")
+    later = spans.groupBy(F.col("a").alias("uid")).agg(F.count_distinct("b").alias("repeated_by"))
+    out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
+    out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
     scratch.drop("windows", "shared", "slices")
     return out, spans
 
 
 def marked(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: ``doc_id, n_words, spans, from_id`` and the document's
-    columns as ``row``. A copy of an earlier document is a repeat as a whole if it
+    """One row per document: ``doc_id, n_words, spans, from_id, repeated_by`` (0 for
+    copies) and the document's columns as ``row``. A copy of an earlier document is a repeat as a whole if it
     has ``MIN_WORDS`` words."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_md5"))
     x = rows.join(classes.drop("uid"), rows["_md5"] == classes["md5"])
@@ -271,7 +274,7 @@ def marked(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str
     whole = F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").cast("int").alias("end")))
     none = F.array().cast("array<struct<begin:int,end:int>>")
     spans = F.when(copy, whole).otherwise(F.coalesce("spans", none))
-    return x.select("doc_id", "n_words", spans.alias("spans"), F.when(copy, F.col("first_id")).otherwise(F.col("from_id")).alias("from_id"), "row")
+    return x.select("doc_id", "n_words", spans.alias("spans"), F.when(copy, F.col("first_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(copy, F.lit(0)).otherwise(F.col("repeated_by")).alias("repeated_by"), "row")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +318,7 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, _ = repeats(docs, Scratch(spark))
     out = marked(docs, classes)
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
-    return out.select("doc_id", "n_words", words.alias("repeated_words"), "spans", "from_id")
+    return out.select("doc_id", "n_words", words.alias("repeated_words"), "spans", "from_id", "repeated_by")
 
 
 QUERIES = {"op5_passages": op5_passages}
