@@ -163,6 +163,7 @@ def _tokenize(path: str):
     """Ids of a part's documents, with the part's tokens before each (``at``)."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import encoder
         from .words import as_strings, text_chunks
 
         kind, at = _narrow(path), 0
@@ -177,6 +178,7 @@ def _tokenize(path: str):
                     [part, pa.array(ends - n), pa.array(n), batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["part", "at", "n_tokens", "doc_id", "ids"]
                 )
                 at = int(ends[-1])
+        encoder(path, True).clear()
 
     return tokenize
 

@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     nodes = scratch.write(some.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "nodes")
     exploded = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     several = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = scratch.write(several, "several")  # so that the join's own shuffle can split a hot key
     sized = scratch.write(exploded.join(several, "key"), "sized")
     weights = sized.groupBy("fp").agg(F.sum("c").alias("weight"))
     members = scratch.write(sized.drop("c").join(weights, "fp"), "members")

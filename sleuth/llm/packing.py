@@ -136,6 +136,7 @@ def _shard(path: str, window: int):
             names += batch.column(0).to_pylist()
             docs += [np.frombuffer(x, kind) for x in encode_texts(batch.column(1), path, narrow=True)]
             place = batch.column(2)[0].as_py() if len(batch) else place
+        encoder(path, True).clear()
         if not docs:
             return
         pieces = pack(docs, window)

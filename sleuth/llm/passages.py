@@ -212,8 +212,9 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     windows = scratch.write(texts.mapInArrow(_windows, _WINDOW), "windows")
     words = windows.where("key is null").groupBy("uid").agg(F.max("c").cast("long").alias("n_words"))
     keyed = windows.where("key is not null")
-    shared = keyed.groupBy("key").agg(F.min("uid").alias("x"), F.max("uid").alias("y")).where("x < y").select("key")
-    shared = scratch.write(keyed.join(shared, "key", "left_semi"), "shared")
+    several = keyed.groupBy("key").agg(F.min("uid").alias("x"), F.max("uid").alias("y")).where("x < y").select("key")
+    several = scratch.write(several, "several")  # so that the join's own shuffle can split a hot key
+    shared = scratch.write(keyed.join(several, "key", "left_semi"), "shared")
 
     # groups by value and a second shingle; the least class is every member's partner
     sides = F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("v")), F.struct(F.lit(1).alias("s"), F.col("right").alias("v")))
@@ -260,7 +261,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
     out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
-    scratch.drop("windows", "shared", "slices")
+    scratch.drop("windows", "several", "shared", "slices")
     return out, spans
 
 

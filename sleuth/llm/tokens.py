@@ -17,7 +17,7 @@ import regex
 
 END_ID = 0
 SPACE_LETTER = "\u0120"  # how byte-level vocabularies show a space
-MEMO = 400_000  # pieces in a generation of a worker's memo, some 80 MB
+MEMO = 400_000  # pieces in a generation of a task's memo, some 80 MB
 
 
 def default_tokenizer() -> str:
@@ -102,6 +102,12 @@ class Encoder:
         self.starts = _Lines(self._ids)
         self.line_break = self._ids("\n")
 
+    def clear(self) -> None:
+        """Forget all pieces: a task's memo goes with the task."""
+        self.pieces.clear()
+        self.pieces.older = {}
+        self.starts.clear()
+
     def _pretoken(self, part: str) -> bytes:
         mapped = part.encode().decode("latin-1").translate(self.letters)
         found = self.tokenize(mapped)

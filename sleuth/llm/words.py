@@ -54,13 +54,14 @@ class Batch(NamedTuple):
     hash: np.ndarray
 
 
-def text_chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold about ``limit`` bytes; a longer text stands alone."""
+def text_chunks(texts: pa.Array, limit: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows whose texts hold about ``limit`` bytes; a
+    longer text stands alone."""
     offsets = _offsets(texts)
     i, n = 0, len(texts)
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), i + rows, n)
         yield i, j
         i = j
 
