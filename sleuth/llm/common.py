@@ -46,10 +46,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         with shuffle_cleanup(self.spark):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:

@@ -101,13 +101,13 @@ def decode_table(ids: np.ndarray, bits: np.ndarray, max_bits: int = MAX_BITS) ->
 
 # ---- blocks ----
 def encode_block(ids: np.ndarray, doc_tokens: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    n = lengths[ids]
+    n = lengths.take(ids)
     ends = np.cumsum(n)
     begin = ends - n
     total = int(ends[-1]) if len(ends) else 0
     words = np.zeros(total // 64 + 2, np.uint64)
     if total:
-        code, word, room = codes[ids], begin >> 6, 64 - (begin & 63) - n  # room: bits left in the word, negative if it runs over
+        code, word, room = codes.take(ids), begin >> 6, 64 - (begin & 63) - n  # room: bits left in the word, negative if it runs over
         high = code << np.maximum(room, 0).astype(np.uint64)
         over = np.flatnonzero(room < 0)  # one code a word at most
         spill = -room[over]
@@ -216,7 +216,7 @@ def _pack(path: str, ids: np.ndarray, bits: np.ndarray):
         part, begin, end = None, 0, 0
 
         def block() -> pa.RecordBatch:
-            data = encode_block(np.concatenate(held).astype(np.int64), np.array([len(x) for x in held]), codes, lengths)
+            data = encode_block(np.concatenate(held), np.array([len(x) for x in held]), codes, lengths)
             row = [pa.array([part], pa.int32()), pa.array([begin], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["part", "at", "doc_ids", "data"])
 
@@ -260,7 +260,7 @@ def write_ids(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str | N
     size = columns.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ordered = columns.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     numbered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    ids = scratch.write(numbered.mapInArrow(_tokenize(path), "part int, at long, n_tokens long, doc_id long, ids binary"), "ids")
+    ids = scratch.write(numbered.mapInArrow(_tokenize(path), "part int, at long, n_tokens long, doc_id long, ids binary"), "ids", "snappy")
     counts = ids.select("ids").mapInArrow(_count(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted((r["id"], r["n"]) for r in counts.collect())  # one row per id of the vocabulary
     symbols = np.array([i for i, _ in found], np.int64)
