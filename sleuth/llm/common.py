@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sleuth.plans.ordering import input_bytes
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,6 +65,13 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_for(docs: DataFrame, part_bytes: int) -> int:
+    """Partitions of about ``part_bytes`` by the size of the plan's inputs (files); if
+    that is not known, the session's number of shuffle partitions."""
+    size = input_bytes(docs)
+    return -(-size // part_bytes) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

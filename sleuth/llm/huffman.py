@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, parts_for
 from .tokens import default_tokenizer, encode_texts
 
 MAX_BITS = 18
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 64
-PART_BYTES = 32 << 20  # of text in a part, about
+PART_BYTES = 20 << 20  # of input files for a part, about
 MAGIC = b"HTK1"
 
 _BLOCKS = "part int, at long, doc_ids array<bigint>, data binary"
@@ -257,8 +257,7 @@ def write_ids(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str | N
     """Write the ids of every text to ``folder``, in ascending order of ``doc_id``."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    size = columns.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ordered = columns.repartitionByRange(max(1, -(-size // PART_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = columns.repartitionByRange(parts_for(docs, PART_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     numbered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
     ids = scratch.write(numbered.mapInArrow(_tokenize(path), "part int, at long, n_tokens long, doc_id long, ids binary"), "ids", "snappy")
     counts = ids.select("ids").mapInArrow(_count(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, parts_for
 from .tokens import default_tokenizer, encode_texts, encoder
 
 WINDOW = 1024
-SHARD_BYTES = 24 << 20  # of text in a shard, about
+SHARD_BYTES = 15 << 20  # of input files for a shard, about
 TERMS = 12  # most telling terms of a seed that are looked up
 NEAREST = 64  # neighbours that are sorted at first
 K1, B = 1.2, 0.75
@@ -161,8 +161,7 @@ def _shard(path: str, window: int):
 def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece with its ids (little-endian unsigned 32-bit)."""
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = columns.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = columns.repartition(max(1, -(-size // SHARD_BYTES)), F.xxhash64("doc_id", "text"))
+    shards = columns.repartition(parts_for(docs, SHARD_BYTES), F.xxhash64("doc_id", "text"))
     ordered = shards.sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
     return ordered.mapInArrow(_shard(tokenizer or default_tokenizer(), window), _PIECE)
 
