@@ -46,6 +46,7 @@ CHECKPOINT = 64
 PART_BYTES = 20 << 20  # of input files for a part, about
 MAGIC = b"HTK1"
 
+_IDS = "part int, at long, n_tokens long, doc_id long, ids binary, counts binary"
 _BLOCKS = "part int, at long, doc_ids array<bigint>, data binary"
 
 
@@ -159,14 +160,24 @@ def _narrow(path: str) -> np.dtype:
     return encoder(path, True).kind
 
 
+def _values(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All bytes of a binary column without nulls, as numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def _tokenize(path: str):
-    """Ids of a part's documents, with the part's tokens before each (``at``)."""
+    names = ["part", "at", "n_tokens", "doc_id", "ids", "counts"]
+
+    """Ids of a part's documents, with the part's tokens before each (``at``), and
+    one last row with the part's counts by id (64 bits each)."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
         from .words import as_strings, text_chunks
 
         kind, at = _narrow(path), 0
+        total = np.zeros(0, np.int64)
         for batch in batches:
             texts = as_strings(batch.column(1))
             for i, j in text_chunks(texts):
@@ -174,35 +185,28 @@ def _tokenize(path: str):
                 n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
                 ends = at + np.cumsum(n)
                 part = batch.column(2).slice(i, j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [part, pa.array(ends - n), pa.array(n), batch.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["part", "at", "n_tokens", "doc_id", "ids"]
-                )
+                packed = pa.array(ids, pa.binary())
+                found = np.bincount(_values(packed, kind), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                columns = [part, pa.array(ends - n), pa.array(n), batch.column(0).slice(i, j - i), packed, pa.nulls(j - i, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 at = int(ends[-1])
         encoder(path, True).clear()
+        if len(total):
+            none = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     return tokenize
 
 
-def _values(column: pa.Array, kind: np.dtype) -> np.ndarray:
-    """All bytes of a binary column without nulls, as numbers."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
-
-
-def _count(path: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _narrow(path)
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            found = np.bincount(_values(batch.column(0), kind), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
-
-    return count
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, n`` of the parts' counts."""
+    for batch in batches:
+        for value in batch.column(0):
+            n = np.frombuffer(value.as_buffer(), "<i8")
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], ["id", "n"])
 
 
 def _pack(path: str, ids: np.ndarray, bits: np.ndarray):
@@ -259,8 +263,9 @@ def write_ids(docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str | N
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ordered = columns.repartitionByRange(parts_for(docs, PART_BYTES), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     numbered = ordered.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    ids = scratch.write(numbered.mapInArrow(_tokenize(path), "part int, at long, n_tokens long, doc_id long, ids binary"), "ids", "snappy")
-    counts = ids.select("ids").mapInArrow(_count(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    every = scratch.write(numbered.mapInArrow(_tokenize(path), _IDS), "ids", "snappy")
+    ids = every.where("part is not null")
+    counts = every.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     found = sorted((r["id"], r["n"]) for r in counts.collect())  # one row per id of the vocabulary
     symbols = np.array([i for i, _ in found], np.int64)
     bits = code_lengths(np.array([n for _, n in found], np.int64))
