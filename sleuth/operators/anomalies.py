@@ -29,7 +29,6 @@ CHAIN_MIN = 3  # blocked events
 DEFAULT_BURST_RATE = 0.5  # events per second
 
 REF_COLS = ["seq", "id", "timestamp", "event_type", "source", "severity", "risk_score", "blocked", "agent_id", "incident_id"]
-ANOMALY_COLS = ["type", "anomaly_severity", "score", "description", "phase", "sub"]
 
 
 def _ref(df: DataFrame) -> list[str]:

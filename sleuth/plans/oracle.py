@@ -402,6 +402,8 @@ SELECT source AS chain_id, doc_id AS seq, parent_hash, entry_hash FROM ch"""
         '' AS title, '' AS target FROM (SELECT * FROM ae, {fmts})"""
     q["parse_generic_auto"] = W + generic.replace(POS, POS.replace("PARTITION BY agent_id", "PARTITION BY f, agent_id"))
     q["guard_log_roundtrip"] = W + "SELECT id, 'mcpguard' AS source, event_type, severity, blocked, risk_score, timestamp, epoch, agent_id FROM ae"
+    q["event_table"] = W + """SELECT CAST(row_number() OVER (ORDER BY CASE source WHEN 'mcpguard' THEN 0 ELSE 1 END, timestamp, id) AS BIGINT) AS id,
+        source, event_type, severity, timestamp, risk_score, blocked, agent_id FROM ae"""
     q["gate_signals"] = W + """SELECT id, 'agentgate' AS source, 'policy_violation' AS event_type, true AS blocked, target, timestamp, event_type AS signal_type,
         CAST(round(risk_score * 10) AS BIGINT) AS weight, CAST(0 AS BIGINT) AS score, 'deny' AS action, '' AS user_agent FROM ae WHERE source = 'agentgate'"""
     cols = "lineno, source, event_type, severity, confidence, blocked, risk_score, timestamp, epoch"

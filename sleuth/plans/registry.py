@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuth.functions.columns import sha256_hex, strip_ws, normalize_timestamp, safe_json
+from sleuth.functions.columns import normalize_timestamp, safe_json, sha256_hex, strip_ws
 from sleuth.operators import anomalies as A
 from sleuth.operators import compliance as C
 from sleuth.operators import correlate as G
@@ -25,7 +25,7 @@ from sleuth.operators import timeline as TL
 from sleuth.plans.ordering import with_position
 from sleuth.sources import readers as RD
 from sleuth.sources import sinks as SK
-from sleuth.sources.tables import AGENT_EVENTS_SQL, AS_OF, agent_events, read_table, stream_agent_events
+from sleuth.sources.tables import AS_OF, agent_events, read_table, stream_agent_events
 
 Q = Callable[[SparkSession, str], DataFrame]
 AGENT = ["agent_id"]
@@ -34,9 +34,6 @@ SPLIT_DAY = "2024-01-11"
 CHAIN_TIME = "2024-01-01T00:00:00+00:00"
 DOC_PATH_RULES = ["MIT License", "token", "@", "license", "src3"]
 EVENT_POLICY = {"blocked_tools": ["error"], "blocked_paths": ["user/12", "USER 7"], "max_risk_score": 9.0}
-FORMATS = ["jsonl", "csv", "syslog", "plain"]
-
-_W = f"WITH ae AS ({AGENT_EVENTS_SQL})\n"
 
 
 def _ae(spark: SparkSession, d: str) -> DataFrame:
@@ -470,6 +467,17 @@ def _gate_lines(ev: DataFrame) -> DataFrame:
     return ev.select(F.lit("gate").alias("file"), F.col("id").alias("lineno"), raw.alias("value"))
 
 
+def q_event_table(s, d):
+    """Events appended in two writes to a table of files, and read back."""
+    from sleuth.streaming.alerts import stream_output_dir
+
+    path = f"{stream_output_dir(s)}/events"
+    ev = _ae(s, d).withColumn("_from", F.col("id")).drop("id")
+    for source in (F.col("source") == "mcpguard", F.col("source") != "mcpguard"):
+        SK.append_events(ev.where(source), path, as_of=AS_OF, order=("timestamp", "_from"))
+    return SK.read_event_table(s, path).select("id", "source", "event_type", "severity", "timestamp", "risk_score", "blocked", "agent_id")
+
+
 def q_gate_signals(s, d):
     lines = _gate_lines(_ae(s, d).where(F.col("source") == "agentgate"))
     out, _ = RD.parse_gate_lines(lines, as_of=AS_OF)

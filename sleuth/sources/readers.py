@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuth.functions.columns import looks_like_syslog, json_quote, safe_int, strip_ws, syslog_fields
+from sleuth.functions.columns import json_quote, looks_like_json, looks_like_syslog, safe_int, strip_ws, syslog_fields
 from sleuth.functions.schema import EVENT_COLUMNS, as_of_text, with_event_defaults
 
 # Source labels of the normalised events (same labels as the fixture view).
@@ -24,7 +24,6 @@ GATE_SOURCE = "agentgate"
 GENERIC_SOURCE = "generic"
 # Header words that make a comma line a CSV header.
 CSV_HEADER_WORDS = ["timestamp", "time", "date", "event", "level"]
-FORMATS = ["jsonl", "csv", "syslog", "plain"]
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -201,7 +200,7 @@ def detect_format(lines: DataFrame) -> DataFrame:
     low = F.lower(first)
     header_word = F.exists(F.array(*[F.lit(w) for w in CSV_HEADER_WORDS]), lambda w: F.contains(low, w))
     fmt = (
-        F.when(F.try_parse_json(first).isNotNull(), "jsonl")
+        F.when(looks_like_json(first), "jsonl")
         .when(F.contains(first, F.lit(",")) & header_word, "csv")
         .when(looks_like_syslog(first), "syslog")
         .when((F.length(second) > 0) & looks_like_syslog(second), "syslog")
