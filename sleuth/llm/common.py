@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from sleuth.plans.ordering import input_bytes
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the operators' own jobs: shuffle files go when a query ends, not at
+#: some garbage collection of the driver, and Python gets small batches of texts.
+JOB_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,15 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffle_cleanup(spark: SparkSession):
-    """Shuffle files of a query go when the query ends, not at some garbage
-    collection of the driver: a chain of written tables needs less disk."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def job_settings(spark: SparkSession):
+    """``JOB_SETTINGS`` for the jobs within, then what was before."""
+    before = {k: spark.conf.get(k, None) for k in JOB_SETTINGS}
+    for k, v in JOB_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -50,7 +56,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        with shuffle_cleanup(self.spark):
+        with job_settings(self.spark):
             df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

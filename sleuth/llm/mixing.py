@@ -133,7 +133,7 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
 
     documents: one row per input row with ``size, source_size, target, taken``.
     pieces: the mix, one row per document part of a slot: ``slot, source, rank,
-    doc_id, _key, turn, begin, words`` (words ``begin..begin + words - 1`` of the
+    doc_id, _key, turn, size, begin, words`` (words ``begin..begin + words - 1`` of the
     text, on reading ``turn`` of its source).
     """
     spark = docs.sparkSession
@@ -156,7 +156,7 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
     hits = parts.join(s, parts["source"].eqNullSafe(s["_s"]) & (parts["_block"] == s["rank"]))
     lo = F.greatest(F.col("_from"), F.col("_block") * block)
     hi = F.least(F.col("_from") + F.col("size"), (F.col("_block") + 1) * block, F.col("_words"))
-    pieces = hits.select("slot", "source", "rank", "doc_id", "_key", "turn", (lo - F.col("_from")).alias("begin"), (hi - lo).alias("words")).where("words > 0")
+    pieces = hits.select("slot", "source", "rank", "doc_id", "_key", "turn", "size", (lo - F.col("_from")).alias("begin"), (hi - lo).alias("words")).where("words > 0")
     taken = pieces.groupBy("source", "_key").agg(F.sum("words").alias("_taken"))
     t = taken.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_taken")
     out = full.join(t, full["source"].eqNullSafe(t["_s"]) & (full["_key"] == t["_k"]), "left")
@@ -170,42 +170,53 @@ def _numbered(rows: DataFrame, order: str) -> DataFrame:
     return x.withColumn("_key", F.concat("_key", F.format_string("-%09d", "_copy"))).drop("_copy")
 
 
-def _head(batches):
-    """Texts (first column) up to the end of their first ``words`` words (second)."""
-    import pyarrow as pa
+def _head(text: str):
+    """New texts of rows (first column): their first ``words`` words (second) where
+    they have more (``size``, third); the row follows."""
 
-    from .words import as_strings, text_chunks, words_of
+    def head(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        texts, wanted, out = as_strings(batch.column(0)), batch.column(1).to_numpy(), []
-        for i, j in text_chunks(texts):
-            chunk = texts.slice(i, j - i)
-            w, base = words_of(chunk), 0
-            for d, t in enumerate(chunk.to_pylist()):
-                raw = t.encode("utf-8", "surrogatepass")
-                n = int(min(wanted[i + d], w.first[d + 1] - w.first[d]))
-                end = int(w.end[w.first[d] + n - 1]) - base if n else 0
-                out.append(raw[:end].decode("utf-8", "surrogatepass"))
-                base += len(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
+        from .words import as_strings, text_chunks, words_of
+
+        for batch in batches:
+            rows = batch.column(0)
+            if not len(batch):
+                continue
+            texts = as_strings(rows.field(rows.type.get_field_index(text)))
+            wanted, size = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            out: list = [None] * len(batch)
+            cut = np.flatnonzero(wanted < size)
+            some = texts.take(pa.array(cut))
+            for i, j in text_chunks(some):
+                chunk = some.slice(i, j - i)
+                w, base = words_of(chunk), 0
+                for d, t in enumerate(chunk.to_pylist()):
+                    raw = t.encode("utf-8", "surrogatepass")
+                    n = int(min(wanted[cut[i + d]], w.first[d + 1] - w.first[d]))
+                    end = int(w.end[w.first[d] + n - 1]) - base if n else 0
+                    out[cut[i + d]] = raw[:end].decode("utf-8", "surrogatepass")
+                    base += len(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), rows], ["new", "row"])
+
+    return head
 
 
 def mixed_texts(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The mix as documents: a row for each reading of a document, with as many of
     its first words as that reading takes; documents of which none is taken go."""
     _, pieces = mix_documents(docs, scratch, text=text, doc_id=doc_id)
-    turns = pieces.groupBy("source", "_key", "turn").agg(F.sum("words").alias("_words"))
-    turns = turns.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_words")
-    # the blocks that a source takes are the first of its stream, so a reading takes the first words of a text
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), "source", _order(docs, text, doc_id).alias("_key"), F.col(text).alias("text"), n_words(F.col(text)).alias("_size")
-    )
-    rows = _numbered(rows, "_size")
-    x = rows.join(turns, rows["source"].eqNullSafe(turns["_s"]) & (rows["_key"] == turns["_k"]))
-    schema = StructType([StructField("text", StringType()), StructField("row", docs.schema)])
-    whole = x.where(F.col("_words") >= F.col("_size")).select("text", "row")
-    cut = x.where(F.col("_words") < F.col("_size")).select("text", "_words", "row").mapInArrow(_head, schema)
-    return whole.unionByName(cut).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+    place = lambda key: F.md5(F.concat(key, F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).cast("binary"))
+    turns = pieces.groupBy("source", "_key", "turn").agg(F.sum("words").alias("words"), F.max("size").alias("size"))
+    turns = scratch.write(turns.select(place(F.substring_index("_key", "-", 1)).alias("place"), "words", "size"), "turns")
+    # rows alike in id, source and text have one place, and as many turns as all of them take;
+    # the blocks that a source takes are the first of its stream, so a reading takes the first words
+    rows = docs.select(F.struct(*docs.columns).alias("row"), place(_order(docs, text, doc_id)).alias("place"))
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("_n = 1").drop("_n")
+    schema = StructType([StructField("new", StringType()), StructField("row", docs.schema)])
+    out = once.join(turns, "place").select("row", "words", "size").mapInArrow(_head(text), schema)
+    return out.select(*[F.coalesce("new", F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import Scratch, documents
 
@@ -278,40 +278,45 @@ def marked(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str
     return x.select("doc_id", "n_words", spans.alias("spans"), F.when(copy, F.col("first_id")).otherwise(F.col("from_id")).alias("from_id"), F.when(copy, F.lit(0)).otherwise(F.col("repeated_by")).alias("repeated_by"), "row")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (first column) without the words of their spans (second)."""
-    from .words import as_strings, text_chunks, words_of
-
-    for batch in batches:
-        texts, spans = as_strings(batch.column(0)), batch.column(1).to_pylist()
-        out: list = []
-        for i, j in text_chunks(texts):
-            chunk = texts.slice(i, j - i)
-            w = words_of(chunk)
-            base = 0
-            for d, t in enumerate(chunk.to_pylist()):
-                raw, own = t.encode("utf-8", "surrogatepass"), spans[i + d]
-                if own:
-                    kept, at = [], 0
-                    for s in own:
+def _cut(text: str):
+    """New texts of rows (first column) without the words of their spans (second);
+    ``keep`` is false where no word is left. Rows without spans stay as they are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .words import as_strings, text_chunks, words_of
+
+        for batch in batches:
+            rows, spans = batch.column(0), batch.column(1)
+            if not len(batch):
+                continue
+            out: list = [None] * len(batch)
+            keep = np.ones(len(batch), bool)
+            at = np.flatnonzero(np.diff(spans.offsets.to_numpy()))
+            some = as_strings(rows.field(rows.type.get_field_index(text))).take(pa.array(at))
+            for i, j in text_chunks(some):
+                chunk = some.slice(i, j - i)
+                w, base = words_of(chunk), 0
+                for d, t in enumerate(chunk.to_pylist()):
+                    raw, left, kept, begin = t.encode("utf-8", "surrogatepass"), int(w.first[d + 1] - w.first[d]), [], 0
+                    for s in spans[int(at[i + d])].as_py():
                         a, b = int(w.first[d]) + s["begin"], int(w.first[d]) + s["end"] - 1
-                        kept.append(raw[at : int(w.start[a]) - base])
-                        at = int(w.end[b]) - base
-                    kept.append(raw[at:])
-                    t = b"".join(kept).decode("utf-8", "surrogatepass").strip()
-                base += len(raw)
-                out.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
+                        kept.append(raw[begin : int(w.start[a]) - base])
+                        begin = int(w.end[b]) - base
+                        left -= s["end"] - s["begin"]
+                    kept.append(raw[begin:])
+                    out[at[i + d]], keep[at[i + d]] = b"".join(kept).decode("utf-8", "surrogatepass").strip(), left > 0
+                    base += len(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(keep), rows], ["new", "keep", "row"])
+
+    return cut
 
 
 def without_repeats(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the words of repeated passages cut from their texts; a text of
     which no word is left goes."""
-    x = marked(docs, classes, text, doc_id).select(F.col(f"row.{text}").alias("text"), "spans", "row")
-    schema = StructType([StructField("text", StringType()), StructField("row", docs.schema)])
-    whole = x.where(F.size("spans") == 0).select("text", "row")
-    cut = x.where(F.size("spans") > 0).mapInArrow(_cut, schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return whole.unionByName(cut).select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+    schema = StructType([StructField("new", StringType()), StructField("keep", BooleanType()), StructField("row", docs.schema)])
+    x = marked(docs, classes, text, doc_id).select("row", "spans").mapInArrow(_cut(text), schema).where("keep")
+    return x.select(*[F.coalesce("new", F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
