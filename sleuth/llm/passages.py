@@ -220,15 +220,19 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     sides = F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("v")), F.struct(F.lit(1).alias("s"), F.col("right").alias("v")))
     members = shared.select("uid", "key", "c", "l", "r", F.explode(F.filter(sides, lambda x: x["v"].isNotNull())).alias("_x"))
     members = members.select("uid", "c", "l", "r", F.xxhash64("key", "_x.s", "_x.v").alias("group"))
-    least = members.groupBy("group").agg(F.min(F.struct("uid", "c", "l", "r")).alias("first"), F.max("uid").alias("last"))
+    # a text whose words come round again has many windows in a group: one row with their hull
+    members = members.groupBy("group", "uid").agg(
+        F.min("c").alias("c"), F.max("c").alias("d"), F.max(F.col("c") - F.col("l")).alias("l"), F.max(F.col("r") - F.col("c")).alias("r")
+    )
+    members = scratch.write(members, "members")
+    least = members.groupBy("group").agg(F.min(F.struct("uid", "c", "d", "l", "r")).alias("first"), F.max("uid").alias("last"))
     linked = members.join(least.where(F.col("first.uid") < F.col("last")), "group").where(F.col("uid") > F.col("first.uid"))
-    left = F.least(F.col("c") - F.col("l"), F.col("first.c") - F.col("first.l")) + SLACK
-    right = F.least(F.col("r") - F.col("c"), F.col("first.r") - F.col("first.c")) + SLACK
+    left, right = F.least("l", "first.l") + SLACK, F.least("r", "first.r") + SLACK
     pairs = linked.groupBy(F.col("first.uid").alias("a"), F.col("uid").alias("b"), F.floor((F.col("first.c") - F.col("c")) / DIAGONALS).alias("diagonal")).agg(
         F.min(F.col("first.c") - left).alias("a_begin"),
-        F.max(F.col("first.c") + right).alias("a_end"),
+        F.max(F.col("first.d") + right).alias("a_end"),
         F.min(F.col("c") - left).alias("b_begin"),
-        F.max(F.col("c") + right).alias("b_end"),
+        F.max(F.col("d") + right).alias("b_end"),
     )
     pairs = scratch.write(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
 
@@ -261,7 +265,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
     out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
-    scratch.drop("windows", "several", "shared", "slices")
+    scratch.drop("windows", "several", "shared", "members", "slices")
     return out, spans
 
 
