@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from sleuth.operators.timeline import EPOCH_ORDER
 from sleuth.plans.ordering import SEQ, _keep, drop_layout, num_partitions, sequence
+from sleuth.session import let_import
 
 DEFAULT_WINDOW = 60  # seconds; fixed value of the studied tool
 
@@ -208,6 +209,7 @@ def assign_groups(
     (id of the anchor event).
 
     ``columns`` limits the event columns carried (default: all)."""
+    let_import(df.sparkSession)
     w = float(window_seconds)
     keep = list(dict.fromkeys([*(columns or df.columns), *partition_by, *EPOCH_ORDER]))
     s = sequence(df.select(*keep), EPOCH_ORDER, partition_by)

@@ -39,6 +39,17 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
     return spark
 
 
+def let_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder that the driver has it
+    in, as when it is only on the driver's ``sys.path`` (on a cluster: installed,
+    shipped with --py-files, or in a folder that all machines see)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory.
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from sleuth.operators import anomalies as A
 from sleuth.operators import deviations as D
+from sleuth.session import let_import
 
 ALERT_SCHEMA = T.StructType(
     [
@@ -104,6 +105,7 @@ def _sequence_rules(threshold: float):
 
 def sequence_alerts(events: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Stateful per-agent bursts and blocked chains on a streaming frame."""
+    let_import(events.sparkSession)
     cols = events.select("agent_id", "id", "timestamp", "epoch", "blocked")
     return cols.groupBy("agent_id").applyInPandasWithState(
         _sequence_rules(threshold), ALERT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
