@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuth.plans.ordering import input_bytes
+from sleuth.session import let_import
 
 #: Settings of the operators' own jobs: shuffle files go when a query ends, not at
 #: some garbage collection of the driver, and Python gets small batches of texts.
@@ -51,6 +52,7 @@ class Scratch:
     executor costs no more than its own tasks."""
 
     def __init__(self, spark: SparkSession):
+        let_import(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
 
@@ -74,6 +76,7 @@ class Scratch:
 def parts_for(docs: DataFrame, part_bytes: int) -> int:
     """Partitions of about ``part_bytes`` by the size of the plan's inputs (files); if
     that is not known, the session's number of shuffle partitions."""
+    let_import(docs.sparkSession)
     size = input_bytes(docs)
     return -(-size // part_bytes) if size else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, held_out
+from .common import documents, held_out, let_import
 
 DIMENSIONS = 4096
 GRAMS = (2, 3, 4)
@@ -221,6 +221,7 @@ def _predict(model: Model):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", learnable: Column | None = None) -> Model:
     """Learn from a bounded sample of the rows where ``learnable`` holds (default:
     the fold that is not held out)."""
+    let_import(docs.sparkSession)
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & (~held_out(F.col(doc_id)) if learnable is None else learnable)
     rows = docs.where(usable).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(7)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
@@ -236,6 +237,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` (without its text) with ``lang_pred`` and ``score``."""
+    let_import(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = StructType([docs.schema[c] for c in rest]).add("lang_pred", "string").add("score", "double")
     return docs.select(text, *rest).mapInArrow(_predict(model), schema)

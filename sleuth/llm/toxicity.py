@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, held_out, table
+from .common import Scratch, documents, held_out, let_import, table
 
 THRESHOLD = 0.7
 PER_CLASS = (4000, 8000)  # toxic and other rows to learn from, about
@@ -417,6 +417,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "tex
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, score`` of every row."""
+    let_import(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     total = rows.mapInArrow(_sums(model), "doc_id long, most double, total double")
     a, b, c = (F.lit(v) for v in model.curve)
