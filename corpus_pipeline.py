@@ -25,9 +25,8 @@ MIN_SCORE = 0.2  # of a language; texts in a language that was learned have 0.38
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    good = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE)
-    return language.identify(rows, model).where(good).select("row.*")
+    # written by a job with small batches: whole texts pass through Python
+    return Scratch(spark).write(language.accepted(docs, model, MIN_SCORE), "accepted")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

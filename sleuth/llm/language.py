@@ -243,6 +243,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(text, *rest).mapInArrow(_predict(model), schema)
 
 
+def accepted(docs: DataFrame, model: Model, min_score: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is told with ``min_score``."""
+    let_import(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .words import as_strings, text_chunks
+
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            for i, j in text_chunks(as_strings(column), 1 << 20):
+                names, scores = predict(as_strings(column.slice(i, j - i)), model)
+                good = (np.array(names, object) != UNDETERMINED) & (scores >= min_score)
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = identify(docs.select("text", "doc_id"), train(docs))
