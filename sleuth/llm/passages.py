@@ -9,18 +9,17 @@ that holds c has its least hash at c. So two texts that share a passage share,
 for most functions, a value whose windows both cover it.
 
 Windows whose value occurs in one class only are dropped. Those of the others
-are grouped by value and a second shingle, half a passage to the left or right
-of c (a shared passage holds one of the two), and linked with the earliest
-class of their group. Per pair of classes, windows on close diagonals are joined
+are grouped by value alone, and linked with the earliest class of their group: a
+shared least value is enough. (Two passages at the similarity J have none with a
+chance of (1 - J) ** ``FUNCTIONS``: 6e-5 at 0.8.) Per pair of classes, windows on close diagonals are joined
 to one interval on either side, over all functions, and both intervals' shingles
 are compared: runs of common shingles, joined over small gaps, are repeats if they
 have ``MIN_WORDS`` words or more and the Jaccard similarity of both sides is
 ``SIMILARITY`` or more. The later class's words are marked.
 
 The earliest class of a group may share less than a passage with members that
-share one among themselves; such a pair is then found by another function,
-window or side only. (Equal passages have the same windows' values for all
-functions, so one of eight tries or more must meet.)
+share one among themselves; such a pair is then found by another function or
+window only.
 
 Defined results: null, empty and short texts have no passages and stay whole; rows
 with the same id are separate documents, and equal rows copies of the first; an
@@ -43,15 +42,14 @@ from .common import Scratch, documents
 MIN_WORDS = 50
 WIDTH = 5
 SPAN = MIN_WORDS - WIDTH + 1  # shingles of the shortest passage
-HALF = SPAN // 2 - 1
 SIMILARITY = 0.8
-FUNCTIONS = 4
+FUNCTIONS = 6
 GAP = 10  # shingles between runs that may be joined: two changed words
 SLACK = 8  # shingles beyond the common part of two windows that are compared too
 DIAGONALS = 64
 REQUESTS = 1000  # intervals cut from one copy of a text
 
-_WINDOW = "uid long, key long, c int, l int, r int, left int, right int"
+_WINDOW = "uid long, key long, c int, l int, r int"
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -90,7 +88,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, hashes, offsets, words in shingle_rows(batch.column(1)):
             again = np.zeros(len(hashes), bool)  # the same shingle as just before: no window of its own
             again[1:] = hashes[1:] == hashes[:-1]
-            low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             parts: list[np.ndarray] = []
             for f in range(FUNCTIONS):
                 full = mix(hashes ^ np.uint64(0xA0761D6478BD642F * (f + 1) & (2**64 - 1)))
@@ -102,16 +99,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if b - a >= SPAN and (found := compact_windows(order[a:b])):
                         w = np.array(found, np.int64)
                         l, c, r = w.T
-                        at = np.minimum(np.maximum(np.stack([c - HALF, c + HALF]), 0), b - a - 1) + a
-                        parts.append(np.stack([np.full(len(w), uids[i + d]), keys[c + a], c, l, r, low[at[0]], low[at[1]], c - HALF >= l, c + HALF <= r]))
-            rows = np.concatenate(parts, axis=1) if parts else np.zeros((9, 0), np.int64)
+                        parts.append(np.stack([np.full(len(w), uids[i + d]), keys[c + a], c, l, r]))
+            rows = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
             columns = [pa.array(rows[0]), pa.array(rows[1]), *[pa.array(rows[k].astype(np.int32)) for k in (2, 3, 4)]]
-            columns += [pa.array(rows[5].astype(np.int32), mask=rows[7] == 0), pa.array(rows[6].astype(np.int32), mask=rows[8] == 0)]
-            names = ["uid", "key", "c", "l", "r", "left", "right"]
+            names = ["uid", "key", "c", "l", "r"]
             yield pa.RecordBatch.from_arrays(columns, names)
             n = j - i
             none = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j], pa.int64()), pa.nulls(n, pa.int64()), pa.array(words.astype(np.int32)), none, none, none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(uids[i:j], pa.int64()), pa.nulls(n, pa.int64()), pa.array(words.astype(np.int32)), none, none], names)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +211,8 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     several = scratch.write(several, "several")  # so that the join's own shuffle can split a hot key
     shared = scratch.write(keyed.join(several, "key", "left_semi"), "shared")
 
-    # groups by value and a second shingle; the least class is every member's partner
-    sides = F.array(F.struct(F.lit(0).alias("s"), F.col("left").alias("v")), F.struct(F.lit(1).alias("s"), F.col("right").alias("v")))
-    members = shared.select("uid", "key", "c", "l", "r", F.explode(F.filter(sides, lambda x: x["v"].isNotNull())).alias("_x"))
-    members = members.select("uid", "c", "l", "r", F.xxhash64("key", "_x.s", "_x.v").alias("group"))
+    # groups by value; the least class is every member's partner
+    members = shared.select("uid", "c", "l", "r", F.col("key").alias("group"))
     # a text whose words come round again has many windows in a group: one row with their hull
     members = members.groupBy("group", "uid").agg(
         F.min("c").alias("c"), F.max("c").alias("d"), F.max(F.col("c") - F.col("l")).alias("l"), F.max(F.col("r") - F.col("c")).alias("r")

@@ -195,6 +195,29 @@ def test_near_passages_are_found(spark, scratch):
         assert len(got[k] - set(range(26, 126))) == 0
 
 
+@pytest.mark.parametrize("words", [51, 55, 60])
+def test_short_passages_with_an_inserted_or_deleted_word_are_found(spark, scratch, words):
+    """At a similarity of 0.83 and more; the word is near the passage's middle."""
+    rng = random.Random(words)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 80, 2):
+        passage = fresh(words + (k % 4 == 2))
+        edited = list(passage)
+        at = len(passage) // 2
+        if k % 4:
+            del edited[at]
+        else:
+            edited.insert(at, "inserted")
+        rows.append((k, " ".join(fresh(150) + passage + fresh(150)), "en", "s", None))
+        rows.append((k + 1, " ".join(fresh(120) + edited + fresh(180)), "en", "s", None))
+    docs = cases.frame(spark, rows)
+    classes, _ = passages.repeats(docs, scratch)
+    got = {r.doc_id: covered(r.spans) for r in passages.marked(docs, classes).collect()}
+    assert [k for k in range(1, 80, 2) if len(got[k] & set(range(120, 120 + words))) < words - 2] == []
+    assert not any(got[k] for k in range(0, 80, 2))
+
+
 def test_texts_without_repeats(spark, scratch):
     rows = cases.corpus()
     docs = cases.frame(spark, rows, True)
