@@ -18,8 +18,10 @@ have ``MIN_WORDS`` words or more and the Jaccard similarity of both sides is
 ``SIMILARITY`` or more. The later class's words are marked.
 
 The earliest class of a group may share less than a passage with members that
-share one among themselves; such a pair is then found by another function or
-window only.
+share one among themselves. So members whose shared value lies in no span that
+was found with their group's earliest class are held against all the group's other
+members, block by block, on the shingles around the value (``NEAR`` to a side),
+and linked with the earliest that repeats there, to be compared as above.
 
 Defined results: null, empty and short texts have no passages and stay whole; rows
 with the same id are separate documents, and equal rows copies of the first; an
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -48,6 +50,8 @@ GAP = 10  # shingles between runs that may be joined: two changed words
 SLACK = 8  # shingles beyond the common part of two windows that are compared too
 DIAGONALS = 64
 REQUESTS = 1000  # intervals cut from one copy of a text
+NEAR = SPAN - 1 + SLACK  # shingles on either side of a value that a passage's least part can reach
+BLOCK = 1024
 
 _WINDOW = "uid long, key long, c int, l int, r int"
 _NONE = np.uint32(0xFFFFFFFF)
@@ -187,6 +191,49 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "begin", "end"])
 
 
+def _hold_against(t: pa.Table) -> pa.Table:
+    """Links of one group's block of members left over (``x``) to a block of members.
+
+    Every pair that can share a passage by the count of its common shingles is
+    compared, earliest partners first, until one repeats at the shared value."""
+    t = t.combine_chunks()
+    x = t["x"].to_numpy(zero_copy_only=False).astype(bool)
+    open_ = t["open"].to_numpy(zero_copy_only=False).astype(bool)
+    uid, c, begin = t["uid"].to_numpy(), t["c"].to_numpy(), t["begin"].to_numpy()
+    near = [np.frombuffer(v.as_buffer(), "<u4") for v in t["shingles"].combine_chunks()]
+    own = [np.unique(s, return_counts=True) for s in near]
+    least = np.array([SPAN * SIMILARITY * (1.0 if len(v) == len(s) else 0.5) for (v, _), s in zip(own, near, strict=True)])
+    y = np.flatnonzero(~x)
+    values = np.concatenate([own[k][0] for k in y]) if len(y) else np.zeros(0, "<u4")
+    counts = np.concatenate([own[k][1] for k in y]) if len(y) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(y)), [len(own[k][0]) for k in y])
+    order = np.argsort(values, kind="stable")
+    values, counts, owner = values[order], counts[order], owner[order]
+    pairs: dict[int, list[int]] = {}  # later member: earlier ones
+    for i in np.flatnonzero(x).tolist():
+        v, n = own[i]
+        a, b = np.searchsorted(values, v, side="left"), np.searchsorted(values, v, side="right")
+        size = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        there = np.bincount(owner[at], weights=counts[at], minlength=len(y))
+        here = np.bincount(owner[at], weights=np.repeat(n, size), minlength=len(y))
+        some = np.maximum(there, here) >= np.minimum(least[i], least[y])
+        for k in y[some & (uid[y] != uid[i])].tolist():
+            if uid[k] < uid[i]:
+                pairs.setdefault(i, []).append(k)
+            elif not open_[k]:  # one that is left over too looks back itself, in another block
+                pairs.setdefault(k, []).append(i)
+    rows = []
+    for later, earlier in pairs.items():
+        for first in sorted(earlier, key=lambda k: (uid[k], c[k])):
+            here = c[later] - begin[later]
+            if any(i <= here <= j for i, j in common_spans(near[first], near[later])):
+                rows.append((first, later))
+                break
+    first, later = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+    return t.select(["uid", "c", "l", "r"]).take(pa.array(later)).append_column("first", pa.StructArray.from_arrays([t[k].combine_chunks().take(pa.array(first)) if len(t) else pa.array([], t[k].type) for k in ("uid", "c", "l", "r")], ["uid", "c", "l", "r"]))
+
+
 def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(classes, spans)``.
 
@@ -220,27 +267,66 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     members = scratch.write(members, "members")
     least = members.groupBy("group").agg(F.min(F.struct("uid", "c", "d", "l", "r")).alias("first"), F.max("uid").alias("last"))
     linked = members.join(least.where(F.col("first.uid") < F.col("last")), "group").where(F.col("uid") > F.col("first.uid"))
-    left, right = F.least("l", "first.l") + SLACK, F.least("r", "first.r") + SLACK
-    pairs = linked.groupBy(F.col("first.uid").alias("a"), F.col("uid").alias("b"), F.floor((F.col("first.c") - F.col("c")) / DIAGONALS).alias("diagonal")).agg(
-        F.min(F.col("first.c") - left).alias("a_begin"),
-        F.max(F.col("first.d") + right).alias("a_end"),
-        F.min(F.col("c") - left).alias("b_begin"),
-        F.max(F.col("d") + right).alias("b_end"),
-    )
-    pairs = scratch.write(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
-
-    # each text is read once per REQUESTS intervals wanted from it
-    ask = lambda side, uid, p: pairs.select(F.col(uid).alias("uid"), F.struct("pid", F.lit(side).alias("side"), F.col(f"{p}_begin").alias("begin"), F.col(f"{p}_end").alias("end")).alias("ask"))
-    asks = ask(0, "a", "a").unionByName(ask(1, "b", "b"))
-    copies = asks.groupBy("uid").agg(F.ceil(F.count(F.lit(1)) / REQUESTS).alias("copies"))
-    dealt = asks.join(copies, "uid").withColumn("copy", F.pmod(F.xxhash64("ask.pid"), F.col("copies")))
-    lists = dealt.groupBy("uid", "copy").agg(F.collect_list("ask").alias("asks"))  # about REQUESTS each
-    lists = lists.join(classes.select("uid", F.col("first_id").alias("_id"), F.col("md5").alias("_md5")), "uid").select("_id", "_md5", "asks")
-    wanted = columns.join(lists, (columns["md5"] == lists["_md5"]) & columns["doc_id"].eqNullSafe(lists["_id"])).select("text", "asks")
-    slices = scratch.write(wanted.mapInArrow(_slices, "pid long, side int, begin int, shingles binary"), "slices")
-    one = lambda side, name, *more: slices.where(F.col("side") == side).select("pid", F.col("shingles").alias(name), *more)
-    both = one(0, "first").join(one(1, "later", "begin"), "pid").join(pairs.select("pid", "a", "b"), "pid")
-    spans = scratch.write(both.select("a", "b", "begin", "first", "later").mapInArrow(_verify, "a long, b long, begin int, end int").distinct(), "spans")
+
+    def cut(asks: DataFrame, name: str) -> DataFrame:
+        """``pid, side, begin, shingles`` of intervals; a text is read once per REQUESTS of them."""
+        copies = asks.groupBy("uid").agg(F.ceil(F.count(F.lit(1)) / REQUESTS).alias("copies"))
+        dealt = asks.join(copies, "uid").withColumn("copy", F.pmod(F.xxhash64("ask.pid"), F.col("copies")))
+        lists = dealt.groupBy("uid", "copy").agg(F.collect_list("ask").alias("asks"))  # about REQUESTS each
+        lists = lists.join(classes.select("uid", F.col("first_id").alias("_id"), F.col("md5").alias("_md5")), "uid").select("_id", "_md5", "asks")
+        wanted = columns.join(lists, (columns["md5"] == lists["_md5"]) & columns["doc_id"].eqNullSafe(lists["_id"])).select("text", "asks")
+        return scratch.write(wanted.mapInArrow(_slices, "pid long, side int, begin int, shingles binary"), name)
+
+    def asked(rows: DataFrame, side: int, uid: str, begin: Column, end: Column) -> DataFrame:
+        return rows.select(F.col(uid).alias("uid"), F.struct("pid", F.lit(side).alias("side"), begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("ask"))
+
+    def verified(linked: DataFrame, k: int) -> DataFrame:
+        """Spans ``a, b, begin, end`` of linked members (``first`` is the earlier one)."""
+        left, right = F.least("l", "first.l") + SLACK, F.least("r", "first.r") + SLACK
+        pairs = linked.groupBy(F.col("first.uid").alias("a"), F.col("uid").alias("b"), F.floor((F.col("first.c") - F.col("c")) / DIAGONALS).alias("diagonal")).agg(
+            F.min(F.col("first.c") - left).alias("a_begin"),
+            F.max(F.col("first.d") + right).alias("a_end"),
+            F.min(F.col("c") - left).alias("b_begin"),
+            F.max(F.col("d") + right).alias("b_end"),
+        )
+        pairs = scratch.write(pairs.withColumn("pid", F.monotonically_increasing_id()), f"pairs-{k}")
+        asks = [asked(pairs, side, uid, F.col(f"{uid}_begin"), F.col(f"{uid}_end")) for side, uid in enumerate("ab")]
+        slices = cut(asks[0].unionByName(asks[1]), f"slices-{k}")
+        one = lambda side, name, *more: slices.where(F.col("side") == side).select("pid", F.col("shingles").alias(name), *more)
+        both = one(0, "first").join(one(1, "later", "begin"), "pid").join(pairs.select("pid", "a", "b"), "pid")
+        out = both.select("a", "b", "begin", "first", "later").mapInArrow(_verify, "a long, b long, begin int, end int").distinct()
+        out = scratch.write(out, f"spans-{k}")
+        scratch.drop(f"slices-{k}")
+        return out
+
+    spans = verified(linked, 0)
+
+    # members whose value lies in no span with their group's least class (open), against the group's others
+    groups = members.groupBy("group").agg(F.min("uid").alias("first_uid"), F.count(F.lit(1)).alias("n")).where("n > 2").select("group", "first_uid")
+    reach = (F.col("c") - F.col("l")).alias("l"), (F.col("r") - F.col("c")).alias("r")  # of a window from its value
+    rest = shared.select(F.col("key").alias("group"), "uid", "c", *reach).join(groups, "group").where(F.col("uid") > F.col("first_uid"))
+    rest = scratch.write(rest.withColumn("pid", F.monotonically_increasing_id()), "rest")
+    hits = rest.join(spans.select(F.col("a").alias("first_uid"), F.col("b").alias("uid"), "begin", "end"), ["first_uid", "uid"])
+    hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
+    rest = rest.join(hits.withColumn("settled", F.lit(True)), "pid", "left").withColumn("open", F.col("settled").isNull())
+    rest = scratch.write(rest.select("pid", "group", "uid", "c", "l", "r", "open"), "open")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = rest.groupBy("group").agg(blocks(F.count_if("open")).alias("xs"), blocks(F.count(F.lit(1))).alias("ys"), F.min("uid").alias("x"), F.max("uid").alias("y"))
+    left = scratch.write(rest.join(sizes.where("xs > 0 and x < y").select("group", "xs", "ys"), "group"), "left")
+    around = cut(asked(left, 0, "uid", F.col("c") - F.least(F.col("l") + SLACK, F.lit(NEAR)), F.col("c") + F.least(F.col("r") + SLACK, F.lit(NEAR))), "around")
+    left = left.join(around.select("pid", "begin", "shingles"), "pid")
+    place = F.xxhash64("pid")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.array(F.pmod(place, F.col(n)).cast("int"))
+    # one left over is in one block of those, against all of members; everyone is a member
+    roles = F.array(F.struct(F.lit(False).alias("x"), each("xs").alias("i"), mine("ys").alias("j")), F.when(F.col("open"), F.struct(F.lit(True).alias("x"), mine("xs").alias("i"), each("ys").alias("j"))))
+    kept = ("group", "uid", "c", "l", "r", "begin", "open", "shingles")
+    dealt = left.select(*kept, F.explode(F.filter(roles, lambda q: q.isNotNull())).alias("q"))
+    dealt = dealt.select(*kept, "q.x", F.explode("q.i").alias("i"), "q.j")
+    dealt = dealt.select(*kept, "x", "i", F.explode("j").alias("j"))
+    more = dealt.groupBy("group", "i", "j").applyInArrow(_hold_against, "uid long, c int, l int, r int, first struct<uid: long, c: int, l: int, r: int>")
+    more = more.select("uid", "c", F.col("c").alias("d"), "l", "r", F.struct("first.uid", "first.c", F.col("first.c").alias("d"), "first.l", "first.r").alias("first"))
+    spans = scratch.write(spans.unionByName(verified(more, 1)).distinct(), "spans")
 
     # overlapping spans of a class are merged: a span starts a new one if all before it end earlier
     lists = spans.groupBy("b").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("s"), F.min("a").alias("a"))
@@ -258,7 +344,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
     out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
-    scratch.drop("windows", "several", "shared", "members", "slices")
+    scratch.drop("windows", "several", "shared", "members", "rest", "open", "left", "around")
     return out, spans
 
 

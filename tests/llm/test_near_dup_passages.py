@@ -218,6 +218,26 @@ def test_short_passages_with_an_inserted_or_deleted_word_are_found(spark, scratc
     assert not any(got[k] for k in range(0, 80, 2))
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_an_earlier_text_with_less_than_a_passage_hides_none(spark, scratch, monkeypatch, block):
+    """Many earlier texts hold the first words of a passage that two later ones share."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = random.Random(4)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 160, 8):
+        passage = fresh(51)
+        for e in range(6):
+            rows.append((k + e, " ".join(fresh(60) + passage[:49] + fresh(60)), "en", "s", None))
+        rows += [(k + 6 + e, " ".join(fresh(80) + passage + fresh(40)), "en", "s", None) for e in range(2)]
+    docs = cases.frame(spark, rows)
+    classes, _ = passages.repeats(docs, scratch)
+    got = {r.doc_id: (covered(r.spans), r.from_id) for r in passages.marked(docs, classes).collect()}
+    for k in range(0, 160, 8):
+        assert set(range(80, 131)) <= got[k + 7][0] and got[k + 7][1] == k + 6, k
+        assert not any(got[k + e][0] for e in range(7))
+
+
 def test_texts_without_repeats(spark, scratch):
     rows = cases.corpus()
     docs = cases.frame(spark, rows, True)
