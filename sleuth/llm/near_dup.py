@@ -13,7 +13,6 @@ each other). Nodes of a large bucket that are still not connected to its hub are
 then held against the bucket's other members, block by block, where pairs of
 different components with ``AGREE`` equal coordinates or more are compared on
 their sets (32-bit hashes); only links that join two components leave the task.
-(A bucket beyond ``HUGE`` nodes is cut by one more band for that.)
 
 Links: candidates are confirmed on whole shingle sets of 64-bit hashes.
 Components are found by label propagation in tables.
@@ -42,7 +41,7 @@ ROWS, BANDS = 4, 16  # a pair at 0.85 shares a band but for a chance of 7e-6
 SMALL = 16
 AGREE = 43  # of 64 coordinates; a pair at 0.85 has fewer with a chance of 1e-4
 BLOCK = 1024
-HUGE = 16 * BLOCK
+HUGE = 16 * BLOCK  # nodes of a bucket that was once cut by one more band; nothing is cut now
 SEED = 20240601
 
 _SIGNATURE = "doc_id long, n_shingles long, fp binary, bands array<bigint>, sig binary"
@@ -202,7 +201,7 @@ def _bucket_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     large = tagged.where(F.col("c") > SMALL)
     star = large.where((F.col("fp") != F.col("hub.fp")) & close(F.col("n"), F.col("hub.n")))
     star = star.select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b"))
-    return small.unionByName(star).distinct(), large.select("key", "band", "c", "fp", "n", F.col("hub.fp").alias("hub"))
+    return small.unionByName(star).distinct(), large.select("key", "fp", "n", F.col("hub.fp").alias("hub"))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -231,8 +230,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
 
     pairs, large = _bucket_pairs(members, percent)
     tested = confirmed(pairs, "tested-0")
-    following = F.get("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    large = large.join(nodes.select("fp", "bands"), "fp").withColumn("key", F.when(F.col("c") > HUGE, F.xxhash64("key", following)).otherwise(F.col("key")))
     large = scratch.write(large.select("key", "fp", "n", "hub"), "large")
     labels = components(tested.where("linked"), scratch, "labels-0")
 

@@ -90,6 +90,24 @@ def test_a_huge_bucket_is_cut(spark, scratch, monkeypatch):
     assert order(map(tuple, got)) == order(brute_components(rows))
 
 
+def test_leftovers_of_huge_buckets_need_one_common_band(spark, scratch, monkeypatch):
+    """Pairs near the threshold that no hub links, all of whose buckets count as huge."""
+    monkeypatch.setattr(near_dup, "SMALL", 1)
+    monkeypatch.setattr(near_dup, "HUGE", 1)
+    buckets = near_dup._bucket_pairs
+    monkeypatch.setattr(near_dup, "_bucket_pairs", lambda *a: (lambda pairs, large: (pairs.limit(0), large))(*buckets(*a)))
+    rng = random.Random(6)
+    rows = []
+    for k in range(0, 500, 2):
+        text = [f"x{rng.randrange(10**9)}" for _ in range(200)]
+        edited = list(text)
+        for at in (40, 90, 140):  # Jaccard 0.858
+            edited[at] = f"y{rng.randrange(10**9)}"
+        rows += [(k, " ".join(text), "en", "s", None), (k + 1, " ".join(edited), "en", "s", None)]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(cases.frame(spark, rows), scratch).collect()}
+    assert [k for k in got if got[k] != k - k % 2] == []
+
+
 def test_one_of_each_component_stays(spark, scratch):
     rows = cases.corpus()
     out = near_dup.without_near_duplicates(cases.frame(spark, rows, True), scratch)
