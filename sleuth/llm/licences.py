@@ -7,7 +7,8 @@ ends as spaces, as licence texts are often wrapped. Each sentence is normalised
 sentences; so a text becomes a sequence of sentence identifiers, with ``~`` for
 unknown ones. Ordered rules are matched against the sequences: a rule's
 identifiers must follow each other with at most ``GAP`` unknown sentences between
-two. Texts without any word of ``ANCHORS`` hold no known sentence and are not cut.
+two. Texts without any of ``ANCHORS`` hold no known sentence and are not cut; anchors
+are single words, as what stands between two words of a sentence may vary.
 
 Defined results: null or empty text, and text without known sentences, has no
 licence (empty strings); rows with the same id count each; an empty table gives
@@ -24,7 +25,7 @@ from .common import documents
 GAP = 2
 
 #: Words of which every known sentence has one.
-ANCHORS = ("license", "licence", "copyright", "permission", "warrant", "redistribut", "rights reserved", "public domain", "spdx", "liable", "software")
+ANCHORS = ("license", "licence", "copyright", "permission", "warrant", "redistribut", "reserved", "domain", "spdx", "liable", "software")
 
 #: Normalised sentences of licences and notices.
 SENTENCES = {

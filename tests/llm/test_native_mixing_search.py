@@ -101,6 +101,15 @@ def test_licences(spark, text, want):
     assert licences.scan(cases.frame(spark, [(1, text, None, None, None)], True)).first()["licences"] == want
 
 
+def test_notices_without_another_anchor_equal_sql(spark, tmp_path):
+    texts = ["(c) 2020 Somebody. All rights\nreserved.", "\u00a9 2020 X. All rights  reserved.", "Some text. ALL RIGHTS-RESERVED", "All\trights\u00a0reserved"]
+    folder = cases.saved(cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), tmp_path)
+    df = licences.op9_licences(spark, folder)
+    assert [r.licences for r in df.orderBy("doc_id").collect()] == ["proprietary"] * len(texts)
+    assert rounded(map(tuple, df.select(*sorted(df.columns)).collect())) == rounded(oracle(licences.OP9_SQL, folder))
+    assert all(" " not in a for a in licences.ANCHORS)
+
+
 def test_order_and_gaps_of_sentences(spark):
     a, b = (licences.SENTENCES[k].capitalize() + "." for k in ("mit-grant", "mit-keep"))
     texts = [f"{a} {b}", f"{b} {a}", f"{a} One. Two. {b}", f"{a} One. Two. Three. {b}"]
