@@ -111,7 +111,8 @@ RULES = (
     ("all-rights", "proprietary", ("all-rights",)),
 )
 
-_ENDS = r"[.!?;:]+(?=\s|$)|\n\s*\n"
+#: No sentence ends at the colon of an SPDX tag, nor at the full stop of "v." before a number.
+_ENDS = r"(?!(?<=(?i:spdx-license-identifier)):\s)(?!(?<=\b[vV])\.\s+[0-9])[.!?;:]+(?=\s|$)|\n\s*\n"
 
 
 def _let(value: Column, body) -> Column:

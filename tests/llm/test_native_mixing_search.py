@@ -101,6 +101,21 @@ def test_licences(spark, text, want):
     assert licences.scan(cases.frame(spark, [(1, text, None, None, None)], True)).first()["licences"] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        ("/* SPDX-License-Identifier: GPL-3.0-or-later */\n", "GPL-3.0-or-later"),
+        ("code\nspdx-license-identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+        ("See the notice: All rights reserved. More.", "proprietary"),
+    ],
+)
+def test_tags_and_headers_as_published(spark, text, want):
+    assert licences.scan(cases.frame(spark, [(1, text, None, None, None)])).first()["licences"] == want
+
+
 def test_notices_without_another_anchor_equal_sql(spark, tmp_path):
     texts = ["(c) 2020 Somebody. All rights\nreserved.", "\u00a9 2020 X. All rights  reserved.", "Some text. ALL RIGHTS-RESERVED", "All\trights\u00a0reserved"]
     folder = cases.saved(cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), tmp_path)
