@@ -127,6 +127,45 @@ _OUTER = b"0123456789@$!|+("  # at either end of a token
 _SYMBOL, _END_SYMBOL = np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[list(_WITHIN)] = _END_SYMBOL[list(_OUTER)] = True
 _EDGE = "\"`,;:?)]}>([{<"  # marks around a token that are no part of it
+_DIGITS = "0123456789@$|+#€£¥"  # may stand for a letter among letters set apart
+_ALONE = "!(<*"  # the same, but only as a token of their own
+_DIGIT, _LONE = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[[ord(c) for c in _DIGITS if c < "\x80"]] = _LONE[list(_ALONE.encode())] = True
+
+
+@functools.lru_cache(maxsize=1)
+def _small() -> np.ndarray:
+    """Code points in lower case (where that is one code point)."""
+    out = np.arange(0x110000, dtype=np.int32)
+    for c in range(0x80, 0x1E944):
+        if not 0xD800 <= c < 0xE000 and len(low := chr(c).lower()) == 1:
+            out[c] = ord(low)
+    return out
+
+
+def beyond_ascii(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Masks of bytes beyond ASCII of UTF-8 text: the currency signs of ``LOOKALIKES``,
+    marks (signs of Latin-1, general punctuation), and the first byte of a letter that
+    two equal ones precede directly."""
+    sign, mark, third = (np.zeros(len(raw), bool) for _ in range(3))
+    at = np.flatnonzero(raw >= 0xC0)
+    if not len(at):
+        return sign, mark, third
+    lead = raw[at].astype(np.int32)
+    width = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    tail = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int32) & 63 for k in (1, 2, 3)]
+    two, three = ((lead & 31) << 6) | tail[0], ((lead & 15) << 12) | (tail[0] << 6) | tail[1]
+    four = ((lead & 7) << 18) | (tail[0] << 12) | (tail[1] << 6) | tail[2]
+    point = np.minimum(np.where(width == 2, two, np.where(width == 3, three, four)), 0x10FFFF)
+    signs = np.isin(point, [ord(c) for c in _DIGITS if c >= "\x80"])
+    marks = ~signs & ((point < 0xC0) & ~np.isin(point, [0xAA, 0xB5, 0xBA]) | (point >= 0x2010) & (point < 0x2070))
+    for k in range(3):
+        for out, which in ((sign, signs), (mark, marks)):
+            out[at[which & (width > k)] + k] = True
+    point = _small()[point]
+    again = (at[1:] == at[:-1] + width[:-1]) & (point[1:] == point[:-1]) & ~signs[1:] & ~marks[1:]
+    third[at[2:][again[1:] & again[:-1]]] = True
+    return sign, mark, third
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -188,8 +227,9 @@ class Restorer:
         offsets = _offsets(texts)
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         low = lowered(raw)
-        letter = is_letter(low)
-        symbol = _SYMBOL[raw]
+        sign, other, third = beyond_ascii(raw)
+        letter = is_letter(low) & ~sign
+        symbol = _SYMBOL[raw] | sign
         n = len(raw)
         first, last = np.zeros(n, bool), np.zeros(n, bool)
         first[w.start], last[w.end - 1] = True, True
@@ -199,6 +239,7 @@ class Restorer:
         mark[:-1] |= outer[:-1] & first[:-1] & letter[1:]
         mark[1:] |= outer[1:] & last[1:] & letter[:-1] & (raw[1:] != ord("!"))
         mark[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (raw[2:] < 128)
+        mark |= third
         tokens = np.unique(np.searchsorted(w.start, np.flatnonzero(mark), side="right") - 1)
         letters = np.concatenate([[0], np.cumsum(letter)])
         has = letters[w.end[tokens]] - letters[w.start[tokens]]
@@ -207,15 +248,25 @@ class Restorer:
             if some:
                 token = raw[w.start[t] : w.end[t]].tobytes().decode("utf-8", "surrogatepass").lower().strip(_EDGE).rstrip(".!")
                 self._add(out[r], token)
-        # letters set apart: three or more tokens of one letter (and marks) in a row
-        single = (w.end - w.start == 1) & letter[w.start]
+        # letters set apart: three or more in tokens in a row in which, but for marks, none
+        # stands directly beside another; digits and symbols may stand for letters
+        solid = letter & ~other | _DIGIT[raw] | sign
+        alone = w.start[(w.end - w.start == 1) & _LONE[raw[w.start]]]
+        solid[alone] = True
+        begins = solid & ((raw < 128) | (raw >= 0xC0))  # of characters
+        beside = np.zeros(n, bool)
+        beside[1:] = begins[1:] & solid[:-1] & ~first[1:]
+        per = lambda m: (lambda total: total[w.end] - total[w.start])(np.concatenate([[0], np.cumsum(m)]))
+        units, true = per(begins), per(begins & letter)
+        single = ((units > 0) | (w.end - w.start == 1)) & (per(beside) == 0)  # a mark alone may stand between
         runs = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
         for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
-            if b - a >= 3:
+            if b - a >= 2 and units[a:b].sum() >= 3 and true[a:b].any():
                 for r in range(int(np.searchsorted(w.first, a, side="right")) - 1, int(np.searchsorted(w.first, b - 1, side="right"))):
                     x, y = max(a, int(w.first[r])), min(b, int(w.first[r + 1]))
-                    if y - x >= 3:
-                        out[r].append(self.read(" ".join(raw[w.start[t] : w.end[t]].tobytes().decode().lower() for t in range(x, y))))
+                    if y - x >= 2 and units[x:y].sum() >= 3 and true[x:y].any():
+                        tokens_ = [raw[w.start[t] : w.end[t]].tobytes().decode("utf-8", "surrogatepass").lower() for t in range(x, y)]
+                        out[r].append(self.read(" ".join(c for t in tokens_ for c in t if c.isalpha() or c in _DIGITS or t in _ALONE)))
         return [" ".join(x) for x in out]
 
     def _add(self, out: list[str], token: str) -> None:

@@ -101,6 +101,23 @@ def test_obfuscations_are_undone(english, written, meant):
     assert meant in toxicity.Restorer(english).readings(f"you are {written} you.").split()
 
 
+@pytest.mark.parametrize(
+    "written, meant",
+    [
+        ("i d i o t.", "idiot"), ('"i d i o t"', "idiot"), ("\u201ci d i o t\u201d", "idiot"), ("i. d. i. o. t", "idiot"), ("i - d - i - o - t", "idiot"), ("i  d  i  o  t", "idiot"),
+        ("i d 1 o t", "idiot"), ("i d ! o t", "idiot"), ("i.d i.o t", "idiot"), ("i d i \u00f6 t", "idi\u00f6t"), ("\u00e9 \u00e9 t", "\u00e9\u00e9t"), ("path\u20actic", "pathetic"), ("\u00a3oser", "loser"),
+        ("t\u00e9\u00e9\u00e9\u00e9t", "t\u00e9t"), ("\u0438\u0418\u0438\u0434", "\u0438\u0434"),
+    ],
+)
+def test_other_forms_are_read_too(english, written, meant):
+    reading = toxicity.Restorer(english).readings(f"thing {written} thing").split()
+    assert any(r in (meant, meant.replace("\u00e9t", "\u00e9\u00e9t"), "\u0438\u0438\u0434") for r in reading if r[:1] == meant[:1]), reading
+
+
+def test_amounts_and_lists_of_numbers_stay(english):
+    assert toxicity.Restorer(english).readings("it is 5 \u20ac or \u00a3 20 - 1 2 3 4 \u20ac5 \u2014 all") == ""
+
+
 def test_clean_words_stay(english):
     text = "the thing you are reading is all well, too good to be 42. I am a B (see: this)!\nNext\u00a0line, Été"
     assert toxicity.Restorer(english).readings(text) == ""
