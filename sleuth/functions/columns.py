@@ -199,6 +199,9 @@ def json_quote(c: Column | str) -> Column:
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
         return out.when(ch.rlike(r"\A[ -~]\z"), ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
+    short = v  # texts in ASCII whose other characters all have a short escape
+    for ch in ("\\", *(c for c in JSON_ESCAPES if c != "\\")):
+        short = F.replace(short, F.lit(ch), F.lit(JSON_ESCAPES[ch]))
     plain = v.rlike(r'\A[ !#-\[\]-~]*\z')
-    inner = F.when(plain, v).otherwise(F.array_join(F.transform(F.split(v, ""), escaped), ""))
+    inner = F.when(plain, v).when(v.rlike(r"\A[ -~\x08-\x0A\x0C\x0D]*\z"), short).otherwise(F.array_join(F.transform(F.split(v, ""), escaped), ""))
     return F.when(v.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))

@@ -387,6 +387,7 @@ SELECT source AS chain_id, doc_id AS seq, parent_hash, entry_hash FROM ch"""
     fmts = "(VALUES ('jsonl'), ('csv'), ('syslog'), ('plain')) t(f)"
     q["detect_format"] = W + f"SELECT DISTINCT f || '/' || agent_id AS file, f AS format FROM ae, {fmts}"
     q["parse_jsonl"] = W + f"SELECT 'jsonl/' || agent_id AS file, {POS} AS lineno, timestamp, event_type, id FROM ae"
+    q["csv_quoted_records"] = """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, '')) AS n_chars, coalesce(source, '') AS source FROM documents"""
     q["parse_csv"] = W + f"SELECT 'csv/' || agent_id AS file, {POS} + 1 AS lineno, timestamp, event_type, id FROM ae"
     q["parse_syslog"] = W + f"""SELECT 'syslog/' || agent_id AS file, {POS} AS lineno,
         strftime(epoch_us_to_ts, '%b %-d %H:%M:%S') AS timestamp, 'host-' || agent_id AS hostname, 'app' AS application,
@@ -410,7 +411,7 @@ SELECT source AS chain_id, doc_id AS seq, parent_hash, entry_hash FROM ch"""
     q["union_sources"] = W + f"""SELECT id AS lineno, source, event_type, severity, 'low' AS confidence, blocked, risk_score, timestamp, round(epoch, 6) AS epoch
         FROM ae WHERE source = 'mcpguard'
         UNION ALL SELECT id, source, 'policy_violation', 'info', 'low', true, CAST(0 AS DOUBLE), timestamp, round(epoch, 6) FROM ae WHERE source = 'agentgate'
-        UNION ALL SELECT {cols} FROM ({q["parse_generic_auto"][len(W):]}) WHERE format <> 'plain'"""
+        UNION ALL SELECT {cols} FROM ({q["parse_generic_auto"][len(W):]})"""
     q["guard_log_taxonomy"] = W + """SELECT id,
         CASE event_type WHEN 'error' THEN 'tool_failure' WHEN 'click' THEN 'ui_action' WHEN 'view' THEN 'data_access' ELSE event_type END AS event_type,
         CASE event_type WHEN 'error' THEN 'high' WHEN 'click' THEN 'low' WHEN 'view' THEN 'info' ELSE severity END AS severity,

@@ -445,6 +445,23 @@ def q_parse_csv(s, d):
                      F.get_json_object("raw_json", "$.id").cast("long").alias("id"))
 
 
+def q_csv_quoted_records(s, d):
+    """All documents written as a comma-separated file, texts quoted with their line
+    breaks, and read back as records over several lines."""
+    from sleuth.streaming.alerts import stream_output_dir
+
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = read_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    body = docs.select(F.concat_ws(",", "doc_id", quoted(F.col("text")), F.coalesce("source", F.lit(""))).alias("value"))
+    path = f"{stream_output_dir(s)}/csv"
+    header = s.createDataFrame([("time,text,source",)], "value string")
+    header.unionByName(body).coalesce(1).write.text(path)  # one file: a header and its records
+    events, _ = RD.parse_csv_lines(RD.read_lines(s, path), as_of=AS_OF)
+    raw = F.from_json("raw_json", "text string, source string")
+    return events.select(F.col("timestamp").cast("long").alias("doc_id"), F.sha2(raw["text"], 256).alias("text_sha256"),
+                         F.char_length(raw["text"]).alias("n_chars"), raw["source"].alias("source"))
+
+
 def _guard_lines(s, d) -> DataFrame:
     return _lines_for(_ae(s, d))
 
@@ -527,8 +544,7 @@ def q_union_sources(s, d):
     ev = _ae(s, d)
     guard, _ = RD.parse_guard_lines(_lines_for(ev.where(F.col("source") == "mcpguard")), as_of=AS_OF)
     gate, _ = RD.parse_gate_lines(_gate_lines(ev.where(F.col("source") == "agentgate")), as_of=AS_OF)
-    lines = _format_lines(s, d)
-    generic, _ = RD.parse_generic_lines(lines.where(~F.col("file").startswith("plain/")), as_of=AS_OF)
+    generic, _ = RD.parse_generic_lines(_format_lines(s, d), as_of=AS_OF)
     return RD.union_sources(guard, gate, generic).select(
         F.col("_lineno").alias("lineno"), "source", "event_type", "severity", "confidence", "blocked", "risk_score", "timestamp", F.round("epoch", 6).alias("epoch"))
 

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sleuth.functions.columns import json_quote, looks_like_json, looks_like_syslog, safe_int, strip_ws, syslog_fields
 from sleuth.functions.schema import EVENT_COLUMNS, as_of_text, with_event_defaults
+from sleuth.session import ensure_checkpoint_dir
 
 # Source labels of the normalised events (same labels as the fixture view).
 GUARD_SOURCE = "mcpguard"
@@ -42,8 +43,6 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.col("value"),
     )  # file splits are deterministic, so both uses below see the same ids
     splits = raw.groupBy("file", "_blk").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("file", "_blk", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     out = raw.join(splits, ["file", "_blk"])
@@ -187,35 +186,188 @@ def parse_gate_lines(
     return ev, rejected
 
 
-def detect_format(lines: DataFrame) -> DataFrame:
-    """(file, format) from each file's first two lines: JSON -> jsonl; a comma
-    header naming time/date/event/level -> csv; a syslog line 1 or 2 -> syslog;
-    else plain. A partial aggregate over lines 1-2 only."""
-    head = lines.where(F.col("lineno") <= 2).groupBy("file").agg(
+def _small(df: DataFrame) -> DataFrame:
+    """A small frame that plans are made from, computed now and kept in the checkpoint
+    folder, so that it is neither planned nor computed again with each use."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """(file, first, second): the first two lines of each file, stripped."""
+    return lines.where(F.col("lineno") <= 2).groupBy("file").agg(
         F.max(F.when(F.col("lineno") == 1, strip_ws(F.col("value")))).alias("first"),
         F.max(F.when(F.col("lineno") == 2, strip_ws(F.col("value")))).alias("second"),
     )
-    first = F.coalesce(F.col("first"), F.lit(""))
-    second = F.coalesce(F.col("second"), F.lit(""))
+
+
+def _format_of(first: Column, second: Column) -> Column:
+    first, second = F.coalesce(first, F.lit("")), F.coalesce(second, F.lit(""))
     low = F.lower(first)
     header_word = F.exists(F.array(*[F.lit(w) for w in CSV_HEADER_WORDS]), lambda w: F.contains(low, w))
-    fmt = (
+    return (
         F.when(looks_like_json(first), "jsonl")
         .when(F.contains(first, F.lit(",")) & header_word, "csv")
         .when(looks_like_syslog(first), "syslog")
         .when((F.length(second) > 0) & looks_like_syslog(second), "syslog")
         .otherwise("plain")
     )
-    return head.select("file", fmt.alias("format"))
 
 
-def _generic(x: DataFrame, fmt: str, ts: Column, raw: Column, as_of: str | None, hostname: Column | None = None) -> DataFrame:
+def detect_format(lines: DataFrame) -> DataFrame:
+    """(file, format) from each file's first two lines: JSON -> jsonl; a comma
+    header naming time/date/event/level -> csv; a syslog line 1 or 2 -> syslog;
+    else plain. A partial aggregate over lines 1-2 only."""
+    return _heads(lines).select("file", _format_of(F.col("first"), F.col("second")).alias("format"))
+
+
+# --------------------------------------------------------------------------- records of comma-separated files
+# Patterns are possessive: they never step back, so that long fields need no stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'  # a quoted field without its closing quote
+_CSV_FIELD = rf'({_QUOTED}"[^,]*+|[^,]*+),'
+_FIELDS = rf'(?:(?:{_QUOTED}"[^,]*+|(?!")[^,]*+),)*+'
+_OPENS = rf'\A{_FIELDS}{_QUOTED}\z'  # a line that begins between records ends inside a quoted field
+_CLOSES = r'\A[^"]*+(?:""[^"]*+)*+"'  # a line that begins inside a quoted field closes it,
+_REOPENS = rf'{_CLOSES}[^,]*+,{_FIELDS}{_QUOTED}\z'  # and ends inside another one
+
+RECORD_LINES = 100_000  # lines of a record; a longer one is set aside, line by line
+LINES_A_BUCKET = 1 << 16
+_OUTSIDE, _INSIDE, _SWAP, _SAME = 0, 1, 2, 3  # what a line does to the state: two constants, the exchange, nothing
+
+
+def quote_steps(lines: DataFrame) -> DataFrame:
+    """(file, lineno, step) of the lines that change the quote state: inside or outside
+    a quoted field. A line is a function of the state it begins in; most are the
+    identity, and only the others are kept."""
+    v = F.col("value")
+    opens, stays = v.rlike(_OPENS), ~v.rlike(_CLOSES) | v.rlike(_REOPENS)
+    step = F.when(opens & stays, _INSIDE).when(opens, _SWAP).when(stays, _SAME).otherwise(_OUTSIDE)
+    marked = lines.where(F.contains(v, F.lit('"'))).select("file", "lineno", step.alias("step"))
+    return marked.where(F.col("step") != _SAME)
+
+
+def _composed(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds ``known`` and ``bit``: the steps of a group up to a row, composed. Known: the
+    state after the row is ``bit`` whatever came in; else it is what came in plus ``bit``."""
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("_swaps", F.sum(F.when(F.col("step") == _SWAP, 1).otherwise(0)).over(upto))
+    constant = F.when(F.col("step").isin(_OUTSIDE, _INSIDE), F.struct(F.col(order), F.col("step"), F.col("_swaps")))
+    x = x.withColumn("_c", F.max(constant).over(upto))
+    bit = F.when(F.col("_c").isNull(), F.col("_swaps")).otherwise(F.col("_c.step") + F.col("_swaps") - F.col("_c._swaps"))
+    return x.withColumn("known", F.col("_c").isNotNull()).withColumn("bit", F.pmod(bit, F.lit(2))).drop("_swaps", "_c")
+
+
+def quoted_spans(steps: DataFrame) -> DataFrame:
+    """(file, first, last): the lines of each record that goes over several lines; ``last``
+    is null if a quoted field is never closed.
+
+    The steps of each bucket of consecutive lines are composed to one, for both states
+    it may begin in; the buckets' steps are composed in order, which gives each bucket
+    the state it begins in; then every line's state is known. No task sees more than a
+    bucket's lines, or one row for each bucket of a file."""
+    x = _composed(steps.withColumn("_bucket", F.floor(F.col("lineno") / LINES_A_BUCKET)), ["file", "_bucket"], "lineno")
+    last = x.groupBy("file", "_bucket").agg(F.max(F.struct("lineno", "known", "bit")).alias("e"))
+    step = F.when(F.col("e.known"), F.col("e.bit")).when(F.col("e.bit") == 1, _SWAP).otherwise(_SAME)
+    buckets = _composed(last.select("file", "_bucket", step.alias("step")), ["file"], "_bucket")
+    in_file = Window.partitionBy("file").orderBy("_bucket")
+    buckets = buckets.select("file", "_bucket", F.coalesce(F.lag("bit").over(in_file), F.lit(0)).alias("_in"))  # a file begins outside
+    x = x.join(buckets, ["file", "_bucket"])
+    after = F.when(F.col("known"), F.col("bit")).otherwise(F.pmod(F.col("_in") + F.col("bit"), F.lit(2)))
+    in_bucket = Window.partitionBy("file", "_bucket").orderBy("lineno")
+    x = x.withColumn("_after", after).withColumn("_before", F.coalesce(F.lag("_after").over(in_bucket), F.col("_in")))
+    x = x.where(F.col("_before") != F.col("_after"))  # openings and closings in turn
+    x = x.withColumn("_k", F.sum("_after").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    opened = x.groupBy("file", "_bucket").agg(F.sum("_after").alias("_n"))
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    opened = opened.select("file", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    x = x.join(opened, ["file", "_bucket"]).withColumn("_k", F.col("_k") + F.col("_off"))
+    return x.groupBy("file", "_k").agg(
+        F.min(F.when(F.col("_after") == 1, F.col("lineno"))).alias("first"), F.max(F.when(F.col("_after") == 0, F.col("lineno"))).alias("last")
+    ).drop("_k")
+
+
+def csv_records(lines: DataFrame, record_lines: int = RECORD_LINES, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines of comma-separated files -> ``(single, several, rejected)``.
+
+    single: the lines that are a record of their own, as they are; several: records over
+    several lines (a line break in a quoted field is part of it, blank lines too; ``lineno``
+    is that of the first, breaks are ``\\n``); rejected: the lines from one that opens a
+    quoted field which is never closed to the file's end, and those of records of more
+    than ``record_lines`` lines, each line a row, so that no stray quote gathers a file
+    in one place. The lines that change the quote state are found first, by a job of
+    their own; mostly there are none that matter. ``among``: the lines of the files that are comma-separated (default:
+    all); lines of other files are single."""
+    columns = lines.select("file", "lineno", "value")
+    none = lines.sparkSession.createDataFrame([], "file string, lineno long, value string, reason string")
+    steps = _small(quote_steps(lines if among is None else among))
+    spans = steps if steps.isEmpty() else _small(quoted_spans(steps))
+    if spans.isEmpty():  # every line is a record
+        return columns, none.drop("reason"), none
+    size = F.col("last") - F.col("first") + 1
+    inner = spans.where("last is not null").select("file", "first", (size > record_lines).alias("_long"), F.explode(F.sequence("first", "last")).alias("lineno"))
+    open_ = spans.where("last is null").groupBy("file").agg(F.min("first").alias("_open"))
+    tagged = lines.join(inner, ["file", "lineno"], "left").join(open_, "file", "left")
+    beyond = F.coalesce(F.col("lineno") >= F.col("_open"), F.lit(False))
+    single = tagged.where(F.col("first").isNull() & ~beyond).select("file", "lineno", "value")
+    inside = tagged.where(F.col("first").isNotNull() & ~F.col("_long"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lineno", "value"))), lambda e: e["value"]), "\n")
+    several = inside.groupBy("file", F.col("first").alias("lineno")).agg(whole.alias("value"))
+    reason = F.when(beyond, F.lit("quote_not_closed")).otherwise(F.lit("record_too_long"))
+    rejected = tagged.where(beyond | F.col("_long")).select("file", "lineno", "value", reason.alias("reason"))
+    return single, several, rejected
+
+
+def csv_fields(line: Column) -> Column:
+    """Fields of a comma-separated record, of any number."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CSV_FIELD), 1)
+    bare = F.regexp_replace
+    return F.transform(found, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(bare(f, r'\A"([^"]*+(?:""[^"]*+)*+)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def _with_csv(x: DataFrame, is_csv: Column) -> DataFrame:
+    """Adds ``_last`` (the last column of each name under the header ``_hdr``, in order of
+    the names' last places) and ``_more`` (fields beyond the header)."""
+    x = x.withColumn("_fields", F.when(is_csv, csv_fields(F.col("value"))))
+    width = F.size("_hdr")
+    named = F.transform("_hdr", lambda h, i: F.struct(h.alias("name"), F.get("_fields", i).alias("value"), i.alias("i")))
+    last = F.filter(named, lambda e: ~F.exists(F.slice("_hdr", e["i"] + 2, width), lambda h: h == e["name"]))
+    more = F.when(F.size("_fields") > width, F.slice("_fields", width + 1, F.greatest(F.size("_fields") - width, F.lit(0))))
+    return x.withColumn("_last", F.when(is_csv, last)).withColumn("_more", F.when(is_csv, more))
+
+
+def _csv_columns() -> tuple[Column, Column]:
+    pairs = F.transform("_last", lambda e: F.concat(json_quote(e["name"]), F.lit(": "), json_quote(e["value"])))
+    rest = F.concat(F.lit('"null": ['), F.array_join(F.transform("_more", json_quote), ", "), F.lit("]"))
+    more = F.when(F.col("_more").isNotNull(), F.array(rest)).otherwise(F.array().cast("array<string>"))
+    raw = F.concat(F.lit("{"), F.array_join(F.concat(pairs, more), ", "), F.lit("}"))
+    value = lambda name: F.get(F.filter("_last", lambda e: e["name"] == name), F.lit(0))["value"]
+    return F.coalesce(value("timestamp"), value("time")), raw
+
+
+def _jsonl_columns() -> tuple[Column, Column]:
+    return F.coalesce(_vs("$.timestamp"), _vs("$.time"), _vs("$['@timestamp']")), F.col("_line")
+
+
+def _syslog_columns(year: int | None) -> tuple[Column, Column]:
+    ts = F.nullif(F.col("_s.timestamp"), F.lit(""))
+    if year is not None:
+        norm = F.regexp_replace(ts, r"\s+", " ")
+        parsed = F.try_to_timestamp(F.concat(F.lit(f"{year} "), norm), F.lit("yyyy MMM d HH:mm:ss"))
+        ts = F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ts)
+    return ts, F.to_json(F.col("_s"))
+
+
+def _plain_columns() -> tuple[Column, Column]:
+    return F.lit(None).cast("string"), F.to_json(F.struct(F.col("_line").alias("line"), F.col("lineno")))
+
+
+def _generic(x: DataFrame, fmt: str | Column, ts: Column, raw: Column, as_of: str | None, hostname: Column | None = None) -> DataFrame:
     """Whole event rows with the table's defaults, as for the other sources;
     ``_file``, ``_lineno``, ``_format`` and ``_hostname`` say where they come from."""
     rows = x.select(
         F.col("file").alias("_file"),
         F.col("lineno").alias("_lineno"),
-        F.lit(fmt).alias("_format"),
+        (F.lit(fmt) if isinstance(fmt, str) else fmt).alias("_format"),
         (F.lit(None).cast("string") if hostname is None else hostname).alias("_hostname"),
         F.lit(GENERIC_SOURCE).alias("source"),
         F.coalesce(ts, as_of_text(as_of)).alias("timestamp"),
@@ -227,81 +379,85 @@ def _generic(x: DataFrame, fmt: str, ts: Column, raw: Column, as_of: str | None,
 def parse_jsonl(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """timestamp = timestamp -> time -> @timestamp -> as_of; raw = the object."""
     good, rejected = _json_split(lines, line_cap)
-    ts = F.coalesce(_vs("$.timestamp"), _vs("$.time"), _vs("$['@timestamp']"))
-    return _generic(good, "jsonl", ts, F.col("_line"), as_of), rejected
+    return _generic(good, "jsonl", *_jsonl_columns(), as_of), rejected
 
 
 def parse_syslog(lines: DataFrame, as_of: str | None = None, year: int | None = None, line_cap: int | None = None) -> DataFrame:
     """RFC-3164-like lines -> events; without ``year`` the time stays text
     (it has no year); with ``year`` it is parsed to a real time."""
     x = _clean(lines, line_cap).withColumn("_s", syslog_fields(F.col("_line")))
-    ts = F.nullif(F.col("_s.timestamp"), F.lit(""))
-    if year is not None:
-        norm = F.regexp_replace(ts, r"\s+", " ")
-        parsed = F.try_to_timestamp(F.concat(F.lit(f"{year} "), norm), F.lit("yyyy MMM d HH:mm:ss"))
-        ts = F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ts)
-    return _generic(x, "syslog", ts, F.to_json(F.col("_s")), as_of, F.col("_s.hostname"))
+    return _generic(x, "syslog", *_syslog_columns(year), as_of, F.col("_s.hostname"))
 
 
 def parse_plain(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> DataFrame:
     """Each non-blank line -> {line, lineno}; time = as_of."""
-    x = _clean(lines, line_cap)
-    raw = F.to_json(F.struct(F.col("_line").alias("line"), F.col("lineno")))
-    return _generic(x, "plain", F.lit(None).cast("string"), raw, as_of)
-
-
-# A field of a comma-separated line: quoted (a doubled quote stands for one) or bare.
-_CSV_FIELD = r'("(?:[^"]|"")*"[^,]*|[^,]*),'
-
-
-def csv_fields(line: Column) -> Column:
-    """Fields of a comma-separated line, of any number."""
-    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CSV_FIELD), 1)
-    return F.transform(found, lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(F.regexp_replace(f, r'\A"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(f))
+    return _generic(_clean(lines, line_cap), "plain", *_plain_columns(), as_of)
 
 
 def parse_csv(lines: DataFrame, as_of: str | None = None, line_cap: int | None = None) -> DataFrame:
-    """Records under each file's header, its first line that is not blank.
+    """Records under each file's header, its first record that is not blank
+    (``parse_csv_lines`` gives the rejected lines too)."""
+    return parse_csv_lines(lines, as_of, line_cap)[0]
 
-    raw = all columns as a JSON object (of columns with one name the last counts;
+
+def parse_csv_lines(
+    lines: DataFrame, as_of: str | None = None, line_cap: int | None = None, record_lines: int = RECORD_LINES
+) -> tuple[DataFrame, DataFrame]:
+    """raw = all columns as a JSON object (of columns with one name the last counts;
     fields beyond the header are kept as a list under "null"; missing ones are
-    null), timestamp = timestamp -> time -> as_of. Blank lines are skipped, header
-    names may be quoted, and lines have any number of fields. A quoted line break
-    is not taken for part of a field: lines come one by one."""
-    some = _clean(lines, line_cap)
+    null), timestamp = timestamp -> time -> as_of. Blank lines between records are
+    skipped, header names may be quoted, records have any number of fields, and a line
+    break in a quoted field is part of it (``csv_records``)."""
+    single, several, rejected = csv_records(lines, record_lines)
+    records = single.unionByName(several)
+    some = _clean(records, line_cap)
     first = some.groupBy("file").agg(F.min(F.struct("lineno", "value")).alias("_h"))
     header = first.select("file", F.col("_h.lineno").alias("_first"), F.transform(csv_fields(F.col("_h.value")), strip_ws).alias("_hdr"))
-    x = some.join(header, "file").where(F.col("lineno") > F.col("_first")).withColumn("_fields", csv_fields(F.col("value")))
-    width = F.size("_hdr")
-    # the last column of each name, in order of the names' last places
-    named = F.transform("_hdr", lambda h, i: F.struct(h.alias("name"), F.get("_fields", i).alias("value"), i.alias("i")))
-    last = F.filter(named, lambda e: ~F.exists(F.slice("_hdr", e["i"] + 2, width), lambda h: h == e["name"]))
-    x = x.withColumn("_last", last)
-    pairs = F.transform("_last", lambda e: F.concat(json_quote(e["name"]), F.lit(": "), json_quote(e["value"])))
-    rest = F.transform(F.slice("_fields", width + 1, F.greatest(F.size("_fields") - width, F.lit(0))), json_quote)
-    more = F.when(F.size("_fields") > width, F.array(F.concat(F.lit('"null": ['), F.array_join(rest, ", "), F.lit("]")))).otherwise(F.array().cast("array<string>"))
-    raw = F.concat(F.lit("{"), F.array_join(F.concat(pairs, more), ", "), F.lit("}"))
-    value = lambda name: F.get(F.filter("_last", lambda e: e["name"] == name), F.lit(0))["value"]
-    return _generic(x, "csv", F.coalesce(value("timestamp"), value("time")), raw, as_of)
+    x = _with_csv(some.join(header, "file").where(F.col("lineno") > F.col("_first")), F.lit(True))
+    return _generic(x, "csv", *_csv_columns(), as_of), rejected.unionByName(_too_long(records, line_cap))
 
 
 def parse_generic_lines(
     lines: DataFrame, fmt: str = "auto", as_of: str | None = None, year: int | None = None, line_cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Dispatch per file on the detected (or given) format and union the branches."""
-    if fmt == "auto":
-        formats = detect_format(lines)
-        tagged = lines.join(formats, "file")
+    """Each file by its detected (or the given) format, in one pass: a file's format and
+    header come from its first two lines, records over several lines of comma-separated
+    files are put together before, and every line is then read by its file's format."""
+    if fmt == "csv":
+        return parse_csv_lines(lines, as_of, line_cap)
+    if fmt == "jsonl":
+        return parse_jsonl(lines, as_of, line_cap)
+    if fmt != "auto":
+        events = parse_syslog(lines, as_of, year, line_cap) if fmt == "syslog" else parse_plain(lines, as_of, line_cap)
+        return events, _too_long(lines, line_cap)
+    heads = _small(_heads(lines).select("file", "first", _format_of(F.col("first"), F.col("second")).alias("format")))
+    of_csv = heads.where("format = 'csv'").select("file", "first")
+    if of_csv.isEmpty():
+        single, several, rejected = csv_records(lines, among=lines.where(F.lit(False)))
     else:
-        tagged = lines.withColumn("format", F.lit(fmt))
-    pick = lambda f: tagged.where(F.col("format") == f).drop("format")
-    jl, rejected = parse_jsonl(pick("jsonl"), as_of, line_cap)
-    rejected = rejected.unionByName(_too_long(tagged.where(F.col("format") != "jsonl").drop("format"), line_cap))
-    parts = [jl, parse_csv(pick("csv"), as_of, line_cap), parse_syslog(pick("syslog"), as_of, year, line_cap), parse_plain(pick("plain"), as_of, line_cap)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, rejected
+        single, several, rejected = csv_records(lines, among=lines.join(of_csv.select("file"), "file", "left_semi"))
+    broken = several.where("lineno = 1").select("file", F.col("value").alias("_whole"))  # a header over several lines
+    header = of_csv.join(broken, "file", "left").select("file", F.transform(csv_fields(F.coalesce("_whole", "first")), strip_ws).alias("_hdr"))
+    files = heads.select("file", "format").join(header, "file", "left")
+    kind = F.col("format")
+    records = single.unionByName(several)
+    x = _clean(records, line_cap).join(files, "file").where((kind != "csv") | (F.col("lineno") > 1))
+    x = x.withColumn("_v", F.when(kind == "jsonl", F.try_parse_json(F.col("_line"))))
+    is_obj = F.col("_v").isNotNull() & F.startswith(F.col("_line"), F.lit("{"))
+    reason = F.when(F.col("_v").isNull(), F.lit("malformed_json")).otherwise(F.lit("not_an_object"))
+    rejected = rejected.unionByName(x.where((kind == "jsonl") & ~is_obj).select("file", "lineno", "value", reason.alias("reason")))
+    rejected = rejected.unionByName(_too_long(records, line_cap))
+    x = x.where((kind != "jsonl") | is_obj).withColumn("_s", F.when(kind == "syslog", syslog_fields(F.col("_line"))))
+    x = _with_csv(x, kind == "csv")
+    by = {"jsonl": _jsonl_columns(), "csv": _csv_columns(), "syslog": _syslog_columns(year), "plain": _plain_columns()}
+
+    def column(i: int) -> Column:
+        out = F.when(kind == "jsonl", by["jsonl"][i])
+        for name in ("csv", "syslog"):
+            out = out.when(kind == name, by[name][i])
+        return out.otherwise(by["plain"][i])
+
+    return _generic(x, kind, column(0), column(1), as_of, F.col("_s.hostname")), rejected
 
 
 def read_guard_log(spark: SparkSession, paths, taxonomy: DataFrame | None = None, as_of: str | None = None):

@@ -28,7 +28,7 @@ PARSERS = {
     "gate": lambda lines, as_of: R.parse_gate_lines(lines, as_of=as_of),
     "generic": lambda lines, as_of: R.parse_generic_lines(lines, as_of=as_of),  # format found per file
     "jsonl": lambda lines, as_of: R.parse_jsonl(lines, as_of=as_of),
-    "csv": _all_accepted(R.parse_csv),
+    "csv": lambda lines, as_of: R.parse_csv_lines(lines, as_of=as_of),
     "syslog": _all_accepted(R.parse_syslog),
     "plain": _all_accepted(R.parse_plain),
 }
