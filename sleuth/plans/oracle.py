@@ -459,6 +459,17 @@ SELECT CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"
     q["stream_bursts_by_agent"] = "SELECT id, type, score, agent_id FROM (" + _burst(0.001, True) + ")"
+    q["stream_ordered_alerts"] = f"""SELECT id, type, score, CAST(NULL AS BIGINT) AS run_length, agent_id FROM ({_burst(0.001, True)})
+        UNION ALL SELECT id, CASE WHEN at_end THEN 'blocked_chain_open' ELSE type END, score, run_length, agent_id FROM ({_chains(True)})"""
+    # four files a batch; a batch's watermark is the largest time before it less the delay
+    q["stream_late_rows"] = W + """,
+b AS (SELECT min(epoch) AS lo, (max(epoch) - min(epoch)) / 15 + 1 AS width FROM ae),
+f AS (SELECT id, agent_id, timestamp, epoch_us(make_timestamp(CAST(round(epoch * 1e6) AS BIGINT))) AS us, width,
+             greatest(0, CAST(floor((epoch - lo) / width) AS INTEGER)
+                         + CASE WHEN id % 101 = 0 THEN 5 WHEN id % 7 = 0 THEN 1 WHEN id % 7 = 1 THEN -1 ELSE 0 END) // 4 AS batch FROM ae, b),
+m AS (SELECT batch, max(us) // 1000 AS top FROM f GROUP BY batch)
+SELECT id, agent_id, timestamp FROM f
+WHERE ceil(us / 1000) <= (SELECT max(top) FROM m WHERE m.batch < f.batch) - CAST(floor(width * 2.0 * 1000) AS BIGINT)"""
     q["stream_chains_by_agent"] = W + "," + _chains_body(True) + "\nSELECT id, score, run_length, agent_id FROM chains WHERE NOT at_end"
     # reports
     q["report_timeline"] = W + """SELECT CAST(row_number() OVER (ORDER BY timestamp, id) AS BIGINT) AS row_no, source, severity,

@@ -602,4 +602,47 @@ def q_stream_chains_by_agent(s, d):
     return out.where(F.col("type") == "blocked_chain").select("id", "score", "run_length", "agent_id")
 
 
+SLICES = 20  # files that the event table is dealt to
+
+
+def _out_of_order(s, d):
+    """The events as a stream of ``SLICES`` files in order of time, but for some rows that
+    stand a file earlier or later, and one in 101 that comes five files later; last a row
+    far in the future, which lets the watermark pass all others."""
+    from sleuth.streaming.alerts import stream_output_dir
+
+    path = f"{stream_output_dir(s)}/in"
+    ev = _ae(s, d).select("agent_id", "id", "timestamp", "epoch", "blocked", "event_ts")
+    lo, hi = ev.agg(F.min("epoch"), F.max("epoch")).first()
+    k = F.floor((F.col("epoch") - lo) / ((hi - lo) / (SLICES - 5) + 1)).cast("int")
+    shift = F.when(F.col("id") % 101 == 0, 5).when(F.col("id") % 7 == 0, 1).when(F.col("id") % 7 == 1, -1).otherwise(0)
+    dealt = ev.withColumn("_file", F.greatest(F.lit(0), k + shift))
+    for i in range(SLICES):
+        dealt.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    end = ev.limit(1).select(F.lit("").alias("agent_id"), F.lit(-1).cast("long").alias("id"), F.lit("9999").alias("timestamp"), F.lit(4e9).alias("epoch"),
+                             F.lit(False).alias("blocked"), F.timestamp_seconds(F.lit(4e9)).alias("event_ts"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(path), (hi - lo) / (SLICES - 5) + 1
+
+
+def _ordered_stream(s, d, slices_late: float):
+    from sleuth.streaming.alerts import ordered_alerts, start_alerts, stream_output_dir
+
+    stream, width = _out_of_order(s, d)
+    out = stream_output_dir(s)
+    found = ordered_alerts(stream, f"{int(width * slices_late * 1000)} milliseconds", 4e8, 0.001)
+    start_alerts(found, out, f"{out}/checkpoint").awaitTermination()
+    return s.read.schema(found.schema).parquet(f"{out}/alerts"), s.read.schema(found.schema).parquet(f"{out}/late")
+
+
+def q_stream_ordered_alerts(s, d):
+    alerts, _ = _ordered_stream(s, d, 7.0)  # nothing is later than that
+    return alerts.select("id", "type", "score", "run_length", "agent_id")
+
+
+def q_stream_late_rows(s, d):
+    _, late = _ordered_stream(s, d, 2.0)
+    return late.select("id", "agent_id", "timestamp")
+
+
 QUERIES: dict[str, Q] = {k[2:]: v for k, v in sorted(globals().items()) if k.startswith("q_") and callable(v)}

@@ -9,6 +9,13 @@ position) instead of the agent's history. Rows of a batch are ordered by
 arrive too late for an order-based rule and are reported as ``late`` instead
 of being silently dropped. A blocked streak that is still open stays in state
 (it is reported when the next non-blocked event arrives).
+
+``ordered_alerts`` does the same for streams whose rows come out of order, and reports
+open runs: a stateful processor holds each agent's rows until the watermark has passed
+their time, releases them in order (timestamp, id) to the same rules, and sets an
+event-time timer that reports a run which nothing has followed for ``run_timeout``.
+Rows behind the watermark come out as ``late`` with their position; ``write_alerts``
+puts them into a table of their own.
 """
 
 from __future__ import annotations
@@ -112,6 +119,115 @@ def sequence_alerts(events: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+ORDERED_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField("timestamp", T.StringType()), T.StructField("batch_watermark", T.LongType())])
+HELD_SCHEMA = "ms long, timestamp string, id long, epoch double, blocked boolean"
+TAIL_SCHEMA = "e1 double, e2 double, n long, last_ts string, last_id long, streak long, last_ms long, reported long"
+OPEN_RUN = "blocked_chain_open"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _ordered_rules(threshold: float, timeout_ms: int):
+    """The processor of one agent (built here so that it is shipped by value)."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    held_columns = [c.split()[0] for c in HELD_SCHEMA.split(", ")]
+    out_columns = [f.name for f in ORDERED_SCHEMA.fields]
+
+    class OrderedRules(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.held = handle.getListState("held", HELD_SCHEMA)
+            self.tail = handle.getValueState("tail", TAIL_SCHEMA)
+
+        def handleInputRows(self, key, rows, timerValues):
+            watermark = timerValues.getCurrentWatermarkInMs()
+            least, late = None, []
+            for pdf in rows:
+                behind = pdf["ms"] <= watermark
+                late += [(key[0], "late", int(i), None, None, t, watermark) for i, t in zip(pdf.loc[behind, "id"], pdf.loc[behind, "timestamp"])]
+                fresh = pdf.loc[~behind, held_columns]
+                if len(fresh):
+                    self.held.appendList([(int(m), t, int(i), float(e), bool(b)) for m, t, i, e, b in fresh.itertuples(index=False)])
+                    first = int(fresh["ms"].min())
+                    least = first if least is None else min(least, first)
+            if least is not None:
+                self.handle.registerTimer(least)
+            if late:
+                yield pd.DataFrame(late, columns=out_columns)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            watermark = timerValues.getCurrentWatermarkInMs()
+            tail = self.tail.get() if self.tail.exists() else (0.0, 0.0, 0, None, None, 0, 0, 0)
+            *tail, last_ms, reported = tail
+            found = []
+            pdf = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=held_columns)
+            ready = pdf["ms"] <= watermark
+            if ready.any():
+                rest = pdf[~ready]
+                if len(rest):
+                    self.held.put([tuple(r) for r in rest.itertuples(index=False)])
+                    self.handle.registerTimer(int(rest["ms"].min()))
+                else:
+                    self.held.clear()
+                now = pdf[ready].sort_values(["timestamp", "id"], kind="stable", ignore_index=True)
+                found, tail = _findings(now, tuple(tail), threshold)
+                last_ms, reported = int(now["ms"].max()), 0
+            streak = int(tail[5])
+            if streak >= A.CHAIN_MIN and not reported:
+                if last_ms + timeout_ms <= watermark:
+                    found.append((OPEN_RUN, int(tail[4]), min(10.0, 2.0 * streak), streak))
+                    reported = streak
+                else:
+                    self.handle.registerTimer(last_ms + timeout_ms)
+            self.tail.update((*tail, last_ms, reported))
+            if found:
+                yield pd.DataFrame([(key[0], *f, None, watermark) for f in found], columns=out_columns)
+
+        def close(self):
+            pass
+
+    return OrderedRules()
+
+
+def ordered_alerts(events: DataFrame, delay: str, run_timeout_seconds: float, threshold: float = 0.5, time_col: str = "event_ts") -> DataFrame:
+    """Bursts, blocked chains and runs still open, per agent, on a streaming frame whose
+    rows come up to ``delay`` out of order (``agent_id, id, timestamp, epoch, blocked``
+    and ``time_col``). ``late``: rows behind the watermark. State needs RocksDB
+    (``start_alerts`` sets it). A run reported as open may go on; it is then reported
+    again when it closes, with its whole length."""
+    let_import(events.sparkSession)
+    marked = events.withWatermark(time_col, delay)
+    # whole milliseconds rounded up, as timers and watermarks have them; as a plain number
+    # the time takes no part in Spark's own filter, which drops late rows without a word
+    ms = F.ceil(F.unix_micros(F.col(time_col).cast("timestamp")) / 1000).cast("long")
+    rows = marked.select("agent_id", "id", "timestamp", "epoch", F.coalesce("blocked", F.lit(False)).alias("blocked"), ms.alias("ms"))
+    processor = _ordered_rules(float(threshold), int(run_timeout_seconds * 1000))
+    return rows.groupBy("agent_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=ORDERED_SCHEMA, outputMode="append", timeMode="EventTime"
+    )
+
+
+def start_alerts(stream: DataFrame, path: str, checkpoint_location: str, available_now: bool = True):
+    """Write ``ordered_alerts``: findings to ``path``/alerts, late rows to ``path``/late.
+    Each batch overwrites its own partition, so that a batch run again writes the same."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        for name, of in (("alerts", F.col("type") != "late"), ("late", F.col("type") == "late")):
+            rows = batch.where(of).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+        batch.unpersist()
+
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key, None)
+    conf.set(key, ROCKSDB)
+    try:
+        w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_location)
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
+    finally:  # a query keeps the settings it starts with
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def stream_output_dir(spark) -> str:
     """A fresh folder under the cluster's checkpoint directory for one stream."""
     import uuid
