@@ -17,10 +17,13 @@ the previous row through the halo window).
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +49,36 @@ def metadata_json(m: Column | None) -> Column:
     return F.concat(F.lit("{"), body, F.lit("}"))
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text of any depth -> the text with sorted keys on every level, Python's
+    separators and number texts, in ASCII. What Python counts as false (null, empty,
+    0) is ``{}``; a text that is no JSON counts as a string."""
+
+    @F.pandas_udf(T.StringType())
+    def canonical(texts: pd.Series) -> pd.Series:
+        def one(value: str | None) -> str:
+            try:
+                return json.dumps((json.loads(value) if value else None) or {}, sort_keys=True)
+            except ValueError:
+                return json.dumps(value)
+
+        return texts.map(one, na_action=None)
+
+    return canonical(text)
+
+
+def metadata_text(df: DataFrame, metadata: Column | None) -> Column:
+    """Canonical text of a metadata column of any type: a map of texts in the JVM;
+    JSON texts, variants, structs, arrays and other maps with all their levels."""
+    if metadata is None:
+        return metadata_json(None)
+    kind = df.select(metadata.alias("m")).schema["m"].dataType
+    if kind == T.MapType(T.StringType(), T.StringType()) or kind == T.MapType(T.StringType(), T.StringType(), False):
+        return metadata_json(metadata)
+    text = metadata if isinstance(kind, T.StringType) else F.to_json(metadata, {"ignoreNullFields": "false"})
+    return canonical_json(text)
+
+
 def _parts(evidence_id: Column, data_hash: Column, collector: Column, ts: Column, meta: Column, action: Column) -> tuple[Column, Column]:
     pre = F.concat(
         F.lit('{"action": '),
@@ -87,20 +120,21 @@ CHAIN_SCHEMA = T.StructType(
 
 
 def _chain_fold(zero: str = ZERO_HASH):
-    """The per-partition fold (built here so it is shipped by value to workers)."""
+    """The per-partition fold (built here so it is shipped by value to workers). A
+    chain begins with its seed: the hash of the entry before, zeros if there is none."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, last = object(), zero
         for pdf in batches:
             parents, hashes = [], []
-            for c, pre, suf in zip(pdf["chain_id"], pdf["_pre"], pdf["_suf"]):
+            for c, pre, suf, seed in zip(pdf["chain_id"], pdf["_pre"], pdf["_suf"], pdf["_seed"]):
                 if c != chain:
-                    chain, last = c, zero
+                    chain, last = c, seed or zero
                 h = hashlib.sha256((pre + last + suf).encode("utf-8")).hexdigest()
                 parents.append(last)
                 hashes.append(h)
                 last = h
-            yield pdf.drop(columns=["_pre", "_suf"]).assign(parent_hash=parents, entry_hash=hashes)
+            yield pdf.drop(columns=["_pre", "_suf", "_seed"]).assign(parent_hash=parents, entry_hash=hashes)
 
     return fold
 
@@ -115,9 +149,12 @@ def build_chain(
     collected_at: Column,
     metadata: Column | None = None,
     partitions: int | None = None,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
-    """One custody entry per row, linked inside each chain in ``seq_col`` order."""
-    meta = metadata_json(metadata)
+    """One custody entry per row, linked inside each chain in ``seq_col`` order.
+    ``metadata`` may be of any type (``metadata_text``). ``tails`` (``chain_id, seq,
+    entry_hash`` of stored chains' last entries): the rows go on from there."""
+    meta = metadata_text(df, metadata)
     pre, suf = _parts(evidence_id, data_hash, collector, collected_at, meta, F.lit(ACTION))
     rows = df.select(
         F.col(chain_col).cast("string").alias("chain_id"),
@@ -132,10 +169,90 @@ def build_chain(
         suf.alias("_suf"),
     )
     n = partitions or num_partitions(rows)
+    if tails is None:
+        rows = rows.withColumn("_seed", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(tails.select("chain_id", F.col("entry_hash").alias("_seed")), "chain_id", "left")
+    rows = rows.select(*CHAIN_SCHEMA.names[:-2], "_pre", "_suf", "_seed")
     ordered = rows.repartition(n, "chain_id").sortWithinPartitions("chain_id", SEQ)
     return ordered.mapInPandas(_chain_fold(), CHAIN_SCHEMA)
 
 
+class ForkError(ValueError):
+    """Rows that do not go on from a stored chain's last entry."""
+
+
+def _commit_folder(spark: SparkSession, path: str):
+    """The folder of a stored chain table's appends: a file each, named by its number,
+    whose text is the name of the append's folders."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    folder, fs = _commit_folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    found = spark.read.text(f"{path}/commits").select(F.col("_metadata.file_name").alias("n"), "value").orderBy("n").collect()
+    if len(found) != len(fs.listStatus(folder)):
+        raise ForkError("an append is being made")
+    return [r["value"] for r in found]
+
+
+def read_chain(spark: SparkSession, path: str) -> DataFrame:
+    """All entries of the chains stored at ``path``."""
+    parts = [f"{path}/entries/{c}" for c in _commits(spark, path)]
+    return spark.read.schema(CHAIN_SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], CHAIN_SCHEMA)
+
+
+_TAILS = "chain_id string, seq long, entry_hash string"
+
+
+def chain_tails(spark: SparkSession, path: str) -> DataFrame:
+    """``chain_id, seq, entry_hash`` of the last entry of each stored chain."""
+    commits = _commits(spark, path)
+    return spark.read.schema(_TAILS).parquet(f"{path}/tails/{commits[-1]}") if commits else spark.createDataFrame([], _TAILS)
+
+
+def append_chain(df: DataFrame, path: str, chain_col: str, seq_col: str, *args, expected: int | None = None, **kwargs) -> int:
+    """Continue the chains stored at ``path`` with the rows of ``df`` (other arguments as
+    for ``build_chain``), and return the number of appends so far.
+
+    Entries and the chains' new tails are written to folders of their own; the append
+    counts once a file with its number is created, which only one can do. So rows are
+    refused (``ForkError``) if they stand at or before a chain's last entry, if another
+    append has taken place since ``expected`` appends were seen, or since this one began.
+    Memory: as ``build_chain``; tails are joined by chain, a row a chain."""
+    spark = df.sparkSession
+    commits = _commits(spark, path)
+    if expected is not None and expected != len(commits):
+        raise ForkError(f"{len(commits)} appends are stored, {expected} expected")
+    tails = chain_tails(spark, path)
+    rows = df.select(F.col(chain_col).cast("string").alias("chain_id"), F.col(seq_col).cast("long").alias("_new"))
+    behind = rows.join(tails, "chain_id").where(F.col("_new") <= F.col(SEQ))
+    if not behind.isEmpty():
+        first = behind.first()
+        raise ForkError(f"chain {first['chain_id']} has an entry {first[SEQ]} already, {first['_new']} cannot follow it")
+    name = uuid.uuid4().hex
+    build_chain(df, chain_col, seq_col, *args, tails=tails, **kwargs).write.parquet(f"{path}/entries/{name}")
+    new = spark.read.schema(CHAIN_SCHEMA).parquet(f"{path}/entries/{name}").select("chain_id", F.struct(SEQ, "entry_hash").alias("e"))
+    old = tails.select("chain_id", F.struct(SEQ, "entry_hash").alias("e"))
+    last = old.unionByName(new).groupBy("chain_id").agg(F.max("e").alias("e"))
+    last.select("chain_id", f"e.{SEQ}", "e.entry_hash").write.parquet(f"{path}/tails/{name}")
+    folder, fs = _commit_folder(spark, path)
+    fs.mkdirs(folder)
+    jvm, number = spark._jvm, len(commits) + 1
+    try:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:08d}"), False)  # fails if it is there
+    except Py4JJavaError as exc:
+        for kind in ("entries", "tails"):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/{name}"), True)
+        raise ForkError(f"append {number} has been made by another") from exc
+    out.writeBytes(name)
+    out.close()
+    return number
+
+
 def get_chain(chain: DataFrame, chain_id: str) -> DataFrame:
     return chain.where(F.col("chain_id") == F.lit(chain_id)).orderBy(SEQ)
 

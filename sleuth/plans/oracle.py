@@ -376,6 +376,18 @@ ch AS (SELECT source, doc_id, pos, repeat('0', 64) AS parent_hash, sha256(pre ||
        FROM ch c JOIN parts p ON p.source = c.source AND p.pos = c.pos + 1)
 SELECT source AS chain_id, doc_id AS seq, parent_hash, entry_hash FROM ch"""
     q["evidence_chain"] = "WITH RECURSIVE dummy AS (SELECT 1)" + CHAIN + "\nSELECT chain_id, turn AS seq, evidence_id, hash, parent_hash, entry_hash FROM ch"
+    q["evidence_chain_appends"] = q["evidence_chain"]
+    # numbers as Python writes them: at least one decimal, an exponent of two digits from 1e16 and below 1e-4
+    q["evidence_nested_metadata"] = "WITH RECURSIVE ae AS (" + AGENT_EVENTS_SQL + r"""),
+m AS (SELECT agent_id, id, source, event_type, row_number() OVER (PARTITION BY agent_id ORDER BY id) - 1 AS pos,
+             '{"b": {"rows": [{"a": 1e+20, "\u00e9": "' || event_type || '"}]}, "ids": [' || id || ', null], "none": null, "z": {"blocked": ' || blocked::VARCHAR
+             || ', "part": ' || (risk_score / 1e7)::VARCHAR || ', "risk": ' || risk_score::VARCHAR || '}}' AS meta FROM ae),
+parts AS (SELECT *, '{"action": "collected", "collector": "' || source || '", "evidence_id": "' || id || '", "hash": "' || sha256(event_type)
+                 || '", "metadata": ' || meta || ', "parent_hash": "' AS pre, '", "timestamp": "2024-01-01T00:00:00+00:00"}' AS suf FROM m),
+ch AS (SELECT agent_id, id, pos, meta, repeat('0', 64) AS parent_hash, sha256(pre || repeat('0', 64) || suf) AS entry_hash FROM parts WHERE pos = 0
+       UNION ALL SELECT p.agent_id, p.id, p.pos, p.meta, c.entry_hash, sha256(p.pre || c.entry_hash || p.suf)
+       FROM ch c JOIN parts p ON p.agent_id = c.agent_id AND p.pos = c.pos + 1)
+SELECT agent_id AS chain_id, id AS seq, meta AS metadata_json, parent_hash, entry_hash FROM ch"""
     q["evidence_verify"] = _verify(False)
     q["evidence_tampered_verify"] = _verify(True)
     q["evidence_tampered"] = _chain_checks(True) + "SELECT chain_id, kind, pos, message FROM errs"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sleuth.functions.columns import normalize_timestamp, safe_json, sha256_hex, strip_ws
@@ -327,6 +327,36 @@ def q_evidence_chain_texts(s, d):
     return chain.select("chain_id", "seq", "parent_hash", "entry_hash")
 
 
+def q_evidence_chain_appends(s, d):
+    """The conversations' chains, stored in three appends and read back."""
+    from sleuth.streaming.alerts import stream_output_dir
+
+    path = f"{stream_output_dir(s)}/chains"
+    conv = read_table(s, d, "conversations")
+    third = F.ntile(3).over(Window.partitionBy("conv_id").orderBy("turn"))  # a conversation's turns are few
+    parts = conv.withColumn("_part", third)
+    for k in (1, 2, 3):
+        E.append_chain(
+            parts.where(F.col("_part") == k), path, "conv_id", "turn",
+            F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")),
+            sha256_hex("text"), F.col("role"), F.lit(CHAIN_TIME), expected=k - 1,
+        )
+    return E.read_chain(s, path).select("chain_id", "seq", "evidence_id", "hash", "parent_hash", "entry_hash")
+
+
+def q_evidence_nested_metadata(s, d):
+    """Chains by user whose metadata has several levels, numbers of each kind and lists."""
+    ev = _ae(s, d)
+    meta = F.struct(
+        F.struct(F.col("risk_score").alias("risk"), (F.col("risk_score") / 1e7).alias("part"), F.col("blocked").alias("blocked")).alias("z"),
+        F.array(F.col("id"), F.lit(None).cast("long")).alias("ids"),
+        F.struct(F.array(F.struct(F.col("event_type").alias("é"), F.lit(1e20).alias("a"))).alias("rows")).alias("b"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    chain = E.build_chain(ev, "agent_id", "id", F.col("id").cast("string"), sha256_hex("event_type"), F.col("source"), F.lit(CHAIN_TIME), meta)
+    return chain.select("chain_id", "seq", "metadata_json", "parent_hash", "entry_hash")
+
+
 def q_evidence_get_chain(s, d):
     return E.get_chain(_conversation_chain(s, d), "1").select("chain_id", "seq", "evidence_id", "parent_hash", "entry_hash")
 
@@ -626,13 +656,13 @@ def _out_of_order(s, d):
 
 
 def _ordered_stream(s, d, slices_late: float):
-    from sleuth.streaming.alerts import ordered_alerts, start_alerts, stream_output_dir
+    from sleuth.streaming.alerts import ordered_alerts, read_alerts, start_alerts, stream_output_dir
 
     stream, width = _out_of_order(s, d)
     out = stream_output_dir(s)
     found = ordered_alerts(stream, f"{int(width * slices_late * 1000)} milliseconds", 4e8, 0.001)
     start_alerts(found, out, f"{out}/checkpoint").awaitTermination()
-    return s.read.schema(found.schema).parquet(f"{out}/alerts"), s.read.schema(found.schema).parquet(f"{out}/late")
+    return read_alerts(s, out)
 
 
 def q_stream_ordered_alerts(s, d):

@@ -228,6 +228,12 @@ def start_alerts(stream: DataFrame, path: str, checkpoint_location: str, availab
         conf.unset(key) if before is None else conf.set(key, before)
 
 
+def read_alerts(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Findings and late rows that ``start_alerts`` has written."""
+    schema = T.StructType([*ORDERED_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
+    return tuple(spark.read.schema(schema).parquet(f"{path}/{name}") for name in ("alerts", "late"))
+
+
 def stream_output_dir(spark) -> str:
     """A fresh folder under the cluster's checkpoint directory for one stream."""
     import uuid

@@ -75,3 +75,70 @@ def test_every_altered_field_is_reported(spark):
 def test_metadata_with_nulls_and_odd_texts(spark):
     df = spark.createDataFrame([({"b": 'x"\u2028', "a": None, "é": "1"},)], "m map<string,string>")
     assert df.select(E.metadata_json(F.col("m")).alias("j")).first()["j"] == json.dumps({"a": None, "b": 'x"\u2028', "é": "1"})
+
+
+def _append(spark, path, rows, **more):
+    df = spark.createDataFrame(rows, "case string, pos long, eid string, who string")
+    return E.append_chain(df, path, "case", "pos", F.col("eid"), E.sha256_hex(F.col("eid")), F.col("who"), F.lit(T0), **more)
+
+
+def test_appends_continue_stored_chains_and_forks_are_refused(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "chains")
+    rows = [(c, i, f"{c}{i}", "ops") for c in ("a", "b", "c") for i in range(9)]
+    assert E.read_chain(spark, path).isEmpty()
+    assert _append(spark, path, [r for r in rows if r[1] < 3 and r[0] != "c"]) == 1
+    assert _append(spark, path, [r for r in rows if 3 <= r[1] < 7 and r[0] == "a"], expected=1) == 2
+    with pytest.raises(E.ForkError):  # made on a state that is not the last one any more
+        _append(spark, path, [("b", 3, "x", "ops")], expected=1)
+    with pytest.raises(E.ForkError):  # stands before its chain's last entry
+        _append(spark, path, [("a", 6, "x", "ops")])
+    rest = [r for r in rows if not (r[1] < 3 and r[0] != "c") and not (3 <= r[1] < 7 and r[0] == "a")]
+    assert _append(spark, path, rest, expected=2) == 3
+    stored = E.read_chain(spark, path)
+    df = spark.createDataFrame(rows, "case string, pos long, eid string, who string")
+    whole = E.build_chain(df, "case", "pos", F.col("eid"), E.sha256_hex(F.col("eid")), F.col("who"), F.lit(T0))
+    order = ("chain_id", "seq")
+    assert stored.orderBy(*order).collect() == whole.orderBy(*order).collect()
+    assert all(r["valid"] for r in E.verify_chain(stored).collect())
+    assert {(r.chain_id, r.seq) for r in E.chain_tails(spark, path).collect()} == {(c, 8) for c in "abc"}
+
+
+def test_two_appends_at_once_leave_one(spark, tmp_path, monkeypatch):
+    import pytest
+
+    path = str(tmp_path / "chains")
+    _append(spark, path, [("a", 0, "x", "ops")])
+    seen = E._commits(spark, path)
+    monkeypatch.setattr(E, "_commits", lambda s, p: seen)  # both begin with the same state
+    _append(spark, path, [("a", 1, "y", "ops")])
+    with pytest.raises(E.ForkError):
+        _append(spark, path, [("a", 1, "z", "ops")])
+    monkeypatch.undo()
+    assert [r["evidence_id"] for r in E.read_chain(spark, path).orderBy("seq").collect()] == ["x", "y"]
+    assert len(list((tmp_path / "chains" / "entries").iterdir())) == 2  # the refused one is gone
+
+
+def test_nested_metadata_matches_python(spark):
+    import random
+
+    rng = random.Random(6)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth else 6)
+        if kind < 6:
+            return rng.choice([None, True, False, 0, -7, 10**25, 1.0, 1e-7, 1.5e300, 123456789.125, "", 'q"\\\n é😀', "1.0"])
+        if kind < 8:
+            return {rng.choice("abcéZ") + str(i): value(depth - 1) for i in range(rng.randrange(5))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))]
+
+    docs = [value(4) for _ in range(300)] + [{}, None]
+    rows = [(i, json.dumps(d) if i % 2 else json.dumps(d, ensure_ascii=False, indent=1)) for i, d in enumerate(docs)] + [(900, None), (901, "no json")]
+    df = spark.createDataFrame(rows, "i long, m string")
+    got = {r.i: r.j for r in df.select("i", E.metadata_text(df, F.col("m")).alias("j")).collect()}
+    assert all(got[i] == json.dumps(d or {}, sort_keys=True) for i, d in enumerate(docs))
+    assert got[900] == "{}" and got[901] == '"no json"'
+    variants = df.where("i < 300").select(F.parse_json("m").alias("v"), "i").where("variant_get(v, '$') is not null")
+    some = variants.select("i", E.metadata_text(variants, F.col("v")).alias("j")).collect()
+    assert all(json.loads(r.j) == (docs[r.i] or {}) for r in some)

@@ -84,3 +84,64 @@ def test_alerts_do_not_depend_on_batch_bounds():
             at += n
         assert sorted((i, round(s, 6)) for t, i, s, _ in found if t == "high_frequency") == sorted((i, round(s, 6)) for i, s in O.bursts(rows))
         assert sorted((i, n) for t, i, _, n in found if t == "blocked_chain") == sorted((i, n) for i, n, end in O.chains(rows) if not end)
+
+
+def _ordered(spark, files, delay, timeout, threshold=0.5):
+    """Alerts and late rows of files that come one by one."""
+    from pyspark.sql import functions as F
+
+    from sleuth.streaming.alerts import ordered_alerts, read_alerts, start_alerts
+
+    inp, out = _dir(), _dir()
+    schema = "agent_id string, id long, timestamp string, epoch double, blocked boolean"
+    stamp = F.timestamp_micros(F.round(F.col("epoch") * 1e6).cast("long"))
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).withColumn("event_ts", stamp).write.mode("append").parquet(inp)
+    src = spark.readStream.schema(schema + ", event_ts timestamp").option("maxFilesPerTrigger", 1).parquet(inp)
+    start_alerts(ordered_alerts(src, delay, timeout, threshold), out, out + "/ck").awaitTermination()
+    return [x.collect() for x in read_alerts(spark, out)]
+
+
+def _row(agent, i, t, blocked):
+    return (agent, i, ts(t), 1735689600.0 + t, blocked)
+
+
+def test_rows_out_of_order_equal_the_rules_on_the_ordered_log(spark):
+    import random
+
+    from tests import pyoracle as O
+
+    rng = random.Random(8)
+    rows = [_row(f"a{i % 3}", i, round(i + rng.uniform(0, 0.9), 3), rng.choice([True, True, None, False])) for i in range(160)]
+    dealt = [[] for _ in range(20)]
+    for r in rows:
+        dealt[min(19, max(0, int(r[1] / 8) + rng.choice([0, 0, 1, -1])))].append(r)
+    for part in dealt:
+        rng.shuffle(part)
+    alerts, late = _ordered(spark, [*dealt, [_row("~", 999, 1e7, False)]], "30 seconds", 1e6, 0.3)
+    assert late == []
+    want = []
+    for agent in ("a0", "a1", "a2"):
+        own = [dict(id=i, agent_id=a, timestamp=t, epoch=e, blocked=bool(b)) for a, i, t, e, b in rows if a == agent]
+        own = O.text_sorted(own)
+        want += [("high_frequency", i, None) for i, _ in O.bursts(own, 0.3)]
+        want += [("blocked_chain_open" if end else "blocked_chain", i, n) for i, n, end in O.chains(own)]
+    assert sorted((r.type, r.id, r.run_length) for r in alerts if r.agent_id != "~") == sorted(want, key=lambda x: (x[0], x[1]))
+
+
+def test_an_open_run_is_reported_by_a_timer_and_again_when_it_closes(spark):
+    run = [_row("a", i, i * 100, True) for i in range(3)]
+    tick = lambda i, t: [_row("tick", i, t, False)]
+    files = [run, tick(50, 2000), tick(51, 3000), [_row("a", 9, 3100, True)], [_row("a", 10, 3200, False)], tick(52, 9e5), tick(53, 9e6)]
+    alerts, late = _ordered(spark, files, "10 seconds", 600)
+    assert [(r.type, r.id, r.run_length) for r in sorted(alerts, key=lambda r: (r.batch_id, r.id)) if r.agent_id == "a"] == [
+        ("blocked_chain_open", 2, 3),
+        ("blocked_chain", 10, 4),
+    ]
+    assert late == []
+
+
+def test_rows_behind_the_watermark_stand_in_their_own_table(spark):
+    files = [[_row("a", 1, 0, True)], [_row("a", 2, 500, True)], [_row("a", 3, 100, True), _row("a", 4, 600, False)], [_row("a", 5, 9e6, False)]]
+    alerts, late = _ordered(spark, files, "60 seconds", 1e7)
+    assert [(r.id, r.timestamp) for r in late] == [(3, ts(100))] and not [r for r in alerts if r.type == "blocked_chain"]
