@@ -8,7 +8,7 @@ the Cartesian tree of the sequence splits all its subsequences of at least
 that holds c has its least hash at c. So two texts that share a passage share,
 for most functions, a value whose windows both cover it.
 
-Windows whose value occurs in one class only are dropped. Those of the others
+Equal rows count once. Windows whose value occurs in one class only are dropped. Those of the others
 are grouped by value alone, and linked with the earliest class of their group: a
 shared least value is enough. (Two passages at the similarity J have none with a
 chance of (1 - J) ** ``FUNCTIONS``: 6e-5 at 0.8.) Per pair of classes, windows on close diagonals are joined
@@ -18,15 +18,25 @@ have ``MIN_WORDS`` words or more and the Jaccard similarity of both sides is
 ``SIMILARITY`` or more. The later class's words are marked.
 
 The earliest class of a group may share less than a passage with members that
-share one among themselves. So members whose shared value lies in no span that
-was found with their group's earliest class are held against all the group's other
-members, block by block, on the shingles around the value (``NEAR`` to a side),
-and linked with the earliest that repeats there, to be compared as above.
+share one among themselves. So members whose shared value lies in no span that was
+found with their group's earliest class are grouped anew, by what stands around the
+value: the hash of the ``left`` shingles before it and the ``right`` ones after it,
+in step. A passage with one changed word of 50 has a run of 20 shingles or more
+without it, so for most functions the value stands in such a run, and its members
+meet in a group of one of the ``SHORT`` shapes (11 shingles); those of a passage
+without a change meet in one of the ``LONG`` shapes too (41 shingles). Each group's
+members are linked with its earliest one. Members of long groups that are confirmed
+with none are last grouped by all windows of ``SPAN`` shingles that hold the value:
+there, equal keys are equal passages, so the earliest one is every other's partner.
+All of it is joins by key: work grows with the members, and no pairs are made
+within a group.
 
 Defined results: null, empty and short texts have no passages and stay whole; rows
 with the same id are separate documents, and equal rows copies of the first; an
 empty table gives no rows; only the id and text columns are read, so others never
-clash. A text of one word over and over has one shingle and no passage.
+clash. A text of one word over and over has one shingle and no passage. Texts go
+through Python in chunks of 2 MB; a longer text stands alone, at some 100 bytes of
+memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -35,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
@@ -50,8 +60,11 @@ GAP = 10  # shingles between runs that may be joined: two changed words
 SLACK = 8  # shingles beyond the common part of two windows that are compared too
 DIAGONALS = 64
 REQUESTS = 1000  # intervals cut from one copy of a text
-NEAR = SPAN - 1 + SLACK  # shingles on either side of a value that a passage's least part can reach
-BLOCK = 1024
+STEP = 5
+#: Shapes (left, right) of the context of a value: shingles before and after it.
+SHORT = [(k, 2 * STEP - k) for k in range(0, 2 * STEP + 1, STEP)]
+LONG = [(k, 8 * STEP - k) for k in range(0, 8 * STEP + 1, STEP)]
+WHOLE = [(k, SPAN - 1 - k) for k in range(SPAN)]
 
 _WINDOW = "uid long, key long, c int, l int, r int"
 _NONE = np.uint32(0xFFFFFFFF)
@@ -191,47 +204,36 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "begin", "end"])
 
 
-def _hold_against(t: pa.Table) -> pa.Table:
-    """Links of one group's block of members left over (``x``) to a block of members.
-
-    Every pair that can share a passage by the count of its common shingles is
-    compared, earliest partners first, until one repeats at the shared value."""
-    t = t.combine_chunks()
-    x = t["x"].to_numpy(zero_copy_only=False).astype(bool)
-    open_ = t["open"].to_numpy(zero_copy_only=False).astype(bool)
-    uid, c, begin = t["uid"].to_numpy(), t["c"].to_numpy(), t["begin"].to_numpy()
-    near = [np.frombuffer(v.as_buffer(), "<u4") for v in t["shingles"].combine_chunks()]
-    own = [np.unique(s, return_counts=True) for s in near]
-    least = np.array([SPAN * SIMILARITY * (1.0 if len(v) == len(s) else 0.5) for (v, _), s in zip(own, near, strict=True)])
-    y = np.flatnonzero(~x)
-    values = np.concatenate([own[k][0] for k in y]) if len(y) else np.zeros(0, "<u4")
-    counts = np.concatenate([own[k][1] for k in y]) if len(y) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(y)), [len(own[k][0]) for k in y])
-    order = np.argsort(values, kind="stable")
-    values, counts, owner = values[order], counts[order], owner[order]
-    pairs: dict[int, list[int]] = {}  # later member: earlier ones
-    for i in np.flatnonzero(x).tolist():
-        v, n = own[i]
-        a, b = np.searchsorted(values, v, side="left"), np.searchsorted(values, v, side="right")
-        size = b - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        there = np.bincount(owner[at], weights=counts[at], minlength=len(y))
-        here = np.bincount(owner[at], weights=np.repeat(n, size), minlength=len(y))
-        some = np.maximum(there, here) >= np.minimum(least[i], least[y])
-        for k in y[some & (uid[y] != uid[i])].tolist():
-            if uid[k] < uid[i]:
-                pairs.setdefault(i, []).append(k)
-            elif not open_[k]:  # one that is left over too looks back itself, in another block
-                pairs.setdefault(k, []).append(i)
-    rows = []
-    for later, earlier in pairs.items():
-        for first in sorted(earlier, key=lambda k: (uid[k], c[k])):
-            here = c[later] - begin[later]
-            if any(i <= here <= j for i, j in common_spans(near[first], near[later])):
-                rows.append((first, later))
-                break
-    first, later = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-    return t.select(["uid", "c", "l", "r"]).take(pa.array(later)).append_column("first", pa.StructArray.from_arrays([t[k].combine_chunks().take(pa.array(first)) if len(t) else pa.array([], t[k].type) for k in ("uid", "c", "l", "r")], ["uid", "c", "l", "r"]))
+def contexts(hashes: np.ndarray, at: np.ndarray, shapes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles around the places ``at``, a column for each shape, and
+    whether the text reaches that far."""
+    from .words import _powers, mix
+
+    up, down = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    left, right = np.array(shapes, np.int64).T
+    begin, end = at[:, None] - left, at[:, None] + right + 1
+    inside = (begin >= 0) & (end <= len(hashes))
+    begin, end = np.where(inside, begin, 0), np.where(inside, end, 0)
+    salt = mix(np.arange(1, len(shapes) + 1, dtype=np.uint64) + np.uint64(1000 * len(shapes)))
+    return mix((sums[end] - sums[begin]) * down[begin] ^ salt), inside
+
+
+def _contexts(shapes: list[tuple[int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asks = batch.column(1)
+            for i, j, hashes, offsets, _ in shingle_rows(batch.column(0)):
+                for d in range(j - i):
+                    ask = asks[i + d].values
+                    places = ask.field("begin").to_numpy(zero_copy_only=False).astype(np.int64)
+                    keys, inside = contexts(hashes[offsets[d] : offsets[d + 1]], places, shapes)
+                    rows, shape = np.nonzero(inside)
+                    columns = [ask.field("pid").take(pa.array(rows)), pa.array(shape.astype(np.int32)), pa.array(keys[rows, shape].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["pid", "shape", "key"])
+
+    return run
 
 
 def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -245,12 +247,23 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     """
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     columns = columns.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), "text")
-    grouped = columns.groupBy("md5").agg(F.min("doc_id").alias("first_id"))
+    rows = columns.groupBy("md5", "doc_id").agg(F.count(F.lit(1)).alias("n"))  # equal rows count once
+    grouped = rows.groupBy("md5").agg(F.min(F.struct("doc_id", "n")).alias("f")).select("md5", F.col("f.doc_id").alias("first_id"), F.col("f.n").alias("first_rows"))
     grouped = grouped.repartitionByRange("first_id", "md5").sortWithinPartitions("first_id", "md5")
     classes = scratch.write(grouped.withColumn("uid", F.monotonically_increasing_id()), "classes")  # in order of first_id
-
-    ids = classes.select(F.col("first_id").alias("_id"), F.col("md5").alias("_md5"), "uid")
-    texts = columns.join(ids, (columns["md5"] == ids["_md5"]) & columns["doc_id"].eqNullSafe(ids["_id"])).select("uid", "text")
+    some_equal = not classes.where("first_rows > 1").isEmpty()
+
+    def texts_with(wanted: DataFrame, *kept: str) -> DataFrame:
+        """The text of each class in ``wanted`` (``uid`` once), with columns of it: the
+        text of the class's first row, and of equal rows one."""
+        ids = classes.select(F.col("first_id").alias("_id"), F.col("md5").alias("_md5"), "first_rows", "uid").join(wanted, "uid")
+        found = columns.join(ids, (columns["md5"] == ids["_md5"]) & columns["doc_id"].eqNullSafe(ids["_id"]))
+        if not some_equal:
+            return found.select("text", *kept)
+        once = found.where("first_rows > 1").dropDuplicates(["uid"])
+        return found.where("first_rows = 1").unionByName(once).select("text", *kept)
+
+    texts = texts_with(classes.select("uid", F.col("uid").alias("_uid")), "_uid").select(F.col("_uid").alias("uid"), "text")
     windows = scratch.write(texts.mapInArrow(_windows, _WINDOW), "windows")
     words = windows.where("key is null").groupBy("uid").agg(F.max("c").cast("long").alias("n_words"))
     keyed = windows.where("key is not null")
@@ -268,14 +281,22 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     least = members.groupBy("group").agg(F.min(F.struct("uid", "c", "d", "l", "r")).alias("first"), F.max("uid").alias("last"))
     linked = members.join(least.where(F.col("first.uid") < F.col("last")), "group").where(F.col("uid") > F.col("first.uid"))
 
-    def cut(asks: DataFrame, name: str) -> DataFrame:
-        """``pid, side, begin, shingles`` of intervals; a text is read once per REQUESTS of them."""
+    def gathered(asks: DataFrame, function, schema: str, name: str) -> DataFrame:
+        """``function`` of the texts and what is asked of them; a text is read once per
+        REQUESTS asks."""
         copies = asks.groupBy("uid").agg(F.ceil(F.count(F.lit(1)) / REQUESTS).alias("copies"))
         dealt = asks.join(copies, "uid").withColumn("copy", F.pmod(F.xxhash64("ask.pid"), F.col("copies")))
         lists = dealt.groupBy("uid", "copy").agg(F.collect_list("ask").alias("asks"))  # about REQUESTS each
-        lists = lists.join(classes.select("uid", F.col("first_id").alias("_id"), F.col("md5").alias("_md5")), "uid").select("_id", "_md5", "asks")
-        wanted = columns.join(lists, (columns["md5"] == lists["_md5"]) & columns["doc_id"].eqNullSafe(lists["_id"])).select("text", "asks")
-        return scratch.write(wanted.mapInArrow(_slices, "pid long, side int, begin int, shingles binary"), name)
+        return scratch.write(texts_with_lists(lists).mapInArrow(function, schema), name)
+
+    def texts_with_lists(lists: DataFrame) -> DataFrame:
+        if not some_equal:
+            return texts_with(lists, "asks")
+        return texts_with(lists.select("uid").distinct(), "uid").join(lists, "uid").select("text", "asks")
+
+    def cut(asks: DataFrame, name: str) -> DataFrame:
+        """``pid, side, begin, shingles`` of intervals."""
+        return gathered(asks, _slices, "pid long, side int, begin int, shingles binary", name)
 
     def asked(rows: DataFrame, side: int, uid: str, begin: Column, end: Column) -> DataFrame:
         return rows.select(F.col(uid).alias("uid"), F.struct("pid", F.lit(side).alias("side"), begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("ask"))
@@ -310,41 +331,55 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
     rest = rest.join(hits.withColumn("settled", F.lit(True)), "pid", "left").withColumn("open", F.col("settled").isNull())
     rest = scratch.write(rest.select("pid", "group", "uid", "c", "l", "r", "open"), "open")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = rest.groupBy("group").agg(blocks(F.count_if("open")).alias("xs"), blocks(F.count(F.lit(1))).alias("ys"), F.min("uid").alias("x"), F.max("uid").alias("y"))
-    left = scratch.write(rest.join(sizes.where("xs > 0 and x < y").select("group", "xs", "ys"), "group"), "left")
-    around = cut(asked(left, 0, "uid", F.col("c") - F.least(F.col("l") + SLACK, F.lit(NEAR)), F.col("c") + F.least(F.col("r") + SLACK, F.lit(NEAR))), "around")
-    left = left.join(around.select("pid", "begin", "shingles"), "pid")
-    place = F.xxhash64("pid")
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    mine = lambda n: F.array(F.pmod(place, F.col(n)).cast("int"))
-    # one left over is in one block of those, against all of members; everyone is a member
-    roles = F.array(F.struct(F.lit(False).alias("x"), each("xs").alias("i"), mine("ys").alias("j")), F.when(F.col("open"), F.struct(F.lit(True).alias("x"), mine("xs").alias("i"), each("ys").alias("j"))))
-    kept = ("group", "uid", "c", "l", "r", "begin", "open", "shingles")
-    dealt = left.select(*kept, F.explode(F.filter(roles, lambda q: q.isNotNull())).alias("q"))
-    dealt = dealt.select(*kept, "q.x", F.explode("q.i").alias("i"), "q.j")
-    dealt = dealt.select(*kept, "x", "i", F.explode("j").alias("j"))
-    more = dealt.groupBy("group", "i", "j").applyInArrow(_hold_against, "uid long, c int, l int, r int, first struct<uid: long, c: int, l: int, r: int>")
-    more = more.select("uid", "c", F.col("c").alias("d"), "l", "r", F.struct("first.uid", "first.c", F.col("first.c").alias("d"), "first.l", "first.r").alias("first"))
-    spans = scratch.write(spans.unionByName(verified(more, 1)).distinct(), "spans")
+    groups = rest.groupBy("group").agg(F.count_if("open").alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y"))
+    left = scratch.write(rest.join(groups.where("n > 0 and x < y").select("group"), "group", "left_semi"), "left")
+
+    def around(rows: DataFrame, shapes: list[tuple[int, int]], name: str) -> DataFrame:
+        """``rows`` once for each context that another class has too, with its key."""
+        places = rows.select("uid", F.struct("pid", F.col("c").cast("int").alias("begin")).alias("ask"))
+        keys = gathered(places, _contexts(shapes), "pid long, shape int, key long", f"{name}-keys")
+        keyed = keys.join(rows.select("pid", "uid", "c", "l", "r", "open"), "pid")
+        member = F.struct("uid", "c", F.col("c").alias("d"), "l", "r")
+        several = keyed.groupBy("key").agg(F.min(member).alias("first"), F.max("uid").alias("last")).where(F.col("first.uid") < F.col("last"))
+        out = scratch.write(keyed.join(several.select("key", "first"), "key"), name)
+        scratch.drop(f"{name}-keys")
+        return out
+
+    def linked_with_first(rows: DataFrame) -> DataFrame:
+        later = rows.where(F.col("open") & (F.col("uid") > F.col("first.uid")))
+        return later.select("uid", "c", F.col("c").alias("d"), "l", "r", "first").distinct()
+
+    found = [spans]
+    if not left.isEmpty():
+        near = around(left, SHORT + LONG, "near")
+        found.append(verified(linked_with_first(near), 1))
+        # those in long contexts that are still confirmed with none
+        long = near.where(F.col("shape") >= len(SHORT)).where("open")
+        hits = long.where(F.col("uid") > F.col("first.uid")).join(found[1].select(F.col("a").alias("_a"), F.col("b").alias("_b"), "begin", "end"), (F.col("first.uid") == F.col("_a")) & (F.col("uid") == F.col("_b")))
+        hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
+        unsettled = scratch.write(long.where(F.col("uid") > F.col("first.uid")).select("pid", "key").join(hits, "pid", "left_anti").select("key").distinct(), "unsettled")
+        if not unsettled.isEmpty():
+            pids = near.where(F.col("shape") >= len(SHORT)).join(unsettled, "key", "left_semi").select("pid").distinct()
+            whole = around(scratch.write(left.join(pids, "pid", "left_semi"), "long"), WHOLE, "whole")
+            found.append(verified(linked_with_first(whole), 2))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    spans = scratch.write(spans.distinct(), "spans")
 
     # overlapping spans of a class are merged: a span starts a new one if all before it end earlier
-    lists = spans.groupBy("b").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("s"), F.min("a").alias("a"))
-    merged = F.aggregate(
-        "s",
-        F.array().cast("array<struct<begin:int,end:int>>"),
-        lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]), F.concat(
-            F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-            F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))),
-        )).otherwise(F.concat(done, F.array(x))),
-    )
-    found = lists.select(F.col("b").alias("uid"), merged.alias("spans"), "a")
+    in_text = Window.partitionBy("b").orderBy("begin", "end")
+    before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.select("b", "begin", "end").distinct().withColumn("_new", F.coalesce(before < F.col("begin"), F.lit(True)).cast("int"))
+    parts = parts.withColumn("_part", F.sum("_new").over(in_text)).groupBy("b", "_part").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    lists = parts.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    found = lists.join(spans.groupBy("b").agg(F.min("a").alias("a")), "b").withColumnRenamed("b", "uid")
     found = found.join(classes.select(F.col("uid").alias("a"), F.col("first_id").alias("from_id")), "a").drop("a")
     later = spans.groupBy(F.col("a").alias("uid")).agg(F.count_distinct("b").alias("repeated_by"))
     out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
     out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
-    scratch.drop("windows", "several", "shared", "members", "rest", "open", "left", "around")
+    scratch.drop("windows", "several", "shared", "members", "rest", "open", "left", "near", "unsettled", "long", "whole")
     return out, spans
 
 

@@ -236,10 +236,10 @@ def test_short_passages_with_an_inserted_or_deleted_word_are_found(spark, scratc
     assert not any(got[k] for k in range(0, 80, 2))
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_an_earlier_text_with_less_than_a_passage_hides_none(spark, scratch, monkeypatch, block):
+@pytest.mark.parametrize("requests", [1000, 3])
+def test_an_earlier_text_with_less_than_a_passage_hides_none(spark, scratch, monkeypatch, requests):
     """Many earlier texts hold the first words of a passage that two later ones share."""
-    monkeypatch.setattr(passages, "BLOCK", block)
+    monkeypatch.setattr(passages, "REQUESTS", requests)
     rng = random.Random(4)
     fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
     rows = []
