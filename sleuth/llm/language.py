@@ -19,6 +19,7 @@ rows; only id, text and (to learn) language are read, so others never clash.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -107,47 +108,65 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), packed], ["lang", "x"])
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, classes weighted
-    alike, by accelerated gradient descent. ``x`` ends with a constant column."""
+def fit_machine(x: np.ndarray, y: np.ndarray, scale: np.ndarray, strength: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, classes weighted alike, by
+    accelerated gradient descent, on the rows of ``x`` times ``scale`` and a constant.
+    No copy of ``x`` is made."""
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     weight = (weight * len(y)).astype(x.dtype)
-    v = np.ones(x.shape[1], x.dtype) / np.sqrt(np.float32(x.shape[1]))
+
+    def forward(w: np.ndarray) -> np.ndarray:
+        return x @ (w[:-1] * scale) + w[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append((r @ x) * scale, r.sum()).astype(x.dtype)
+
+    v = np.ones(x.shape[1] + 1, x.dtype) / np.sqrt(np.float32(x.shape[1] + 1))
     for _ in range(10):  # largest curvature
-        v = x.T @ (weight * (x @ v))
+        v = back(weight * forward(v))
         norm = np.linalg.norm(v)
         v /= norm
     step = np.float32(1.0 / (2 * norm + strength))
     strength = np.float32(strength)
-    w = last = np.zeros(x.shape[1], x.dtype)
+    w = last = np.zeros(x.shape[1] + 1, x.dtype)
     for k in range(rounds):
         z = w + np.float32(k / (k + 3)) * (w - last)
-        slack = np.maximum(1 - y * (x @ z), 0)
-        last, w = w, z - step * (strength * z - 2 * x.T @ (weight * y * slack))
+        slack = np.maximum(1 - y * forward(z), 0)
+        last, w = w, z - step * (strength * z - 2 * back(weight * y * slack))
     return w[:-1], float(w[-1])
 
 
-def learn(rows: list[tuple[str, bytes]]) -> Model:
-    """Machines from ``(language, feature vector)`` rows."""
-    rows = sorted(rows)
-    labels = np.array([r[0] for r in rows], object)
-    x = np.frombuffer(b"".join(r[1] for r in rows), "<f4").reshape(-1, DIMENSIONS)
-    rows.clear()
+def hash_of_row(row: np.ndarray) -> int:
+    return zlib.crc32(row.tobytes())
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Standard deviation of each column, without a copy of all."""
+    mean = x.mean(axis=0, dtype=np.float64)
+    square = np.zeros(x.shape[1])
+    for i in range(0, len(x), 256):
+        square += ((x[i : i + 256] - mean) ** 2).sum(axis=0)
+    return np.sqrt(square / max(len(x), 1))
+
+
+def learn(labels: list[str], x: np.ndarray) -> Model:
+    """Machines from languages and feature vectors (a row each), in any order."""
+    marks = [hash_of_row(row) for row in x]
+    order = np.array(sorted(range(len(labels)), key=lambda i: (labels[i], marks[i])), np.int64)
+    labels = np.array(labels, object)[order]
+    x = x[order]
     languages = sorted(set(labels))
     members: dict[str, list[str]] = {}
     for name in languages:
         members.setdefault(family_of(name), []).append(name)
-    scale = (1 / (x.std(axis=0) + 1e-5) / np.sqrt(DIMENSIONS)).astype(np.float32) if len(x) else 1.0
-    x = np.concatenate([x * scale, np.ones((len(x), 1), np.float32)], axis=1) if len(x) else x
-    count = len(x)
+    scale = (1 / (_spread(x) + 1e-5) / np.sqrt(DIMENSIONS)).astype(np.float32) if len(x) else 1.0
 
-    def machine(rows: np.ndarray, positive: np.ndarray) -> Machine:
-        w, bias = fit_machine(x[rows], np.where(positive, 1.0, -1.0).astype(np.float32))
+    def machine(rows: np.ndarray | slice, positive: np.ndarray) -> Machine:
+        w, bias = fit_machine(x[rows], np.where(positive, 1.0, -1.0).astype(np.float32), scale)
         return Machine((w * scale).astype(np.float32), bias)
 
     family = np.array([family_of(name) for name in labels], object)
-    every = np.arange(count)
-    rest = {f: machine(every, family == f) for f in members} if len(members) > 1 else {}
+    rest = {f: machine(slice(None), family == f) for f in members} if len(members) > 1 else {}
     duels = {}
     for own in members.values():
         for a in range(len(own)):
@@ -225,14 +244,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     usable = F.col(lang).isNotNull() & F.col(text).isNotNull() & (~held_out(F.col(doc_id)) if learnable is None else learnable)
     rows = docs.where(usable).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit(7)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
-    want = min(PER_LANGUAGE, SAMPLE // max(len(sizes), 1))
+    want = max(min(PER_LANGUAGE, SAMPLE // max(len(sizes), 1)), 1)  # some of every language, however many
     parts = 1 << 30
     keep = F.lit(False)
     for name, n in sizes.items():
         keep = keep | ((F.col("lang") == name) & (F.pmod("h", F.lit(parts)) < int(parts * min(1.0, want / n))))
     sample = rows.where(keep).select("text", "lang").mapInArrow(_features, "lang string, x binary")
-    table = sample.toArrow()
-    return learn(list(zip(table["lang"].to_pylist(), table["x"].to_pylist(), strict=True)))
+    found = sample.toArrow()
+    labels = found["lang"].to_pylist()
+    x = np.empty((len(labels), DIMENSIONS), np.float32)
+    at = 0
+    for chunk in found["x"].chunks:  # straight from the rows' bytes, one chunk at a time
+        for value in chunk:
+            x[at] = np.frombuffer(value.as_buffer(), "<f4")
+            at += 1
+    del found
+    return learn(labels, x)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -8,13 +8,12 @@ the Cartesian tree of the sequence splits all its subsequences of at least
 that holds c has its least hash at c. So two texts that share a passage share,
 for most functions, a value whose windows both cover it.
 
-Equal rows count once. Windows whose value occurs in one class only are dropped. Those of the others
-are grouped by value alone, and linked with the earliest class of their group: a
-shared least value is enough. (Two passages at the similarity J have none with a
-chance of (1 - J) ** ``FUNCTIONS``: 6e-5 at 0.8.) Per pair of classes, windows on close diagonals are joined
-to one interval on either side, over all functions, and both intervals' shingles
-are compared: runs of common shingles, joined over small gaps, are repeats if they
-have ``MIN_WORDS`` words or more and the Jaccard similarity of both sides is
+Equal rows count once. Windows whose value occurs in one class only are dropped.
+Those of the others are grouped by value, and linked with the earliest class of their
+group. Per pair of classes, windows on close diagonals are joined to one interval on
+either side, over all functions, and the shared values are counted. With ``AGREE``
+or more, both intervals' shingles are compared: runs of common shingles, joined over
+small gaps, are repeats if they have ``MIN_WORDS`` words or more and the Jaccard similarity of both sides is
 ``SIMILARITY`` or more. The later class's words are marked.
 
 The earliest class of a group may share less than a passage with members that
@@ -23,11 +22,11 @@ found with their group's earliest class are grouped anew, by what stands around
 value: the hash of the ``left`` shingles before it and the ``right`` ones after it,
 in step. A passage with one changed word of 50 has a run of 20 shingles or more
 without it, so for most functions the value stands in such a run, and its members
-meet in a group of one of the ``SHORT`` shapes (11 shingles); those of a passage
-without a change meet in one of the ``LONG`` shapes too (41 shingles). Each group's
-members are linked with its earliest one. Members of long groups that are confirmed
-with none are last grouped by all windows of ``SPAN`` shingles that hold the value:
-there, equal keys are equal passages, so the earliest one is every other's partner.
+meet in a group of one of the ``SHORT`` shapes (11 shingles). Each group's members
+are linked with its earliest one, and with the earliest but the class tried before.
+Those still confirmed with none go on to the ``LONG`` shapes (41 shingles), and then
+to all windows of ``SPAN`` shingles that hold the value: there, equal keys are equal
+passages, so the earliest one is every other's partner.
 All of it is joins by key: work grows with the members, and no pairs are made
 within a group.
 
@@ -60,10 +59,10 @@ GAP = 10  # shingles between runs that may be joined: two changed words
 SLACK = 8  # shingles beyond the common part of two windows that are compared too
 DIAGONALS = 64
 REQUESTS = 1000  # intervals cut from one copy of a text
-STEP = 5
+AGREE = 2  # values that two texts share on one diagonal, to be compared at once
 #: Shapes (left, right) of the context of a value: shingles before and after it.
-SHORT = [(k, 2 * STEP - k) for k in range(0, 2 * STEP + 1, STEP)]
-LONG = [(k, 8 * STEP - k) for k in range(0, 8 * STEP + 1, STEP)]
+SHORT = [(k, 10 - k) for k in range(0, 11, 5)]
+LONG = [(k, 40 - k) for k in range(0, 41, 5)]
 WHOLE = [(k, SPAN - 1 - k) for k in range(SPAN)]
 
 _WINDOW = "uid long, key long, c int, l int, r int"
@@ -229,9 +228,9 @@ def _contexts(shapes: list[tuple[int, int]]):
                     ask = asks[i + d].values
                     places = ask.field("begin").to_numpy(zero_copy_only=False).astype(np.int64)
                     keys, inside = contexts(hashes[offsets[d] : offsets[d + 1]], places, shapes)
-                    rows, shape = np.nonzero(inside)
-                    columns = [ask.field("pid").take(pa.array(rows)), pa.array(shape.astype(np.int32)), pa.array(keys[rows, shape].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["pid", "shape", "key"])
+                    ends = pa.array(np.arange(0, keys.size + 1, len(shapes), dtype=np.int32))
+                    lists = pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel(), mask=~inside.ravel()))
+                    yield pa.RecordBatch.from_arrays([ask.field("pid"), lists], ["pid", "keys"])
 
     return run
 
@@ -301,15 +300,18 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     def asked(rows: DataFrame, side: int, uid: str, begin: Column, end: Column) -> DataFrame:
         return rows.select(F.col(uid).alias("uid"), F.struct("pid", F.lit(side).alias("side"), begin.cast("int").alias("begin"), end.cast("int").alias("end")).alias("ask"))
 
-    def verified(linked: DataFrame, k: int) -> DataFrame:
-        """Spans ``a, b, begin, end`` of linked members (``first`` is the earlier one)."""
+    def verified(linked: DataFrame, k: int, agree: int = 1) -> DataFrame:
+        """Spans ``a, b, begin, end`` of linked members (``first`` is the earlier one)
+        that are linked on a diagonal ``agree`` times or more."""
         left, right = F.least("l", "first.l") + SLACK, F.least("r", "first.r") + SLACK
         pairs = linked.groupBy(F.col("first.uid").alias("a"), F.col("uid").alias("b"), F.floor((F.col("first.c") - F.col("c")) / DIAGONALS).alias("diagonal")).agg(
             F.min(F.col("first.c") - left).alias("a_begin"),
             F.max(F.col("first.d") + right).alias("a_end"),
             F.min(F.col("c") - left).alias("b_begin"),
             F.max(F.col("d") + right).alias("b_end"),
+            F.count(F.lit(1)).alias("agree"),
         )
+        pairs = pairs.where(F.col("agree") >= agree).drop("agree")
         pairs = scratch.write(pairs.withColumn("pid", F.monotonically_increasing_id()), f"pairs-{k}")
         asks = [asked(pairs, side, uid, F.col(f"{uid}_begin"), F.col(f"{uid}_end")) for side, uid in enumerate("ab")]
         slices = cut(asks[0].unionByName(asks[1]), f"slices-{k}")
@@ -320,48 +322,65 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
         scratch.drop(f"slices-{k}")
         return out
 
-    spans = verified(linked, 0)
+    spans = verified(linked, 0, AGREE)
 
-    # members whose value lies in no span with their group's least class (open), against the group's others
-    groups = members.groupBy("group").agg(F.min("uid").alias("first_uid"), F.count(F.lit(1)).alias("n")).where("n > 2").select("group", "first_uid")
+    # members whose value lies in no span with their group's least class are open
+    groups = least.where(F.col("first.uid") < F.col("last")).select("group", F.col("first.uid").alias("first_uid"))
     reach = (F.col("c") - F.col("l")).alias("l"), (F.col("r") - F.col("c")).alias("r")  # of a window from its value
-    rest = shared.select(F.col("key").alias("group"), "uid", "c", *reach).join(groups, "group").where(F.col("uid") > F.col("first_uid"))
+    rest = shared.select(F.col("key").alias("group"), "uid", "c", *reach).join(groups, "group")
     rest = scratch.write(rest.withColumn("pid", F.monotonically_increasing_id()), "rest")
-    hits = rest.join(spans.select(F.col("a").alias("first_uid"), F.col("b").alias("uid"), "begin", "end"), ["first_uid", "uid"])
+    later = rest.where(F.col("uid") > F.col("first_uid"))
+    hits = later.join(spans.select(F.col("a").alias("first_uid"), F.col("b").alias("uid"), "begin", "end"), ["first_uid", "uid"])
     hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
-    rest = rest.join(hits.withColumn("settled", F.lit(True)), "pid", "left").withColumn("open", F.col("settled").isNull())
-    rest = scratch.write(rest.select("pid", "group", "uid", "c", "l", "r", "open"), "open")
-    groups = rest.groupBy("group").agg(F.count_if("open").alias("n"), F.min("uid").alias("x"), F.max("uid").alias("y"))
-    left = scratch.write(rest.join(groups.where("n > 0 and x < y").select("group"), "group", "left_semi"), "left")
+    open_ = scratch.write(later.join(hits, "pid", "left_anti").withColumn("open", F.lit(True)), "open")
+    others = rest.join(open_.select("group").distinct(), "group", "left_semi").join(open_.select("pid"), "pid", "left_anti")
+    left = scratch.write(open_.unionByName(others.withColumn("open", F.lit(False))), "left")
 
-    def around(rows: DataFrame, shapes: list[tuple[int, int]], name: str) -> DataFrame:
-        """``rows`` once for each context that another class has too, with its key."""
+    def keys_of(rows: DataFrame, shapes: list[tuple[int, int]], name: str) -> DataFrame:
+        """``pid, keys``: the hashes of the contexts of each row's value."""
         places = rows.select("uid", F.struct("pid", F.col("c").cast("int").alias("begin")).alias("ask"))
-        keys = gathered(places, _contexts(shapes), "pid long, shape int, key long", f"{name}-keys")
-        keyed = keys.join(rows.select("pid", "uid", "c", "l", "r", "open"), "pid")
+        return gathered(places, _contexts(shapes), "pid long, keys array<long>", f"{name}-keys")
+
+    def around(rows: DataFrame, keys: DataFrame, first: int, number: int, name: str) -> DataFrame:
+        """``rows`` once for each context (of ``number`` shapes from ``first`` on) that
+        another class has too, with its key."""
+        keys = keys.select("pid", F.explode(F.slice("keys", first + 1, number)).alias("key")).where("key is not null")
+        keyed = keys.join(rows.select("pid", "uid", "c", "l", "r", "open", "first_uid"), "pid")
         member = F.struct("uid", "c", F.col("c").alias("d"), "l", "r")
-        several = keyed.groupBy("key").agg(F.min(member).alias("first"), F.max("uid").alias("last")).where(F.col("first.uid") < F.col("last"))
-        out = scratch.write(keyed.join(several.select("key", "first"), "key"), name)
-        scratch.drop(f"{name}-keys")
-        return out
+        several = keyed.groupBy("key").agg(
+            F.min(member).alias("first"), F.min(F.when(F.col("uid") != F.col("first_uid"), member)).alias("second"), F.max("uid").alias("last")
+        )
+        several = several.where(F.col("first.uid") < F.col("last"))
+        return scratch.write(keyed.join(several.select("key", "first", "second"), "key"), name)
 
     def linked_with_first(rows: DataFrame) -> DataFrame:
-        later = rows.where(F.col("open") & (F.col("uid") > F.col("first.uid")))
-        return later.select("uid", "c", F.col("c").alias("d"), "l", "r", "first").distinct()
+        """Open members with the earliest of their context, and with the earliest but the
+        class that they could not be confirmed with before."""
+        each = rows.where("open").select("uid", "c", F.col("c").alias("d"), "l", "r", F.explode(F.array_distinct(F.array("first", "second"))).alias("first"))
+        return each.where(F.col("uid") > F.col("first.uid")).distinct()
 
     found = [spans]
     if not left.isEmpty():
-        near = around(left, SHORT + LONG, "near")
-        found.append(verified(linked_with_first(near), 1))
-        # those in long contexts that are still confirmed with none
-        long = near.where(F.col("shape") >= len(SHORT)).where("open")
-        hits = long.where(F.col("uid") > F.col("first.uid")).join(found[1].select(F.col("a").alias("_a"), F.col("b").alias("_b"), "begin", "end"), (F.col("first.uid") == F.col("_a")) & (F.col("uid") == F.col("_b")))
-        hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
-        unsettled = scratch.write(long.where(F.col("uid") > F.col("first.uid")).select("pid", "key").join(hits, "pid", "left_anti").select("key").distinct(), "unsettled")
-        if not unsettled.isEmpty():
-            pids = near.where(F.col("shape") >= len(SHORT)).join(unsettled, "key", "left_semi").select("pid").distinct()
-            whole = around(scratch.write(left.join(pids, "pid", "left_semi"), "long"), WHOLE, "whole")
-            found.append(verified(linked_with_first(whole), 2))
+        keys = keys_of(left, SHORT + LONG, "near")
+        rows = left
+        for k, (first, shapes) in enumerate(((0, SHORT), (len(SHORT), LONG), (0, WHOLE)), 1):
+            name = ("short", "long", "whole")[k - 1]
+            if shapes is WHOLE:
+                keys = keys_of(rows, WHOLE, "whole")
+            near = around(rows, keys, first, len(shapes), name)
+            found.append(verified(linked_with_first(near), k))
+            if shapes is WHOLE:
+                break
+            # contexts with later members that are still confirmed with none, and all who share them
+            mine = near.where(F.col("open") & (F.col("uid") > F.col("first.uid")))
+            own = found[-1].select(F.col("b").alias("uid"), "begin", "end").distinct()
+            hits = mine.select("pid", "uid", "c").distinct().join(own, "uid").where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH))
+            unsettled = mine.select("pid", "key").join(hits.select("pid").distinct(), "pid", "left_anti").select("key").distinct()
+            unsettled = scratch.write(unsettled, f"{name}-unsettled")
+            if unsettled.isEmpty():
+                break
+            pids = near.join(unsettled, "key", "left_semi").select("pid").distinct()
+            rows = scratch.write(rows.join(pids, "pid", "left_semi"), f"{name}-left")
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -379,7 +398,8 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     out = classes.join(words, "uid", "left").join(found, "uid", "left").join(later, "uid", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_words", "repeated_by")]
     out = scratch.write(out.select("md5", "first_id", "uid", "spans", "from_id", *counts), "repeats")
-    scratch.drop("windows", "several", "shared", "members", "rest", "open", "left", "near", "unsettled", "long", "whole")
+    scratch.drop("windows", "several", "shared", "members", "rest", "open", "left", "near-keys", "whole-keys")
+    scratch.drop(*[f"{name}{x}" for name in ("short", "long", "whole") for x in ("", "-unsettled", "-left")])
     return out, spans
 
 
