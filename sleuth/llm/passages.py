@@ -256,6 +256,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
         """The text of each class in ``wanted`` (``uid`` once), with columns of it: the
         text of the class's first row, and of equal rows one."""
         ids = classes.select(F.col("first_id").alias("_id"), F.col("md5").alias("_md5"), "first_rows", "uid").join(wanted, "uid")
+        ids = ids.hint("shuffle_hash")  # texts are dealt, but not sorted
         found = columns.join(ids, (columns["md5"] == ids["_md5"]) & columns["doc_id"].eqNullSafe(ids["_id"]))
         if not some_equal:
             return found.select("text", *kept)
@@ -268,7 +269,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     keyed = windows.where("key is not null")
     several = keyed.groupBy("key").agg(F.min("uid").alias("x"), F.max("uid").alias("y")).where("x < y").select("key")
     several = scratch.write(several, "several")  # so that the join's own shuffle can split a hot key
-    shared = scratch.write(keyed.join(several, "key", "left_semi"), "shared")
+    shared = scratch.write(keyed.join(several.hint("shuffle_hash"), "key", "left_semi"), "shared")
 
     # groups by value; the least class is every member's partner
     members = shared.select("uid", "c", "l", "r", F.col("key").alias("group"))
@@ -330,9 +331,10 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
     rest = shared.select(F.col("key").alias("group"), "uid", "c", *reach).join(groups, "group")
     rest = scratch.write(rest.withColumn("pid", F.monotonically_increasing_id()), "rest")
     later = rest.where(F.col("uid") > F.col("first_uid"))
-    hits = later.join(spans.select(F.col("a").alias("first_uid"), F.col("b").alias("uid"), "begin", "end"), ["first_uid", "uid"])
-    hits = hits.where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)).select("pid").distinct()
-    open_ = scratch.write(later.join(hits, "pid", "left_anti").withColumn("open", F.lit(True)), "open")
+    inside = (F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH)
+    own = spans.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "begin", "end")
+    open_ = later.join(own, (F.col("first_uid") == F.col("_a")) & (F.col("uid") == F.col("_b")) & inside, "left_anti")
+    open_ = scratch.write(open_.withColumn("open", F.lit(True)), "open")
     others = rest.join(open_.select("group").distinct(), "group", "left_semi").join(open_.select("pid"), "pid", "left_anti")
     left = scratch.write(open_.unionByName(others.withColumn("open", F.lit(False))), "left")
 
@@ -373,9 +375,8 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str =
                 break
             # contexts with later members that are still confirmed with none, and all who share them
             mine = near.where(F.col("open") & (F.col("uid") > F.col("first.uid")))
-            own = found[-1].select(F.col("b").alias("uid"), "begin", "end").distinct()
-            hits = mine.select("pid", "uid", "c").distinct().join(own, "uid").where((F.col("begin") <= F.col("c")) & (F.col("c") <= F.col("end") - WIDTH))
-            unsettled = mine.select("pid", "key").join(hits.select("pid").distinct(), "pid", "left_anti").select("key").distinct()
+            own = found[-1].select(F.col("b").alias("_b"), "begin", "end").distinct()
+            unsettled = mine.select("pid", "key", "uid", "c").join(own, (F.col("uid") == F.col("_b")) & inside, "left_anti").select("key").distinct()
             unsettled = scratch.write(unsettled, f"{name}-unsettled")
             if unsettled.isEmpty():
                 break
