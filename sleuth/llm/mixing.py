@@ -106,14 +106,26 @@ def schedule(spark: SparkSession, sources: DataFrame, block: int = BLOCK) -> Dat
     b = base.select(F.col("_source").alias("_s2"), F.col("_chunk").alias("_c2"), "_base")
     ranked = ranked.join(b, ranked["_source"].eqNullSafe(b["_s2"]) & (ranked["_chunk"] == b["_c2"]))
     ranked = ranked.select(F.col("_source"), (F.col("_base") + F.col("_in")).alias("_rank"), "slot", "_need").where("_rank < _need")
-    wanted = needs.where("_need > 0").select(
-        "source", "_words", "source_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_need") - 1)).alias("rank")
-    )
+    wanted = _ranks(spark, needs, int(sums["n"]))
     joined = wanted.join(ranked, wanted["source"].eqNullSafe(ranked["_source"]) & (wanted["rank"] == ranked["_rank"]), "left")
     late = F.lit(points).cast("long") + F.col("rank")  # of the same order on every run
     return joined.select("source", "rank", F.coalesce(F.col("slot"), late).alias("slot"), "_words", "source_size")
 
 
+def _ranks(spark: SparkSession, needs: DataFrame, total: int) -> DataFrame:
+    """``source, rank, _words, source_size`` for each rank below a source's need: the
+    numbers below ``total`` are dealt to the sources' stretches of them, chunk by chunk
+    (a row for each chunk that a source touches, none for each rank)."""
+    chunk = max(SLOT_CHUNK, math.isqrt(total))
+    upto = Window.orderBy(F.col("source").cast("binary").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    stretch = needs.withColumn("_off", F.coalesce(F.sum("_need").over(upto), F.lit(0))).where("_need > 0")
+    touched = F.sequence(F.floor(F.col("_off") / chunk), F.floor((F.col("_off") + F.col("_need") - 1) / chunk))
+    stretch = stretch.select("source", "_words", "source_size", "_off", "_need", F.explode(touched).alias("_chunk"))
+    numbers = spark.range(total).select("id", F.floor(F.col("id") / chunk).alias("_chunk"))
+    rank = F.col("id") - F.col("_off")
+    return numbers.join(stretch, "_chunk").where((rank >= 0) & (rank < F.col("_need"))).select("source", "_words", "source_size", rank.alias("rank"))
+
+
 def stream(sized: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
     """Add ``_at``: words of the same source before the document in shuffled order."""
     x = sized.withColumn("_bucket", F.substring("_key", 1, digits))
@@ -131,7 +143,9 @@ def stream(sized: DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
 def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_passes: int = MAX_PASSES, text: str = "text", doc_id: str = "doc_id"):
     """``(documents, pieces)``.
 
-    documents: one row per input row with ``size, source_size, target, taken``.
+    documents: one row per input row with ``size, source_size, target, taken``, its
+    place in the schedule (``first_slot``, the earliest of its slots; null if nothing of
+    it is taken) and the number of its ``pieces``.
     pieces: the mix, one row per document part of a slot: ``slot, source, rank,
     doc_id, _key, turn, size, begin, words`` (words ``begin..begin + words - 1`` of the
     text, on reading ``turn`` of its source).
@@ -157,10 +171,11 @@ def mix_documents(docs: DataFrame, scratch: Scratch, block: int = BLOCK, max_pas
     lo = F.greatest(F.col("_from"), F.col("_block") * block)
     hi = F.least(F.col("_from") + F.col("size"), (F.col("_block") + 1) * block, F.col("_words"))
     pieces = hits.select("slot", "source", "rank", "doc_id", "_key", "turn", "size", (lo - F.col("_from")).alias("begin"), (hi - lo).alias("words")).where("words > 0")
-    taken = pieces.groupBy("source", "_key").agg(F.sum("words").alias("_taken"))
-    t = taken.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_taken")
+    taken = pieces.groupBy("source", "_key").agg(F.sum("words").alias("_taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("_pieces"))
+    t = taken.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_taken", "first_slot", "_pieces")
     out = full.join(t, full["source"].eqNullSafe(t["_s"]) & (full["_key"] == t["_k"]), "left")
-    out = out.select("doc_id", "source", "_key", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    out = out.select("doc_id", "source", "_key", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"),
+                     "first_slot", F.coalesce("_pieces", F.lit(0)).cast("long").alias("pieces"))
     return out, pieces
 
 
@@ -221,7 +236,7 @@ def mixed_texts(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: s
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mix_documents(documents(spark, sf_dir), Scratch(spark))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "first_slot", "pieces")
 
 
 OP7_SQL = r"""
@@ -236,10 +251,24 @@ o AS (SELECT level AS lvl FROM l WHERE 2 * source_size > weight * level ORDER BY
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(weight * (SELECT lvl FROM o), 2.0::DOUBLE * source_size)) AS target FROM l),
 p AS (SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS want,
              (sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       (least(greatest(want - a, 0), size) + least(greatest(want - source_size - a, 0), size))::BIGINT AS taken
-FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+need AS (SELECT source, ceil(floor(target + 0.5) / 256.0::DOUBLE)::BIGINT AS need,
+                coalesce(target / sum(target) OVER (), 0) AS part, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM t),
+ends AS (SELECT *, sum(part) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM need),
+stretch AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY pos), 0) AS lo FROM ends),
+n AS (SELECT floor(sum(need)::DOUBLE * 1.01::DOUBLE)::BIGINT + 16 * count(*) AS points FROM need),
+points AS (SELECT i AS slot, ((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(points)) AS i FROM n)),
+ranked AS (SELECT pos, slot, row_number() OVER (PARTITION BY pos ORDER BY slot) - 1 AS rank FROM points JOIN stretch ON u >= lo AND u < hi),
+slots AS (SELECT x.source, x.rank, coalesce(r.slot, points + x.rank) AS slot
+          FROM (SELECT source, pos, unnest(range(need)) AS rank FROM need) x CROSS JOIN n LEFT JOIN ranked r ON x.pos = r.pos AND x.rank = r.rank),
+turns AS (SELECT row_number() OVER () AS id, * FROM p),
+parts AS (SELECT id, source, size, want, a + turn * source_size AS begin, unnest(range((a + turn * source_size) // 256, (a + turn * source_size + size - 1) // 256 + 1)) AS rank
+          FROM turns, (SELECT unnest([0, 1]) AS turn) WHERE size > 0),
+pieces AS (SELECT id, slot, least(begin + size, (x.rank + 1) * 256, want) - greatest(begin, x.rank * 256) AS words
+           FROM parts x JOIN slots s ON x.rank = s.rank AND x.source IS NOT DISTINCT FROM s.source),
+taken AS (SELECT id, sum(words)::BIGINT AS taken, min(slot) AS first_slot, count(*)::BIGINT AS pieces FROM pieces WHERE words > 0 GROUP BY id)
+SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken, first_slot, coalesce(pieces, 0) AS pieces
+FROM turns LEFT JOIN taken USING (id)
 """
 
 QUERIES = {"op7_mixing": op7_mixing}

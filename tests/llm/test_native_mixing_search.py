@@ -185,6 +185,26 @@ def test_targets_and_takes(spark, scratch, seed):
         assert all(abs(seen[s] - per[s] * k / total) < 8 for s in per)
 
 
+def test_the_schedule_decides_the_places(spark, scratch, monkeypatch):
+    """Other points give other places in the mix, but the same shares."""
+    docs = cases.frame(spark, cases.corpus(4))
+    first = {(r._key, r.source): r for r in mixing.mix_documents(docs, scratch, block=32)[0].collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.3819660112501051)
+    other = {(r._key, r.source): r for r in mixing.mix_documents(docs, Scratch(spark), block=32)[0].collect()}
+    assert {k: (r.taken, r.pieces) for k, r in first.items()} == {k: (r.taken, r.pieces) for k, r in other.items()}
+    placed = [k for k, r in first.items() if r.taken]
+    assert sum(first[k].first_slot != other[k].first_slot for k in placed) > len(placed) // 2
+    assert all((r.first_slot is None) == (r.taken == 0) == (r.pieces == 0) for r in first.values())
+
+
+def test_ranks_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOT_CHUNK", 5)
+    needs = spark.createDataFrame([("b", 7), (None, 40), ("a", 0), ("c", 1)], "source string, _need long")
+    needs = needs.withColumns({"_words": F.lit(1), "source_size": F.lit(1)})
+    got = sorted(((r.source or "", r["rank"]) for r in mixing._ranks(spark, needs, 48).collect()))
+    assert got == sorted([("b", k) for k in range(7)] + [("", k) for k in range(40)] + [("c", 0)])
+
+
 def test_mixing_reruns_agree(spark):
     rows = cases.corpus(6)
     a, b = (mixing.mix_documents(cases.frame(spark, x).repartition(n), Scratch(spark))[0].collect() for x, n in ((rows, 3), (list(reversed(rows)), 7)))
