@@ -13,7 +13,7 @@ and h2 % (n + 1) units, the middle after the larger one. Forms: ``plain`` (the t
 as it is), ``psm`` (prefix, suffix, middle) and ``spm`` (suffix, prefix, middle).
 
 Every row is transformed alone, in one pass without a shuffle. Texts go through
-Python in chunks of about 2 MB; a longer text stands alone, at some 5 bytes of
+Python in chunks of about 512 kB; a longer text stands alone, at some 5 bytes of
 memory for each of its bytes.
 
 Defined results: null or empty text is plain, with no unit; a text that contains a

@@ -34,7 +34,7 @@ Defined results: null, empty and short texts have no passages and stay whole; ro
 with the same id are separate documents, and equal rows copies of the first; an
 empty table gives no rows; only the id and text columns are read, so others never
 clash. A text of one word over and over has one shingle and no passage. Texts go
-through Python in chunks of 2 MB; a longer text stands alone, at some 100 bytes of
+through Python in chunks of 512 kB; a longer text stands alone, at some 100 bytes of
 memory for each of its bytes.
 """
 

@@ -54,7 +54,7 @@ class Batch(NamedTuple):
     hash: np.ndarray
 
 
-def text_chunks(texts: pa.Array, limit: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: pa.Array, limit: int = 1 << 19, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``rows`` rows whose texts hold about ``limit`` bytes; a
     longer text stands alone."""
     offsets = _offsets(texts)
