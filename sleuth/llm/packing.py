@@ -4,7 +4,8 @@ Documents are dealt to shards by a hash (document-partitioned index, so no key
 is hot). A shard cuts every whole window off its documents' fronts; what is left
 of each is packed: the shard keeps a BM25 inverted index of its documents' token
 ids, a seed document asks for its best unused neighbours by its most telling
-terms, and they fill its window in that order while they fit. What gap is left
+terms, and they fill its window in that order while they fit: all neighbours are
+asked, however many are too long. What gap is left
 goes to a part of the best neighbour that was too long, whose rest stays for a
 later window. So only the last window of a shard is not full.
 
@@ -28,7 +29,6 @@ from .tokens import default_tokenizer, encode_texts, encoder
 WINDOW = 1024
 SHARD_BYTES = 15 << 20  # of input files for a shard, about
 TERMS = 12  # most telling terms of a seed that are looked up
-NEAREST = 64  # neighbours that are sorted at first
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -55,24 +55,49 @@ class Index:
         self.doc, self.post = doc[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
 
-    def neighbours(self, seed: int, used: np.ndarray, top: int | None = None) -> np.ndarray:
-        """Unused documents that share a telling term, best first (ties: by place);
-        all of them, or the ``top`` best."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of each document for the seed's most telling terms (ties: by
+        term); 0 where none is shared."""
         terms = self.terms[self.first[seed] : self.first[seed + 1]]
         weight = np.where(self.df[terms] > 1, self.weight[self.first[seed] : self.first[seed + 1]], 0)
         if len(terms) > TERMS:
-            best = np.argpartition(-weight, TERMS)[:TERMS]
+            best = np.argsort(-weight, kind="stable")[:TERMS]
             terms, weight = terms[best], weight[best]
         spans = [(self.at[t], self.at[t + 1]) for t, w in zip(terms.tolist(), weight.tolist(), strict=True) if w > 0]
         if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.post[a:b] for a, b in spans]), minlength=self.n)
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.post[a:b] for a, b in spans]), minlength=self.n)
+
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a telling term, best first (ties: by place)."""
+        score = self.scores(seed)
         score[used] = 0
         ids = np.flatnonzero(score)
-        if top is not None and len(ids) > top:
-            ids = np.sort(ids[np.argpartition(-score[ids], top)[:top]])
         return ids[np.argsort(-score[ids], kind="stable")]
 
+    def filling(self, seed: int, used: np.ndarray, left: np.ndarray, room: int) -> tuple[list[int], int | None]:
+        """The neighbours that fill ``room``, taken best first while they fit, and
+        the best of those that do not fit, if there is one.
+
+        What was too long for the room fits no later, when less is left; so the
+        best that fits is taken again and again, and nothing needs to be sorted.
+        """
+        score = self.scores(seed)
+        score[used] = 0
+        ids = np.flatnonzero(score)
+        rank, size = score[ids], left[ids]
+        long = np.ones(len(ids), bool)
+        fits = np.flatnonzero(size <= room)
+        taken = []
+        while len(fits):
+            k = fits[rank[fits].argmax()]  # the first of equals
+            taken.append(int(ids[k]))
+            long[k] = False
+            room -= int(size[k])
+            fits = fits[(size[fits] <= room) & (fits != k)]
+        over = np.flatnonzero(long) if room else np.zeros(0, np.int64)
+        return taken, int(ids[over[rank[over].argmax()]]) if len(over) else None
+
 
 def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of all pieces of a shard."""
@@ -100,18 +125,10 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
 
             offset += put(seed, window)
             long = None
-            for top in (NEAREST, None):  # the best few fill most windows
-                near = index.neighbours(seed, used, top) if offset < window else []
-                while offset < window and len(near):
-                    fits = left[near] <= window - offset
-                    k = int(fits.argmax()) if fits.any() else len(near)
-                    if k and long is None:
-                        long = near[0]  # the best of those that are too long
-                    if k < len(near):
-                        offset += put(near[k], window - offset)
-                    near = near[k + 1 :]
-                if long is not None:
-                    break
+            if offset < window:
+                near, long = index.filling(seed, used, left, window - offset)
+                for k in near:
+                    offset += put(k, window - offset)
             k = seed
             while offset < window:
                 if long is None:  # no neighbour is left: the next unused documents

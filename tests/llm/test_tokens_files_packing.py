@@ -199,3 +199,55 @@ def test_bm25_order_equals_brute_force(monkeypatch):
         got = index.neighbours(seed, used).tolist()
         assert set(got) == set(score)
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:], strict=False))
+
+
+def plain_windows(docs, window):
+    """The packing by its definition: neighbours sorted, asked one after the other."""
+    left, begin, out, sequence = [len(d) for d in docs], [0] * len(docs), [], 0
+    for k, d in enumerate(docs):
+        while left[k] >= window:
+            out.append((k, begin[k], window, sequence, 0))
+            begin[k], left[k], sequence = begin[k] + window, left[k] - window, sequence + 1
+    index = packing.Index(docs)
+    for seed in range(len(docs)):
+        while left[seed]:
+            room = window
+
+            def put(k):
+                nonlocal room
+                n = min(left[k], room)
+                out.append((k, begin[k], n, sequence, window - room))
+                begin[k], left[k], room = begin[k] + n, left[k] - n, room - n
+
+            put(seed)
+            long = None
+            for k in index.neighbours(seed, np.array(left) == 0).tolist() if room else []:
+                if left[k] <= room:
+                    put(k)
+                elif long is None:
+                    long = k
+            for k in ([] if long is None else [long]) + list(range(seed, len(docs))):
+                if room and left[k]:
+                    put(k)
+            sequence += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_equal_the_plain_definition(seed):
+    rng = np.random.default_rng(seed)
+    docs = [np.append(rng.integers(1, 30 + 400 * (seed % 2), rng.integers(1, 150 if seed < 4 else 60)), 0) for _ in range(150)]
+    assert [tuple(map(int, x)) for x in packing.pack(docs, 100)] == plain_windows(docs, 100)
+
+
+def test_a_fitting_neighbour_behind_many_that_are_too_long_is_taken():
+    """A seed of 500 ids, 70 nearer documents of 800 and one of 300 that fits."""
+    telling = np.arange(1, 13)
+    fill = iter(range(1000, 200000))
+    some = lambda n: np.array([next(fill) for _ in range(n)])
+    docs = [np.concatenate([telling, some(488)])]
+    docs += [np.concatenate([telling, some(788)]) for _ in range(70)]
+    docs += [np.concatenate([telling[:1], some(299)])]
+    first = [(k, n) for k, _, n, sequence, _ in packing.pack(docs, 1024) if sequence == 0]
+    assert first[:2] == [(0, 500), (71, 300)]
+    assert sum(n for _, n in first) == 1024
