@@ -11,14 +11,16 @@ larger one, each node is compared with one hub, the node whose buckets hold most
 nodes (an original has more in common with its near copies than they have with
 each other). Nodes of a large bucket that are still not connected to its hub are
 then held against the bucket's other members, block by block, where pairs of
-different components with ``AGREE`` equal coordinates or more are compared on
-their sets (32-bit hashes); only links that join two components leave the task.
+different components with ``AGREE`` equal coordinates or more are confirmed there;
+only links that join two components leave the task.
 
-Links: candidates are confirmed on whole shingle sets of 64-bit hashes.
-Components are found by label propagation in tables.
+Links: candidates are confirmed on whole shingle sets of 64-bit hashes, before
+anything is joined by them. Components are found by label propagation in tables.
 
 Defined results: null, empty or wordless text has an empty set and is linked
-with nothing; rows with the same doc_id are separate documents; an empty table
+with nothing; rows with the same doc_id are separate documents; rows without an
+id link like others, their component is named by its least id, null if none has
+one; very long texts are taken whole, each in a chunk of its own; an empty table
 gives no rows; only the id and text columns are read, so others never clash.
 """
 
@@ -39,9 +41,8 @@ PERCENT = 85
 CIRCLE = 1 << 20
 ROWS, BANDS = 4, 16  # a pair at 0.85 shares a band but for a chance of 7e-6
 SMALL = 16
-AGREE = 43  # of 64 coordinates; a pair at 0.85 has fewer with a chance of 1e-4
+AGREE = 38  # of 64 coordinates; a pair at 0.85 has fewer with a chance of 2e-7, less than that of no common band
 BLOCK = 1024
-HUGE = 16 * BLOCK  # nodes of a bucket that was once cut by one more band; nothing is cut now
 SEED = 20240601
 
 _SIGNATURE = "doc_id long, n_shingles long, fp binary, bands array<bigint>, sig binary"
@@ -126,10 +127,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, hashes, offsets in shingle_sets(batch.column(0)):
             fps = fingerprints(hashes, offsets)
-            own = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            short = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in own]
-            columns = [pa.array(fps, pa.binary()), pa.array([h.tobytes() for h in own], pa.binary()), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["fp", "set", "short"])
+            own = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(own, pa.binary())], ["fp", "set"])
 
 
 def _confirm(percent: int):
@@ -138,8 +137,7 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = _common(s, t)
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+                keep.append(_alike(s, t, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     return confirm
@@ -153,7 +151,7 @@ def _hold_against(percent: int):
         x = t["x"].to_numpy(zero_copy_only=False).astype(bool)
         n, fp, label = t["n"].to_numpy(), t["fp"].to_pylist(), t["label"].to_pylist()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(fp), ROWS * BANDS)
-        sets = [np.frombuffer(v.as_buffer(), "<u4") for v in t["short"].combine_chunks()]
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in t["set"].combine_chunks()]
         above: dict = {}
 
         def top(c: bytes) -> bytes:
@@ -169,7 +167,7 @@ def _hold_against(percent: int):
             at = np.flatnonzero((agree >= AGREE) & close)
             for k in y[at[np.argsort(-agree[at], kind="stable")]].tolist():
                 own, other = top(label[i]), top(label[k])
-                if own != other and 100 * (both := _common(sets[i], sets[k])) >= percent * (int(n[i]) + int(n[k]) - both):
+                if own != other and _alike(sets[i], sets[k], percent):
                     links.append((min(fp[i], fp[k]), max(fp[i], fp[k])))
                     above[max(own, other)] = min(own, other)
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
@@ -186,6 +184,12 @@ def _common(s: np.ndarray, t: np.ndarray) -> int:
     return int((t[at] == s).sum())
 
 
+def _alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sets share ``percent`` of their union or more."""
+    both = _common(s, t)
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _bucket_pairs(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs ``a < b`` of buckets, and members of large ones with their hub."""
     hub = F.max(F.struct("weight", "fp", "n"))
@@ -219,17 +223,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     members = scratch.write(sized.drop("c").join(weights, "fp"), "members")
 
     ids = members.select("fp").distinct().join(nodes.select("fp", "first_id"), "fp")
-    wanted = columns.join(ids.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = wanted.select("text").mapInArrow(_sets, "fp binary, set binary, short binary")
+    wanted = columns.join(ids.select(F.col("first_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = wanted.select("text").mapInArrow(_sets, "fp binary, set binary")
     sets = scratch.write(found.dropDuplicates(["fp"]), "sets")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a")
-        x = x.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t")
-        return scratch.write(x.mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), name)
-
     pairs, large = _bucket_pairs(members, percent)
-    tested = confirmed(pairs, "tested-0")
+    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a")
+    x = x.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t")
+    tested = scratch.write(x.mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tested")
     large = scratch.write(large.select("key", "fp", "n", "hub"), "large")
     labels = components(tested.where("linked"), scratch, "labels-0")
 
@@ -239,24 +240,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     named = named.join(hubs, "hub", "left").withColumn("x", F.col("label") != F.coalesce("_hub", "hub")).select("key", "fp", "n", "label", "x")
     named = scratch.write(named, "named")
     sizes = named.groupBy("key").agg(F.ceil(F.count_if("x") / BLOCK).cast("int").alias("xs"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("ys")).where("xs > 0")
-    left = named.join(sizes, "key").join(nodes.select("fp", "sig"), "fp").join(sets.select("fp", "short"), "fp")
+    left = named.join(sizes, "key").join(nodes.select("fp", "sig"), "fp").join(sets, "fp")
     place = F.xxhash64("fp")
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     mine = lambda c: F.array(F.pmod(place, F.col(c)).cast("int"))
     # a node left over is in one block of those, against all of members; every node is a member
     roles = F.array(F.struct(F.lit(False).alias("x"), each("xs").alias("i"), mine("ys").alias("j")), F.when(F.col("x"), F.struct(F.lit(True).alias("x"), mine("xs").alias("i"), each("ys").alias("j"))))
-    dealt = left.select("key", "fp", "n", "label", "sig", "short", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
-    dealt = dealt.select("key", "fp", "n", "label", "sig", "short", "r.x", F.explode("r.i").alias("i"), "r.j")
-    dealt = dealt.select("key", "fp", "n", "label", "sig", "short", "x", "i", F.explode("j").alias("j"))
+    dealt = left.select("key", "fp", "n", "label", "sig", "set", F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("r"))
+    dealt = dealt.select("key", "fp", "n", "label", "sig", "set", "r.x", F.explode("r.i").alias("i"), "r.j")
+    dealt = dealt.select("key", "fp", "n", "label", "sig", "set", "x", "i", F.explode("j").alias("j"))
     more = dealt.groupBy("key", "i", "j").applyInArrow(_hold_against(percent), "a binary, b binary").distinct()
-    more = confirmed(more.join(tested, ["a", "b"], "left_anti"), "tested-1")
-    labels = components(tested.where("linked").unionByName(more.where("linked")), scratch, "labels-1")
+    more = scratch.write(more, "more")
+    labels = components(tested.where("linked").select("a", "b").unionByName(more), scratch, "labels-1")
 
     named = nodes.select("fp", "first_id").join(labels, nodes["fp"] == labels["node"], "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = scratch.write(named.join(least, "label").select(F.col("fp").alias("_fp"), "component_id"), "classes")
     out = signed.join(classes, signed["fp"] == classes["_fp"], "left")
-    scratch.drop("sets", "sized", "members")
+    scratch.drop("sets", "sized", "members", "several", "nodes", "tested", "large", "named", "more")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "fp")
 
 

@@ -28,7 +28,7 @@ from .tokens import default_tokenizer, encode_texts, encoder
 
 WINDOW = 1024
 SHARD_BYTES = 15 << 20  # of input files for a shard, about
-TERMS = 12  # most telling terms of a seed that are looked up
+TERMS = 32  # most telling terms of a seed that are looked up
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"

@@ -82,28 +82,91 @@ def test_large_groups_of_near_copies(spark, scratch, monkeypatch):
     assert order(map(tuple, got)) == order(brute_components(rows))
 
 
-def test_a_huge_bucket_is_cut(spark, scratch, monkeypatch):
+def test_large_buckets_of_the_corpus(spark, scratch, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 2)
-    monkeypatch.setattr(near_dup, "HUGE", 10)
     rows = cases.corpus(8)
     got = near_dup.near_duplicates(cases.frame(spark, rows), scratch).select("doc_id", "n_shingles", "component_id").collect()
     assert order(map(tuple, got)) == order(brute_components(rows))
 
 
-def test_leftovers_of_huge_buckets_need_one_common_band(spark, scratch, monkeypatch):
-    """Pairs near the threshold that no hub links, all of whose buckets count as huge."""
+def edited_copies(rng, n=200, at=(40, 90, 140)):
+    """Two texts of ``n`` words with a Jaccard similarity of 0.858 by default."""
+    text = [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    other = list(text)
+    for k in at:
+        other[k] = f"y{rng.randrange(10**9)}"
+    return " ".join(text), " ".join(other)
+
+
+def test_rows_without_an_id_link_like_others(spark, scratch):
+    rng = random.Random(8)
+    x, y = edited_copies(rng, at=(100,))
+    z = y.split(" ")
+    z[30] = "z"
+    u, v = edited_copies(rng, at=(100,))
+    rows = [(None, y), (5, x), (7, " ".join(z)), (None, u), (None, v), (9, None), (None, None)]
+    got = near_dup.near_duplicates(cases.frame(spark, [(*r, "en", "s", None) for r in rows]), scratch).collect()
+    ids = lambda n: sorted((str(r.doc_id), str(r.component_id)) for r in got if (r.n_shingles > 0) == n)
+    assert ids(True) == [("5", "5"), ("7", "5"), ("None", "5"), ("None", "None"), ("None", "None")]
+    assert ids(False) == [("9", "9"), ("None", "None")]
+
+
+def test_links_inside_a_task_are_confirmed_before_they_join():
+    """Sets whose upper halves agree and whose 64 bits do not hide no true link."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    own = np.sort(rng.integers(0, 2**63, 100, dtype=np.uint64))
+    false = np.sort((own >> np.uint64(32) << np.uint64(32)) | rng.integers(0, 2**31, 100, dtype=np.uint64))
+    sets = [own, false, own[:-5]]
+    sig = bytes(64)
+    t = pa.table(
+        {
+            "x": [True, False, False],
+            "n": [len(x) for x in sets],
+            "fp": [b"a", b"b", b"c"],
+            "label": [b"a", b"b", b"b"],
+            "sig": [sig, sig, sig],
+            "set": [x.tobytes() for x in sets],
+        },
+        pa.schema([("x", pa.bool_()), ("n", pa.int64()), ("fp", pa.binary()), ("label", pa.binary()), ("sig", pa.binary()), ("set", pa.binary())]),
+    )
+    assert near_dup._hold_against(85)(t).to_pylist() == [{"a": b"a", "b": b"c"}]
+
+
+def test_pairs_at_the_threshold_agree_in_enough_coordinates():
+    rng = np.random.default_rng(5)
+    least = []
+    for _ in range(3):
+        sets, offsets = [], [0]
+        for _ in range(1000):  # pairs with 170 of 200 elements in common: 0.85
+            both = rng.choice(near_dup.CIRCLE, 200, replace=False)
+            for part in (both[:185], np.concatenate([both[:170], both[185:]])):
+                sets.append(part)
+                offsets.append(offsets[-1] + len(part))
+        sig = near_dup.circulant(np.concatenate(sets), np.array(offsets)) & 255
+        least.append((sig[::2] == sig[1::2]).sum(axis=1).min())
+    assert min(least) >= near_dup.AGREE
+
+
+def test_a_text_of_several_megabytes(spark, scratch):
+    rng = random.Random(9)
+    x, y = edited_copies(rng, n=400_000, at=range(0, 400_000, 100))
+    rows = [(k, t, "en", "s", None) for k, t in enumerate([x, y, x[: len(x) // 2]])]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.near_duplicates(cases.frame(spark, rows), scratch).collect())
+    assert [(a, c) for a, _, c in got] == [(0, 0), (1, 0), (2, 2)] and got[0][1] == 399_996
+
+
+def test_leftovers_of_large_buckets_need_one_common_band(spark, scratch, monkeypatch):
+    """Pairs near the threshold that no hub links, all of whose buckets count as large."""
     monkeypatch.setattr(near_dup, "SMALL", 1)
-    monkeypatch.setattr(near_dup, "HUGE", 1)
     buckets = near_dup._bucket_pairs
     monkeypatch.setattr(near_dup, "_bucket_pairs", lambda *a: (lambda pairs, large: (pairs.limit(0), large))(*buckets(*a)))
     rng = random.Random(6)
     rows = []
     for k in range(0, 500, 2):
-        text = [f"x{rng.randrange(10**9)}" for _ in range(200)]
-        edited = list(text)
-        for at in (40, 90, 140):  # Jaccard 0.858
-            edited[at] = f"y{rng.randrange(10**9)}"
-        rows += [(k, " ".join(text), "en", "s", None), (k + 1, " ".join(edited), "en", "s", None)]
+        text, edited = edited_copies(rng)
+        rows += [(k, text, "en", "s", None), (k + 1, edited, "en", "s", None)]
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(cases.frame(spark, rows), scratch).collect()}
     assert [k for k in got if got[k] != k - k % 2] == []
 
