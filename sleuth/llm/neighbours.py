@@ -6,13 +6,16 @@ with their places in the pivots' inverted files, shard by shard. For a query,
 the files of its own nearest pivots add up, for each vector, the footrule
 distance between the two orders (a pivot that one of them lacks stands in place
 ``PREFIX``): it is PREFIX * (PREFIX + 1) less twice the sum, over common pivots,
-of PREFIX - max(place, place). In each shard, the 15 % of vectors nearest
-by footrule (``LEAST`` at least, and all that tie with the last) is ranked again
+of PREFIX - max(place, place). Orders of pivots tell angles and nearness is the
+inner product, so footrule is turned into a cosine by a line, fitted for each
+query on the pivots (whose cosines are known), and multiplied by the vector's
+length. The vectors that are then nearest in each shard (a share of it and
+``TIMES`` as many as asked for, and all that tie with the last) are ranked again
 by the exact inner product, in double precision, summed in the order of the
 components.
 
 Queries in blocks meet shards of rows, each pair a task of bounded size; only
-the best few of each pair are shuffled.
+the best few of each pair are shuffled. A vector is sent once for each block.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, or whose length is not the most common one, take no part, nor do
@@ -34,8 +37,8 @@ from .common import Scratch, table
 
 PIVOTS, PREFIX = 128, 64
 PIVOT_SAMPLE = 4096  # rows from which pivots are taken
-SHARE, LEAST = 0.15, 700  # of a shard's vectors that are ranked exactly
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+SHARE, TIMES = 0.2, 5  # a fifth of a shard's vectors and five times as many as asked for are ranked exactly
+SHARD_ROWS, BLOCK_ROWS = 8192, 8192
 EVERY = 20  # rows whose id this divides are queries
 TOP = 20
 
@@ -51,9 +54,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), "<f8").reshape(-1, width)
 
 
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, also where squares of components leave the range of doubles."""
+    most = np.abs(vectors).max(axis=1)
+    return most * np.linalg.norm(vectors / most[:, None], axis=1)
+
+
 def permutations(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The ``PREFIX`` nearest pivots of each vector, nearest first (by angle)."""
-    unit = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    unit = pivots / lengths_of(pivots)[:, None]
     return np.argsort(-(vectors @ unit.T), axis=1, kind="stable")[:, :PREFIX].astype(np.uint8)
 
 
@@ -96,13 +105,36 @@ def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, query_id: int, query: np.ndarray, query_order: np.ndarray, postings, top: int) -> tuple[np.ndarray, np.ndarray]:
+class Scale:
+    """Turns footrule gains into cosines by a line fitted on the pivots."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.unit = pivots / lengths_of(pivots)[:, None]
+        orders = permutations(pivots, pivots)
+        self.place = np.full((len(pivots), len(pivots)), orders.shape[1], np.int32)
+        np.put_along_axis(self.place, orders.astype(np.int64), np.arange(orders.shape[1], dtype=np.int32)[None, :], axis=1)
+
+    def line(self, query: np.ndarray, order: np.ndarray) -> tuple[float, float]:
+        """Offset and slope; (0, 1) if the pivots show no growth."""
+        k = len(order)
+        gain = (k - np.maximum(self.place[:, order], np.arange(k))).sum(axis=1).astype(float)
+        cosine = self.unit @ (query / lengths_of(query[None])[0])
+        other = cosine < 1 - 1e-9  # the query itself may be a pivot
+        gain, cosine = gain[other], cosine[other]
+        spread = gain - gain.mean() if len(gain) else gain
+        slope = (spread * cosine).sum() / (spread * spread).sum() if spread.any() else 0.0
+        return (cosine.mean() - slope * gain.mean(), slope) if slope > 0 else (0.0, 1.0)
+
+
+def search(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, query_id: int, query: np.ndarray, query_order: np.ndarray, postings, scale: Scale, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of a shard's best rows for one query."""
-    gain = footrule_gain(postings, query_order, len(ids))
-    gain[ids == query_id] = -1
-    want = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
-    least = np.partition(gain, len(ids) - want)[len(ids) - want]
-    near = np.flatnonzero((gain >= least) & (ids != query_id))
+    offset, slope = scale.line(query, query_order)
+    rank = (offset + slope * footrule_gain(postings, query_order, len(ids))) * lengths
+    own = ids == query_id
+    rank[own] = -np.inf
+    want = min(len(ids), int(np.ceil(SHARE * len(ids))) + TIMES * top + int(own.sum()))
+    least = np.partition(rank, len(ids) - want)[len(ids) - want]
+    near = np.flatnonzero((rank >= least) & ~own)
     rough = vectors[near] @ query
     if len(near) > top:  # the exact order only matters around the last place
         last = np.partition(rough, len(rough) - top)[len(rough) - top]
@@ -112,7 +144,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, orders: np.ndarray, query_id: i
     return ids[near][best], score[best]
 
 
-def _search_block(top: int):
+def _search_block(pivots: np.ndarray, top: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         is_query = t["is_query"].to_numpy(zero_copy_only=False).astype(bool)
@@ -122,11 +154,11 @@ def _search_block(top: int):
         vectors = _matrix(t["v"].combine_chunks(), width)
         orders = np.frombuffer(b"".join(x.as_buffer() for x in t["pivots"].combine_chunks()), np.uint8).reshape(-1, depth)
         rows = ~is_query
-        postings = post(orders[rows])
+        postings, scale = post(orders[rows]), Scale(pivots)
         found = []
-        own = (ids[rows], vectors[rows], orders[rows])
+        own = (ids[rows], vectors[rows], lengths_of(vectors[rows]))
         if rows.any():
-            found = [(q, *search(*own, q, vectors[i], orders[i], postings, top)) for i, q in zip(np.flatnonzero(is_query), ids[is_query], strict=True)]
+            found = [(q, *search(*own, q, vectors[i], orders[i], postings, scale, top)) for i, q in zip(np.flatnonzero(is_query), ids[is_query], strict=True)]
         return pa.table(
             {
                 "query_id": pa.array(np.repeat([q for q, _, _ in found], [len(a) for _, a, _ in found]).astype(np.int64)),
@@ -161,7 +193,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, is_query: Column, top: int = T
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = rows.select("vec_id", "v", "pivots", F.lit(False).alias("is_query"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"))
     asks = queries.select("vec_id", "v", "pivots", F.lit(True).alias("is_query"), each(shards).alias("shard"), F.pmod(place, F.lit(blocks)).cast("int").alias("block"))
-    found = cells.unionByName(asks).groupBy("shard", "block").applyInArrow(_search_block(top), "query_id long, vec_id long, score double")
+    found = cells.unionByName(asks).groupBy("shard", "block").applyInArrow(_search_block(pivots, top), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -261,7 +261,6 @@ def test_small_tables_are_searched_exactly(spark, scratch, n):
 def test_recall_over_shards(spark, scratch, monkeypatch):
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 1500)
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 60)
-    monkeypatch.setattr(neighbours, "LEAST", 100)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(6000, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), 0, "", "") for i, v in enumerate(x)], VECTORS)
@@ -291,3 +290,37 @@ def test_footrule_equals_its_definition():
         place = lambda order, p: order.index(p) if p in order else k
         footrule = sum(abs(place(o, p) - place(orders[0].tolist(), p)) for p in range(12))
         assert footrule == k * (k + 1) - 2 * gain[i]
+
+
+@pytest.mark.parametrize("rows", [500, 2000, 8192])
+@pytest.mark.parametrize("mean", [0.0, 0.5])
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_recall_of_a_shard(rows, mean, spread):
+    """Random directions, with a common mean, with lengths that vary (log-normal)."""
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(rows + 1, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[1:] + mean * x[0]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(spread * rng.normal(size=(rows, 1)))
+    pivots, ids = x[: neighbours.PIVOTS], np.arange(rows)
+    orders = neighbours.permutations(x, pivots)
+    postings, scale, lengths = neighbours.post(orders), neighbours.Scale(pivots), neighbours.lengths_of(x)
+    hit, asked = 0, range(0, rows, rows // 50)
+    for q in asked:
+        found, score = neighbours.search(ids, x, lengths, q, x[q], orders[q], postings, scale, 20)
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        assert np.allclose(score, exact[found], rtol=1e-12) and q not in found
+        hit += len(set(found.tolist()) & set(np.argsort(-exact)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(asked)
+
+
+def test_very_long_and_very_short_vectors(spark, scratch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8)) * 10.0 ** rng.integers(-150, 150, (60, 1))
+    df = spark.createDataFrame([(i, v.tolist(), 0, "", "") for i, v in enumerate(x)], VECTORS.replace("float", "double"))
+    got = {}
+    for r in neighbours.nearest(df, scratch, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute([(i, v.tolist()) for i, v in enumerate(x)])
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
