@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty, fmt1, prefix, severity_color
-from sleuth.plans.ordering import SEQ, drop_layout, sequence
+from sleuth.plans.ordering import SEQ, drop_layout, seek, sequence
 
 TEXT_ORDER = ["timestamp", "id"]
 EPOCH_ORDER = ["epoch", "timestamp", "id"]
 
+SHALLOW = 10_000  # rows that a page's top-k may send to the driver
 RECENT = 20  # fixed value: rows of the recent-events panel
 
 
@@ -50,9 +51,14 @@ def query_events(
 ) -> DataFrame:
     """Filtered events in text order: all of them, or one page (``limit``/``offset``).
 
-    Pages are a top-k (``TakeOrderedAndProject``), so no full sort happens.
+    Pages are a top-k (``TakeOrderedAndProject``), so no full sort happens. A page
+    behind the first ``SHALLOW`` rows, or an offset without a limit, is found by
+    ``ordering.seek``: no rows before it are sorted or sent to the driver.
     """
-    out = filter_events(df, source, event_type, severity, min_risk).orderBy(*TEXT_ORDER)
+    out = filter_events(df, source, event_type, severity, min_risk)
+    if offset and (limit is None or offset + limit > SHALLOW):
+        out, offset = seek(out, TEXT_ORDER, offset), 0
+    out = out.orderBy(*TEXT_ORDER)
     if offset:
         out = out.offset(offset)
     if limit is not None:

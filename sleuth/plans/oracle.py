@@ -254,6 +254,8 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["timeline_first_100"] = _page(limit=100)
     q["timeline_offset_page"] = _page(limit=50, offset=200)
+    q["timeline_from_offset"] = _page() + " OFFSET (SELECT count(*) * 9 // 10 FROM ae)"
+    q["timeline_deep_page"] = _page(limit=50) + " OFFSET (SELECT greatest(0, count(*) - 50) FROM ae)"
     q["query_by_source"] = _page("source = 'agentgate'")
     q["query_by_type"] = _page("event_type = 'error'")
     q["query_by_severity"] = _page("severity = 'critical'")

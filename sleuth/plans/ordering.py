@@ -37,7 +37,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 SEQ = "seq"
@@ -145,6 +145,42 @@ def sequence(
     )
 
 
+def _key_at_least(names: Sequence[str], df: DataFrame, key: Row) -> Column:
+    """Rows whose order keys are ``key`` or later (NULL comes first, as in a sort);
+    the first key's bound stands alone too, so that the scan can prune by it."""
+    bound = F.struct(*[F.lit(key[c]).cast(df.schema[c].dataType).alias(c) for c in names])
+    later = F.struct(*names) >= bound
+    return later if key[names[0]] is None else (F.col(names[0]) >= F.lit(key[names[0]])) & later
+
+
+def seek(df: DataFrame, order: Sequence[str], offset: int) -> DataFrame:
+    """The rows after the first ``offset`` ones in the order of the named columns,
+    which must be unique together; not sorted.
+
+    Only the order keys are range-partitioned. The partitions' row counts and least
+    keys (one row each, read by the driver) tell the partition that holds the row
+    at ``offset``; that partition's keys alone are sorted to find its key, and the
+    rows from that key on are a filter. Runs these two jobs when called.
+    """
+    keys = df.select(*order)
+    ranged = keys.repartitionByRange(num_partitions(df), *order)
+    counted = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_least"), F.max(F.struct(*order)).alias("_most")
+    )
+    before = 0
+    for part in sorted(counted.collect()):  # by partition number, which follows the order
+        if before + part["_n"] > offset:
+            break
+        before += part["_n"]
+    else:
+        return df.limit(0)
+    most = F.struct(*[F.lit(part["_most"][c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    inside = keys.where(_key_at_least(order, df, part["_least"]) & (F.struct(*order) <= most))
+    place = F.row_number().over(Window.orderBy(*order))  # the keys of one range partition
+    start = inside.withColumn("_place", place).where(F.col("_place") == offset - before + 1).first()
+    return df.where(_key_at_least(order, df, start))
+
+
 def drop_layout(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in LAYOUT_COLS or c in ("_wb", "_halo")])
 

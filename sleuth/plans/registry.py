@@ -49,6 +49,18 @@ def q_timeline_offset_page(s, d):
     return TL.query_events(_ae(s, d), limit=50, offset=200).select(*TL_COLS)
 
 
+def q_timeline_from_offset(s, d):
+    """The last tenth of the log: an offset without a limit."""
+    ev = _ae(s, d)
+    return TL.query_events(ev, offset=ev.count() * 9 // 10).select(*TL_COLS)
+
+
+def q_timeline_deep_page(s, d):
+    """The last 50 rows of the log, sought by position."""
+    ev = _ae(s, d)
+    return TL.seek(ev, TL.TEXT_ORDER, max(0, ev.count() - 50)).orderBy(*TL.TEXT_ORDER).limit(50).select(*TL_COLS)
+
+
 def q_query_by_source(s, d):
     return TL.query_events(_ae(s, d), source="agentgate").select(*TL_COLS)
 

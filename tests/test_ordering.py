@@ -3,7 +3,9 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sleuth.plans.ordering import running_max, sequence, with_lags, with_position
+from sleuth.operators import timeline
+from sleuth.plans.ordering import running_max, seek, sequence, with_lags, with_position
+from tests.conftest import make_events, ts
 
 
 def _frame(spark, n, seed, keys=5):
@@ -67,3 +69,32 @@ def test_sequence_with_reliable_checkpoint(spark):
     g = df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("g"))
     assert s.join(g, "id").where(F.col("seq") != F.col("g")).count() == 0
     assert spark.sparkContext.getCheckpointDir()  # written to the shared checkpoint folder
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_seek_equals_sorted_rows(spark):
+    rnd = random.Random(4)
+    rows = [(i, None if i % 11 == 0 else f"t{rnd.randrange(40):02d}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))]
+    for offset in (0, 1, 54, 55, 299, 598, 599, 600, 5000):
+        got = [r.id for r in seek(df, ["t", "id"], offset).orderBy("t", "id").collect()]
+        assert got == want[offset:], offset
+    assert seek(df.where("false"), ["t", "id"], 0).count() == 0
+
+
+def test_deep_pages_send_no_earlier_rows_to_the_driver(spark, monkeypatch):
+    ev = make_events(spark, [dict(event_type="a" if i % 3 else "b", timestamp=ts(i // 4)) for i in range(400)]).repartition(6)
+    ids = lambda df: [r.id for r in df.collect()]
+    whole = timeline.query_events(ev, event_type="a")
+    tail = timeline.query_events(ev, event_type="a", offset=250)
+    assert ids(tail) == ids(whole)[250:] and len(ids(tail)) == 16
+    assert "CollectLimit" not in _plan(tail)
+    monkeypatch.setattr(timeline, "SHALLOW", 100)
+    for offset, limit in [(30, 40), (95, 20), (250, 50), (266, 5), (0, 7)]:
+        page = timeline.query_events(ev, event_type="a", limit=limit, offset=offset)
+        assert ids(page) == ids(whole)[offset : offset + limit]
+    assert "offset" not in _plan(timeline.query_events(ev, limit=20, offset=200)).lower()
