@@ -1,20 +1,25 @@
 """Behaviour diff (missing / extra actions) and policy violations.
 
-All joins are equi-joins or literal-list predicates; a policy is a handful
-of literals, so it never needs a join.
+All joins are equi-joins or literal-list predicates; a policy is a list of
+literals, so it never needs a join. Long lists of paths become an automaton.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sleuth.functions.columns import fmt1
+from sleuth.session import let_import
 
 DEFAULT_MAX_RISK = 1.0  # fixed value: policy default of the studied tool
+FEW_RULES = 16  # paths that are looked for one by one
+RULE_BYTES = 4 << 20  # of paths in one automaton
 EVENT_REF = ["id", "timestamp", "event_type", "source", "target", "risk_score", "agent_id", "incident_id"]
 
 
@@ -107,13 +112,65 @@ def blocked_tool(actual: DataFrame, tools: Sequence[str]) -> DataFrame:
     )
 
 
+def _slices(paths: Sequence[str], limit: int) -> list[list[str]]:
+    """The rules in order, cut into lists of about ``limit`` bytes of text."""
+    out: list[list[str]] = [[]]
+    size = 0
+    for p in paths:
+        size += len(p.encode())
+        if size > limit and out[-1]:
+            out.append([])
+            size = len(p.encode())
+        out[-1].append(p)
+    return out
+
+
+@lru_cache(maxsize=4)
+def _automaton(rules: tuple[str, ...]):
+    """A multi-pattern automaton whose words carry their least place in the list."""
+    import ahocorasick
+
+    words = ahocorasick.Automaton()
+    for i, rule in enumerate(rules):
+        if rule not in words:
+            words.add_word(rule, i)
+    words.make_automaton()
+    return words
+
+
+def _first_of(rules: list[str]):
+    """Arrow UDF over two lower-cased texts: the first rule that one of them contains."""
+    low = tuple(r.lower() for r in rules)
+    always = low.index("") if "" in low else None  # an empty rule is in every text
+    known = low[:always]
+
+    def first(target: pa.Array, text: pa.Array) -> pa.Array:
+        find = _automaton(known).iter if known else lambda _: ()
+        found = []
+        for pair in zip(target.to_pylist(), text.to_pylist(), strict=True):
+            places = [i for t in pair for _, i in find(t)]
+            at = min(places) if places else always
+            found.append(None if at is None else rules[at])
+        return pa.array(found, pa.string())
+
+    # it filters and is shown: as nondeterministic it is computed once
+    return F.arrow_udf(first, "string").asNondeterministic()
+
+
 def first_matching_path(paths: Sequence[str], target: Column, description: Column) -> Column:
-    """First rule (list order) contained case-insensitively in target or description; NULL if none."""
+    """First rule (list order) contained case-insensitively in target or description; NULL if none.
+
+    Up to ``FEW_RULES`` rules are looked for one by one. More of them are an automaton
+    that reads each text once, whatever their number; it travels with the tasks, in
+    slices of ``RULE_BYTES`` of rules, so its size is bounded.
+    """
     if not paths:
         return F.lit(None).cast("string")
-    rules = F.array(*[F.struct(F.lit(p).alias("rule"), F.lit(p.lower()).alias("low")) for p in paths])
     t = F.lower(F.coalesce(target, F.lit("")))
     d = F.lower(F.coalesce(description, F.lit("")))
+    if len(paths) > FEW_RULES:
+        return F.coalesce(*[_first_of(part)(t, d) for part in _slices(paths, RULE_BYTES)])
+    rules = F.array(*[F.struct(F.lit(p).alias("rule"), F.lit(p.lower()).alias("low")) for p in paths])
     hits = F.filter(rules, lambda r: F.contains(t, r["low"]) | F.contains(d, r["low"]))
     return F.get(hits, 0)["rule"]
 
@@ -123,6 +180,7 @@ def blocked_path(actual: DataFrame, paths: Sequence[str], text_col: str = "descr
 
     ``text_col`` is the free text checked besides ``target`` (whole text, no prefix).
     """
+    let_import(actual.sparkSession)
     target = F.col("target") if "target" in actual.columns else F.lit("")
     hit = first_matching_path(list(paths), target, F.col(text_col))
     x = actual.withColumn("_rule", hit).where(F.col("_rule").isNotNull())

@@ -333,6 +333,10 @@ UNION ALL SELECT 'policy_violation', 'actual', 2, sub, id, agent_id FROM pol"""
     q["policy_tools"] = W + "SELECT id, 'blocked_tool' AS rule, event_type FROM ae WHERE event_type IN ('purchase', 'signup')"
     rules = ["MIT License", "token", "@", "license", "src3"]
     q["policy_paths"] = f"SELECT id, rule FROM (SELECT doc_id AS id, {_path_case(rules, 'source', 'text')} AS rule FROM documents) WHERE rule IS NOT NULL"
+    q["policy_rule_list"] = W + """
+SELECT id, 'USER/' || (min(i) * 7919 % 1000) AS rule FROM ae, range(1000) AS r(i)
+WHERE contains(lower(coalesce(target, '')), 'user/' || (i * 7919 % 1000)) OR contains(lower(coalesce(description, '')), 'user/' || (i * 7919 % 1000))
+GROUP BY id"""
     q["policy_risk"] = W + "SELECT id, 'risk_limit' AS rule, risk_score FROM ae WHERE risk_score > 5.0"
     q["policy_all"] = W + "SELECT id, sub, rule FROM (" + _policy_union("ae", ["error"], ["user/12", "USER 7"], 9.0) + ")"
     # compliance

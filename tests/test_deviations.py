@@ -1,3 +1,5 @@
+import random
+
 from sleuth.operators import deviations as D
 from tests.conftest import make_events, ts
 
@@ -46,3 +48,35 @@ def test_null_type_counts_as_extra(spark):
     actual = make_events(spark, [dict(event_type="a", timestamp=ts(0))]).withColumn("event_type", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))
     out = D.extra_actions(actual, _ev(spark, ["a"])).collect()
     assert len(out) == 1
+
+
+def _plain_first(rules, target, text):
+    t, d = (target or "").lower(), (text or "").lower()
+    return next((r for r in rules if r.lower() in t or r.lower() in d), None)
+
+
+def test_long_rule_lists_equal_a_scan_of_the_list(spark, monkeypatch):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("abAB/é") for _ in range(n))
+    rules = [word(rnd.randint(2, 9)) for _ in range(3000)]
+    texts = [(i, rnd.choice([None, "", word(6)]), rnd.choice([None, word(12), word(3) * 50_000])) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, target string, description string").repartition(3)
+    for some in (rules, rules[2000:], [*rules[:1000:40], "", "zzz"]):
+        assert len(some) > D.FEW_RULES
+        got = {r.id: r.rule for r in D.blocked_path(df, some).select("id", "rule").collect()}
+        want = {i: _plain_first(some, t, d) for i, t, d in texts}
+        assert got == {i: r for i, r in want.items() if r is not None}
+    monkeypatch.setattr(D, "RULE_BYTES", 3000)  # several automata: the earliest rule still wins
+    assert len(D._slices(rules, D.RULE_BYTES)) > 4
+    got = {r.id: r.rule for r in D.blocked_path(df, rules).select("id", "rule").collect()}
+    want = {i: _plain_first(rules, t, d) for i, t, d in texts}
+    assert got == {i: r for i, r in want.items() if r is not None}
+
+
+def test_long_rule_lists_without_a_match_or_rows(spark):
+    df = spark.createDataFrame([(1, "x", None)], "id long, target string, description string")
+    rules = [f"rule-{i}" for i in range(50)]
+    assert D.blocked_path(df, rules).count() == 0
+    assert D.blocked_path(df.where("id > 1"), rules).count() == 0
+    plan = D.blocked_path(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
