@@ -166,7 +166,8 @@ def _values(rows) -> str:
 OP9_SQL = rf"""
 WITH known(sid, s) AS (VALUES {_values(SENTENCES.items())}),
 rules(rule, licence, p) AS (VALUES {_values((n, lic, r"(^|\|)" + (r"\|(~\|){0,2}").join(ids) + r"\|") for n, lic, ids in RULES)}),
-d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS k FROM documents),
+d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(spdx-license-identifier):(\s)', '\1 \2', 'g'), '\b([vV])\.(\s+[0-9])', '\1 \2', 'g') AS t,
+             row_number() OVER () AS k FROM documents),
 r AS (SELECT k, 1 AS reading, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)(\s|$)', chr(1) || '\2', 'g'), chr(1) || '|\n\s*\n|\n') AS ss FROM d
       UNION ALL SELECT k, 2, regexp_split_to_array(regexp_replace(t, '([.!?;:]+)(\s|$)', chr(1) || '\2', 'g'), chr(1) || '|\n\s*\n') FROM d),
 u AS (SELECT k, reading, i, trim(regexp_replace(lower(ss[i]), '[^a-z0-9]+', ' ', 'g')) AS s FROM (SELECT k, reading, ss, unnest(range(1, len(ss) + 1)) AS i FROM r)),

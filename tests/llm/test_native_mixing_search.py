@@ -116,6 +116,24 @@ def test_tags_and_headers_as_published(spark, text, want):
     assert licences.scan(cases.frame(spark, [(1, text, None, None, None)])).first()["licences"] == want
 
 
+def test_tags_and_headers_equal_sql(spark, tmp_path):
+    texts = [
+        "# SPDX-License-Identifier: MIT",
+        "code\nspdx-license-identifier:\tBSD-3-Clause\nmore",
+        "SPDX-License-Identifier:: MIT",
+        "SPDX-License-Identifier:MIT",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, V.  2.0.",
+        "Mozilla Public License, rev. 2.0. All rights reserved.",
+        "terms of v.\n\n2 things. All rights reserved.",
+    ]
+    folder = cases.saved(cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), tmp_path)
+    df = licences.op9_licences(spark, folder)
+    got = {r.doc_id: r.licences for r in df.collect()}
+    assert got[0] == "MIT" and got[1] == "BSD-3-Clause" and got[5] == "MPL-2.0"
+    assert rounded(map(tuple, df.select(*sorted(df.columns)).collect())) == rounded(oracle(licences.OP9_SQL, folder))
+
+
 def test_notices_without_another_anchor_equal_sql(spark, tmp_path):
     texts = ["(c) 2020 Somebody. All rights\nreserved.", "\u00a9 2020 X. All rights  reserved.", "Some text. ALL RIGHTS-RESERVED", "All\trights\u00a0reserved"]
     folder = cases.saved(cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), tmp_path)
