@@ -79,8 +79,7 @@ def rare_event_type(df: DataFrame, rare_types: Sequence[str] = ()) -> DataFrame:
 
 def sequence_features(df: DataFrame, partition_by: Sequence[str] = (), with_runs: bool = True) -> DataFrame:
     """One halo pass: look-backs for bursts and repetitions, plus (``with_runs``)
-    the running maxima that delimit blocked runs (segment start, last
-    non-blocked row)."""
+    ``_before``, a running maximum: the row that the run up to the previous row follows."""
     s = _with_seq(df, partition_by)
     w = halo_window()
     pre = {
@@ -93,11 +92,15 @@ def sequence_features(df: DataFrame, partition_by: Sequence[str] = (), with_runs
     if not with_runs:
         lags = {"_e2": ("epoch", 2), **{f"_t{j}": ("event_type", j) for j in range(1, REPEAT_RUN)}}
         return with_lags(s, lags, partition_by, flags={"_h1": 1, "_h4": REPEAT_RUN - 1})
-    values = {
-        "_seg": F.when(~F.col("_h1"), F.col(SEQ)),
-        "_lastnb": F.when(~F.coalesce(F.col("blocked"), F.lit(False)), F.col(SEQ)),
-    }
-    return running_max(s, values, k=REPEAT_RUN - 1, pre=pre)
+    # what ends a run before this row: the last row so far that is not blocked, or the one
+    # before the first of its key, told by the previous row
+    one, two = F.lag(key_struct(partition_by), 1).over(w), F.lag(key_struct(partition_by), 2).over(w)
+    pre["_first2"] = one.isNotNull() & ~one.eqNullSafe(two)
+    pre["_prev"] = F.lag(F.struct(F.lit(True).alias("there"), F.coalesce("blocked", F.lit(False)).alias("blocked")), 1).over(w)
+    if partition_by:  # a run that ends with its key is reported by the next key's first row
+        pre["_prevev"] = F.lag(F.struct(*_event_ref(s)), 1).over(w)
+    ended = F.greatest(F.when(F.col("_prev.there") & ~F.col("_prev.blocked"), F.col(SEQ) - 1), F.when(F.col("_first2"), F.col(SEQ) - 2))
+    return running_max(s, {"_before": ended}, k=REPEAT_RUN - 1, pre=pre)
 
 
 def _bursts(feat: DataFrame, threshold: float) -> DataFrame:
@@ -138,33 +141,20 @@ def _repetitions(feat: DataFrame, partition_by: Sequence[str], first_only: bool)
 
 
 def _chains(feat: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    ref = _ref(feat)
-    blocked = feat.where(F.coalesce(F.col("blocked"), F.lit(False)))
-    run_id = F.greatest(F.coalesce(F.col("_lastnb"), F.lit(0)), F.col("_seg") - 1).alias("_run")
-    runs = (
-        blocked.groupBy(run_id)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max(SEQ).alias("_last"),
-            F.max_by(F.struct(*[F.col(c) for c in ref]), F.col(SEQ)).alias("_lastev"),
-            F.max_by(key_struct(partition_by), F.col(SEQ)).alias("_key"),
-        )
-        .where(F.col("_n") >= CHAIN_MIN)
-    )
-    nxt = feat.select(
-        F.col(SEQ).alias("_nseq"),
-        F.struct(*[F.col(c) for c in ref]).alias("_nextev"),
-        key_struct(partition_by).alias("_nkey"),
-    )
-    # inner join first (AQE can broadcast the small run frame), then a left
-    # join between two small frames: the event frame is never the streamed
-    # side of an outer join
-    hits = nxt.join(runs.select("_run", (F.col("_last") + 1).alias("_nseq")), "_nseq", "inner")
-    joined = runs.join(hits, "_run", "left")
-    at_end = F.col("_nseq").isNull() | ~F.col("_nkey").eqNullSafe(F.col("_key"))
-    carrier = F.when(at_end, F.col("_lastev")).otherwise(F.col("_nextev"))
-    n = F.col("_n")
-    return joined.select(
+    """Each run is told by one row alone: the first row after it, or the log's last row."""
+    ref, seq = _ref(feat), F.col(SEQ)
+    blocked = F.coalesce(F.col("blocked"), F.lit(False))
+    after = F.coalesce(F.col("_prev.blocked"), F.lit(False)) & (~F.col("_h1") | ~blocked)
+    n_after = seq - 1 - F.coalesce("_before", F.lit(0))
+    n_last = F.when(F.col("_h1"), seq - F.coalesce("_before", F.lit(0))).otherwise(F.lit(1))
+    at_log_end = blocked & (seq == F.col("_total"))
+    n = F.when(at_log_end & (n_last >= CHAIN_MIN), n_last).when(after, n_after)
+    at_end = at_log_end & (n_last >= CHAIN_MIN) | ~F.col("_h1")
+    hits = feat.withColumn("_n", n).where(F.col("_n") >= CHAIN_MIN).withColumn("_at_end", at_end)
+    n, at_end = F.col("_n"), F.col("_at_end")
+    own = F.struct(*_event_ref(feat))
+    carrier = F.when(~F.col("_h1"), F.col("_prevev")).otherwise(own) if partition_by else own
+    return hits.select(
         F.lit("blocked_chain").alias("type"),
         F.lit("high").alias("anomaly_severity"),
         clamp10((n * 2).cast("double")).alias("score"),

@@ -160,12 +160,31 @@ def tool_decisions(rep: DataFrame, rate_limit: int = DEFAULT_RATE_LIMIT) -> Data
         F.array(*[F.lit(t) for t in KNOWN_TOOLS]),
         lambda t: F.exists("checks", lambda c: F.contains(F.lower(F.coalesce(c["details"], F.lit(""))), t)),
     )
-    danger = F.when(has_anomalies(rep), F.array(*[F.lit(t) for t in DANGEROUS_TOOLS])).otherwise(
-        F.array().cast("array<string>")
+    return _decided(rep, found, has_anomalies(rep), rate_limit)
+
+
+def policy_from_checks(checks: DataFrame, by: Sequence[str] = (), rate_limit: int = DEFAULT_RATE_LIMIT) -> DataFrame:
+    """The policy's decisions for any checks, one row each (``status``, ``details``): per
+    group ``failed``, ``anomalous``, ``deny``, ``allow``, ``rate_limit`` as in
+    ``tool_decisions``. One flag a tool is aggregated, no list of the group's checks."""
+    text = F.lower(F.coalesce(F.col("details"), F.lit("")))
+    named = F.array(*[F.bool_or(F.contains(text, F.lit(t))) for t in KNOWN_TOOLS])
+    flags = checks.groupBy(*by).agg(
+        F.count_if(F.coalesce(F.col("status"), F.lit("")) == "fail").alias("failed"),
+        F.coalesce(F.bool_or(F.contains(text, F.lit("anomal"))), F.lit(False)).alias("_mention"),
+        named.alias("_named"),
     )
+    flags = flags.withColumn("anomalous", F.col("_mention") | (F.col("failed") > 3))
+    known = F.array(*[F.lit(t) for t in KNOWN_TOOLS])
+    found = F.filter(known, lambda t, i: F.coalesce(F.get("_named", i), F.lit(False)))
+    return _decided(flags, found, F.col("anomalous"), rate_limit).drop("_mention", "_named")
+
+
+def _decided(groups: DataFrame, found: Column, anomalous: Column, rate_limit: int) -> DataFrame:
+    danger = F.when(anomalous, F.array(*[F.lit(t) for t in DANGEROUS_TOOLS])).otherwise(F.array().cast("array<string>"))
     deny = F.array_sort(F.array_distinct(F.concat(found, danger)))
     allow = F.array_sort(F.array_except(F.array(*[F.lit(t) for t in SAFE_TOOLS]), deny))
-    return rep.withColumn("deny", deny).withColumn("allow", allow).withColumn(
+    return groups.withColumn("deny", deny).withColumn("allow", allow).withColumn(
         "rate_limit", adjusted_rate_limit(F.col("failed"), rate_limit)
     )
 

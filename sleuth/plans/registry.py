@@ -305,6 +305,19 @@ def q_adjusted_rate(s, d):
     return rep.select("agent_id", "failed", "rate_limit", C.has_anomalies(rep).alias("anomalous"))
 
 
+def q_policy_from_checks(s, d):
+    """A check per agent and event type: details that name a tool, an anomaly, nothing."""
+    n, risk = F.count(F.lit(1)), F.max("risk_score")
+    kind = F.col("event_type")
+    details = (F.when(kind == "click", F.concat(F.lit("READ_FILE used "), n.cast("string"), F.lit(" times")))
+               .when(kind == "view", F.when(risk >= 9, F.lit("calls HTTP_request")).otherwise(F.lit("quiet")))
+               .when(kind == "error", F.when(n % 5 == 0, F.lit("Anomalous delete_file")).otherwise(F.lit("none")))
+               .when(kind == "purchase", F.lit("sql_query, write_file")))
+    checks = _ae(s, d).groupBy("agent_id", "event_type").agg(F.when(n % 3 == 0, "pass").otherwise("fail").alias("status"), details.alias("details"))
+    out = C.policy_from_checks(checks, AGENT)
+    return out.select("agent_id", "failed", "anomalous", F.array_join("deny", ",").alias("deny"), F.array_join("allow", ",").alias("allow"), "rate_limit")
+
+
 def q_policy_text(s, d):
     return C.policy_lines(_ae(s, d))
 
@@ -561,6 +574,21 @@ def q_ingest_counts(s, d):
     return RD.ingest_counts(guard)
 
 
+def q_ingest_batch(s, d):
+    """Three readers' events and rejected lines written in one go, and counted."""
+    from sleuth.streaming.alerts import stream_output_dir
+
+    ev = _ae(s, d)
+    words = RD.lines_from_text(read_table(s, d, "documents"), "doc_id", "text").withColumn("file", F.concat(F.lit("words/"), F.col("file").cast("string")))
+    gate = _gate_lines(ev.where(F.col("source") == "agentgate")).unionByName(words.select("file", "lineno", "value"))
+    parsed = {
+        "guard": RD.parse_guard_lines(_lines_for(ev.where(F.col("source") == "mcpguard")), as_of=AS_OF),
+        "gate": RD.parse_gate_lines(gate, as_of=AS_OF),
+        "generic": RD.parse_generic_lines(_format_lines(s, d), as_of=AS_OF),
+    }
+    return SK.ingest_events(parsed, f"{stream_output_dir(s)}/ingested", AS_OF)
+
+
 # --------------------------------------------------------------------------- reports
 def q_report_timeline(s, d):
     return P.report_timeline(_ae(s, d))
@@ -615,9 +643,7 @@ def q_guard_log_taxonomy(s, d):
 
 def q_analysis_view(s, d):
     ev = _ae(s, d)
-    anoms = A.detect_anomalies(ev, rare_event_types=["signup"], partition_by=AGENT).where(
-        F.col("type").isin("rare_event_type", "repetition", "blocked_chain")
-    )
+    anoms = A.detect_anomalies(ev, 0.001, rare_event_types=["signup"], partition_by=AGENT)
     return P.analysis_view(anoms, 60).select("type", "severity", "score", "text", "id", "agent_id")
 
 

@@ -6,9 +6,10 @@ JSON lines instead.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty
@@ -18,6 +19,11 @@ from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, sequence
 EXPORT_SOURCE = "forensics"  # the "source" tag of exported payloads
 
 
+LAYOUT = ["event_date", "source", "event_type", "epoch", "id"]  # order of the event table's rows
+REJECTED = "file string, lineno long, value string, batch string, reader string, reason string"
+FILTERS = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("event_type", "severity", "agent_id", "incident_id")}
+
+
 def assign_ids(df: DataFrame, order: Sequence[str], base: int = 0) -> DataFrame:
     """Dense ids ``base+1 ..`` in the given order (distributed sequence)."""
     s = drop_layout(sequence(df, list(order)))
@@ -31,28 +37,66 @@ def append_events(df: DataFrame, path: str, as_of: str | None = None, order: Seq
     default), which must tell rows apart. The write is one job: either all rows
     land or none (the committer renames only on success). One writer at a time.
     Layout: partitioned by event date and source; rows are range-partitioned by
-    date, source, epoch and id, so that a busy day and source spreads over tasks
-    and time-range filters prune files and row groups.
+    date, source, type, epoch and id, so that a busy day and source spreads over tasks,
+    and filters by type and by time prune files and row groups; severities and agents
+    have bloom filters where Parquet keeps no dictionary of them.
     """
+    return _append(df, path, as_of, order)
+
+
+def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], folders: Sequence[Column] = ()) -> DataFrame:
+    """``folders``: named columns that the table is partitioned by before date and source."""
     spark = df.sparkSession
     ev = with_event_defaults(df, as_of)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
-    base = (spark.read.parquet(path).agg(F.max("id")).first()[0] or 0) if exists else 0
+    names = [c for c in ("batch", "reader") if folders]
+    day = F.coalesce(F.to_date("event_ts"), F.lit("1970-01-01").cast("date")).alias("event_date")
+    table = spark.read.schema(ev.select(*EVENT_COLUMNS, *folders, day).schema)  # a table may have no rows yet
+    base = (table.parquet(path).agg(F.max("id")).first()[0] or 0) if exists else 0
     missing = [c for c in order if c not in ev.columns]
     if missing:
         raise ValueError(f"columns that order the rows are missing: {missing}")
     ev = ev.drop("id")
     ev = assign_ids(ev, order, base)
-    out = ev.select(*EVENT_COLUMNS).withColumn("event_date", F.coalesce(F.to_date("event_ts"), F.lit("1970-01-01").cast("date")))
+    out = ev.select(*EVENT_COLUMNS, *folders, day)
     (
-        out.repartitionByRange(num_partitions(df), "event_date", "source", "epoch", "id")
-        .sortWithinPartitions("event_date", "source", "epoch", "id")
+        out.repartitionByRange(num_partitions(df), *LAYOUT)
+        .sortWithinPartitions(*LAYOUT)
         .write.mode("append")
-        .partitionBy("event_date", "source")
+        .options(**FILTERS)
+        .partitionBy(*names, "event_date", "source")
         .parquet(path)
     )
-    return spark.read.parquet(path)
+    return table.parquet(path)
+
+
+def ingest_events(parsed: dict[str, tuple[DataFrame, DataFrame]], path: str, as_of: str | None = None) -> DataFrame:
+    """Append what readers give (name -> events, rejected lines) to the table at ``path``,
+    rejected lines to the one at ``<path>_rejected``, and count what was written:
+    (reader, source, reason, rows), ``reason`` NULL for events, ``source`` NULL for
+    rejected lines. The counts come from the written files' footers and folder names,
+    not from a second pass over the lines; they do not go wrong when tasks are repeated.
+    The tables are partitioned by ``batch`` (one a call) and ``reader`` too, so they are
+    tables of their own; the two writes are two jobs, and a call that fails between them
+    leaves a batch without rejected lines."""
+    spark = parsed[next(iter(parsed))][0].sparkSession
+    batch, events, rejected = F.lit("b" + uuid.uuid4().hex), None, None
+    for name, (good, bad) in parsed.items():
+        tag = F.lit(name).alias("reader")
+        good = with_event_defaults(good, as_of).withColumn("_reader", tag)
+        bad = bad.select("file", "lineno", "value", "reason", tag, batch.alias("batch"))
+        events = good if events is None else events.unionByName(good, allowMissingColumns=True)
+        rejected = bad if rejected is None else rejected.unionByName(bad)
+    written = _append(events, path, as_of, ("_reader", "_file", "_lineno"), (F.col("_reader").alias("reader"), batch.alias("batch")))
+    rejected.write.mode("append").partitionBy("batch", "reader", "reason").parquet(f"{path}_rejected")
+    bad = spark.read.schema(REJECTED).parquet(f"{path}_rejected").where(F.col("batch") == batch)
+    n = F.count(F.lit(1)).alias("rows")
+    accepted = written.where(F.col("batch") == batch).groupBy("reader", "source").agg(n)
+    none = F.lit(None).cast("string")
+    return accepted.select("reader", "source", none.alias("reason"), "rows").unionByName(
+        bad.groupBy("reader", "reason").agg(n).select("reader", none.alias("source"), "reason", "rows")
+    )
 
 
 def read_event_table(spark, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -95,3 +96,11 @@ def test_random_against_python_oracle(spark):
         assert sorted((r["id"], r["run_length"], r["at_end"]) for r in byk) == sorted(O.per_key(O.chains, evs))
         rep = A.repetition(df, ["agent_id"], first_only=True).collect()
         assert sorted(r["id"] for r in rep) == sorted(O.per_key(O.repetitions, evs, first_only=True))
+
+
+def test_blocked_runs_need_no_join_of_the_log(spark):
+    ev = make_events(spark, [dict(timestamp=ts(i), blocked=i % 5 != 0, event_type="a", agent_id=str(i % 2)) for i in range(40)])
+    for by in ([], ["agent_id"]):
+        plan = A.blocked_chain(ev, by)._jdf.queryExecution().executedPlan().toString()
+        joins = set(re.findall(r"(\w+Join)\b", plan.split("InMemoryRelation")[0]))
+        assert joins <= {"BroadcastHashJoin"}, joins
