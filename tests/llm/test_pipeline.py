@@ -82,3 +82,36 @@ def test_mixing_and_packing(stages):
 def test_run(spark, stages):
     out, folder = stages
     assert P.run(spark, folder).agg(F.sum("length")).first()[0] == out[5].agg(F.sum("length")).first()[0]
+
+
+NOTHING = [(1, None, None, None, None), (2, None, "en", "s", None), (2, None, "en", "s", None), (3, "", "en", None, 0), (None, " \n", None, "s", None)]
+
+
+@pytest.mark.parametrize("rows", [[], NOTHING, [(i, t, None, "s", None) for i, t, *_ in cases.corpus(2, 12)[:12]]], ids=["no rows", "no texts", "no languages"])
+def test_tables_of_which_nothing_is_left(spark, tmp_path, rows):
+    """Without rows, letters or labelled languages the first stage keeps nothing, and the
+    stages after it return their columns without a row."""
+    docs = cases.frame(spark, rows, True)
+    out = P.run(spark, cases.saved(docs, tmp_path))
+    assert {"doc_id", "start", "length", "ids", "sequence_id", "offset"} <= set(out.columns)
+    assert out.collect() == []
+    scratch = Scratch(spark)
+    for name, stage in P.STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, ""), name)
+        assert docs.columns == cases.frame(spark, rows, True).columns and docs.count() == 0
+
+
+def test_one_source_and_one_language(spark, tmp_path):
+    """All documents stay where one language was learned; one source's target is all of the
+    mix, 150 % of its words."""
+    rows = [(i, t, "en", "s", None) for i, t, lang, *_ in cases.corpus(3, 60)[:60] if lang == "en"]
+    docs = cases.frame(spark, rows)
+    scratch = Scratch(spark)
+    for name, stage in P.STAGES[:-1]:
+        before, docs = docs, scratch.write(stage(spark, docs, ""), name)
+        if name == "language":
+            assert sorted(r[0] for r in rows_of(docs)) == sorted(r[0] for r in rows)
+    n = lambda df: sum(len(cases.words(r[1])) for r in rows_of(df))
+    assert abs(n(docs) - 1.5 * n(before)) <= 1
+    packed = P.STAGES[-1][1](spark, docs, "")
+    assert {r[0] for r in packed.select("doc_id").collect()} == {r[0] for r in rows_of(docs)}
