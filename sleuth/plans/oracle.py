@@ -498,6 +498,33 @@ SELECT 'guard' AS reader, 'mcpguard' AS source, NULL AS reason, count(*) AS rows
 UNION ALL SELECT 'gate', 'agentgate', NULL, count(*) FROM ae WHERE source = 'agentgate'
 UNION ALL SELECT 'generic', 'generic', NULL, 4 * count(*) FROM ae
 UNION ALL SELECT 'gate', NULL, reason, count(*) FROM rej GROUP BY reason"""
+    q["build_timeline_first_500"] = q["build_timeline"] + " ORDER BY timestamp, id LIMIT 500"
+    q["compliance_payload_file"] = _checks_sql(True) + """,
+s AS (SELECT agent_id, count(*) FILTER (WHERE status = 'pass') AS passed, count(*) AS total_checks FROM checks GROUP BY agent_id)
+SELECT c.agent_id, 'forensics' AS source, 'nist_ai_rmf' AS framework,
+       CASE WHEN passed = total_checks THEN 'pass' WHEN passed / total_checks >= 0.7 THEN 'partial' ELSE 'fail' END AS verdict,
+       passed, total_checks, id, title, category, status, details FROM checks c JOIN s ON s.agent_id = c.agent_id"""
+    q["policy_file"] = "SELECT text, count(*) AS n FROM (" + q["policy_text"] + ") GROUP BY text"
+    q["report_file_evidence"] = f"""SELECT text, count(*) AS n FROM (
+  SELECT '| conv-' || conv_id || '-' || turn || ' | ' || left(sha256(text), 16) || '… | ' || role || ' | 2024-01-01T00:00:00 |' AS text FROM conversations
+  UNION ALL SELECT unnest(['', '## Evidence Chain of Custody', '', '**' || count(*) || ' evidence entries**', '', '| ID | Hash | Collector | Timestamp |', '|---|---|---|---|'])
+  FROM conversations) GROUP BY text"""
+    q["report_lines_anomalies"] = W + "," + _chains_body(False) + f""",
+a AS (SELECT id, 0 AS phase, CASE WHEN risk_score >= 9 THEN 'critical' ELSE 'high' END AS sev, risk_score AS score,
+             printf('Risk score %.1f exceeds threshold', risk_score) AS body FROM ae WHERE risk_score >= 8
+      UNION ALL SELECT id, 1, 'medium', least(10.0, 3.0 / (epoch - e0) * 2), printf('Burst of 3 events in %.1fs', epoch - e0)
+      FROM (SELECT id, epoch, lag(epoch, 2) OVER (ORDER BY timestamp, id) AS e0 FROM ae) WHERE epoch - e0 > 0 AND 3.0 / (epoch - e0) > 0.5
+      UNION ALL SELECT id, 2, 'medium', 7.0, 'Same event repeated 5 times: ' || chr(39) || event_type || chr(39) FROM {first_rep}
+      UNION ALL SELECT id, 3, 'high', score, 'Agent had ' || run_length || ' consecutive blocked actions' || CASE WHEN at_end THEN ' at end' ELSE '' END FROM chains),
+n AS (SELECT count(*) AS n FROM a)
+SELECT row_number() OVER (ORDER BY phase, timestamp, id) AS line_no, printf('- **[severity: %s] (score: %.1f)** %s', sev, score, body) AS text
+FROM a JOIN ae USING (id)
+UNION ALL SELECT i - 9, t FROM (SELECT unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM (
+  SELECT ['', '## Anomalies Detected', ''] || CASE WHEN n > 0 THEN ['**' || n || ' anomaly(ies) found**', ''] ELSE ['No anomalies detected.', ''] END AS ls FROM n))"""
+    q["stream_ingest"] = W + """SELECT 'mcpguard' AS source, event_type, severity, title, description, target, blocked, risk_score, timestamp, agent_id, incident_id FROM ae"""
+    q["quarantine_long_lines"] = r"""SELECT doc_id, lineno, 'too_long' AS reason, sha256(raw) AS line_sha256 FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS lineno FROM documents)
+WHERE length(regexp_replace(raw, '^\s+|\s+$', '', 'g')) > 120"""
     q["ingest_counts"] = W + "SELECT 'mcpguard' AS source, count(*) AS events FROM ae"
     # streaming (same answers as the batch rules when events arrive in order)
     q["stream_high_risk"] = W + "SELECT id, 'high_risk' AS type, risk_score AS score FROM ae WHERE risk_score >= 8.0"

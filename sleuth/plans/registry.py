@@ -85,6 +85,10 @@ def q_build_timeline(s, d):
     return TL.build_timeline(_ae(s, d)).select("seq", "id", "timestamp")
 
 
+def q_build_timeline_first_500(s, d):
+    return TL.build_timeline(_ae(s, d), limit=500).select("seq", "id", "timestamp")
+
+
 def q_distinct_sources(s, d):
     return TL.sources(_ae(s, d))
 
@@ -334,6 +338,49 @@ def q_compliance_payload(s, d):
     return SK.compliance_payload(rep).select("source", F.to_json("raw").alias("raw"))
 
 
+def _out(s, name: str) -> str:
+    from sleuth.streaming.alerts import stream_output_dir
+
+    return f"{stream_output_dir(s)}/{name}"
+
+
+def q_compliance_payload_file(s, d):
+    """Every agent's payload written as JSON lines, read back as rows of checks."""
+    path = _out(s, "payload")
+    SK.export_compliance_payload(C.compliance_report(_ae(s, d), AGENT), path, AGENT)
+    check = "struct<id: string, title: string, category: string, status: string, details: string>"
+    back = s.read.schema(f"agent_id string, source string, raw struct<framework: string, status: string, passed: long, total_checks: long, checks: array<{check}>>").json(path)
+    return back.select("agent_id", "source", "raw.framework", F.col("raw.status").alias("verdict"), "raw.passed", "raw.total_checks", F.explode("raw.checks").alias("c")).select(
+        "agent_id", "source", "framework", "verdict", "passed", "total_checks", "c.id", "c.title", "c.category", "c.status", "c.details")
+
+
+def q_policy_file(s, d):
+    path = _out(s, "policy")
+    SK.write_policy(C.policy_lines(_ae(s, d)), path)
+    return s.read.text(path).groupBy(F.col("value").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_report_file_evidence(s, d):
+    """The report's evidence section written as text, and its lines read back."""
+    path = _out(s, "report")
+    SK.write_report(P.report_lines_evidence(_conversation_chain(s, d)), path)
+    return s.read.text(path).groupBy(F.col("value").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_report_lines_anomalies(s, d):
+    return P.report_lines_anomalies(A.detect_anomalies(_ae(s, d))).select("line_no", "text")
+
+
+def q_stream_ingest(s, d):
+    """Guard log files of all events, ingested as a stream into the event table."""
+    from sleuth.streaming.ingest import stream_ingest
+
+    logs, table = _out(s, "logs"), _out(s, "table")
+    _lines_for(_ae(s, d)).select("value").repartition(8).write.text(logs)
+    stream_ingest(s, logs, table, _out(s, "checkpoint"), as_of=AS_OF).awaitTermination()
+    return s.read.parquet(table).select("source", "event_type", "severity", "title", "description", "target", "blocked", "risk_score", "timestamp", "agent_id", "incident_id")
+
+
 # --------------------------------------------------------------------------- evidence
 def _conversation_chain(s, d):
     conv = read_table(s, d, "conversations")
@@ -569,6 +616,12 @@ def q_quarantine(s, d):
     return rejected.select(F.col("file").cast("long").alias("doc_id"), "lineno", "reason")
 
 
+def q_quarantine_long_lines(s, d):
+    lines = RD.lines_from_text(read_table(s, d, "documents"), "doc_id", "text")
+    _, rejected = RD.parse_generic_lines(lines, "plain", AS_OF, line_cap=120)
+    return rejected.select(F.col("file").cast("long").alias("doc_id"), "lineno", "reason", F.sha2("value", 256).alias("line_sha256"))
+
+
 def q_ingest_counts(s, d):
     guard, _ = RD.parse_guard_lines(_guard_lines(s, d), as_of=AS_OF)
     return RD.ingest_counts(guard)
