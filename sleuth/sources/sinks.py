@@ -61,8 +61,8 @@ def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], f
     ev = assign_ids(ev, order, base)
     out = ev.select(*EVENT_COLUMNS, *folders, day)
     (
-        out.repartitionByRange(num_partitions(df), *LAYOUT)
-        .sortWithinPartitions(*LAYOUT)
+        out.repartitionByRange(num_partitions(df), *names, *LAYOUT)
+        .sortWithinPartitions(*names, *LAYOUT)
         .write.mode("append")
         .options(**FILTERS)
         .partitionBy(*names, "event_date", "source")
