@@ -192,16 +192,15 @@ def json_quote(c: Column | str) -> Column:
     characters are ``\\uXXXX`` (pairs above U+FFFF); NULL is ``null``."""
     v = _c(c)
 
-    def escaped(ch: Column) -> Column:
-        out = F.when(ch == "", ch)
-        for raw, short in JSON_ESCAPES.items():
-            out = out.when(ch == F.lit(raw), F.lit(short))
-        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return out.when(ch.rlike(r"\A[ -~]\z"), ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
-
-    short = v  # texts in ASCII whose other characters all have a short escape
+    def escaped(run: Column) -> Column:
+        units = F.lower(F.hex(F.encode(run, "UTF-16BE")))
+        return F.when(run.rlike(r"\A[ -~]"), run).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    short = v  # characters that have a short escape
     for ch in ("\\", *(c for c in JSON_ESCAPES if c != "\\")):
         short = F.replace(short, F.lit(ch), F.lit(JSON_ESCAPES[ch]))
     plain = v.rlike(r'\A[ !#-\[\]-~]*\z')
-    inner = F.when(plain, v).when(v.rlike(r"\A[ -~\x08-\x0A\x0C\x0D]*\z"), short).otherwise(F.array_join(F.transform(F.split(v, ""), escaped), ""))
+    # else runs of such characters and of the others in turn: work goes by runs, not by characters
+    runs = F.regexp_extract_all(short, F.lit(r"([ -~]++|[^ -~]++)"), 1)
+    inner = F.when(plain, v).when(v.rlike(r"\A[ -~\x08-\x0A\x0C\x0D]*+\z"), short).otherwise(F.array_join(F.transform(runs, escaped), ""))
     return F.when(v.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), inner, F.lit('"')))

@@ -554,7 +554,7 @@ def q_parse_csv(s, d):
 
 
 def q_csv_quoted_records(s, d):
-    """All documents written as a comma-separated file, texts quoted with their line
+    """All documents written as comma-separated files, texts quoted with their line
     breaks, and read back as records over several lines."""
     from sleuth.streaming.alerts import stream_output_dir
 
@@ -562,8 +562,10 @@ def q_csv_quoted_records(s, d):
     docs = read_table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
     body = docs.select(F.concat_ws(",", "doc_id", quoted(F.col("text")), F.coalesce("source", F.lit(""))).alias("value"))
     path = f"{stream_output_dir(s)}/csv"
-    header = s.createDataFrame([("time,text,source",)], "value string")
-    header.unionByName(body).coalesce(1).write.text(path)  # one file: a header and its records
+    # a file for each task: a header and its records
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    body = body.withColumn("value", F.concat(F.when(first, F.lit("time,text,source\n")).otherwise(""), "value"))
+    body.write.option("maxRecordsPerFile", 0).text(path)
     events, _ = RD.parse_csv_lines(RD.read_lines(s, path), as_of=AS_OF)
     raw = F.from_json("raw_json", "text string, source string")
     return events.select(F.col("timestamp").cast("long").alias("doc_id"), F.sha2(raw["text"], 256).alias("text_sha256"),
