@@ -54,6 +54,20 @@ def _first_beyond(times: np.ndarray, anchor: float, w: float) -> int:
     return i
 
 
+def _firsts_beyond(times: np.ndarray, anchors: np.ndarray, w: float) -> np.ndarray:
+    """``_first_beyond`` of each anchor, all at once."""
+    n = len(times)
+    at = np.searchsorted(times, anchors + w, side="right")
+    if n == 0:
+        return at
+    # anchor + w may be rounded: move to the exact cut
+    while (move := (at < n) & ~(times[np.minimum(at, n - 1)] - anchors > w)).any():
+        at[move] += 1
+    while (move := (at > 0) & (times[np.maximum(at - 1, 0)] - anchors > w)).any():
+        at[move] -= 1
+    return at
+
+
 def _piece_steps(w: float):
     """Steps of each piece's map (rows of a piece come in order)."""
 
@@ -63,14 +77,7 @@ def _piece_steps(w: float):
         ends = np.append(starts[1:], n)
         follow = np.empty(n, np.int64)
         for a, b in zip(starts.tolist(), ends.tolist()):
-            own = e[a:b]
-            at = np.searchsorted(own, own + w, side="right")
-            # own + w may be rounded: move to the exact cut
-            while (move := (at < b - a) & ~(own[np.minimum(at, b - a - 1)] - own > w)).any():
-                at[move] += 1
-            while (move := (at > 0) & (own[at - 1] - own > w)).any():
-                at[move] -= 1
-            follow[a:b] = a + at
+            follow[a:b] = a + _firsts_beyond(e[a:b], e[a:b], w)
         end = np.where(follow < n, follow, np.arange(n))  # a chain ends at the last row that stays in the piece
         while True:
             after = end[end]
@@ -131,8 +138,12 @@ def _composed(w: float):
             if total is None:
                 total = own
                 continue
-            out = [_apply(own, tuple(r), w) for r in total[_ANCHOR].itertuples(index=False)]
-            after = total.assign(**{c: [o[k] for o in out] for k, c in enumerate(_ANCHOR)})
+            # all steps at once (see ``_apply``): the place in this map, or past its end to stay
+            place = _firsts_beyond(own["upto"].to_numpy(), total["out_epoch"].to_numpy(), w)
+            place[(total["out_key"] != own["key"].iat[0]).to_numpy()] = 0
+            stays = place == len(own)
+            out = own[_ANCHOR].take(np.minimum(place, len(own) - 1)).reset_index(drop=True)
+            after = total.assign(**{c: total[c].where(stays, out[c]) for c in _ANCHOR})
             if not np.isinf(total["upto"].iat[-1]):  # an anchor that covers all pieces so far meets this one
                 if own["key"].iat[0] == total["key"].iat[0]:
                     after = pd.concat([after, own], ignore_index=True)

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pandas as pd
+
+from sleuth.operators import correlate as G
 from sleuth.operators.correlate import assign_groups, correlate
 from tests.conftest import make_events, ts
 from tests import pyoracle as O
@@ -78,3 +82,25 @@ def test_pieces_of_every_kind(spark, monkeypatch):
         for w in (0, 7, 60):
             got = sorted((r["group_id"], r["event_count"]) for r in correlate(df, w, ["agent_id"]).collect())
             assert got == sorted(O.per_key(O.groups, evs, window=w))
+
+
+def test_pieces_with_many_steps_are_composed_at_once(monkeypatch):
+    """Composed maps equal the pieces' own maps one after the other, without a call a step."""
+    rng = np.random.default_rng(5)
+    apply = G._apply
+    for w in (3.0, 50.0, 0.1):
+        epoch = np.sort(np.round(rng.uniform(0, 300, 1200), 1))
+        rows = pd.DataFrame({"_pid": np.arange(1200) // 200, "_key": ["a"] * 900 + ["b"] * 300, "epoch": epoch, G.SEQ: np.arange(1, 1201), "id": np.arange(1200) + 7})
+        rows.loc[900:, "epoch"] -= rows["epoch"].iloc[900]
+        pieces = [next(G._piece_steps(w)(iter([own.reset_index(drop=True)]))) for _, own in rows.groupby("_pid")]
+        block = pd.concat(pieces, ignore_index=True).assign(block=0)
+        anchors = [None, ("b", 1.0, 0, 0), *[("a", float(t), 0, 0) for t in np.round(rng.uniform(-60, 60, 50), 1)]]
+        want = []
+        for anchor in anchors:
+            for own in pieces:
+                anchor = apply(own, anchor, w)
+            want.append(anchor)
+        monkeypatch.setattr(G, "_apply", None)
+        whole = G._composed(w)(block)
+        monkeypatch.undo()
+        assert [apply(whole, anchor, w) for anchor in anchors] == want
