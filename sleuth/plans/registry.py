@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sleuth.functions.columns import normalize_timestamp, safe_json, sha256_hex, strip_ws
 from sleuth.operators import anomalies as A
@@ -746,8 +747,12 @@ def _out_of_order(s, d):
     k = F.floor((F.col("epoch") - lo) / ((hi - lo) / (SLICES - 5) + 1)).cast("int")
     shift = F.when(F.col("id") % 101 == 0, 5).when(F.col("id") % 7 == 0, 1).when(F.col("id") % 7 == 1, -1).otherwise(0)
     dealt = ev.withColumn("_file", F.greatest(F.lit(0), k + shift))
+    # dealt by all tasks in one pass; then each slice is written as one file, in order
+    dealt.write.partitionBy("_file").parquet(f"{path}_dealt")
+    schema = T.StructType([*ev.schema.fields, T.StructField("_file", T.IntegerType())])
+    slices = s.read.schema(schema).parquet(f"{path}_dealt")
     for i in range(SLICES):
-        dealt.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+        slices.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
     end = ev.limit(1).select(F.lit("").alias("agent_id"), F.lit(-1).cast("long").alias("id"), F.lit("9999").alias("timestamp"), F.lit(4e9).alias("epoch"),
                              F.lit(False).alias("blocked"), F.timestamp_seconds(F.lit(4e9)).alias("event_ts"))
     end.coalesce(1).write.mode("append").parquet(path)

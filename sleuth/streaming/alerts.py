@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,17 +121,32 @@ def sequence_alerts(events: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 ORDERED_SCHEMA = T.StructType([*ALERT_SCHEMA.fields, T.StructField("timestamp", T.StringType()), T.StructField("batch_watermark", T.LongType())])
-HELD_SCHEMA = "ms long, timestamp string, id long, epoch double, blocked boolean"
+HELD_COLUMNS = ["ms", "timestamp", "id", "epoch", "blocked"]
+HELD_SCHEMA = "least long, rows binary"  # rows that came together, in one piece
+_HELD = pa.schema([("ms", pa.int64()), ("timestamp", pa.string()), ("id", pa.int64()), ("epoch", pa.float64()), ("blocked", pa.bool_())])
 TAIL_SCHEMA = "e1 double, e2 double, n long, last_ts string, last_id long, streak long, last_ms long, reported long"
 OPEN_RUN = "blocked_chain_open"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _piece(rows: pd.DataFrame) -> tuple[int, bytes]:
+    """Held rows as one entry of the state: the least time and the rows in Arrow's format.
+    The state is asked once for many rows."""
+    batch = pa.RecordBatch.from_pandas(rows[HELD_COLUMNS], schema=_HELD, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_batch(batch)
+    return int(rows["ms"].min()), sink.getvalue().to_pybytes()
+
+
+def _rows_of(pieces: list[bytes]) -> pd.DataFrame:
+    return pa.concat_tables([pa.ipc.open_stream(bytes(p)).read_all() for p in pieces]).to_pandas()
+
+
 def _ordered_rules(threshold: float, timeout_ms: int):
     """The processor of one agent (built here so that it is shipped by value)."""
     from pyspark.sql.streaming import StatefulProcessor
 
-    held_columns = [c.split()[0] for c in HELD_SCHEMA.split(", ")]
     out_columns = [f.name for f in ORDERED_SCHEMA.fields]
 
     class OrderedRules(StatefulProcessor):
@@ -138,6 +154,7 @@ def _ordered_rules(threshold: float, timeout_ms: int):
             self.handle = handle
             self.held = handle.getListState("held", HELD_SCHEMA)
             self.tail = handle.getValueState("tail", TAIL_SCHEMA)
+            self.done = set()  # agents whose rows up to this batch's watermark are released
 
         def handleInputRows(self, key, rows, timerValues):
             watermark = timerValues.getCurrentWatermarkInMs()
@@ -145,10 +162,11 @@ def _ordered_rules(threshold: float, timeout_ms: int):
             for pdf in rows:
                 behind = pdf["ms"] <= watermark
                 late += [(key[0], "late", int(i), None, None, t, watermark) for i, t in zip(pdf.loc[behind, "id"], pdf.loc[behind, "timestamp"])]
-                fresh = pdf.loc[~behind, held_columns]
+                fresh = pdf.loc[~behind, HELD_COLUMNS]
                 if len(fresh):
-                    self.held.appendList([(int(m), t, int(i), float(e), bool(b)) for m, t, i, e, b in fresh.itertuples(index=False)])
-                    first = int(fresh["ms"].min())
+                    piece = _piece(fresh)
+                    self.held.appendValue(piece)
+                    first = piece[0]
                     least = first if least is None else min(least, first)
             if least is not None:
                 self.handle.registerTimer(least)
@@ -156,17 +174,24 @@ def _ordered_rules(threshold: float, timeout_ms: int):
                 yield pd.DataFrame(late, columns=out_columns)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if key in self.done:  # another timer of this agent, at the same watermark
+                return
+            self.done.add(key)
             watermark = timerValues.getCurrentWatermarkInMs()
             tail = self.tail.get() if self.tail.exists() else (0.0, 0.0, 0, None, None, 0, 0, 0)
             *tail, last_ms, reported = tail
             found = []
-            pdf = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=held_columns)
-            ready = pdf["ms"] <= watermark
-            if ready.any():
-                rest = pdf[~ready]
-                if len(rest):
-                    self.held.put([tuple(r) for r in rest.itertuples(index=False)])
-                    self.handle.registerTimer(int(rest["ms"].min()))
+            pieces = [tuple(p) for p in self.held.get()] if self.held.exists() else []
+            due = [rows for least, rows in pieces if least <= watermark]
+            if due:
+                pdf = _rows_of(due)
+                ready = pdf["ms"] <= watermark
+                rest = [p for p in pieces if p[0] > watermark]
+                if not ready.all():
+                    rest.append(_piece(pdf[~ready]))
+                if rest:
+                    self.held.put(rest)
+                    self.handle.registerTimer(min(least for least, _ in rest))
                 else:
                     self.held.clear()
                 now = pdf[ready].sort_values(["timestamp", "id"], kind="stable", ignore_index=True)

@@ -145,3 +145,57 @@ def test_rows_behind_the_watermark_stand_in_their_own_table(spark):
     files = [[_row("a", 1, 0, True)], [_row("a", 2, 500, True)], [_row("a", 3, 100, True), _row("a", 4, 600, False)], [_row("a", 5, 9e6, False)]]
     alerts, late = _ordered(spark, files, "60 seconds", 1e7)
     assert [(r.id, r.timestamp) for r in late] == [(3, ts(100))] and not [r for r in alerts if r.type == "blocked_chain"]
+
+
+def test_held_rows_of_a_batch_are_one_entry_of_the_state():
+    """Many rows that come together go to the state at once and come out whole, and an
+    agent's second timer at one watermark reads nothing."""
+    import pandas as pd
+
+    from sleuth.streaming.alerts import _ordered_rules
+
+    class State(list):
+        reads = 0
+
+        def appendValue(self, value):
+            self.append(value)
+
+        def put(self, values):
+            self[:] = values
+
+        update = lambda self, value: self.put([value])
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            self.reads += 1
+            return iter(list(self))
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getListState = lambda self, name, schema: State()
+
+        def getValueState(self, name, schema):
+            state = State()
+            state.get = lambda: state[0]
+            return state
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    rules, handle = _ordered_rules(0.5, 10**9), Handle()
+    rules.init(handle)
+    rows = pd.DataFrame({"ms": [i * 1000 for i in range(500)], "timestamp": [ts(i) for i in range(500)], "id": range(500), "epoch": [1e9 + i for i in range(500)], "blocked": [i % 5 > 0 for i in range(500)]})
+    assert list(rules.handleInputRows(("a",), iter([rows.sample(frac=1, random_state=1)]), Times(-1))) == []
+    assert len(rules.held) == 1 and handle.timers == [0]
+    found = pd.concat(rules.handleExpiredTimer(("a",), Times(199_000), None))
+    assert found[found["type"] == "blocked_chain"]["id"].tolist() == list(range(5, 200, 5))
+    assert list(rules.handleExpiredTimer(("a",), Times(199_000), None)) == [] and rules.held.reads == 1
+    assert len(rules.held) == 1 and 200_000 in handle.timers
