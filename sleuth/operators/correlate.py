@@ -28,6 +28,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,22 +179,25 @@ _STEP_NAMES = ("piece", "step", "key", "upto", *_ANCHOR)
 def _label_walk(window_seconds: float, out_schema: T.StructType):
     """Streaming walk over a piece in order: labels every row with its anchor. The
     anchor (key, epoch, seq, id) is carried across Arrow batches; the Python loop
-    runs once per group or key, rows are handled with numpy."""
+    runs once per group or key, rows are handled with numpy; columns that the
+    walk does not look at pass as they are."""
     w = float(window_seconds)
     names = [f.name for f in out_schema.fields]
 
     def walk(batches):
         begun, cur, a_e, a_s, a_id = False, None, 0.0, 0, 0
-        for pdf in batches:
-            n = len(pdf)
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            key, e = pdf["_key"].to_numpy(), pdf["epoch"].to_numpy(dtype="float64")
-            sq, ids = pdf[SEQ].to_numpy(), pdf["id"].to_numpy()
+            key, e, sq, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "epoch", SEQ, "id"))
+            e = e.astype("float64", copy=False)
             if not begun:
                 begun = True
-                if pd.notna(pdf["in_key"].iat[0]):
-                    cur, a_e, a_s, a_id = (pdf[c].iat[0] for c in ("in_key", "in_epoch", "in_seq", "in_id"))
+                came = [batch.column(c)[0].as_py() for c in ("in_key", "in_epoch", "in_seq", "in_id")]
+                if came[0] is not None:
+                    cur, a_e, a_s, a_id = came
+                    a_e = np.nan if a_e is None else a_e
             g_s, g_id = np.empty(n, dtype="int64"), np.empty(n, dtype="int64")
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             for i, end in zip(starts.tolist(), [*starts[1:].tolist(), n]):
@@ -205,7 +209,7 @@ def _label_walk(window_seconds: float, out_schema: T.StructType):
                     if j < end:  # row j is the first one too far: it anchors the next group
                         a_e, a_s, a_id = e[j], sq[j], ids[j]
                     i = j
-            yield pdf.assign(group_seq=g_s, group_id=g_id)[names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-2]), pa.array(g_s), pa.array(g_id)], names)
 
     return walk
 
@@ -242,7 +246,7 @@ def assign_groups(
     fields = [f for f in drop_layout(s).drop("_key").schema.fields]
     out_schema = T.StructType([*fields, T.StructField("group_seq", T.LongType()), T.StructField("group_id", T.LongType())])
     walked = placed.select(*[f.name for f in fields], "_key", "in_key", "in_epoch", "in_seq", "in_id")
-    return walked.mapInPandas(_label_walk(w, out_schema), schema=out_schema)
+    return walked.mapInArrow(_label_walk(w, out_schema), schema=out_schema)
 
 
 def correlate(

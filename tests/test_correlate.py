@@ -104,3 +104,14 @@ def test_pieces_with_many_steps_are_composed_at_once(monkeypatch):
         whole = G._composed(w)(block)
         monkeypatch.undo()
         assert [apply(whole, anchor, w) for anchor in anchors] == want
+
+
+def test_labels_are_added_to_columns_that_stay_in_arrow(spark):
+    """The walk makes no Python object of a column that it does not look at."""
+    ev = make_events(spark, [dict(timestamp=ts(t), agent_id=None if t else "a") for t in (0, 30, 100)])
+    g = assign_groups(ev, 60)
+    assert "MapInArrow" in g._jdf.queryExecution().analyzed().toString()
+    assert {c: t for c, t in g.dtypes if c in ev.columns} == dict(ev.dtypes)
+    got = {r["id"]: r for r in g.collect()}
+    assert [got[r["id"]].asDict() | r.asDict() == got[r["id"]].asDict() for r in ev.collect()] == [True] * 3
+    assert [got[i]["group_id"] for i in (1, 2, 3)] == [1, 1, 3]
