@@ -173,14 +173,14 @@ def _tokenize(path: str):
     one last row with the part's counts by id (64 bits each)."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import encoder
+        from .tokens import CHUNK, encoder
         from .words import as_strings, text_chunks
 
         kind, at = _narrow(path), 0
         total = np.zeros(0, np.int64)
         for batch in batches:
             texts = as_strings(batch.column(1))
-            for i, j in text_chunks(texts):
+            for i, j in text_chunks(texts, CHUNK):
                 ids = encode_texts(texts.slice(i, j - i), path, narrow=True)
                 n = np.array([len(x) // kind.itemsize for x in ids], np.int64)
                 ends = at + np.cumsum(n)

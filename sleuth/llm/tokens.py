@@ -1,9 +1,10 @@
 """Token ids of whole texts by the ``tokenizers`` library.
 
 Encoding is split at places where no pre-token can cross: before a single space
-that stands between two other characters, and around a single line break. Each
-piece is encoded by the library's model once and remembered, up to a bound, so
-that frequent words cost one lookup. The result equals ``Tokenizer.encode`` on
+that stands between two other characters, around a single line break, and between a
+letter and a mark of ASCII. Each
+distinct piece of some megabytes of texts is looked up once; it is encoded by the
+library's model once and remembered, up to a bound. The result equals ``Tokenizer.encode`` on
 the whole text (tests compare them on random texts).
 """
 
@@ -15,9 +16,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from .words import _offsets, as_strings, text_chunks
+
 END_ID = 0
-SPACE_LETTER = "\u0120"  # how byte-level vocabularies show a space
 MEMO = 400_000  # pieces in a generation of a task's memo, some 80 MB
+CHUNK = 1 << 21  # bytes of texts that are cut into pieces at once
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def default_tokenizer() -> str:
@@ -33,54 +40,6 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
 
-class _Irregular(Exception):
-    """White space meets white space: the text must be encoded in one go."""
-
-
-class _Lines(dict):
-    """Ids of pieces at the start of a line."""
-
-    def __init__(self, ids):
-        self.ids = ids
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Irregular
-        if len(self) >= MEMO // 4:
-            self.clear()
-        ids = self[part] = self.ids(part)
-        return ids
-
-
-class _Pieces(dict):
-    """Ids of pieces that follow a space, with those of an older generation."""
-
-    def __init__(self, ids, pretoken, marks: dict[str, bytes], tokenize, packed: list[bytes]):
-        self.ids, self.pretoken, self.marks, self.older = ids, pretoken, marks, {}
-        self.tokenize, self.packed = tokenize, packed
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            if part.isalpha():  # one pre-token
-                if part.isascii():
-                    found = self.tokenize(SPACE_LETTER + part)
-                    ids = self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
-                else:
-                    ids = self.pretoken(" " + part)
-            elif part[-1:] in self.marks and part[:-1].isalpha():
-                ids = self[part[:-1]] + self.marks[part[-1]]
-            elif not part or part[0].isspace() or part[-1].isspace():
-                raise _Irregular
-            else:
-                ids = self.ids(" " + part)
-        if len(self) >= MEMO:
-            self.older = dict(self)
-            self.clear()
-        self[part] = ids
-        return ids
-
-
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned integers: of 16 bits
     if the vocabulary allows and ``narrow`` is set, else of 32."""
@@ -98,18 +57,21 @@ class Encoder:
         self.end = END_ID.to_bytes(self.kind.itemsize, "little")
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.pieces = _Pieces(self._ids, self._pretoken, {c: self._ids(c) for c in ".,"}, self.tokenize, self.packed)
-        self.starts = _Lines(self._ids)
+        shown = [self.letters[b].encode() for b in range(256)]
+        self.shown = np.array([[x[0], x[-1]] for x in shown], np.uint8)  # bytes of each letter: one or two
+        self.two = np.array([len(x) == 2 for x in shown])
         self.line_break = self._ids("\n")
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # a generation of pieces before
 
     def clear(self) -> None:
         """Forget all pieces: a task's memo goes with the task."""
-        self.pieces.clear()
-        self.pieces.older = {}
-        self.starts.clear()
+        self.pieces, self.older = {}, {}
 
     def _pretoken(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
+        return self._packed(part.encode().decode("latin-1").translate(self.letters))
+
+    def _packed(self, mapped: str) -> bytes:
         found = self.tokenize(mapped)
         packed = self.packed
         return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
@@ -118,18 +80,90 @@ class Encoder:
         return b"".join(map(self._pretoken, self.pretokens(text)))
 
     def encode(self, text: str) -> bytes:
-        out: list[bytes] = []
-        piece, start = self.pieces.__getitem__, self.starts.__getitem__
-        try:
-            for line in text.split("\n"):
-                parts = iter(line.split(" "))
-                out.append(start(next(parts)))
-                out += map(piece, parts)
-                out.append(self.line_break)
-        except _Irregular:
-            return self._ids(text)
-        out.pop()
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (``large_string`` without nulls). Arrow tells the distinct
+        pieces; each is looked up once."""
+        offsets = _offsets(texts)
+        if not len(texts) or offsets[0] == offsets[-1]:
+            return [b""] * len(texts)
+        data = texts.buffers()[2].slice(offsets[0], offsets[-1] - offsets[0])
+        raw, bounds = np.frombuffer(data, np.uint8), offsets - offsets[0]
+        start, whole = _cuts(raw, bounds)
+        parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw))), data).dictionary_encode()
+        found, at = self._found(parts.dictionary), parts.indices.to_numpy()
+        odd = np.array([x is None for x in found])
+        if odd.any():
+            whole[np.searchsorted(bounds, start[odd[at]], side="right") - 1] = True
+            found = [x or b"" for x in found]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        n, first = size[at], (np.cumsum(size) - size)[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.append(0, ends)[np.searchsorted(start, bounds)].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for d in np.flatnonzero(whole).tolist():
+            out[d] = self._ids(texts[d].as_py())
+        return out
+
+    def _found(self, parts: pa.Array) -> list[bytes | None]:
+        """Ids of distinct pieces; None where white space meets white space."""
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        found = [*map(self.pieces.get, names)]
+        new = [k for k, x in enumerate(found) if x is None]
+        mapped = self._mapped(parts.take(pa.array(new, pa.int64())))
+        for k, shown in zip(new, mapped, strict=True):
+            name = names[k]
+            ids = self.older.get(name)
+            if ids is None:
+                if name.isalpha() or (name[0] == " " and name[1:].isalpha()):  # one pre-token
+                    ids = self._packed(shown)
+                elif name == "\n":
+                    ids = self.line_break
+                else:
+                    part = name[1:] if name[0] == " " else name
+                    if not part or part[0].isspace() or part[-1].isspace():
+                        continue
+                    ids = self._ids(name)
+            if len(self.pieces) >= MEMO:
+                self.older, self.pieces = self.pieces, {}
+            found[k] = self.pieces[name] = ids
+        return found
+
+    def _mapped(self, parts: pa.Array) -> list[str]:
+        """Pieces as byte-level vocabularies show them."""
+        if not len(parts):
+            return []
+        offsets = _offsets(parts)
+        raw = np.frombuffer(parts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        n = 1 + self.two[raw]
+        ends = np.append(0, np.cumsum(n))
+        out = np.empty(ends[-1], np.uint8)
+        out[ends[:-1]] = self.shown[raw, 0]
+        out[ends[1:] - 1] = self.shown[raw, 1]
+        return pa.LargeStringArray.from_buffers(len(parts), pa.py_buffer(ends[offsets - offsets[0]]), pa.py_buffer(out)).to_numpy(zero_copy_only=False).tolist()
+
+
+def _cuts(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin in the bytes of consecutive texts (``bounds``), and which
+    texts hold white space beside a space or line break, or begin or end with one."""
+    first = np.zeros(len(raw) + 1, bool)
+    first[bounds] = True  # a text begins or ends here
+    line, apart = raw == 0x0A, first.copy()
+    gap = line | (raw == 0x20)
+    bad = gap & first[1:]
+    bad[1:] |= gap[:-1] & gap[1:]
+    bad |= gap & first[:-1]
+    whole = np.zeros(len(bounds) - 1, bool)
+    if bad.any():
+        whole[np.searchsorted(bounds, np.flatnonzero(bad), side="right") - 1] = True
+    apart[:-1] |= gap
+    apart[1:] |= line
+    letter = _IS_LETTER[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # U+00C0 to U+00FF but two signs
+    apart[1:-1] |= letter[:-1] & _IS_MARK[raw[1:]]
+    return np.flatnonzero(apart[:-1]), whole
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,5 +173,5 @@ def encoder(path: str, narrow: bool = False) -> Encoder:
 
 def encode_texts(texts: pa.Array, path: str, narrow: bool = False) -> list[bytes]:
     """Ids of each text with the end id last (null: the end id alone)."""
-    own = encoder(path, narrow)
-    return [own.encode(x) + own.end if x else own.end for x in texts.to_pylist()]
+    own, texts = encoder(path, narrow), as_strings(texts)
+    return [x + own.end for i, j in text_chunks(texts, CHUNK) for x in own.encode_all(texts.slice(i, j - i))]

@@ -42,6 +42,24 @@ def test_memo_generations(plain, monkeypatch):
         assert np.array_equal(np.frombuffer(encoder.encode(text), "<u4"), plain(text)[:-1])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, " word", " word.", ", ", "Word,\n", "1.", "ö.", "×,", "÷!", "Ā.", "o\u0301.", "'ll", "a'"]), max_size=8).map("".join) | st.none(), max_size=6), st.integers(0, 2))
+def test_ids_of_neighbouring_texts_equal_the_library(plain, texts, skipped):
+    array = pa.array([*[" before."] * skipped, *texts], pa.string()).slice(skipped)
+    got = tokens.encode_texts(array, tokens.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain(x).tolist() for x in texts]
+
+
+def test_a_piece_is_looked_up_once_however_often_it_stands(plain, monkeypatch):
+    encoder, seen = tokens.Encoder(tokens.default_tokenizer()), []
+    look_up = tokens.Encoder._found
+    monkeypatch.setattr(tokens.Encoder, "_found", lambda own, parts: seen.append(len(parts)) or look_up(own, parts))
+    texts = ["some words, some other words.\nwords and words."] * 500
+    got = encoder.encode_all(pa.array(texts, pa.large_string()))
+    assert all(np.array_equal(np.frombuffer(x, "<u4"), plain(texts[0])[:-1]) for x in got)
+    assert sum(seen) == 9  # some, " words", ",", " some", " other", ".", a line break, words, " and"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 10_000), min_size=1, max_size=200), st.integers(8, 18))
 def test_code_is_complete_and_limited(counts, limit):
