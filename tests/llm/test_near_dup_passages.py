@@ -5,6 +5,7 @@ import random
 import cases
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,98 @@ def test_compact_windows_cover_every_subsequence_once():
                 assert sum(w[0] <= i <= w[1] <= j <= w[2] for w in windows) == 1
 
 
+def plain_windows(h, width):
+    out, stack = [], [(0, len(h) - 1)] if len(h) >= width else []
+    while stack:
+        l, r = stack.pop()
+        c = l + int(h[l : r + 1].argmin())
+        if h[c] == 0xFFFFFFFF:
+            continue
+        out.append((l, c, r))
+        stack += [(a, b) for a, b in ((l, c - 1), (c + 1, r)) if b - a + 1 >= width]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["ties", "random", "up", "down"])
+def test_windows_of_several_texts_equal_those_of_each(kind):
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        offsets = np.append(0, np.cumsum(rng.integers(0, 60, size=rng.integers(1, 6))))
+        n, width = int(offsets[-1]), int(rng.integers(1, 12))
+        h = {"ties": rng.integers(0, 6, n), "random": rng.integers(0, 2**32, n), "up": np.arange(n), "down": np.arange(n)[::-1]}[kind].astype(np.uint32)
+        h[rng.random(n) < 0.2] = 0xFFFFFFFF
+        want = {(l + a, c + a, r + a) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for l, c, r in plain_windows(h[a:b], width)}
+        got = passages.compact_windows(h, width, offsets).tolist()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("held", [1, 300, 1 << 20])
+def test_rows_whose_key_several_classes_have_are_found_in_blocks(monkeypatch, held):
+    """Whatever part of the rows is held at once; a frequent key's rows are not held."""
+    monkeypatch.setattr(passages, "HELD", held)
+    rng, parts = np.random.default_rng(2), 3
+    keys, uids = rng.integers(-(2**62), 2**62, 40)[rng.integers(0, 40, 400) % rng.integers(1, 41, 400)], rng.integers(0, 30, 400)
+    order = np.argsort(uids, kind="stable")
+    c = rng.integers(10, 90, 400)
+    rows = np.stack([keys, uids, c, c - rng.integers(0, 9, 400), c + rng.integers(0, 9, 400)])[:, order]
+    texts = [rows[:, rows[1] == u] for u in range(30)]
+    names = ["key", "uid", "c", "l", "r", "lead", "hull_c", "hull_d", "hull_l", "hull_r"]
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.bool_()] + [pa.int32()] * 4
+    dealt = list(passages._dealt(iter(texts), parts))
+    words = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([7]), pa.array([120])], dealt[0].schema.names)
+    got = []
+    for part in range(parts):
+        own = [b.filter(pa.compute.equal(b.column(0), part)).drop_columns(["part"]) for b in [*dealt, words]]
+        got += [r for b in passages._several(names, kinds, 5, passages._hulls)(iter(own)) for r in b.to_pylist()]
+    assert [(r["uid"], r["c"]) for r in got if r["key"] is None] == [(7, 120)]
+    got = [r for r in got if r["key"] is not None]
+    classes = {}
+    for k, u, *_ in rows.T.tolist():
+        classes.setdefault(k, set()).add(u)
+    want = [tuple(x) for x in rows.T.tolist() if len(classes[x[0]]) > 1]
+    assert sorted(tuple(r[x] for x in names[:5]) for r in got) == sorted(want)
+    assert len({(r["key"], r["uid"]) for r in got}) == sum(r["lead"] for r in got)
+    for r in got:
+        same = [x for x in want if x[:2] == (r["key"], r["uid"])]
+        hull = min(x[2] for x in same), max(x[2] for x in same), max(x[2] - x[3] for x in same), max(x[4] - x[2] for x in same)
+        assert hull == tuple(r[x] for x in names[6:])
+
+
+def test_asked_intervals_and_contexts_equal_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(passages, "SLICED", 50)
+    rng = random.Random(6)
+    texts = [cases.prose(rng, "en", n) for n in (80, 3, 120, 60)]
+    each = [next(passages.shingle_rows(pa.array([t])))[2] for t in texts]
+    asks = [[{"pid": 10 * d + k, "side": k % 2, "begin": rng.randrange(-5, 60), "end": rng.randrange(60, 140)} for k in range(3)] for d in range(4)]
+    kind = pa.list_(pa.struct([("pid", pa.int64()), ("side", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["", *texts]), pa.array([[], *asks], kind)], ["text", "asks"]).slice(1)
+    got = [r for b in passages._slices(iter([batch])) for r in b.to_pylist()]
+    want = [{**{x: a[x] for x in ("pid", "side")}, "begin": max(a["begin"], 0), "shingles": each[d][max(a["begin"], 0) : a["end"] + 1].astype("<u4").tobytes()} for d in range(4) for a in asks[d]]
+    assert got == want
+    places = [[{"uid": d, "pid": k, "c": k, "l": 0, "r": 0, "open": True, "first_uid": 0} for k in range(len(each[d]))] for d in range(4)]
+    kind = pa.list_(pa.struct([(x, pa.bool_() if x == "open" else pa.int64() if x in ("uid", "pid", "first_uid") else pa.int32()) for x in passages._MEMBER]))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(places, kind)], ["text", "asks"])
+    got = {(r["uid"], r["c"]): r["keys"] for b in passages._contexts([(2, 3), (0, 5)])(iter([batch])) for r in b.to_pylist()}
+    seen = {}
+    for (d, c), keys in got.items():
+        for k, (left, right) in enumerate([(2, 3), (0, 5)]):
+            inside = c >= left and c + right < len(each[d])
+            assert (keys[k] is not None) == inside
+            if inside:
+                assert seen.setdefault((k, keys[k]), each[d][c - left : c + right + 1].tobytes()) == each[d][c - left : c + right + 1].tobytes()
+    assert len(seen) > 300
+
+
+def test_texts_are_read_from_buckets_and_the_catalog_forgets_them(spark, scratch):
+    docs = cases.frame(spark, cases.corpus())
+    dealt = []
+    bucketed = scratch.bucketed
+    scratch.bucketed = lambda df, name, n, key: dealt.append(bucketed(df, name, n, key)) or dealt[0]
+    before = {t.name for t in spark.catalog.listTables()}
+    passages.repeats(docs, scratch)
+    assert len(dealt) == 1 and {t.name for t in spark.catalog.listTables()} == before
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact_passages_equal_brute_force(spark, scratch, seed):
     rows = [r for r in cases.corpus(seed) if r[0] not in (None, 306)]
