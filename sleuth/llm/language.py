@@ -8,8 +8,9 @@ and the language with most won duels is predicted. Families come from the table
 ``FAMILIES``; a language that it lacks is a family of its own.
 
 Training uses a sample of the labelled rows, about ``PER_LANGUAGE`` rows of each
-language and ``SAMPLE`` in all, chosen by a hash of the id; the driver holds
-their feature vectors (``DIMENSIONS`` 4-byte numbers each). Texts are used whole.
+language and ``SAMPLE`` in all, chosen by a hash of the id; one task holds
+their feature vectors (``DIMENSIONS`` 4-byte numbers each), and the driver the
+machines learned from them. Texts are used whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 as is any text if nothing could be learned; with one language learned, it is
@@ -19,6 +20,7 @@ rows; only id, text and (to learn) language are read, so others never clash.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -176,6 +178,18 @@ def learn(labels: list[str], x: np.ndarray) -> Model:
     return Model(sorted(members), members, rest, duels)
 
 
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the model of all rows ``lang, x``."""
+    labels: list[str] = []
+    parts = [np.zeros((0, DIMENSIONS), np.float32)]
+    for batch in batches:
+        labels += batch.column(0).to_pylist()
+        parts += [np.frombuffer(value.as_buffer(), "<f4")[None] for value in batch.column(1)]
+    x = np.concatenate(parts)
+    parts.clear()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(labels, x))], pa.binary())], ["model"])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -250,16 +264,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     for name, n in sizes.items():
         keep = keep | ((F.col("lang") == name) & (F.pmod("h", F.lit(parts)) < int(parts * min(1.0, want / n))))
     sample = rows.where(keep).select("text", "lang").mapInArrow(_features, "lang string, x binary")
-    found = sample.toArrow()
-    labels = found["lang"].to_pylist()
-    x = np.empty((len(labels), DIMENSIONS), np.float32)
-    at = 0
-    for chunk in found["x"].chunks:  # straight from the rows' bytes, one chunk at a time
-        for value in chunk:
-            x[at] = np.frombuffer(value.as_buffer(), "<f4")
-            at += 1
-    del found
-    return learn(labels, x)
+    # some MB for each hundred rows: they meet in a task, and the driver gets the machines only
+    found = sample.repartition(1).mapInArrow(_learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learn([], np.zeros((0, DIMENSIONS), np.float32))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

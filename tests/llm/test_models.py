@@ -45,6 +45,16 @@ def test_language_ignores_labels_of_the_held_out_fold(spark):
     assert a.members == b.members and all(np.allclose(a.rest[k].weights, b.rest[k].weights) for k in a.rest)
 
 
+def test_language_is_learned_in_a_task(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("the driver holds the sample")
+
+    docs = cases.frame(spark, many(40))
+    monkeypatch.setattr(language, "learn", fail)
+    monkeypatch.setattr(type(docs), "toArrow", fail)
+    assert len(language.train(docs).families) > 1
+
+
 @pytest.mark.parametrize("langs", [[], ["en"]])
 def test_language_with_little_to_learn(spark, langs):
     rows = [(i, "the thing and that", lang, "s", None) for i, lang in enumerate(langs * 20)] or [(1, "the thing", None, "s", None)]
