@@ -299,6 +299,24 @@ def test_rows_whose_key_several_classes_have_are_found_in_blocks(monkeypatch, he
         assert hull == tuple(r[x] for x in names[6:])
 
 
+@pytest.mark.parametrize("held", [1, 300, 1 << 20])
+def test_first_rows_of_keys_are_told_where_they_meet(monkeypatch, held):
+    """So that no second pass over the rows is needed; also of a key's rows that come in
+    many blocks, and of a selection that some keys have nothing of."""
+    monkeypatch.setattr(passages, "HELD", held)
+    rng = np.random.default_rng(5)
+    rows = np.stack([rng.integers(0, 12, 300), rng.integers(0, 9, 300), rng.integers(0, 50, 300), rng.integers(0, 3, 300)])
+    rows = np.concatenate([rows, [[99], [1], [2], [3]]], axis=1)  # a key of one row
+    dealt = [b.drop_columns(["part"]) for b in passages._dealt(iter([rows[:, a : a + 40] for a in range(0, 301, 40)]), 1)]
+    found = passages._several([*"kucx", "place"], [pa.int64()] * 4 + [pa.int32()], 4, lambda x: x, [0, 1, 2], lambda x: [x, x[:, x[3] == x[0]]])
+    got = [tuple(r.values()) for b in found(iter(dealt)) for r in b.to_pylist()]
+    every = [tuple(x) for x in rows.T.tolist() if x[0] != 99]
+    assert sorted(r[:4] for r in got if r[4] == 0) == sorted(every)
+    for place, some in ((1, every), (2, [r for r in every if r[3] == r[0]])):
+        assert sorted(r[:3] for r in got if r[4] == place) == sorted(min(r[:3] for r in some if r[0] == k) for k in {r[0] for r in some})
+    assert {r[0] for r in got if r[4] == 1} > {r[0] for r in got if r[4] == 2}
+
+
 def test_asked_intervals_and_contexts_equal_those_of_each_text(monkeypatch):
     monkeypatch.setattr(passages, "SLICED", 50)
     rng = random.Random(6)
