@@ -23,10 +23,15 @@ from sleuth.llm.common import Scratch, documents
 MIN_SCORE = 0.2  # of a language; texts in a language that was learned have 0.38 or more
 
 
+def _written(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """``out`` written by a job with small batches, as whole texts pass through Python:
+    whoever writes the stage's result has batches of 10,000 rows in the JVM and the worker."""
+    return Scratch(spark).write(out, name)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
-    # written by a job with small batches: whole texts pass through Python
-    return Scratch(spark).write(language.accepted(docs, model, MIN_SCORE), "accepted")
+    return _written(spark, language.accepted(docs, model, MIN_SCORE), "accepted")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +40,15 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes, _ = passages.repeats(docs, Scratch(spark))
-    return _sized(passages.without_repeats(docs, classes))
+    return _sized(_written(spark, passages.without_repeats(docs, classes), "cut"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _sized(mixing.mixed_texts(docs, Scratch(spark)))
+    return _sized(_written(spark, mixing.mixed_texts(docs, Scratch(spark)), "mixed"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = packing.packed(docs)
+    out = _written(spark, packing.packed(docs), "packed")
     return out.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -63,11 +68,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each is written to the shared folder and read again by the next."""
-    scratch, docs = Scratch(spark), documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages; what each returns was written to the shared folder."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name == "near_dup":  # the others write their results themselves
+            docs = Scratch(spark).write(docs, name)
+    return docs
 
 
 #: Models and tokenizers are beyond SQL; tests hold the stages against plain Python.

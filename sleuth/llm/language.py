@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, held_out, let_import
+from .common import documents, held_out, lean, let_import
 
 DIMENSIONS = 4096
 GRAMS = (2, 3, 4)
@@ -263,9 +263,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     keep = F.lit(False)
     for name, n in sizes.items():
         keep = keep | ((F.col("lang") == name) & (F.pmod("h", F.lit(parts)) < int(parts * min(1.0, want / n))))
-    sample = rows.where(keep).select("text", "lang").mapInArrow(_features, "lang string, x binary")
+    sample = rows.where(keep).select("text", "lang").mapInArrow(lean(_features), "lang string, x binary")
     # some MB for each hundred rows: they meet in a task, and the driver gets the machines only
-    found = sample.repartition(1).mapInArrow(_learn, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(lean(_learn), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else learn([], np.zeros((0, DIMENSIONS), np.float32))
 
 
@@ -291,7 +291,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float, text: str = "text"
                 good = (np.array(names, object) != UNDETERMINED) & (scores >= min_score)
                 yield batch.slice(i, j - i).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

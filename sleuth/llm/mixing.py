@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import SPACE, Scratch, documents
+from .common import SPACE, Scratch, documents, lean
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -230,7 +230,7 @@ def mixed_texts(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: s
     rows = docs.select(F.struct(*docs.columns).alias("row"), place(_order(docs, text, doc_id)).alias("place"))
     once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("place").orderBy("place"))).where("_n = 1").drop("_n")
     schema = StructType([StructField("new", StringType()), StructField("row", docs.schema)])
-    out = once.join(turns, "place").select("row", "words", "size").mapInArrow(_head(text), schema)
+    out = once.join(turns, "place").select("row", "words", "size").mapInArrow(lean(_head(text)), schema)
     return out.select(*[F.coalesce("new", F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, lean
 from .graph import components
 
 PERCENT = 85
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
     """``doc_id, n_shingles, component_id, fp``: one row per input row. ``fp``
     names the document's shingle set (null: empty)."""
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.write(columns.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    signed = scratch.write(columns.mapInArrow(lean(_signatures), _SIGNATURE), "signatures")
     some = signed.where("fp is not null")
     nodes = scratch.write(some.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sig").alias("sig")), "nodes")
     exploded = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
@@ -224,13 +224,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, t
 
     ids = members.select("fp").distinct().join(nodes.select("fp", "first_id"), "fp")
     wanted = columns.join(ids.select(F.col("first_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = wanted.select("text").mapInArrow(_sets, "fp binary, set binary")
+    found = wanted.select("text").mapInArrow(lean(_sets), "fp binary, set binary")
     sets = scratch.write(found.dropDuplicates(["fp"]), "sets")
 
     pairs, large = _bucket_pairs(members, percent)
     x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("s")), "a")
     x = x.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("t")), "b").select("a", "b", "s", "t")
-    tested = scratch.write(x.mapInArrow(_confirm(percent), "a binary, b binary, linked boolean"), "tested")
+    tested = scratch.write(x.mapInArrow(lean(_confirm(percent)), "a binary, b binary, linked boolean"), "tested")
     large = scratch.write(large.select("key", "fp", "n", "hub"), "large")
     labels = components(tested.where("linked"), scratch, "labels-0")
 

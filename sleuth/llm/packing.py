@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, parts_for
+from .common import documents, lean, parts_for
 from .tokens import default_tokenizer, encode_texts, encoder
 
 WINDOW = 1024
@@ -180,7 +180,7 @@ def packed(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None,
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shards = columns.repartition(parts_for(docs, SHARD_BYTES), F.xxhash64("doc_id", "text"))
     ordered = shards.sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
-    return ordered.mapInArrow(_shard(tokenizer or default_tokenizer(), window), _PIECE)
+    return ordered.mapInArrow(lean(_shard(tokenizer or default_tokenizer(), window)), _PIECE)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import resource
+
 import cases
 import pytest
 from pyspark.sql import functions as F
 from test_near_dup_passages import brute_components, covered
 
 import corpus_pipeline as P
-from sleuth.llm import language, passages
+from sleuth.llm import common, language, passages
 from sleuth.llm.common import Scratch
 
 
@@ -79,6 +81,33 @@ def test_mixing_and_packing(stages):
     assert pieces.where(F.crc32("ids") != F.col("ids_crc32")).count() == 0
 
 
+def test_results_are_read_without_python(spark, stages):
+    # else whole texts go through Python in batches of 10,000 rows when the result is written
+    out, folder = stages
+    for k, (_, stage) in enumerate(P.STAGES):
+        plan = stage(spark, out[k], folder)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan
+
+
+def test_a_task_gives_memory_back_at_its_end(monkeypatch):
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("back"))
+    assert [*map(said.append, common.lean(lambda xs: (2 * x for x in xs))(iter([1, 2])))] == [None] * 2
+    assert said == [2, 4, "back"]
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    held = [b"x" * 50_000 for _ in range(4000)]  # small enough to come from the heap
+    last, before = held[-1], resident()
+    del held
+    common.give_back()
+    assert before - resident() > 150_000_000 and len(last) == 50_000
+
+
 def test_run(spark, stages):
     out, folder = stages
     assert P.run(spark, folder).agg(F.sum("length")).first()[0] == out[5].agg(F.sum("length")).first()[0]
