@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = _written(spark, packing.packed(docs), "packed")
+    out = packing.packed(docs)
     return out.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -68,7 +68,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each returns was written to the shared folder."""
+    """All stages; what each but the last returns was written to the shared folder."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
