@@ -9,6 +9,7 @@ report's top-50 / top-10 sections).
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -733,6 +734,7 @@ def q_stream_chains_by_agent(s, d):
 
 
 SLICES = 20  # files that the event table is dealt to
+BATCH_SLICES = 4  # files of a batch of the stream
 
 
 def _out_of_order(s, d):
@@ -751,12 +753,15 @@ def _out_of_order(s, d):
     dealt.write.partitionBy("_file").parquet(f"{path}_dealt")
     schema = T.StructType([*ev.schema.fields, T.StructField("_file", T.IntegerType())])
     slices = s.read.schema(schema).parquet(f"{path}_dealt")
-    for i in range(SLICES):
-        slices.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    # a batch's slices at once, each in a folder of its own; batches one after another, as files are read by age
+    put = lambda i: slices.where(F.col("_file") == i).drop("_file").coalesce(1).write.parquet(f"{path}/{i:02d}")
+    with ThreadPoolExecutor(BATCH_SLICES) as pool:
+        for i in range(0, SLICES, BATCH_SLICES):
+            list(pool.map(put, range(SLICES)[i : i + BATCH_SLICES]))
     end = ev.limit(1).select(F.lit("").alias("agent_id"), F.lit(-1).cast("long").alias("id"), F.lit("9999").alias("timestamp"), F.lit(4e9).alias("epoch"),
                              F.lit(False).alias("blocked"), F.timestamp_seconds(F.lit(4e9)).alias("event_ts"))
-    end.coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(path), (hi - lo) / (SLICES - 5) + 1
+    end.coalesce(1).write.parquet(f"{path}/end")
+    return s.readStream.schema(ev.schema).option("maxFilesPerTrigger", BATCH_SLICES).parquet(f"{path}/*"), (hi - lo) / (SLICES - 5) + 1
 
 
 def _ordered_stream(s, d, slices_late: float):

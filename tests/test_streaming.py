@@ -199,3 +199,94 @@ def test_held_rows_of_a_batch_are_one_entry_of_the_state():
     assert found[found["type"] == "blocked_chain"]["id"].tolist() == list(range(5, 200, 5))
     assert list(rules.handleExpiredTimer(("a",), Times(199_000), None)) == [] and rules.held.reads == 1
     assert len(rules.held) == 1 and 200_000 in handle.timers
+
+
+def test_many_agents_at_once_equal_the_rules_agent_by_agent():
+    import random
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from sleuth.streaming.alerts import _HELD, _TAILS, _WHOLE, _findings, _findings_by_agent
+
+    rnd = random.Random(6)
+    agents = [None, *(f"a{i}" for i in range(9))]
+    tails, one_by_one = _TAILS.empty_table().to_pandas(types_mapper=_WHOLE), {}
+    for batch in range(12):
+        rows = [dict(agent_id=rnd.choice(agents), ms=batch * 100 + k, timestamp=ts(batch * 100 + k), id=batch * 100 + k,
+                     epoch=rnd.choice([None, 0.0, 1e9 + batch * 100 + k]), blocked=rnd.random() < 0.7) for k in range(rnd.choice([1, 30, 60]))]
+        want = []
+        for agent in {r["agent_id"] for r in rows}:
+            pdf = pd.DataFrame([r for r in rows if r["agent_id"] == agent])
+            more, one_by_one[agent] = _findings(pdf, one_by_one.get(agent, (0.0, 0.0, 0, None, None, 0)), 0.02)
+            want += [(agent, t, i, score, n) for t, i, score, n in more]
+        rnd.shuffle(rows)
+        found, tails = _findings_by_agent(pa.Table.from_pylist(rows, schema=_HELD), tails, 0.02)
+        found = found.astype(object).where(found.notna(), None)
+        assert sorted(found.itertuples(index=False, name=None), key=str) == sorted(want, key=str)
+    state = tails.astype(object).where(tails.notna(), None).set_index("agent_id")
+    assert len(state) == len(one_by_one)
+    for agent, (_, e2, n, _, last_id, streak) in one_by_one.items():
+        row = state[state.index.isna()].iloc[0] if agent is None else state.loc[agent]
+        assert (row["n"], row["last_id"], row["streak"]) == (n, last_id, streak) and (row["e2"] == e2 or row["e2"] is None)
+
+
+def test_calls_of_the_state_follow_the_buckets_not_the_agents(spark):
+    """300 agents of a bucket: the state is asked once for all, rows without a time wait."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from sleuth.streaming.alerts import _HELD, _ordered_rules, _pack, ordered_alerts
+
+    class State(list):
+        reads = 0
+
+        def appendValue(self, value):
+            self.append(value)
+
+        def put(self, values):
+            self[:] = values
+
+        def update(self, value):
+            self[:] = [value]
+
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            self.reads += 1
+            return iter(list(self)) if self[0][0] is None or isinstance(self[0][0], int) else self[0]
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getListState = getValueState = lambda self, name, schema: State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    rows = [dict(bucket=5, agent_id=f"a{k}", ms=t * 1000 + k, timestamp=ts(t), id=t * 1000 + k, epoch=1e9 + t, blocked=t < 3) for t in range(4) for k in range(300)]
+    rows.append(dict(bucket=5, agent_id="~", ms=None, timestamp=None, id=-1, epoch=None, blocked=True))
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), *_HELD]))
+    packed = [b.to_pandas() for b in _pack([batch.slice(0, 500), batch.slice(500)])]
+    assert [len(p) for p in packed] == [1] and packed[0]["bucket"].tolist() == [5]
+    rules, handle = _ordered_rules(0.5, 10**9), Handle()
+    rules.init(handle)
+    late = pd.concat(rules.handleInputRows((5,), iter(packed), Times(99)))
+    assert sorted(late["agent_id"]) == sorted(f"a{k}" for k in range(100)) and set(late["type"]) == {"late"}
+    assert len(rules.held) == 1 and handle.timers == [100]
+    found = pd.concat(rules.handleExpiredTimer((5,), Times(10_000), None))
+    chains = found[found["type"] == "blocked_chain"]
+    assert sorted(chains["agent_id"]) == sorted(f"a{k}" for k in range(100, 300)) and set(chains["run_length"]) == {3}
+    assert rules.held.reads == 1 and len(rules.tail) == 1
+    assert len(rules.held) == 1 and rules.held[0][0] is None  # the row without a time
+    many = spark.range(10).selectExpr("cast(id as string) agent_id", "id", "'t' timestamp", "1d epoch", "true blocked", "timestamp '2025-01-01' event_ts")
+    out = _dir()
+    many.write.mode("append").parquet(out)
+    plan = ordered_alerts(spark.readStream.schema(many.schema).parquet(out), "1 second", 1)._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan.split("TransformWithState", 1)[1].split("\n")[0]
