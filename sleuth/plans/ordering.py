@@ -181,6 +181,37 @@ def seek(df: DataFrame, order: Sequence[str], offset: int) -> DataFrame:
     return df.where(_key_at_least(order, df, start))
 
 
+MOST_RANGES = 256  # of ``numbered``; each is a branch of an expression
+
+
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``seq`` = 1-based position in the order of the named columns, like ``sequence``,
+    but no row is kept for a second use: whole rows are shuffled once.
+
+    The order keys alone are range-partitioned first, and the partitions' row counts and
+    least keys (one row each) are read by the driver, by a job that runs when this is
+    called. A row's range and the rows before that range are then known from its keys, and
+    rows are numbered range by range. The rows are read twice, so their keys must be the
+    same each time; equal keys are in one range and get numbers in any order."""
+    n = num_partitions(df)
+    ranged = df.select(*order).repartitionByRange(min(4 * n, MOST_RANGES), *order)
+    counted = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_least"))
+    parts, starts, before = sorted(counted.collect(), key=lambda part: part["_pid"]), [], 0
+    for part in parts:
+        starts.append(before)
+        before += part["_n"]
+
+    def start(lo: int, hi: int) -> Column:
+        """The rows before a row's range, which is one of ``parts[lo:hi]``."""
+        if hi - lo <= 1:
+            return F.lit(starts[lo] if parts else 0).cast("long")
+        mid = (lo + hi) // 2
+        return F.when(_key_at_least(order, df, parts[mid]["_least"]), start(mid, hi)).otherwise(start(lo, mid))
+
+    x = df.withColumn("_start", start(0, len(parts))).repartition(n, "_start")
+    return x.withColumn(SEQ, F.col("_start") + F.row_number().over(Window.partitionBy("_start").orderBy(*order))).drop("_start")
+
+
 def drop_layout(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in LAYOUT_COLS or c in ("_wb", "_halo")])
 

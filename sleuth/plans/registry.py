@@ -498,7 +498,7 @@ def q_generic_plain_lines(s, d):
 
 def _format_lines(s, d) -> DataFrame:
     """Four pseudo log files per agent, one per format, rendered from its events."""
-    ev = _ae(s, d)
+    ev = _ae(s, d).select("agent_id", "id", "timestamp", "event_type", "risk_score")  # what the lines have
     pos = with_position(ev, ["timestamp", "id"], AGENT, out="pos")
     uid = F.col("agent_id")
     json_line = F.to_json(F.struct("timestamp", "event_type", F.col("risk_score").alias("risk"), "id"))

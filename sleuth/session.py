@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -39,6 +41,19 @@ def get_spark(master: str | None = None, app: str = "sleuth", shuffle_partitions
     return spark
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each job's shuffle files go when the job ends; else they stay until the driver's
+    garbage collection finds them, and the shuffles of many jobs fill the disk together."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def let_import(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder that the driver has it
     in, as when it is only on the driver's ``sys.path`` (on a cluster: installed,

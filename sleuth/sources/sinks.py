@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty
 from sleuth.functions.schema import EVENT_COLUMNS, with_event_defaults
-from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, sequence
+from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, numbered, sequence
+from sleuth.session import shuffles_freed
 
 EXPORT_SOURCE = "forensics"  # the "source" tag of exported payloads
 
 
 LAYOUT = ["event_date", "source", "event_type", "epoch", "id"]  # order of the event table's rows
 REJECTED = "file string, lineno long, value string, batch string, reader string, reason string"
+SMALL = {"compression": "zstd"}
 FILTERS = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("event_type", "severity", "agent_id", "incident_id")}
 
 
@@ -44,8 +46,12 @@ def append_events(df: DataFrame, path: str, as_of: str | None = None, order: Seq
     return _append(df, path, as_of, order)
 
 
-def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], folders: Sequence[Column] = ()) -> DataFrame:
-    """``folders``: named columns that the table is partitioned by before date and source."""
+def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], folders: Sequence[Column] = (), staged: str | None = None) -> DataFrame:
+    """``folders``: named columns that the table is partitioned by before date and source.
+    ``staged``: a folder for rows of lines, which are the same each time they are read; they
+    get their ids there (``numbered``) and are dealt to the table from there, so that the
+    files of the one shuffle are gone before the other begins and no row is kept besides.
+    The caller takes the folder away."""
     spark = df.sparkSession
     ev = with_event_defaults(df, as_of)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,13 +64,22 @@ def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], f
     if missing:
         raise ValueError(f"columns that order the rows are missing: {missing}")
     ev = ev.drop("id")
-    ev = assign_ids(ev, order, base)
+    options = FILTERS
+    if staged:
+        options = FILTERS | SMALL
+        told = ("id", "event_ts", "epoch")  # times are told from their text once rows are in place
+        ev = numbered(ev.drop(*told), order).withColumn("id", (F.col(SEQ) + F.lit(base)).cast("long"))
+        ev = ev.select("id", *[c for c in EVENT_COLUMNS if c not in told], "_reader")
+        ev.write.options(**SMALL).parquet(staged)
+        ev = with_event_defaults(spark.read.schema(ev.schema).parquet(staged), as_of)
+    else:
+        ev = assign_ids(ev, order, base)
     out = ev.select(*EVENT_COLUMNS, *folders, day)
     (
         out.repartitionByRange(num_partitions(df), *names, *LAYOUT)
         .sortWithinPartitions(*names, *LAYOUT)
         .write.mode("append")
-        .options(**FILTERS)
+        .options(**options)
         .partitionBy(*names, "event_date", "source")
         .parquet(path)
     )
@@ -81,15 +96,22 @@ def ingest_events(parsed: dict[str, tuple[DataFrame, DataFrame]], path: str, as_
     tables of their own; the two writes are two jobs, and a call that fails between them
     leaves a batch without rejected lines."""
     spark = parsed[next(iter(parsed))][0].sparkSession
-    batch, events, rejected = F.lit("b" + uuid.uuid4().hex), None, None
+    name_of_batch = "b" + uuid.uuid4().hex
+    batch, events, rejected = F.lit(name_of_batch), None, None
     for name, (good, bad) in parsed.items():
         tag = F.lit(name).alias("reader")
         good = with_event_defaults(good, as_of).withColumn("_reader", tag)
         bad = bad.select("file", "lineno", "value", "reason", tag, batch.alias("batch"))
         events = good if events is None else events.unionByName(good, allowMissingColumns=True)
         rejected = bad if rejected is None else rejected.unionByName(bad)
-    written = _append(events, path, as_of, ("_reader", "_file", "_lineno"), (F.col("_reader").alias("reader"), batch.alias("batch")))
-    rejected.write.mode("append").partitionBy("batch", "reader", "reason").parquet(f"{path}_rejected")
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_staged/{name_of_batch}")
+    folders = (F.col("_reader").alias("reader"), batch.alias("batch"))
+    with shuffles_freed(spark):
+        try:
+            written = _append(events, path, as_of, ("_reader", "_file", "_lineno"), folders, staged.toString())
+        finally:
+            staged.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged, True)
+        rejected.write.mode("append").options(**SMALL).partitionBy("batch", "reader", "reason").parquet(f"{path}_rejected")
     bad = spark.read.schema(REJECTED).parquet(f"{path}_rejected").where(F.col("batch") == batch)
     n = F.count(F.lit(1)).alias("rows")
     accepted = written.where(F.col("batch") == batch).groupBy("reader", "source").agg(n)

@@ -70,3 +70,43 @@ def test_a_rare_type_and_a_time_range_read_few_row_groups(spark, tmp_path):
     assert len(rare.collect()) == 8 and _rows_read(rare) < n / 4
     early = table.where(f"epoch < {1_735_689_600 + 2000}").select("id")
     assert len(early.collect()) == 2000 and _rows_read(early) < n / 2
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_a_batch_keeps_no_rows_and_no_shuffle_files(spark, tmp_path):
+    """What a batch needs on disk is its table and one shuffle at a time; ids follow the lines."""
+    import os
+    import time
+
+    from sleuth.plans import ordering
+
+    text = lambda reader, i: f'{{"event_type": "{reader}{i}", "timestamp": "2025-01-{1 + i % 28:02d}T00:00:00Z"}}'
+    lines = spark.range(600).selectExpr("concat('f', id % 7) file", "599 - id lineno", "id")
+    guard = lines.select("file", "lineno", F.format_string(text("g", 3).replace("g3", "g%d"), "id").alias("value"))
+    path = str(tmp_path / "events")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept, there, setting = len(ordering._PERSISTED), _shuffle_files(spark), spark.conf.get(key)
+    for batch in range(2):
+        counts = SK.ingest_events({"guard": RD.parse_guard_lines(guard, as_of=AS_OF), "more": RD.parse_guard_lines(guard.where("lineno < 100"), as_of=AS_OF)}, path, AS_OF)
+        assert len(ordering._PERSISTED) == kept and spark.conf.get(key) == setting
+        for _ in range(50):  # files are removed beside the jobs
+            left = _shuffle_files(spark) - there
+            if not left:
+                break
+            time.sleep(0.2)
+        assert not left
+        assert {(r["reader"], r["rows"]) for r in counts.collect()} == {("guard", 600), ("more", 100)}
+        there |= _shuffle_files(spark)
+    assert not [f for _, _, files in os.walk(f"{path}_staged") for f in files]
+    table = spark.read.parquet(path)
+    rows = table.select("id", "batch", "reader", "raw_json").orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(1, 1401)) and len({r["batch"] for r in rows}) == 2
+    place = {r["value"]: (r["file"], r["lineno"]) for r in guard.collect()}
+    first = [(r["reader"], *place[r["raw_json"]]) for r in rows[:700]]
+    assert first == sorted(first)
+    assert table.where("epoch <=> cast(unix_seconds(event_ts) as double)").count() == 1400
