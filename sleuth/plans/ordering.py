@@ -182,9 +182,10 @@ def seek(df: DataFrame, order: Sequence[str], offset: int) -> DataFrame:
 
 
 MOST_RANGES = 256  # of ``numbered``; each is a branch of an expression
+ROWS_A_TASK = 500_000  # that are sorted; fewer spill less
 
 
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
     """Add ``seq`` = 1-based position in the order of the named columns, like ``sequence``,
     but no row is kept for a second use: whole rows are shuffled once.
 
@@ -192,9 +193,10 @@ def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     least keys (one row each) are read by the driver, by a job that runs when this is
     called. A row's range and the rows before that range are then known from its keys, and
     rows are numbered range by range. The rows are read twice, so their keys must be the
-    same each time; equal keys are in one range and get numbers in any order."""
+    same each time; equal keys are in one range and get numbers in any order. Returns the
+    number of rows, too."""
     n = num_partitions(df)
-    ranged = df.select(*order).repartitionByRange(min(4 * n, MOST_RANGES), *order)
+    ranged = df.select(*order).repartitionByRange(min(16 * n, MOST_RANGES), *order)
     counted = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_least"))
     parts, starts, before = sorted(counted.collect(), key=lambda part: part["_pid"]), [], 0
     for part in parts:
@@ -208,8 +210,9 @@ def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(_key_at_least(order, df, parts[mid]["_least"]), start(mid, hi)).otherwise(start(lo, mid))
 
-    x = df.withColumn("_start", start(0, len(parts))).repartition(n, "_start")
-    return x.withColumn(SEQ, F.col("_start") + F.row_number().over(Window.partitionBy("_start").orderBy(*order))).drop("_start")
+    x = df.withColumn("_start", start(0, len(parts))).repartition(max(n, before // ROWS_A_TASK), "_start")
+    place = F.row_number().over(Window.partitionBy("_start").orderBy(*order))
+    return x.withColumn(SEQ, F.col("_start") + place).drop("_start"), before
 
 
 def drop_layout(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sleuth.functions.columns import first_non_empty
 from sleuth.functions.schema import EVENT_COLUMNS, with_event_defaults
-from sleuth.plans.ordering import SEQ, drop_layout, num_partitions, numbered, sequence
+from sleuth.plans.ordering import ROWS_A_TASK, SEQ, drop_layout, num_partitions, numbered, sequence
 from sleuth.session import shuffles_freed
 
 EXPORT_SOURCE = "forensics"  # the "source" tag of exported payloads
@@ -64,19 +64,20 @@ def _append(df: DataFrame, path: str, as_of: str | None, order: Sequence[str], f
     if missing:
         raise ValueError(f"columns that order the rows are missing: {missing}")
     ev = ev.drop("id")
-    options = FILTERS
+    options, parts = FILTERS, num_partitions(df)
     if staged:
         options = FILTERS | SMALL
         told = ("id", "event_ts", "epoch")  # times are told from their text once rows are in place
-        ev = numbered(ev.drop(*told), order).withColumn("id", (F.col(SEQ) + F.lit(base)).cast("long"))
-        ev = ev.select("id", *[c for c in EVENT_COLUMNS if c not in told], "_reader")
+        ev, rows = numbered(ev.drop(*told), order)
+        parts = max(parts, rows // ROWS_A_TASK)
+        ev = ev.select((F.col(SEQ) + F.lit(base)).cast("long").alias("id"), *[c for c in EVENT_COLUMNS if c not in told], "_reader")
         ev.write.options(**SMALL).parquet(staged)
         ev = with_event_defaults(spark.read.schema(ev.schema).parquet(staged), as_of)
     else:
         ev = assign_ids(ev, order, base)
     out = ev.select(*EVENT_COLUMNS, *folders, day)
     (
-        out.repartitionByRange(num_partitions(df), *names, *LAYOUT)
+        out.repartitionByRange(parts, *names, *LAYOUT)
         .sortWithinPartitions(*names, *LAYOUT)
         .write.mode("append")
         .options(**options)

@@ -110,9 +110,10 @@ def test_numbers_without_a_second_use_of_the_rows(spark):
     rows = [(rnd.choice([None, "a", "b", "c" * 5]), rnd.choice([None, *range(40)]), i) for i in range(700)]
     df = spark.createDataFrame(rows, "file string, lineno long, i long").repartition(5)
     kept = len(ordering._PERSISTED)
-    got = sorted((r["seq"], r["file"], r["lineno"], r["i"]) for r in ordering.numbered(df, ["file", "lineno"]).collect())
+    got = sorted((r["seq"], r["file"], r["lineno"], r["i"]) for r in ordering.numbered(df, ["file", "lineno"])[0].collect())
     assert len(ordering._PERSISTED) == kept
     assert [g[0] for g in got] == list(range(1, 701)) and {g[3] for g in got} == set(range(700))
     key = lambda file, lineno: (file is not None, file or "", lineno is not None, lineno or 0)
     assert [g[1:3] for g in got] == [r[:2] for r in sorted(rows, key=lambda r: key(*r[:2]))]
-    assert ordering.numbered(df.where("i < 0"), ["file", "lineno"]).collect() == []
+    none, n = ordering.numbered(df.where("i < 0"), ["file", "lineno"])
+    assert none.collect() == [] and n == 0 and ordering.numbered(df, ["lineno"])[1] == 700
