@@ -24,6 +24,7 @@ LAYOUT = ["event_date", "source", "event_type", "epoch", "id"]  # order of the e
 REJECTED = "file string, lineno long, value string, batch string, reader string, reason string"
 SMALL = {"compression": "zstd"}
 FILTERS = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("event_type", "severity", "agent_id", "incident_id")}
+FILTERS["parquet.bloom.filter.max.bytes"] = str(128 << 10)  # a writer holds those of all its row groups to the file's end
 
 
 def assign_ids(df: DataFrame, order: Sequence[str], base: int = 0) -> DataFrame:
